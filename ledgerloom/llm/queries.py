@@ -30,3 +30,28 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+_OP10_WORDS = r"list_filter(string_split_regex(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+_OP10_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () r, doc_id, {_OP10_WORDS.format('text')} w FROM documents),
+i AS (SELECT item_id, {_OP10_WORDS.format('text')} w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, array_to_string(w[s : s + 9], ' ') g FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) s FROM i WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT g, len(string_split(g, ' ')) n FROM iw),
+ns AS (SELECT DISTINCT n FROM sizes),
+p AS (SELECT r, n, s, array_to_string(w[s : s + n - 1], ' ') g FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) s FROM d, ns WHERE len(w) >= n)),
+f AS MATERIALIZED (SELECT p.r, p.s, p.g, p.n FROM p JOIN sizes USING (g, n)),
+h AS (SELECT r, count(DISTINCT x) n_hit FROM (SELECT r, unnest(range(s, s + n)) x FROM f) GROUP BY r),
+m AS (SELECT r, count(*) n_items, sha256(string_agg(v, ',' ORDER BY v)) h FROM (SELECT DISTINCT f.r, CAST(iw.item_id AS VARCHAR) v FROM f JOIN iw USING (g)) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) n_words, CAST(coalesce(n_hit, 0) AS BIGINT) n_hit, CAST(coalesce(n_items, 0) AS BIGINT) n_items,
+  coalesce(m.h, sha256('')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN m USING (r)
+"""
+
+
+@query(_OP10_SQL)
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated_documents
+
+    found = contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
