@@ -64,3 +64,22 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = train_on_learned(docs, table(spark, sf_dir, "labels")).scores(docs)
     return scored.select("doc_id", (~learned(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def _spelled(spans: str, order: tuple[str, ...], only: tuple[str, ...] | None = None):
+    """kind:start:end of a span column, comma-joined."""
+    rows = F.col(spans) if only is None else F.filter(spans, lambda s: s.kind.isin(*only))
+    return F.array_join(F.transform(rows, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+
+
+def _number(spans: str, kind: str):
+    return F.size(F.filter(spans, lambda s: s.kind == kind)).cast("long")
+
+
+@query()
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import find_secrets
+
+    base = ("assign", "access", "hex")
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), out="found")
+    return found.select("doc_id", *(_number("found", k).alias(f"n_{k}") for k in base), F.sha2(_spelled("found", base, base), 256).alias("base_sha256"), _spelled("found", base).alias("spans"))
