@@ -83,3 +83,17 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = ("assign", "access", "hex")
     found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), out="found")
     return found.select("doc_id", *(_number("found", k).alias(f"n_{k}") for k in base), F.sha2(_spelled("found", base, base), 256).alias("base_sha256"), _spelled("found", base).alias("spans"))
+
+
+@query()
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import plan
+
+    return plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.get("passes", F.lit(0))["position"].alias("position")).orderBy("position")
+
+
+@query()
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
