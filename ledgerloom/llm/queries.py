@@ -97,3 +97,44 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+_OP6_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id query_id, c.vec_id, CAST(list_inner_product(CAST(q.w AS DOUBLE[]), CAST(c.w AS DOUBLE[])) AS BIGINT) score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) "rank", vec_id, score
+FROM s QUALIFY "rank" <= 20
+"""
+
+
+@query(_OP6_SQL)
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import integer_vectors, top_k
+
+    return top_k(integer_vectors(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 20 == 0, 20)
+
+
+RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+#: Host labels that block where no rule fits.
+LISTED_LABELS = ["adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+
+_OP8_SQL = f"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END t FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(t, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, regexp_extract(t, '^[^/?#]*([^?#]*)', 1) path FROM u),
+r(h, p, v) AS (VALUES {", ".join(str(r) for r in RULES)}),
+m AS (SELECT page_id, arg_max(r.h || r.p, length(r.h || r.p)) rule, arg_max(r.v, length(r.h || r.p)) v
+  FROM h JOIN r ON (host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.p) GROUP BY page_id)
+SELECT h.page_id, host, path, rule, coalesce(v, CASE WHEN list_has_any(string_split(host, '.'), {LISTED_LABELS}) THEN 'block' ELSE 'allow' END) verdict
+FROM h LEFT JOIN m USING (page_id)
+"""
+
+
+@query(_OP8_SQL)
+def op8_url_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge_urls
+
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    labels = spark.createDataFrame([(x,) for x in LISTED_LABELS], "key string")
+    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules, labels).select("page_id", "host", "path", "rule", "verdict")
