@@ -138,3 +138,23 @@ def op8_url_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     labels = spark.createDataFrame([(x,) for x in LISTED_LABELS], "key string")
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules, labels).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query()
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    starts = F.transform("base", lambda b: b.start)
+    base = F.transform("base", lambda b: b.label)
+    names = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
+    best = F.coalesce(F.array_max(F.transform("found", lambda m: m.score)), F.lit(0.0))
+    return found.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), names(base).alias("base_labels"), names(F.concat(base, F.transform("found", lambda m: m.label))).alias("labels"), best.alias("score"))
+
+
+@query()
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, find_personal_data
+
+    found = find_personal_data(table(spark, sf_dir, "documents")).withColumn("own", F.filter("spans", lambda s: s.base))
+    return found.select("doc_id", *(_number("own", k).alias(f"n_{k}") for k in KINDS), F.sha2(_spelled("own", KINDS), 256).alias("base_sha256"), _spelled("spans", KINDS).alias("spans"))
