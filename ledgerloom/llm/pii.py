@@ -8,8 +8,8 @@ end at a letter, digit, + or (, and hold a digit or @; all other tokens are outs
 themselves and the result is that of the whole text.
 
 Weights maximise the conditional log likelihood, by gradient steps with the forward and backward sums over segments, on
-the base spans of at most ``sample`` documents as labels. To learn more than the patterns, every training span is also
-shown in forms that they miss (a phone without its plus, a card with dots): the same segment features, the same label.
+the base spans of a bounded number of snippets as labels, besides stretches without any. To learn more than the patterns, every
+training span is also shown in forms that they miss (a phone without its plus, a card with dots), with the same label.
 Decoded spans that touch a base span are not repeated; the others are added.
 
 Positions count code points; ends are exclusive. Null texts are empty. Rows are independent and all are returned;
@@ -35,12 +35,14 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s+|[^\sA-Za-z0-9]")
-#: A stretch the field looks at: characters of candidate segments, with a digit or @ in it.
-STRETCH = re.compile(r"[A-Za-z0-9._%+@()-](?:[\x20]?[A-Za-z0-9._%+@()-])*")
+#: What a stretch that the field looks at is made of.
+NUMBERS = re.compile(r"[+(]?[0-9][0-9\x20().-]*")
+ADDRESS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 LONGEST = 24
-#: Documents with base spans that the field is trained on, about, and gradient steps.
-SAMPLE = 2_000
-STEPS = 60
+#: Documents with digits or an @ that training snippets come from, about; snippets and gradient steps of the training.
+SAMPLE = 4_000
+SNIPPETS = 800
+STEPS = 40
 FEATURES = 1 << 12
 
 
@@ -107,8 +109,6 @@ def candidates(text: str, start: int, end: int) -> tuple[list[int], list[tuple[i
         first = text[cuts[i]]
         if not (first.isascii() and (first.isalnum() or first in "+(")):
             continue
-        if i and first.isalnum() and text[cuts[i] - 1] in "+(":
-            pass
         for j in range(i + 1, min(i + LONGEST, len(cuts) - 1) + 1):
             last, whole = text[cuts[j] - 1], text[cuts[i] : cuts[j]]
             if not (last.isascii() and last.isalnum()):
@@ -121,14 +121,28 @@ def candidates(text: str, start: int, end: int) -> tuple[list[int], list[tuple[i
     return cuts, out
 
 
-def stretches(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches that can hold a segment: enough digits, or an @."""
-    for m in re.finditer(r"[^\n]*[0-9@][^\n]*", text):
-        for part in STRETCH.finditer(text, m.start(), m.end()):
-            # words without digits or @ around the core can't be in a segment beyond one word on either side of an @
-            for core in re.finditer(r"[A-Za-z0-9._%+-]*@[A-Za-z0-9.-]*|[+(]?[0-9][0-9\x20().-]*", part[0]):
-                if "@" in core[0] or sum(c.isdigit() for c in core[0]) >= 7 or core[0].count(".") >= 3:
-                    yield part.start() + core.start(), part.start() + core.end()
+def stretches(text: str) -> list[tuple[int, int]]:
+    """Stretches that can hold a segment: seven digits or three dots in a run of numbers, or an @ and what adjoins it."""
+    out = []
+    for m in NUMBERS.finditer(text):
+        if m.end() - m.start() >= 7 and (sum(c.isdigit() for c in m[0]) >= 7 or m[0].count(".") >= 3):
+            out.append((m.start(), m.end()))
+    at = text.find("@")
+    while at >= 0:
+        a, b = at, at + 1
+        while a > 0 and text[a - 1] in ADDRESS:
+            a -= 1
+        while b < len(text) and text[b] in ADDRESS:
+            b += 1
+        out.append((a, b))
+        at = text.find("@", b)
+    merged: list[tuple[int, int]] = []
+    for a, b in sorted(out):
+        if merged and a < merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+        else:
+            merged.append((a, b))
+    return merged
 
 
 def _logsum(values: np.ndarray) -> float:
@@ -136,19 +150,26 @@ def _logsum(values: np.ndarray) -> float:
     return float(top + np.log(np.exp(values - top).sum()))
 
 
+def _scores(segments: list, weights: np.ndarray) -> np.ndarray:
+    """(segment, kind)"""
+    return weights[:, np.array([f for *_, f in segments])].sum(axis=2).T
+
+
 def decode(n: int, segments: list, weights: np.ndarray) -> list[tuple[int, int, int]]:
     """(first token, end token, kind) of the best segmentation; tokens outside segments score 0."""
-    best, back = np.zeros(n + 1), [None] * (n + 1)
-    ending: dict[int, list] = {}
-    for i, j, f in segments:
-        ending.setdefault(j, []).append((i, f))
+    scores = _scores(segments, weights)
+    kinds, top = scores.argmax(axis=1).tolist(), scores.max(axis=1).tolist()
+    best, back = [0.0] * (n + 1), [None] * (n + 1)
+    ending = [[] for _ in range(n + 1)]
+    for s, (_, j, _) in enumerate(segments):
+        if top[s] > 0:  # a segment that scores less than its tokens outside is never taken
+            ending[j].append(s)
     for j in range(1, n + 1):
         best[j] = best[j - 1]
-        for i, f in ending.get(j, ()):
-            scores = weights[:, f].sum(axis=1)
-            k = int(scores.argmax())
-            if best[i] + scores[k] > best[j]:
-                best[j], back[j] = best[i] + scores[k], (i, k)
+        for s in ending[j]:
+            i = segments[s][0]
+            if best[i] + top[s] > best[j]:
+                best[j], back[j] = best[i] + top[s], (i, kinds[s])
     out, j = [], n
     while j > 0:
         if back[j] is None:
@@ -162,24 +183,26 @@ def decode(n: int, segments: list, weights: np.ndarray) -> list[tuple[int, int,
 
 def gradient(n: int, segments: list, truth: set[tuple[int, int, int]], weights: np.ndarray, out: np.ndarray) -> None:
     """Adds the log likelihood's gradient of one stretch to ``out``: seen features less expected ones."""
-    if not segments:
-        return
-    scores = [weights[:, f].sum(axis=1) for _, _, f in segments]
+    scores = _scores(segments, weights)
     forward, backward = np.zeros(n + 1), np.zeros(n + 1)
     ending, starting = [[] for _ in range(n + 1)], [[] for _ in range(n + 1)]
     for s, (i, j, _) in enumerate(segments):
         ending[j].append(s)
         starting[i].append(s)
+    first, end = np.array([s[0] for s in segments]), np.array([s[1] for s in segments])
     for j in range(1, n + 1):
-        forward[j] = _logsum(np.array([forward[j - 1], *(forward[segments[s][0]] + v for s in ending[j] for v in scores[s])]))
+        own = ending[j]
+        forward[j] = _logsum(np.append((scores[own] + forward[first[own]][:, None]).ravel(), forward[j - 1])) if own else forward[j - 1]
     for i in range(n - 1, -1, -1):
-        backward[i] = _logsum(np.array([backward[i + 1], *(backward[segments[s][1]] + v for s in starting[i] for v in scores[s])]))
-    for s, (i, j, f) in enumerate(segments):
-        expected = np.exp(np.clip(forward[i] + scores[s] + backward[j] - forward[n], -50, 0))
+        own = starting[i]
+        backward[i] = _logsum(np.append((scores[own] + backward[end[own]][:, None]).ravel(), backward[i + 1])) if own else backward[i + 1]
+    change = -np.exp(np.clip(scores + (forward[first] + backward[end])[:, None] - forward[n], -50, 0))
+    for s, (i, j, _) in enumerate(segments):
         for k in range(len(KINDS)):
-            seen = 1.0 if (i, j, k) in truth else 0.0
-            if seen or expected[k] > 1e-6:
-                np.add.at(out[k], f, seen - expected[k])
+            change[s, k] += (i, j, k) in truth
+    features = np.array([f for *_, f in segments])
+    for k in range(len(KINDS)):
+        out[k] += np.bincount(features.ravel(), weights=np.repeat(change[:, k], features.shape[1]), minlength=FEATURES)
 
 
 def _variants(text: str, span: tuple[int, int, int]) -> list[tuple[str, tuple[int, int, int]]]:
@@ -200,6 +223,9 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 shown = [(text[max(0, span[0] - 30) : span[2] + 30], (min(30, span[0]), span[1], min(30, span[0]) + span[2] - span[0]))]
                 for snippet, (a, k, b) in shown + _variants(text, span):
                     snippets.append(snippet), starts.append(a), ends.append(b), kinds.append(k)
+            for a, b in stretches(text):
+                if not any(s[0] < b and a < s[2] for s in base_spans(text)):
+                    snippets.append(text[max(0, a - 30) : b + 30]), starts.append(0), ends.append(0), kinds.append(-1)
         yield pa.RecordBatch.from_arrays([pa.array(snippets, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(kinds, pa.int32())], ["snippet", "start", "end", "kind"])
 
 
@@ -210,8 +236,9 @@ def _fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for a, b in stretches(r.snippet):
             cuts, segments = candidates(r.snippet, a, b)
             place = {c: i for i, c in enumerate(cuts)}
-            truth = {(place[r.start], place[r.end], r.kind)} if r.start in place and r.end in place else set()
-            if segments and (truth or not (r.start < b and a < r.end)):
+            touches = r.kind >= 0 and r.start < b and a < r.end
+            truth = {(place[r.start], place[r.end], r.kind)} if touches and r.start in place and r.end in place else set()
+            if segments and (truth or r.kind < 0):  # what else a span's surroundings hold isn't known
                 data.append((len(cuts) - 1, segments, truth))
     weights, moment = np.zeros((len(KINDS), FEATURES)), np.full((len(KINDS), FEATURES), 1e-8)
     weights[:, _hash("bias")] = -2.0
@@ -233,11 +260,15 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     chosen = rows.where(F.pmod("h", F.lit(1_000_000)) < round(share * 1_000_000)).select("text")
     snippets = materialize(chosen.mapInArrow(_examples, "snippet string, start int, end int, kind int"), "snippets")
     weights = np.zeros((len(KINDS), FEATURES))
-    per_kind = snippets.where(F.rand(7) < 1.0).limit(400 * len(KINDS))
-    if per_kind.isEmpty():
+    if snippets.where("kind >= 0").isEmpty():
         weights[:, _hash("bias")] = -50.0
         return weights
-    found = per_kind.repartition(1).mapInPandas(_fit, "kind int, feature int, weight double, n long").toPandas()
+    kinds = len(KINDS) + 1
+    by_kind = [snippets.where(F.col("kind") == k).distinct().orderBy(F.xxhash64("snippet", "start"), "snippet").limit(SNIPPETS // kinds) for k in range(-1, len(KINDS))]
+    chosen = by_kind[0]
+    for part in by_kind[1:]:
+        chosen = chosen.union(part)
+    found = chosen.repartition(1).mapInPandas(_fit, "kind int, feature int, weight double, n long").toPandas()
     weights[found.kind, found.feature] = found.weight
     return weights
 
