@@ -158,3 +158,12 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = find_personal_data(table(spark, sf_dir, "documents")).withColumn("own", F.filter("spans", lambda s: s.base))
     return found.select("doc_id", *(_number("own", k).alias(f"n_{k}") for k in KINDS), F.sha2(_spelled("own", KINDS), 256).alias("base_sha256"), _spelled("spans", KINDS).alias("spans"))
+
+
+@query()
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_model import score_documents
+
+    training = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, F.lit(True))
+    found = score_documents(table(spark, sf_dir, "documents"), training)
+    return found.rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(found.tokens).cast("long").alias("train_tokens"), "base_score", "score")
