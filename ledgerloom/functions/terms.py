@@ -49,7 +49,7 @@ def orcid_valid(text: Column) -> Column:
 
 def format_bytes(size: Column) -> Column:
     """1023 B, 1.0 KB, …: steps of 1024."""
-    step = F.when(size < 1024, 0).otherwise(F.floor(F.log(F.lit(1024.0), F.greatest(size, F.lit(1)).cast("double"))).cast("int"))
+    step = F.when(size < 1024, 0).otherwise(F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double")) / 10).cast("int"))
     unit = F.element_at(F.array(*map(F.lit, ("B", "KB", "MB", "GB", "TB", "PB"))), F.least(step, F.lit(5)) + 1)
     return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).otherwise(F.concat(F.format_number(size / F.pow(F.lit(1024.0), step), 1), F.lit(" "), unit))
 

@@ -47,7 +47,7 @@ def invalid_transitions(log: DataFrame, allowed: DataFrame) -> DataFrame:
 
 def rolling_cost(runs: DataFrame, minute_quota: float, hour_quota: float) -> DataFrame:
     """Per run (client, ts, cost) the client's cost in the last 60 and 3600 seconds, and whether a quota is exceeded."""
-    rows = runs.withColumn("sec", F.unix_seconds("ts"))
+    rows = runs.withColumn("sec", F.unix_seconds(F.col("ts").cast("timestamp")))
     w = Window.partitionBy("client").orderBy("sec")
     rows = rows.withColumn("minute_cost", F.sum("cost").over(w.rangeBetween(-59, 0))).withColumn("hour_cost", F.sum("cost").over(w.rangeBetween(-3599, 0)))
     return rows.withColumn("over_quota", (F.col("minute_cost") > minute_quota) | (F.col("hour_cost") > hour_quota)).drop("sec")

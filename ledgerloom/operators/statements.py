@@ -53,10 +53,12 @@ def alt_path(st: DataFrame, start: DataFrame, paths: list[list[str]]) -> DataFra
 def unpivot(rows: DataFrame, subject: str, preds: dict[str, tuple[str, int, str]], graph: str = "") -> DataFrame:
     """Statements of a wide table: column -> (predicate, obj_kind, lit_attr); null cells give none, arrays one for each item."""
     kinds = dict(rows.dtypes)
-    cells = []
-    for column, (pred, kind, attr) in preds.items():
+
+    def cell(column: str, pred: str, kind: int, attr: str | None) -> Column:
         values = F.col(column) if kinds[column].startswith("array") else F.array(column)
-        cells.append(F.transform(values, lambda v, pred=pred, kind=kind, attr=attr: F.struct(F.lit(pred).alias("pred"), v.cast("string").alias("obj"), F.lit(kind).alias("obj_kind"), F.lit(attr).alias("lit_attr"))))
+        return F.transform(values, lambda v: F.struct(F.lit(pred).alias("pred"), v.cast("string").alias("obj"), F.lit(kind).alias("obj_kind"), F.lit(attr).cast("string").alias("lit_attr")))
+
+    cells = [cell(column, *spec) for column, spec in preds.items()]
     all_cells = F.flatten(F.array(*(F.coalesce(c, F.array().cast("array<struct<pred:string,obj:string,obj_kind:int,lit_attr:string>>")) for c in cells)))
     return rows.select(F.lit(graph).alias("graph"), F.col(subject).cast("string").alias("subj"), F.explode(all_cells).alias("c")).select("graph", "subj", "c.*").where("obj is not null")
 
