@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 METRES_PER_DEGREE = 111111.0
 EARTH_RADIUS = 6371000.0
@@ -122,7 +122,7 @@ def convex_hull(points: np.ndarray) -> np.ndarray:
     return np.array(halves)
 
 
-POINT_LIST = "array<struct<lon:double,lat:double>>"
+POINT_LIST = T.ArrayType(T.StructType([T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType())]))
 
 
 @F.pandas_udf(POINT_LIST)
