@@ -1,0 +1,35 @@
+"""The pipeline's stages, each on what the one before kept."""
+
+import corpus_pipeline
+from ledgerloom.llm import decontaminate, near_dedup, toxicity
+from ledgerloom.llm._spark import materialize
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns = docs.columns
+    labels, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("labels", "benchmark"))
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs
+        docs = materialize(stage(spark, docs, SF), name)
+        kept[name] = docs
+        if name != "mixing":
+            assert docs.columns == columns
+        ids, old = [r.doc_id for r in docs.select("doc_id").collect()], {r.doc_id for r in before.select("doc_id").collect()}
+        assert set(ids) <= old
+        if name == "toxicity":
+            bad = {r.doc_id for r in toxicity.train_on_learned(before, labels).scores(before).where("score >= 0.7").collect()}
+            assert set(ids) == old - bad
+        elif name == "near_dedup":
+            assert set(ids) == {r.doc_id for r in near_dedup.near_duplicates(before).where("doc_id = component_id").collect()} and len(ids) == len(set(ids))
+        elif name == "decontamination":
+            bad = {r.doc_id for r in decontaminate.contaminated_documents(before, items).where("n_hit > 0").collect()}
+            assert set(ids) == old - bad
+        elif name == "secrets":
+            assert set(ids) == old
+        else:
+            words = {r.doc_id: r["size"] for r in docs.collect()}
+            assert set(words) <= old and docs.select("position").collect() == sorted(docs.select("position").collect())
