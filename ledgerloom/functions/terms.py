@@ -27,7 +27,7 @@ def local_name(iri: Column) -> Column:
 
 def comma_list(text: Column) -> Column:
     """Trimmed, non-empty items."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: F.length(x) > 0)
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
 
 
 def json_list(text: Column) -> Column:

@@ -160,7 +160,7 @@ def characteristic_size(centroids: DataFrame, by: str) -> DataFrame:
 
 def merge_labels(labels: Column) -> Column:
     """One text from label texts: split on /, index triples become _n_n_n, distinct; station codes (XX-Yyy) first, then three-letter codes, others, TA last; each in order of first appearance."""
-    parts = F.filter(F.transform(F.flatten(F.transform(labels, lambda x: F.split(x, "/"))), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.flatten(F.transform(labels, lambda x: F.split(x, "/"))), lambda x: F.trim(x)), lambda x: x != "")
     named = F.array_distinct(F.transform(parts, lambda x: F.regexp_replace(x, "_[0-9]+_[0-9]+_[0-9]+$", "_n_n_n")))
     rank = lambda x: F.when(x == "TA", 3).when(x.rlike("^[A-Z]{2}-[A-Z][A-Za-z0-9]{2}$"), 0).when(x.rlike("^[A-Z]{3}$"), 1).otherwise(2)
     of = lambda r: F.filter(named, lambda x: rank(x) == r)

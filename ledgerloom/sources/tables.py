@@ -8,12 +8,12 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 LOG = "id bigint, tstamp timestamp, assertion boolean, type smallint, subject string, predicate string, object string, litattr string"
 XSD_STRING = "xsd:string"
 
-PACKAGE = T.StructType.fromDDL(
+PACKAGE = (
     "submitterId string, hashSum string, fileName string, objectSpecification string, isNextVersionOf array<string>, preExistingDoi string,"
     "specificInfo struct<station:string,site:string,acquisitionInterval:struct<start:timestamp,stop:timestamp>,instrument:array<string>,samplingHeight:float,"
     "production:struct<creator:string,contributors:array<string>,hostOrganization:string,comment:string,sources:array<string>,creationDate:timestamp>>,"
