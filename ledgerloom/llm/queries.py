@@ -89,7 +89,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import plan
 
-    return plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.get("passes", F.lit(0))["position"].alias("position")).orderBy("position")
+    return plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.get("passes", F.lit(0))["position"].alias("position")).orderBy("position", "doc_id")
 
 
 @query()
