@@ -217,16 +217,14 @@ def simplify_to(geo: DataFrame, n: int = 15) -> DataFrame:
         out = []
         for x, y in zip(lon, lat):
             pts = np.column_stack((x, y))
-            low, high, kept = 0.0, float(np.ptp(pts, axis=0).max()) or 1.0, np.ones(len(pts), dtype=bool)
-            while kept.sum() > n and high - low > 1e-9:
+            low, high, best = 0.0, float(np.ptp(pts, axis=0).max()) or 1.0, np.ones(len(pts), dtype=bool)
+            while len(pts) > n and high - low > 1e-9:
                 mid = (low + high) / 2
                 now = simplify(pts, mid)
                 low, high = (mid, high) if now.sum() > n else (low, mid)
                 if now.sum() <= n:
-                    kept_now = now
-            if kept.sum() > n:
-                kept = kept_now if "kept_now" in locals() else simplify(pts, high)
-            out.append([{"lon": float(p[0]), "lat": float(p[1])} for p in pts[kept]])
+                    best = now
+            out.append([{"lon": float(p[0]), "lat": float(p[1])} for p in pts[best if best.sum() <= n else simplify(pts, high)]])
         return pd.Series(out)
 
     return geo.withColumn("coords", run(F.transform("coords", lambda p: p["lon"]), F.transform("coords", lambda p: p["lat"])))
