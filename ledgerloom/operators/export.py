@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .intervals import coverage_text
+from .ranks import number_rows
 from .statements import unpivot
 
 
 def dcat_export(objects: DataFrame, specs: DataFrame, stations: DataFrame) -> DataFrame:
     """Dataset statements of current objects: title, description, period, modified, licence-free text only."""
-    rows = objects.where("size is not null and not deprecated").join(F.broadcast(specs.select("spec", "spec_label")), "spec").join(stations.select("station", "name"), "station", "left")
+    rows = objects.where("size is not null and not deprecated").join(specs.select("spec", "spec_label"), "spec").join(stations.select("station", "name"), "station", "left")
     text = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     rows = rows.select("id", F.concat_ws(", ", "spec_label", "name").alias("title"), F.concat(F.lit("File "), "file_name", F.lit(" of "), "spec_label").alias("description"), text("data_start").alias("begin"), text("data_end").alias("end"), text(F.least("data_end", "submitted")).alias("modified"))
     preds = {"title": ("dcterms:title", 1, "xsd:string"), "description": ("dcterms:description", 1, "xsd:string"), "begin": ("dcat:startDate", 1, "xsd:dateTime"), "end": ("dcat:endDate", 1, "xsd:dateTime"), "modified": ("dcterms:modified", 1, "xsd:dateTime")}
@@ -26,13 +27,13 @@ def site_export(stations: DataFrame, pis: DataFrame) -> DataFrame:
 
 def b2find_export(objects: DataFrame, specs: DataFrame, stations: DataFrame) -> DataFrame:
     """Flat rows for a discovery portal."""
-    rows = objects.where("size is not null and not deprecated").join(F.broadcast(specs.select("spec", "spec_label")), "spec").join(stations.select("station", "name"), "station", "left")
+    rows = objects.where("size is not null and not deprecated").join(specs.select("spec", "spec_label"), "spec").join(stations.select("station", "name"), "station", "left")
     return rows.select("id", F.coalesce(F.concat_ws(" at ", "spec_label", "name"), "spec_label").alias("title"), F.date_format("data_start", "yyyy-MM-dd").alias("begin"), F.date_format("data_end", "yyyy-MM-dd").alias("end"), F.year("submitted").cast("string").alias("publication_year"))
 
 
 def citations(objects: DataFrame, specs: DataFrame, stations: DataFrame, authors: DataFrame) -> DataFrame:
     """(id, citation): authors (year). title, coverage, pid. authors: id, authors (array)."""
-    rows = objects.join(F.broadcast(specs.select("spec", "spec_label")), "spec").join(stations.select("station", "name"), "station", "left").join(authors, "id", "left")
+    rows = objects.join(specs.select("spec", "spec_label"), "spec").join(stations.select("station", "name"), "station", "left").join(authors, "id", "left")
     names = F.nullif(F.array_join("authors", ", "), F.lit(""))
     title = F.concat_ws(", ", "spec_label", "name", coverage_text(F.col("data_start"), F.col("data_end")))
     return rows.select("id", F.concat(F.coalesce(F.concat(names, F.lit(" ")), F.lit("")), F.lit("("), F.year("submitted"), F.lit("). "), title, F.lit(", "), "id").alias("citation"))
@@ -83,7 +84,7 @@ def catalogue_id(objects: DataFrame, maps: dict[str, DataFrame], name: str = "fi
     out = objects.withColumn("_parts", F.split(F.regexp_replace(name, r"\.[^.]*$", ""), "_"))
     codes = []
     for k, (part, look) in enumerate(maps.items()):
-        out = out.withColumn("key", F.get("_parts", F.lit(k))).join(F.broadcast(look.select("key", F.col("code").alias(part))), "key", "left").drop("key")
+        out = out.withColumn("key", F.get("_parts", F.lit(k))).join(look.select("key", F.col("code").alias(part)), "key", "left").drop("key")
         codes.append(F.lpad(part, 4, "0"))
     known = codes[0].isNotNull()
     for c in codes[1:]:
@@ -94,8 +95,8 @@ def catalogue_id(objects: DataFrame, maps: dict[str, DataFrame], name: str = "fi
 def number_by_appearance(rows: DataFrame, key: str, seq: str, prefix: str) -> DataFrame:
     """(key, number, code): keys numbered by their first appearance; one row for each contact or organisation."""
     first = rows.groupBy(key).agg(F.min(seq).alias("first"))
-    n = F.row_number().over(Window.orderBy("first", key))
-    return first.select(key, n.alias("number"), F.concat(F.lit(prefix), F.lpad(n.cast("string"), 4, "0")).alias("code"))
+    n = F.col("_n") + 1
+    return number_rows(first, ["first", key], "_n").select(key, n.alias("number"), F.concat(F.lit(prefix), F.lpad(n.cast("string"), 4, "0")).alias("code"))
 
 
 def submission_window(objects: DataFrame, start, end, key: list[str]) -> DataFrame:

@@ -42,7 +42,7 @@ def invalid_transitions(log: DataFrame, allowed: DataFrame) -> DataFrame:
     """Consecutive statuses of a subject (before, after) that the table ``allowed`` doesn't have."""
     w = Window.partitionBy("subj").orderBy("tstamp", "id")
     steps = log.where("assertion").select("subj", "tstamp", "id", F.lag("obj").over(w).alias("before"), F.col("obj").alias("after"))
-    return steps.where("before is not null and before <> after").join(F.broadcast(allowed), ["before", "after"], "left_anti")
+    return steps.where("before is not null and before <> after").join(allowed, ["before", "after"], "left_anti")
 
 
 def rolling_cost(runs: DataFrame, minute_quota: float, hour_quota: float) -> DataFrame:

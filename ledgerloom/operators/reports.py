@@ -26,7 +26,7 @@ def spec_variables(columns: DataFrame, variables: DataFrame, flags: DataFrame) -
 def origin_stats(objects: DataFrame, stations: DataFrame, specs: DataFrame, condition: Filter = All()) -> DataFrame:
     """Counts by origin with spec label, station name and country; the joins come after the aggregation."""
     counts = object_stats(objects, condition)
-    return counts.join(F.broadcast(specs.select("spec", "spec_label")), "spec", "left").join(stations.select("station", "name", "country"), "station", "left")
+    return counts.join(specs.select("spec", "spec_label"), "spec", "left").join(stations.select("station", "name", "country"), "station", "left")
 
 
 def object_details(objects: DataFrame, stations: DataFrame, dois: DataFrame) -> DataFrame:
@@ -70,7 +70,7 @@ def product_availability(objects: DataFrame, stations: DataFrame, specs: list[in
 
 def raw_files_by_type(objects: DataFrame, types: DataFrame, file_type: str, station: int | None = None, since=None) -> DataFrame:
     """(pid, file_name, spec) of a file type, through the table types: file_type, spec."""
-    rows = objects.join(F.broadcast(types.where(F.col("file_type") == file_type)), "spec")
+    rows = objects.join(types.where(F.col("file_type") == file_type), "spec")
     rows = rows if station is None else rows.where(F.col("station") == station)
     rows = rows if since is None else rows.where(F.col("data_start") >= F.lit(since).cast("timestamp"))
     return rows.select(F.substring("id", -24, 24).alias("pid"), "file_name", "spec")
@@ -117,7 +117,7 @@ def objects_in_collections(objects: DataFrame, members: DataFrame, start, end) -
 def geo_stats(objects: DataFrame, inside: DataFrame, specs: DataFrame) -> DataFrame:
     """Counts by spec (label and level) of objects in ``inside`` (id)."""
     counts = objects.join(inside.select("id").distinct(), "id", "left_semi").groupBy("spec").agg(F.count("*").alias("n"))
-    return counts.join(F.broadcast(specs.select("spec", "spec_label", "level")), "spec")
+    return counts.join(specs.select("spec", "spec_label", "level"), "spec")
 
 
 def stations_of_pi(memberships: DataFrame, email: str) -> DataFrame:
@@ -128,13 +128,13 @@ def stations_of_pi(memberships: DataFrame, email: str) -> DataFrame:
 def last_objects(objects: DataFrame, specs: DataFrame, n: int) -> DataFrame:
     """The newest n objects with spec label and level."""
     top = objects.where("size is not null").orderBy(F.desc("submitted"), "id").limit(n)
-    return top.join(F.broadcast(specs.select("spec", "spec_label", "level")), "spec").select("id", "submitted", "spec_label", "level")
+    return top.join(specs.select("spec", "spec_label", "level"), "spec").select("id", "submitted", "spec_label", "level")
 
 
 def per_format_stats(objects: DataFrame, specs: DataFrame, left_out: int) -> DataFrame:
     """Complete objects per format but for one."""
     counts = objects.where("size is not null").groupBy("spec").agg(F.count("*").alias("n"))
-    return counts.join(F.broadcast(specs.select("spec", "format")), "spec").where(F.col("format") != left_out).groupBy("format").agg(F.sum("n").alias("n"))
+    return counts.join(specs.select("spec", "format"), "spec").where(F.col("format") != left_out).groupBy("format").agg(F.sum("n").alias("n"))
 
 
 def species_and_heights(objects: DataFrame, variables: DataFrame) -> DataFrame:
@@ -189,7 +189,7 @@ def station_geography(stations: DataFrame, sites: DataFrame, points: DataFrame)
 
 def polygon_tracks(geo: DataFrame, objects: DataFrame, fmt: int, specs: DataFrame, prefix: str) -> DataFrame:
     """Objects of a format whose geometry is a polygon, with a link built from the id."""
-    rows = objects.join(F.broadcast(specs.where(F.col("format") == fmt).select("spec")), "spec", "left_semi").join(geo.where(F.col("geojson").contains('"Polygon"')), "id")
+    rows = objects.join(specs.where(F.col("format") == fmt).select("spec"), "spec", "left_semi").join(geo.where(F.col("geojson").contains('"Polygon"')), "id")
     return rows.select("id", "file_name", F.concat(F.lit(prefix), F.substring_index("id", "/", -1)).alias("link")).orderBy(F.asc("file_name"), F.desc("id"))
 
 
@@ -202,7 +202,7 @@ def licence_of(objects: DataFrame, own: DataFrame, of_spec: DataFrame, of_projec
 
 def sitemap(objects: DataFrame, stations: DataFrame, specs: DataFrame, country: str | None = None) -> DataFrame:
     """(country, id) of current objects of levels 2 and 3."""
-    rows = objects.where("size is not null and not deprecated").join(F.broadcast(specs.where("level in (2, 3)").select("spec")), "spec", "left_semi")
+    rows = objects.where("size is not null and not deprecated").join(specs.where("level in (2, 3)").select("spec"), "spec", "left_semi")
     rows = rows.join(stations.select("station", "country"), "station", "left").select("country", "id")
     return rows if country is None else rows.where(F.col("country") == country)
 

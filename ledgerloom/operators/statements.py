@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .ranks import number_rows
+
 KEY = ["subj", "pred", "obj", "obj_kind", "lit_attr"]
 TYPE, SUBCLASS = "rdf:type", "rdfs:subClassOf"
 
@@ -142,7 +144,7 @@ def stabilize_bnodes(st: DataFrame, graph: str) -> DataFrame:
     own = st.where(F.col("graph") == graph)
     places = own.where(is_blank("subj")).select(F.col("subj").alias("b"), "subj", "pred", "obj").union(own.where(is_blank("obj")).select("obj", "subj", "pred", "obj"))
     first = places.groupBy("b").agg(F.min(F.struct("subj", "pred", "obj")).alias("at"))
-    names = first.select("b", F.concat(F.lit(f"{graph}/bnode"), (F.row_number().over(Window.orderBy("at", "b")) - 1).cast("string")).alias("iri"))
+    names = number_rows(first, ["at", "b"]).select("b", F.concat(F.lit(f"{graph}/bnode"), F.col("number").cast("string")).alias("iri"))
     s, o = names.select(F.col("b").alias("subj"), F.col("iri").alias("s_iri")), names.select(F.col("b").alias("obj"), F.col("iri").alias("o_iri"))
     return own.join(s, "subj", "left").join(o, "obj", "left").select("graph", F.coalesce("s_iri", "subj").alias("subj"), "pred", F.coalesce("o_iri", "obj").alias("obj"), "obj_kind", "lit_attr")
 

@@ -54,7 +54,7 @@ def sane_interval(packages: DataFrame, now) -> DataFrame:
 
 def sane_production(packages: DataFrame, extensions: DataFrame) -> DataFrame:
     """C5: level 0 has no production; descriptions have 5000 characters at most; the extension fits the format (extensions: spec, extension)."""
-    ext = packages.join(F.broadcast(extensions), "spec")
+    ext = packages.join(extensions, "spec")
     return reduce(DataFrame.union, [
         _rows(packages.where("level = 0 and production is not null"), "C5", "level 0 has no production"), _rows(packages.where(F.length("description") > 5000), "C5", "description is too long"),
         _rows(ext.where(F.substring_index("file_name", ".", -1) != F.col("extension")), "C5", "extension doesn't fit the format"),
@@ -96,7 +96,7 @@ def sane_embargo(packages: DataFrame, now) -> DataFrame:
 
 def submitter_may(packages: DataFrame, allowed: DataFrame) -> DataFrame:
     """C11: the submitter's allowed themes (submitter, themes) hold the package's; without a row nothing is allowed."""
-    both = packages.join(F.broadcast(allowed), "submitter", "left")
+    both = packages.join(allowed, "submitter", "left")
     return _rows(both.where(~F.coalesce(F.array_contains("themes", F.col("theme")), F.lit(False))), "C11", "theme isn't allowed")
 
 

@@ -106,7 +106,7 @@ def chain_duplicates(objects: DataFrame, keys: list[str]) -> DataFrame:
 
 def deprecation_candidates(old: DataFrame, new: DataFrame, spec_map: DataFrame, keys: list[str]) -> DataFrame:
     """(new, old) by mapped spec (old_spec, new_spec) and equal keys."""
-    a = old.select(F.col("id").alias("old"), F.col("spec").alias("old_spec"), *keys).join(F.broadcast(spec_map), "old_spec")
+    a = old.select(F.col("id").alias("old"), F.col("spec").alias("old_spec"), *keys).join(spec_map, "old_spec")
     return a.join(new.select(F.col("id").alias("new"), F.col("spec").alias("new_spec"), *keys), ["new_spec", *keys]).select("new", "old")
 
 
