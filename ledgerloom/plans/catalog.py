@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.functions import terms
-from ledgerloom.operators import export, geo, intervals, log as logs, reports, search, statements as st, validate, versions
+from ledgerloom.operators import export, geo, intervals, log as logs, reconcile, reports, search, statements as st, validate, versions
 from ledgerloom.plans import bridge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,15 @@ def flagged(s: SparkSession, d: str) -> DataFrame:
     return search.deprecation_flag(bridge.objects(s, d), bridge.edges(s, d))
 
 
+def typed_objects(s: SparkSession, d: str) -> DataFrame:
+    """Objects as statements, with a class of five by spec; Class1 is below Class0."""
+    o = bridge.objects(s, d)
+    row = lambda subj, pred, obj: [F.lit("objects").alias("graph"), subj.alias("subj"), F.lit(pred).alias("pred"), obj.alias("obj"), F.lit(0).alias("obj_kind"), F.lit(None).cast("string").alias("lit_attr")]
+    classes = o.select(*row(F.col("id"), st.TYPE, F.concat(F.lit("Class"), F.col("spec") % 5)))
+    below = s.range(1).select(*row(F.lit("Class1"), st.SUBCLASS, F.lit("Class0")))
+    return st.objects_to_statements(o).unionByName(classes).unionByName(below)
+
+
 # Statements
 
 
@@ -531,3 +540,92 @@ def x11_submission_window(s, d):
 @query("SELECT id, CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf('%.1f', size / 1024) || ' KB' ELSE printf('%.1f', size / 1048576) || ' MB' END AS size_text FROM objects WHERE size IS NOT NULL")
 def f01_format_bytes(s, d):
     return bridge.objects(s, d).where("size is not null").select("id", terms.format_bytes(F.col("size")).alias("size_text"))
+
+
+# Further operators
+
+
+@query("SELECT id subj FROM objects WHERE spec % 5 IN (0, 1)")
+def b09_instances_of(s, d):
+    return st.instances_of(typed_objects(s, d), "Class0", subclasses=True)
+
+
+@query("SELECT 'g/bnode' || (row_number() OVER (ORDER BY '_:b' || id) - 1) subj, file_name obj FROM objects")
+def b16_stabilize_bnodes(s, d):
+    names = bridge.objects(s, d).select(F.lit("g").alias("graph"), F.concat(F.lit("_:b"), "id").alias("subj"), F.lit("hasName").alias("pred"), F.col("file_name").alias("obj"), F.lit(1).alias("obj_kind"), F.lit("xsd:string").alias("lit_attr"))
+    return st.stabilize_bnodes(names, "g").select("subj", "obj")
+
+
+@query("""SELECT new subj, old obj, false assertion FROM edges WHERE CAST(new AS BIGINT) % 10 = 0 OR CAST(old AS BIGINT) % 10 = 0
+  UNION ALL SELECT CASE WHEN CAST(new AS BIGINT) % 10 = 0 THEN 'r' ELSE '' END || new, CASE WHEN CAST(old AS BIGINT) % 10 = 0 THEN 'r' ELSE '' END || old, true FROM edges WHERE CAST(new AS BIGINT) % 10 = 0 OR CAST(old AS BIGINT) % 10 = 0""")
+def b17_rename_resource(s, d):
+    links = bridge.edges(s, d).select(F.lit("objects").alias("graph"), F.col("new").alias("subj"), F.lit("isNextVersionOf").alias("pred"), F.col("old").alias("obj"), F.lit(0).alias("obj_kind"), F.lit(None).cast("string").alias("lit_attr"))
+    mapping = bridge.objects(s, d).where("cast(id as bigint) % 10 = 0").select(F.col("id").alias("old"), F.concat(F.lit("r"), "id").alias("new"))
+    return st.rename_resource(links, mapping).select("subj", "obj", "assertion")
+
+
+@query("SELECT regexp_replace(id, '^1', 'one/') subj, file_name obj FROM objects WHERE file_name IS NOT NULL")
+def b18_rewrite_iris(s, d):
+    return st.rewrite_iris(st.match(st.objects_to_statements(bridge.objects(s, d)), p="hasName"), "^1", "one/").select("subj", "obj")
+
+
+@query("SELECT id subj FROM objects WHERE spec % 5 = 0 AND site IS NULL")
+def b20_orphans(s, d):
+    return st.orphans(typed_objects(s, d), "Class0", required="wasPerformedAt").where(F.col("pred") == st.TYPE).select("subj")
+
+
+@query("SELECT id subj FROM objects WHERE site IS NOT NULL")
+def b21_move_by_predicate(s, d):
+    return st.move_by_predicate(st.objects_to_statements(bridge.objects(s, d)), "wasPerformedAt", "objects").where("pred = 'hasName'").select("subj")
+
+
+@query("SELECT id subj, 'wasPerformedAt' pred, 'nowhere' obj FROM objects WHERE spec % 5 = 0 AND site IS NULL")
+def b25_add_missing_link(s, d):
+    return st.add_missing_link(typed_objects(s, d), "Class0", "wasPerformedAt", "nowhere").select("subj", "pred", "obj")
+
+
+@query("SELECT id, size IS NOT NULL complete FROM objects UNION ALL SELECT 'c' || coll, NOT plain OR bool_or(size IS NOT NULL) FROM members JOIN objects ON member = id GROUP BY coll, plain")
+def v02_is_complete(s, d):
+    m = bridge.members(s, d).withColumn("coll", F.concat(F.lit("c"), "coll"))
+    return versions.is_complete(bridge.objects(s, d), m.select(F.col("coll").alias("id"), "plain").distinct(), m.where("plain"))
+
+
+@query("""SELECT old, new FROM (SELECT old, new, submitted FROM edges JOIN objects ON new = id UNION ALL SELECT old, new || 'x', submitted + INTERVAL 1 DAY FROM edges JOIN objects ON new = id WHERE spec % 2 = 0) e
+  JOIN (SELECT id, submitted s FROM objects) o ON old = o.id WHERE date_diff('day', s, submitted) > 60 AND old IN (SELECT old FROM edges JOIN objects ON new = id WHERE spec % 2 = 0)""")
+def v06_bad_branches(s, d):
+    o, e = bridge.objects(s, d), bridge.edges(s, d)
+    even = o.where("spec % 2 = 0")
+    more = e.join(even.select(F.col("id").alias("new")), "new", "left_semi").select(F.concat("new", F.lit("x")).alias("new"), "old")
+    items = o.select("id", "submitted").union(even.select(F.concat("id", F.lit("x")), F.timestamp_add("DAY", F.lit(1), "submitted")))
+    return versions.bad_branches(e.union(more), items)
+
+
+@query("SELECT b.id new, a.id old FROM objects a JOIN objects b ON a.cust = b.cust WHERE a.spec = 0 AND b.spec = 1 OR a.spec = 2 AND b.spec = 3")
+def v09_deprecation_candidates(s, d):
+    o = bridge.objects(s, d)
+    return versions.deprecation_candidates(o, o, s.createDataFrame([(0, 1), (2, 3)], "old_spec int, new_spec int"), ["cust"])
+
+
+@query("SELECT member, coll FROM members WHERE CAST(member AS BIGINT) % 2 <> 0 UNION ALL SELECT member, coll + 100 FROM members WHERE CAST(member AS BIGINT) % 2 = 0")
+def v14_parent_collections(s, d):
+    m = bridge.members(s, d).select("coll", "member")
+    newer = m.where("cast(member as bigint) % 2 = 0").select((F.col("coll") + 100).alias("coll"), "member")
+    return versions.parent_collections(m.union(newer), m.select(F.col("coll").alias("old"), (F.col("coll") + 100).alias("new")).distinct())
+
+
+@query("SELECT CAST(coll AS VARCHAR) subj, member obj FROM members WHERE member IN (SELECT old FROM edges)")
+def v17_superseded_references(s, d):
+    links = bridge.members(s, d).select(F.col("coll").cast("string").alias("subj"), F.col("member").alias("obj"))
+    return versions.superseded_references(links, bridge.edges(s, d)).select("subj", "obj")
+
+
+@query("SELECT row, base, CASE WHEN k = 1 THEN base ELSE base || '_' || k END id FROM (SELECT CAST(id AS BIGINT) AS row, file_name base, row_number() OVER (PARTITION BY file_name ORDER BY CAST(id AS BIGINT)) + coalesce(used, 0) k FROM (SELECT * FROM objects WHERE CAST(id AS BIGINT) % 4 <> 0) LEFT JOIN (SELECT file_name, count(*) used FROM objects WHERE CAST(id AS BIGINT) % 4 = 0 GROUP BY ALL) USING (file_name))")
+def r02_unique_ids(s, d):
+    o = bridge.objects(s, d).select(F.col("id").cast("bigint").alias("row"), F.col("file_name").alias("base"))
+    return reconcile.unique_ids(o.where("row % 4 <> 0"), o.where("row % 4 = 0"))
+
+
+@query("SELECT cust, row_number() OVER (ORDER BY min(CAST(id AS BIGINT)), cust) AS number FROM objects GROUP BY cust")
+def x10_number_by_appearance(s, d):
+    rows = bridge.objects(s, d).select("cust", F.col("id").cast("bigint").alias("seq"))
+    return export.number_by_appearance(rows, "cust", "seq", "c").select("cust", "number")
