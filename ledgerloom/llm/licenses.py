@@ -1,11 +1,13 @@
 """License scan with a positional rare-token index of notice templates.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, lower-cased in A-Z. The index maps a template word to
-its places in the templates. The corpus gives each template word's inverse document frequency. A file that holds all
-words of some mandatory key phrase looks up its ``RARE`` template words of highest IDF; their postings, minus the
-template places, vote for alignments (template, start). An alignment that two rare words agree on is scored by the
-IDF-weighted share of the template's words that stand at their places, and gives its label if that share reaches
-``LEAST`` and a key phrase of the template stands in the aligned stretch.
+its places in the templates. The corpus gives each template word's inverse document frequency. Each template has rare
+places of its own: those of highest IDF that together weigh more than ``1 - LEAST`` of it, so that an alignment that
+reaches ``LEAST`` has one of them right. A file with key phrases looks up the rare words of the templates that these
+belong to; the words' places, minus the template places, give alignments (template, start). Those with a key phrase of
+the template in the aligned stretch are scored by the IDF-weighted share of the template's words that stand at their
+places, and give the label if that share reaches ``LEAST``. No alignment that holds is missed, however many notices a
+file has; of each label the best is returned, the first one of equals.
 
 Base places are those where a fixed phrase's words stand consecutively. Null texts have no words. Rows are independent
 of each other and all are returned, repeated ones too. Extra columns are ignored. The tasks carry the templates (a
@@ -38,7 +40,6 @@ TEMPLATES = {
     "mit": (["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software"], ["mit license", "permission is hereby granted free of charge"]),
     "mpl-2.0": (["this source code form is subject to the terms of the mozilla public license v 2 0"], ["mozilla public license"]),
 }
-RARE = 8
 LEAST = 0.6
 
 
@@ -50,10 +51,6 @@ class TemplateIndex:
         self.templates = [(label, hash_text(t, table), [hash_text(k, table) for k in keys]) for label, (texts, keys) in templates.items() for t in texts]
         self.phrases = [(hash_text(p, table), label) for p, label in phrases.items()]
         self.words = np.unique(np.concatenate([t for _, t, _ in self.templates] + [k for *_, keys in self.templates for k in keys]))
-        self.postings = defaultdict(list)
-        for i, (_, words, _) in enumerate(self.templates):
-            for at, word in enumerate(words):
-                self.postings[int(word)].append((i, at))
         self.key_sets = [set(map(int, k)) for k in {tuple(k): k for *_, keys in self.templates for k in keys}.values()]
 
     def known(self, hashes: np.ndarray) -> np.ndarray:
@@ -95,37 +92,51 @@ def inverse_frequencies(docs: DataFrame, index: TemplateIndex) -> dict[int, floa
     return {int(w): float(np.log((total + 1) / (found.get(int(w), 0) + 1)) + 1) for w in index.words}
 
 
-def matches(hashes: np.ndarray, index: TemplateIndex, idf: dict[int, float]) -> list[tuple[str, int, float]]:
-    """(label, start word, score) of the alignments that hold, the best for each label."""
+def rare_places(index: TemplateIndex, idf: dict[int, float]) -> list[tuple[np.ndarray, dict[int, list[int]]]]:
+    """For each template its words' weights and the postings (word: places) of its rare places."""
+    out = []
+    for _, text, _ in index.templates:
+        weight = np.array([idf[int(w)] for w in text])
+        order = np.lexsort((np.arange(len(text)), text, -weight))
+        enough = np.cumsum(weight[order]) > (1 - LEAST) * weight.sum() + 1e-9
+        postings = defaultdict(list)
+        for at in order[: int(np.argmax(enough)) + 1]:
+            postings[int(text[at])].append(int(at))
+        out.append((weight, postings))
+    return out
+
+
+def matches(hashes: np.ndarray, index: TemplateIndex, idf: dict[int, float], rare: list | None = None) -> list[tuple[str, int, float]]:
+    """(label, start word, score) of the alignments that hold, the best for each label. ``rare`` is rare_places(index, idf)."""
     at = np.flatnonzero(index.known(hashes))
     present = {int(w) for w in np.unique(hashes[at])}
     if not any(keys <= present for keys in index.key_sets):
         return []
-    rare = sorted((w for w in present if w in index.postings), key=lambda w: (-idf[w], w))[:RARE]
-    chosen = np.array(rare, dtype=np.uint64)
-    votes: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for place in at[np.isin(hashes[at], chosen)]:
-        word = int(hashes[place])
-        for template, offset in index.postings[word]:
-            votes[template, int(place) - offset].add(word)
     best: dict[str, tuple[int, float]] = {}
-    for (template, start), words in votes.items():
-        label, text, keys = index.templates[template]
-        if len(words) < min(2, len(set(text.tolist()))):
+    for (label, text, keys), (weight, postings) in zip(index.templates, rare or rare_places(index, idf)):
+        stands = [(k, len(key)) for key in keys for k in places(hashes, key)]
+        if not stands:
             continue
-        spots = np.arange(len(text)) + start
-        inside = (spots >= 0) & (spots < len(hashes))
-        same = np.zeros(len(text), dtype=bool)
-        same[inside] = hashes[spots[inside]] == text[inside]
-        weight = np.array([idf[int(w)] for w in text])
-        score = float(weight[same].sum() / weight.sum())
-        stretch = hashes[max(0, start - 2) : start + len(text) + 2]
-        if score >= LEAST and score > best.get(label, (0, 0.0))[1] and any(len(places(stretch, k)) for k in keys):
-            best[label] = (max(0, start), score)
+        found = at[np.isin(hashes[at], np.array(list(postings), dtype=np.uint64))]
+        starts = np.array(sorted({int(p) - o for p in found for o in postings[int(hashes[p])]}), dtype=np.int64)
+        near = np.zeros(len(starts), dtype=bool)
+        for k, size in stands:  # the stretch reaches two words beyond the aligned ones
+            near[np.searchsorted(starts, k + size - len(text) - 2) : np.searchsorted(starts, k + 2, side="right")] = True
+        for start in starts[near]:
+            spots = np.arange(len(text)) + start
+            inside = (spots >= 0) & (spots < len(hashes))
+            same = np.zeros(len(text), dtype=bool)
+            same[inside] = hashes[spots[inside]] == text[inside]
+            score = float(weight[same].sum() / weight.sum())
+            old = best.get(label, (0, 0.0))
+            if score >= LEAST and (score > old[1] or score == old[1] and start < old[0]):
+                best[label] = (max(0, int(start)), score)
     return sorted((label, start, score) for label, (start, score) in best.items())
 
 
 def _scan(index: TemplateIndex, idf: dict[int, float]):
+    rare = rare_places(index, idf)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, base, found = [], [], []
@@ -139,7 +150,7 @@ def _scan(index: TemplateIndex, idf: dict[int, float]):
                 for doc in range(len(bounds) - 1):
                     n_words.append(int(bounds[doc + 1] - bounds[doc]))
                     base.append(by_doc.get(doc, []))
-                    found.append([{"label": a, "start": b, "score": c} for a, b, c in matches(hashes[bounds[doc] : bounds[doc + 1]], index, idf)])
+                    found.append([{"label": a, "start": b, "score": c} for a, b, c in matches(hashes[bounds[doc] : bounds[doc + 1]], index, idf, rare)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(base, pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64())]))), pa.array(found, pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("score", pa.float64())])))],
                 ["doc_id", "n_words", "base", "found"],

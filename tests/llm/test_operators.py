@@ -374,3 +374,41 @@ def test_license_notice_with_a_gap_in_the_words(spark):
     docs = spark.createDataFrame([(1, "Permission is hereby granted, free of charge, to any person obtaining a copy of our software"), (2, "permission granted to copy software free of charge"), (3, None)], "doc_id long, text string")
     got = {r.doc_id: [m.label for m in r.found] for r in licenses.scan_licenses(docs).collect()}
     assert got == {1: ["mit"], 2: [], 3: []}
+
+
+def test_several_license_notices_in_a_file(spark):
+    """Each pair of notices in one file gives both labels, and all notices give all, also after a long text."""
+    notices = [(label, n) for label, (texts, _) in licenses.TEMPLATES.items() for n in texts]
+    pairs = [(a, b) for i, a in enumerate(notices) for b in notices[i + 1 :]]
+    files = [({a[0], b[0]}, f"{a[1]}. Some words between. {b[1]}") for a, b in pairs]
+    files.append((set(licenses.TEMPLATES), "x y the of. ".join(["word " * 3000, *(n for _, n in notices)])))
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(files)], "doc_id long, text string")
+    assert {r.doc_id: {m.label for m in r.found} for r in licenses.scan_licenses(docs).collect()} == {i: want for i, (want, _) in enumerate(files)}
+
+
+def test_license_alignments_as_brute_force():
+    """Every alignment is tried on random texts made of notice words."""
+    rng = np.random.default_rng(8)
+    index = licenses.TemplateIndex()
+    idf = {int(w): float(rng.uniform(1, 10)) for w in index.words}
+    found = 0
+    for _ in range(60):
+        parts = []
+        for k in rng.integers(0, len(index.templates), 4):
+            notice = index.templates[k][1].copy()
+            notice[rng.random(len(notice)) < 0.15] = rng.integers(1, 1 << 60)
+            parts += [notice, rng.choice(index.words, 5)]
+        text = np.concatenate(parts)
+        want = {}
+        for label, t, keys in index.templates:
+            weight = np.array([idf[int(w)] for w in t])
+            for start in range(-len(t) + 1, len(text)):
+                same = np.array([0 <= start + j < len(text) and text[start + j] == t[j] for j in range(len(t))])
+                score = float(weight[same].sum() / weight.sum())
+                stretch = text[max(0, start - 2) : start + len(t) + 2]
+                if score >= licenses.LEAST and any(len(licenses.places(stretch, k)) for k in keys):
+                    want[label] = max(want.get(label, 0.0), score)
+        got = {label: score for label, _, score in licenses.matches(text, index, idf)}
+        assert got == want
+        found += len(got)
+    assert found > 60
