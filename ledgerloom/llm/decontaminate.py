@@ -5,11 +5,14 @@ letters, digits and non-ASCII characters, lower-cased in A-Z.
 
 1. Corpus frequencies of the windows' terms are counted (per task first).
 2. Each window gets its two rarest positions. The index stores the postings (row, position, term) of window terms
-   that stand within ``length`` words of such a rarest term, the only ones a phrase can touch.
+   that stand less than ``length + slack`` words from such a rarest term, the only ones that a match can touch (a
+   phrase: ``slack`` 0).
 3. The posting lists of a window's rarest terms, shifted by their offsets, are intersected to candidate starts; the
    other offsets' lists are intersected from there. A start that all offsets confirm is an exact match.
 
-``proximity_matches`` returns windows whose words all stand, in any order, in a span of some more words.
+``proximity`` returns windows whose distinct words all stand, in any order, in a span of at most ``slack`` more words
+than the window has. It looks at the words around each place of a window's rarest term that has its second rarest
+near it.
 
 A term filter of fixed size travels with the tasks; what passes it by accident is dropped by the later joins.
 Null texts have no words; null item_ids name no item; rows with the same doc_id are handled each for itself; empty
@@ -29,6 +32,10 @@ from ._arrays import alnum_words, hash_words, long_lists
 from ._spark import anti_join, clean_text, fresh, materialize
 
 LENGTH = 10
+#: Words that a proximity match may have more than its window.
+SLACK = 5
+#: Rarest and second rarest term must stand in this stretch of words, or in two that touch, before their words are looked at.
+STRETCH = 256
 #: Bits of the term filter, 2 MB.
 FILTER_BITS = 1 << 24
 
@@ -117,9 +124,9 @@ def _postings(shared_rare, shared_all, reach: int):
 class PositionalIndex:
     """Postings of a corpus for a set of windows, and the phrase and proximity searches over them."""
 
-    def __init__(self, docs: DataFrame, items: DataFrame, length: int = LENGTH):
+    def __init__(self, docs: DataFrame, items: DataFrame, length: int = LENGTH, slack: int = SLACK):
         spark = docs.sparkSession
-        self.length = length
+        self.length, self.slack = length, slack
         self.windows = materialize(windows(items, length), "windows")
         places = self.windows.select("window", F.posexplode("terms").alias("offset", "term"))
         self.places = materialize(places, "places")
@@ -132,7 +139,7 @@ class PositionalIndex:
         self.rarest = materialize(ranked.select("window", F.col("rarest")[0].alias("one"), F.try_element_at("rarest", F.lit(2)).alias("two")), "rarest")
         rare = self.rarest.select(F.col("one.term").alias("term")).distinct()
         some = spark.sparkContext.broadcast(term_filter(rare))
-        index = rows.mapInArrow(_postings(some, every, length), "doc_id long, row_key long, n_words long, spots array<long>, terms array<long>")
+        index = rows.mapInArrow(_postings(some, every, length + slack), "doc_id long, row_key long, n_words long, spots array<long>, terms array<long>")
         self.index = materialize(index.withColumn("row_id", F.monotonically_increasing_id()), "index")
         self.postings = self.index.where(F.size("spots") > 0).select("row_id", F.explode(F.arrays_zip("spots", "terms")).alias("p")).select("row_id", F.col("p.spots").alias("spot"), F.col("p.terms").alias("term"))
 
@@ -149,27 +156,60 @@ class PositionalIndex:
         sizes = self.windows.select("window", F.size("terms").alias("size"))
         return found.join(sizes, "window").where("n = size").select("window", "row_id", "start", "size")
 
-    def proximity(self, slack: int = 5) -> DataFrame:
-        """(window, row_id, start): spans of at most size + slack words from a rarest term's reach that hold all of a window's distinct terms, in any order."""
-        near = self.rarest.select("window", F.col("one.term").alias("term")).join(self.postings, "term").select("window", "row_id", F.col("spot").alias("centre"))
-        terms = self.places.select("window", "term").distinct()
-        sizes = self.windows.select("window", F.size("terms").alias("size"), F.size(F.array_distinct("terms")).alias("distinct_terms"))
-        reach = F.least(F.col("size") + slack - 1, F.lit(self.length - 1))
-        spots = near.join(sizes, "window").select("window", "row_id", "centre", "size", "distinct_terms", F.explode(F.sequence(F.col("centre") - reach, F.col("centre") + reach)).alias("spot"))
-        held = spots.join(self.postings, ["row_id", "spot"]).join(terms, ["window", "term"], "left_semi")
-        # The least span that ends at a place and holds every term: the least of the terms' latest places before it.
-        lists = held.groupBy("window", "row_id", "centre", "size", "distinct_terms").agg(F.array_sort(F.collect_set(F.struct("spot", "term"))).alias("all"))
-        ends = lists.select("*", F.explode("all").alias("end"))
-        latest = F.transform(F.array_distinct(F.transform("all", lambda p: p.term)), lambda t: F.array_max(F.transform(F.filter("all", lambda p: (p.term == t) & (p.spot <= F.col("end.spot"))), lambda p: p.spot)))
-        spans = ends.withColumn("latest", latest).where(F.size("latest") == F.col("distinct_terms")).where(~F.exists("latest", lambda x: x.isNull()))
-        spans = spans.withColumn("start", F.array_min("latest")).where(F.col("end.spot") - F.col("start") < F.col("size") + slack)
-        return spans.select("window", "row_id", "start").distinct()
+    def proximity(self, slack: int = SLACK) -> DataFrame:
+        """(window, row_id, start, size): for each place of a window's words the least span that ends there and holds all of
+        the window's distinct terms, in any order, if it has at most as many words as the window and ``slack``."""
+        if slack > self.slack:
+            raise ValueError(f"the index has postings for a slack of {self.slack} only")
+        far = self.length + slack - 1
+        spots = lambda which: self.rarest.select("window", F.col(f"{which}.term").alias("term")).where("term is not null").join(self.postings, "term")
+        stretch = lambda place: F.floor(place / STRETCH).cast("int")
+        lone = self.rarest.where("two is null").select("window")
+        one = spots("one").select("window", "row_id", F.col("spot").alias("centre"))
+        reached = one.withColumn("stretch", F.explode(F.sequence(stretch(F.col("centre") - far), stretch(F.col("centre") + far))))
+        both = reached.join(spots("two").select("window", "row_id", stretch(F.col("spot")).alias("stretch")), ["window", "row_id", "stretch"], "left_semi")
+        both = both.drop("stretch").union(one.join(lone, "window", "left_semi")).distinct()
+        both = materialize(both, "centres")
+        around = both.select("row_id", "centre").distinct().withColumn("spot", F.explode(F.sequence(F.col("centre") - far, F.col("centre") + far)))
+        around = around.join(self.postings, ["row_id", "spot"]).groupBy("row_id", "centre").agg(F.collect_list(F.struct((F.col("spot") - F.col("centre")).alias("at"), "term")).alias("near"))
+        sized = both.join(self.windows.select("window", F.size("terms").alias("size"), F.array_distinct("terms").alias("terms")), "window")
+        rows = sized.join(around, ["row_id", "centre"]).select("window", "row_id", "centre", "size", "terms", F.col("near.at").alias("at"), F.col("near.term").alias("near"))
+        return rows.mapInArrow(_spans(far, slack), "window long, row_id long, start long, size int").distinct()
+
+
+def _spans(far: int, slack: int):
+    """Proximity matches around each centre, from the words (at: place less the centre, near: term) within ``far`` of it."""
+    width, none = 2 * far + 1, -(1 << 40)
+
+    def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        return row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes), column.flatten().to_numpy(zero_copy_only=False)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            window, row_id, centre, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("window", "row_id", "centre", "size"))
+            near, held = np.zeros((len(window), width), dtype=np.int64), np.zeros((len(window), width), dtype=bool)
+            (row, _, at), (_, _, term) = flat(batch.column("at")), flat(batch.column("near"))
+            near[row, at + far], held[row, at + far] = term, True
+            row, k, term = flat(batch.column("terms"))
+            place = np.arange(width, dtype=np.int64)[None, :]
+            start, own = np.full(near.shape, 1 << 40, dtype=np.int64), np.zeros(near.shape, dtype=bool)
+            for j in range(int(k.max(initial=-1)) + 1):
+                some, word = row[k == j], term[k == j]
+                same = held[some] & (near[some] == word[:, None])
+                own[some] |= same
+                start[some] = np.minimum(start[some], np.maximum.accumulate(np.where(same, place, none), axis=1))
+            i, end = np.nonzero(own & (start >= 0) & (place - start < size[:, None] + slack))
+            first = start[i, end]
+            yield pa.RecordBatch.from_arrays([pa.array(window[i]), pa.array(row_id[i]), pa.array(centre[i] + first - far), pa.array((end - first + 1).astype(np.int32))], ["window", "row_id", "start", "size"])
 
-def contaminated_documents(docs: DataFrame, items: DataFrame, length: int = LENGTH) -> DataFrame:
-    """One row per document: doc_id, row_key, n_words, n_hit (words inside any occurrence of a window) and its items."""
-    index = PositionalIndex(docs, items, length)
-    found = materialize(index.phrases(), "found")
+    return run
+
+
+def _per_document(index: PositionalIndex, found: DataFrame) -> DataFrame:
+    """One row per document: doc_id, row_key, n_words, n_hit (words inside any of the matches found) and their items."""
+    found = materialize(found, "found")
     hit = found.select("row_id", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("spot")).distinct().groupBy("row_id").agg(F.count("*").alias("n_hit"))
     named = found.select("row_id", "window").distinct().join(index.windows.select("window", F.explode("items").alias("item")), "window").select("row_id", "item").distinct()
     named = named.groupBy("row_id").agg(F.array_sort(F.collect_set("item")).alias("items"))
@@ -178,6 +218,18 @@ def contaminated_documents(docs: DataFrame, items: DataFrame, length: int = LENG
     return rows.select("doc_id", "row_key", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
+def contaminated_documents(docs: DataFrame, items: DataFrame, length: int = LENGTH) -> DataFrame:
+    """One row per document: doc_id, row_key, n_words, n_hit (words inside any occurrence of a window) and its items."""
+    index = PositionalIndex(docs, items, length, slack=0)
+    return _per_document(index, index.phrases())
+
+
+def near_documents(docs: DataFrame, items: DataFrame, length: int = LENGTH, slack: int = SLACK) -> DataFrame:
+    """As contaminated_documents, for proximity matches; exact ones are among them."""
+    index = PositionalIndex(docs, items, length, slack)
+    return _per_document(index, index.proximity(slack))
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents in which no window of the items occurs."""
     key = fresh(docs, "row_key")

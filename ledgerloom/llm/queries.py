@@ -57,6 +57,15 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@query()
+def op10_benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proximity half of the method; it has no SQL, and the columns of the exact half stay as their SQL has them."""
+    from .decontaminate import near_documents
+
+    found = near_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", F.col("n_hit").alias("n_near"), F.size("items").cast("long").alias("n_near_items"), F.sha2(F.array_join("items", ","), 256).alias("near_items_sha256"), (F.col("n_hit") > 0).alias("near"))
+
+
 @query()
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import learned, train_on_learned

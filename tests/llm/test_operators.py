@@ -142,6 +142,47 @@ def test_proximity(spark):
     assert sorted(r.doc_id for r in rows) == [1, 2]
 
 
+def near_spans(words, terms, size, slack):
+    """(start, size) of the least span that ends at each place and holds all terms."""
+    out, latest = set(), {}
+    for end, w in enumerate(words):
+        if w in terms:
+            latest[w] = end
+            if len(latest) == len(terms) and end - min(latest.values()) < size + slack:
+                out.add((min(latest.values()), end - min(latest.values()) + 1))
+    return out
+
+
+def test_proximity_reaches_the_whole_span(spark):
+    """The rarest word stands at an end of a span as long as size and slack allow; one word more is no match."""
+    docs = [(1, "a b c x x x d e f g h i j"), (2, "a x x b c d e f g x x x h i j"), (3, "a x x b c d e f g x x x x h i j"), (4, "j i h g f e d c b x a"), (5, "b c d e f g h i j " * 3)]
+    items = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
+    rows = decontaminate.near_documents(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert {r.doc_id: (r.n_hit, r["items"]) for r in rows} == {1: (13, ["1"]), 2: (15, ["1"]), 3: (0, []), 4: (11, ["1"]), 5: (0, [])}
+
+
+def test_proximity_as_brute_force(spark, texts):
+    rng = np.random.default_rng(9)
+    vocabulary = np.array([f"w{i}" for i in range(14)])
+    docs = {i: " ".join(rng.choice(vocabulary, n)) for i, n in enumerate([0, 1, 40, 300, 700])}
+    items = [" ".join(rng.choice(vocabulary, n, replace=n > 10)) for n in (1, 2, 3, 6, 10, 12)] + ["w1 w1 w2"]
+    index = decontaminate.PositionalIndex(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    found = index.proximity().join(index.index.select("row_id", "doc_id"), "row_id").join(index.windows.select("window", "items"), "window")
+    got, want = defaultdict(set), defaultdict(set)
+    for r in found.collect():
+        for item in r["items"]:
+            got[int(item), r.doc_id].add((r.start, r.size))
+    for k, item in enumerate(items):
+        w = item.split()
+        for run in (w[s : s + 10] for s in range(max(1, len(w) - 9))):
+            for i, t in docs.items():
+                want[k, i] |= near_spans(t.split(), set(run), len(run), 5)
+    assert got == {k: v for k, v in want.items() if v} and any(k == 4 for k, _ in got)
+    rows = {r.doc_id: r for r in QUERIES["op10_benchmark_proximity"](spark, SF).collect()}
+    exact = {r.doc_id: r for r in QUERIES["op10_benchmark_decontamination"](spark, SF).collect()}
+    assert rows.keys() == exact.keys() == texts.keys() and all(rows[i].n_near >= exact[i].n_hit and rows[i].n_near_items >= exact[i].n_items for i in rows)
+
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
