@@ -30,7 +30,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The training order of the documents, by source targets and schedules."""
-    return mixing.mix(docs)
+    return mixing.mix(docs, mixing.SCHEDULES)
 
 
 STAGES = [

@@ -2,7 +2,8 @@
 
 Training time runs from 0 to 1. Each source has a weight schedule, linear between its weight times ``start`` at time 0
 and its weight times ``end`` at time 1 (equal: constant). A source's token demand up to time t is its target times the
-schedule's integral up to t over the whole integral. Documents of a source stand in an order that a hash fixes; a pass
+schedule's integral up to t over the whole integral. ``SCHEDULES``, which the query and the pipeline use, gives sources
+factors by rank, as the weights are given: the first falls over time, the second rises, the third stays. Documents of a source stand in an order that a hash fixes; a pass
 over them covers the tokens from 0 to the source's size, the next pass those after. A document's position in training is
 the time at which the demand reaches the tokens before it: the root of a quadratic. Documents are range-sorted by it.
 
@@ -24,6 +25,8 @@ from ._spark import materialize
 #: Rows that a hash bucket of a source holds, about.
 BUCKET_ROWS = 20_000
 WEIGHTS = (3.0, 1.0, 2.0)
+#: Factors at times 0 and 1 of the sources by rank, repeating.
+SCHEDULES = ((1.5, 0.5), (0.5, 1.5), (1.0, 1.0))
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -33,10 +36,11 @@ def word_count(text: Column) -> Column:
 
 
 def targets(sources: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """(source, source_size, weight, target) from (source, source_size); sources by code point, null last, weigh ``weights``, repeating."""
+    """(source, rank, source_size, weight, target) from (source, source_size); sources by code point, null last, weigh ``weights``, repeating."""
     every = Window.orderBy(F.col("source").asc_nulls_last())  # one row for each source
     listed = F.array(*(F.lit(float(w)) for w in weights))
-    ranked = sources.withColumn("weight", F.element_at(listed, (F.pmod(F.row_number().over(every) - 1, F.lit(len(weights))) + 1).cast("int")))
+    ranked = sources.withColumn("rank", F.row_number().over(every) - 1)
+    ranked = ranked.withColumn("weight", F.element_at(listed, (F.pmod("rank", F.lit(len(weights))) + 1).cast("int")))
     ranked = ranked.withColumn("cap", most * F.col("source_size"))
     by_level = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
     total = F.sum("source_size").over(Window.partitionBy())
@@ -46,7 +50,7 @@ def targets(sources: DataFrame, share: float = 1.5, most: float = 2.0, weights:
     level = ranked.withColumn("level", (share * total - before) / after).withColumn("free", F.col("level") * F.col("weight") <= F.col("cap"))
     level = level.withColumn("water", F.max(F.when(F.col("free"), F.col("level"))).over(Window.partitionBy()))
     target = F.least("cap", F.coalesce(F.col("water") * F.col("weight"), F.col("cap")))
-    return level.select("source", "source_size", "weight", target.alias("target"))
+    return level.select("source", "rank", "source_size", "weight", target.alias("target"))
 
 
 def demand_time(share: Column, start: Column, end: Column) -> Column:
@@ -56,10 +60,13 @@ def demand_time(share: Column, start: Column, end: Column) -> Column:
     return F.when(share <= 0, 0.0).when(share >= 1, 1.0).otherwise(-2 * c / (start + root))
 
 
-def plan(docs: DataFrame, schedules: dict[str, tuple[float, float]] | None = None, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+Schedules = dict[str, tuple[float, float]] | tuple[tuple[float, float], ...]
+
+
+def plan(docs: DataFrame, schedules: Schedules | None = None, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken (words over all passes), and ``passes``:
-    array<struct<pass, words, position>> of those passes that take words of it. ``schedules`` names a source's factors at
-    times 0 and 1; others have 1 and 1."""
+    array<struct<pass, words, position>> of those passes that take words of it. ``schedules`` gives the factors at times 0
+    and 1 by a source's name, others having 1 and 1, or lists them by rank, repeating; without it all are constant."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("order"))
     rows = materialize(rows.withColumn("row_id", F.monotonically_increasing_id()), "sizes")
     parts = 1 << max(0, (rows.count() // BUCKET_ROWS).bit_length())
@@ -68,7 +75,7 @@ def plan(docs: DataFrame, schedules: dict[str, tuple[float, float]] | None = Non
     sums = materialize(rows.groupBy("none", "named", "slot").agg(F.sum("size").alias("words")), "slots")
     goal = sums.groupBy("none", "named").agg(F.sum("words").alias("source_size"))
     goal = targets(goal.withColumn("source", F.when(~F.col("none"), F.col("named"))), share, most, weights)
-    goal = goal.select(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("named"), "source_size", "target")
+    goal = goal.select(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("named"), "rank", "source_size", "target")
     slots = Window.partitionBy("none", "named").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     ahead = sums.withColumn("ahead", F.coalesce(F.sum("words").over(slots), F.lit(0))).drop("words")
     ahead = materialize(ahead.join(goal, ["none", "named"]), "ahead")
@@ -76,8 +83,9 @@ def plan(docs: DataFrame, schedules: dict[str, tuple[float, float]] | None = Non
     placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(ahead, ["none", "named", "slot"])
     placed = placed.withColumn("offset", F.col("ahead") + F.col("inside"))
     start, end = F.lit(1.0), F.lit(1.0)
-    for name, (a, b) in (schedules or {}).items():
-        same = F.col("source") == name
+    by_name = isinstance(schedules, dict)
+    for key, (a, b) in schedules.items() if by_name else enumerate(schedules or ()):
+        same = F.col("source") == key if by_name else F.pmod("rank", F.lit(len(schedules))) == key
         start, end = F.when(same, float(a)).otherwise(start), F.when(same, float(b)).otherwise(end)
     goal_words = F.round("target").cast("long")
 
@@ -93,7 +101,7 @@ def plan(docs: DataFrame, schedules: dict[str, tuple[float, float]] | None = Non
     return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "passes")
 
 
-def mix(docs: DataFrame, schedules: dict[str, tuple[float, float]] | None = None, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+def mix(docs: DataFrame, schedules: Schedules | None = None, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """The training order: doc_id, source, pass, words (taken in that pass) and position, range-sorted by position."""
     rows = plan(docs, schedules, share, most, weights).select("doc_id", "source", "size", F.explode("passes").alias("p"))
     out = rows.select("doc_id", "source", "size", F.col("p.pass").alias("pass"), F.col("p.words").alias("words"), F.col("p.position").alias("position"))

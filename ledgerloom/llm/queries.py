@@ -96,9 +96,9 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .mixing import plan
+    from .mixing import SCHEDULES, plan
 
-    return plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.get("passes", F.lit(0))["position"].alias("position")).orderBy("position", "doc_id")
+    return plan(table(spark, sf_dir, "documents"), SCHEDULES).select("doc_id", "size", "source_size", "target", "taken", F.get("passes", F.lit(0))["position"].alias("position")).orderBy("position", "doc_id")
 
 
 @query()

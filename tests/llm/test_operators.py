@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from ledgerloom.llm import decontaminate, language_model, licenses, mixing, near_dedup, pii, secrets, topk, toxicity, url_filter
 from ledgerloom.llm.queries import LISTED_LABELS, QUERIES, RULES
 
@@ -296,6 +297,21 @@ def test_mixing_schedules(spark):
     assert abs(half.count("early") / 100 - 0.75) < 0.03 and abs(half.count("late") / 100 - 0.25) < 0.03
 
 
+def test_registered_mix_varies_in_time(spark):
+    """The query's and the pipeline's positions are where the integral of the rank's schedule reaches a constant one's."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = sorted({r.source for r in docs.select("source").collect()})
+    constant = {(r.doc_id, r["pass"]): (r.source, r.words, r.position) for r in mixing.mix(docs).collect()}
+    got = {(r.doc_id, r["pass"]): (r.source, r.words, r.position) for r in corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()}
+    assert {k: v[:2] for k, v in got.items()} == {k: v[:2] for k, v in constant.items()}
+    for key, (name, _, t) in got.items():
+        a, b = mixing.SCHEDULES[names.index(name) % len(mixing.SCHEDULES)]
+        assert abs(a * t + (b - a) * t * t / 2 - constant[key][2]) < 1e-9
+    assert sum(abs(v[2] - constant[k][2]) > 0.05 for k, v in got.items()) > len(got) / 5
+    first = {r.doc_id: r.position for r in QUERIES["op4_mix_sources"](spark, SF).collect() if r.position is not None}
+    assert first == {i: min(t for (j, _), (_, _, t) in got.items() if j == i) for i, _ in got}
+
+
 def test_language_model_as_brute_force(spark, texts, awkward, nothing):
     tokens = {i: (t or "").encode().lower().split() + [None] for i, t in texts.items()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
