@@ -9,7 +9,8 @@ node (linear in the bucket), then, where a bucket still holds several components
 Buckets with more than ``SMALL`` nodes left are compared in blocks of bounded size, where only links that join two
 components leave the task; those with more than ``LARGE`` are first split by a second band's key. Pairs whose
 collision-corrected estimate is near the threshold or above are confirmed on the full sets; a pair at 0.75 is missed by
-all 32 bands with a chance of 5e-6.
+all 32 bands with a chance of 5e-6; one whose only common band has a bucket over ``LARGE`` is missed as well (one common
+band: 7.7e-5).
 
 Null or empty texts have an empty set and link with nothing. A null doc_id takes part, but can't name a component
 (a component without any doc_id has a null one). Rows with the same doc_id stay rows of their own. Extra columns are
