@@ -5,7 +5,7 @@ query walks its dimensions' lists at equal depth (from the top where its compone
 it is negative), scores what it meets, and stops once the bound (its components times the lists' values at that depth)
 is below the kth score found: an unseen row can't reach it then. The depth at which a bound can first fall below any
 possible score (norm times norm) is searched for all queries at once, since no query can stop above it; where the lists
-have shown the whole block by that depth, the block is scored in one product.
+have by that depth as many entries, repeats counted, as the block has rows, the block is scored in one product.
 
 Blocks of queries meet blocks of candidates in tasks of bounded size, and the blocks' lists are merged by rank.
 
