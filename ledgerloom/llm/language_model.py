@@ -162,7 +162,10 @@ def _held_out(shards: int, n: int, v: int):
 
 
 def learn_weights(cells: list[tuple[int, int, float, float]], v: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights (bucket; l2, l1, l0) by expectation-maximisation over (cell, tokens, sums of both estimates)."""
+    """Weights (bucket; l2, l1, l0) by expectation-maximisation over (cell, tokens, sums of both estimates).
+
+    Without cells (an empty fold, as with few training texts) the starting weights are returned, and so for buckets that
+    the fold doesn't have."""
     weights = np.tile(np.array([0.4, 0.5, 0.1]), (BUCKETS, 1))
     weights[0] = [0.0, 0.8, 0.2]
     if not cells:
