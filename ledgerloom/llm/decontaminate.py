@@ -171,7 +171,8 @@ class PositionalIndex:
         both = both.drop("stretch").union(one.join(lone, "window", "left_semi")).distinct()
         both = materialize(both, "centres")
         around = both.select("row_id", "centre").distinct().withColumn("spot", F.explode(F.sequence(F.col("centre") - far, F.col("centre") + far)))
-        around = around.join(self.postings, ["row_id", "spot"]).groupBy("row_id", "centre").agg(F.collect_list(F.struct((F.col("spot") - F.col("centre")).alias("at"), "term")).alias("near"))
+        # Spark's size estimate doesn't count the exploded places, so that it would broadcast them.
+        around = around.hint("merge").join(self.postings, ["row_id", "spot"]).groupBy("row_id", "centre").agg(F.collect_list(F.struct((F.col("spot") - F.col("centre")).alias("at"), "term")).alias("near"))
         sized = both.join(self.windows.select("window", F.size("terms").alias("size"), F.array_distinct("terms").alias("terms")), "window")
         rows = sized.join(around, ["row_id", "centre"]).select("window", "row_id", "centre", "size", "terms", F.col("near.at").alias("at"), F.col("near.term").alias("near"))
         return rows.mapInArrow(_spans(far, slack), "window long, row_id long, start long, size int").distinct()
