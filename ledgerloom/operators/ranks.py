@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ledgerloom.operators.versions import materialize
+from ledgerloom.scratch import materialize
 
 
 def number_rows(df: DataFrame, order: list[Column | str], name: str = "number") -> DataFrame:

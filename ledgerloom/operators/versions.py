@@ -2,22 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window, functions as F
 
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder all executors share (spark.checkpoint.dir) and read again."""
-    spark = df.sparkSession
-    found = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("ledgerloom.scratch.dir", "")
-    if not found:
-        found = tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("ledgerloom.scratch.dir", found)
-    path = f"{found}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ledgerloom.scratch import discard, materialize
 
 
 def next_versions(edges: DataFrame, items: DataFrame, members: DataFrame | None = None) -> DataFrame:
@@ -43,7 +30,6 @@ def latest_versions(edges: DataFrame, items: DataFrame) -> DataFrame:
     step = edges.select(F.col("old").alias("id"), F.col("new").alias("at")).where("id <> at").distinct()
     heads = step.select(F.col("id").alias("at")).distinct()
     reach = materialize(step, "reach")
-    ends = materialize(reach.join(heads, "at", "left_anti").select("id", "at"), "ends")
     n = reach.count()
     while True:
         further = reach.alias("a").join(reach.alias("b"), F.col("a.at") == F.col("b.id")).select(F.col("a.id").alias("id"), F.col("b.at").alias("at"))
