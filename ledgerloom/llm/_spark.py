@@ -1,33 +1,15 @@
-"""Scratch tables and size-checked joins shared by the operators."""
+"""Size-checked joins and small helpers shared by the operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from ledgerloom.scratch import discard, materialize  # noqa: F401  for the operators
 
 #: Keys (8 bytes each) up to which one side of a semi join is broadcast; beyond it the join shuffles.
 BROADCAST_KEYS = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, set here only where the session has none."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("ledgerloom.scratch.dir", "")
-    if not found:
-        found = tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("ledgerloom.scratch.dir", found)
-    return found
-
-
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
-    """df written once to the shared folder and read again, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def semi_join(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
     """Rows of df whose key is among the distinct ``keys`` of a written table; these are broadcast only when counted to be few."""
     few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS

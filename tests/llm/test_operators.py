@@ -364,24 +364,78 @@ def test_top_k_as_brute_force(spark):
 
 
 def test_threshold_algorithm_stops_early_and_is_exact():
+    """On vectors with few long ones searches meet few rows; a score known from elsewhere makes them fewer."""
     rng = np.random.default_rng(6)
     c = rng.integers(-3, 4, (3000, 3)).astype(float)
     c[:40] *= 100
     lists = topk.Lists(c)
-    for q in rng.integers(-3, 4, (30, 3)).astype(float):
-        rows, scores = lists.search(q, 1, 5, 7)
-        got = topk._best(rows, scores, np.arange(3000), np.arange(3000), 5)
+    queries = rng.integers(-3, 4, (30, 3)).astype(float)
+    for q in queries:
+        rows, scores = lists.search(q, 5, 7)
+        best = topk._best(rows, scores, np.arange(3000), np.arange(3000), 5)
         want = sorted((-x, i) for i, x in enumerate(c @ q) if i != 7)[:5]
-        assert [tuple(x) for x in got] == [(i, -x) for x, i in want]
-    rows, _ = lists.search(np.array([3.0, 0.0, 0.0]), 1, 5, -1)
-    assert len(rows) < 100
+        assert [(rows[b], scores[b]) for b in best] == [(i, -x) for x, i in want]
+    assert lists.seen < 0.2 * 30 * 3000
+    lists.seen = 0
+    rows, scores = lists.search(np.array([3.0, 1.0, 0.0]), 5, -1, least=10.0**6)
+    assert lists.seen == 0 and not len(rows)
+
+
+def test_share_of_candidates_scored(spark):
+    """Dense random vectors are nearly all met (the bound stops late), those of skewed norms are not; short blocks are never entered."""
+    x = np.stack([r.embedding for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]).astype(float)
+    dense = topk.Lists(np.floor(64 * x))
+    for q in np.floor(64 * x[::20]):
+        dense.search(q, 20)
+    assert dense.seen > 0.9 * len(x) * len(x[::20])
+    rng = np.random.default_rng(1)
+    skewed = rng.normal(size=(4000, 6)) * (rng.pareto(0.7, 4000) + 1)[:, None]
+    skewed = np.floor(64 * skewed[np.argsort(-(skewed**2).sum(axis=1))])
+    blocks, least = [topk.Lists(skewed[i : i + 500]) for i in range(0, 4000, 500)], []
+    for q in skewed[::200]:
+        scores = np.zeros(0)
+        for b in blocks:
+            scores = np.sort(np.concatenate((scores, b.search(q, 20, least=scores[-20] if len(scores) >= 20 else -np.inf)[1])))
+        assert (scores[-20:] == np.sort(skewed @ q)[-20:]).all()
+    assert sum(b.seen for b in blocks) < 0.3 * 20 * 4000 and blocks[-1].seen == 0
+
+
+def test_top_k_over_several_blocks(spark, monkeypatch):
+    """Many blocks of candidates and queries, ties and repeated rows among them."""
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 7)
+    rng = np.random.default_rng(3)
+    vectors = [[float(v) for v in rng.integers(-2, 3, 4) * (50 if i < 9 else 1)] for i in range(230)] + [[1.0, 1.0, 0.0, 0.0]] * 120
+    rows = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in topk.top_k(topk.integer_vectors(rows), F.col("vec_id") % 20 == 0, 20).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    ints = {i: [int(64 * x) for x in v] for i, v in enumerate(vectors)}
+    assert got == brute_top(ints, [i for i in ints if i % 20 == 0], 20)
 
 
 def test_top_k_awkward(spark):
-    data = [(1, [1.0, 2.0]), (2, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, None), (6, []), (None, [1.0, 1.0]), (7, [1.0]), (8, [1e14, 1e14])]
-    rows = topk.top_k(topk.integer_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>")), F.col("vec_id") == 1, 20).orderBy("rank").collect()
-    assert [(r.vec_id, r.score) for r in rows] == [(8, 64 * 64 * 3 * 10**14), (2, 64 * 64 * 5), (2, 64 * 64 * 5)]
-    assert topk.top_k(topk.integer_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")), F.lit(True), 3).count() == 0
+    data = [(1, [1.0, 2.0]), (2, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, None), (6, []), (None, [1.0, 1.0]), (7, [1.0]), (8, [1e14, 1e14]), (9, [float("inf"), 0.0]), (10, [0.0, 0.0])]
+    frame = lambda rows: topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    rows = topk.top_k(frame(data), F.col("vec_id") == 1, 20).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in rows] == [(8, 64 * 64 * 3 * 10**14), (2, 64 * 64 * 5), (2, 64 * 64 * 5), (10, 0)]
+    rows = topk.top_k(frame(data), F.col("vec_id") == 10, 3).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in rows] == [(1, 0), (2, 0), (2, 0)]
+    assert topk.top_k(frame([]), F.lit(True), 3).count() == 0
+
+
+def test_top_k_of_huge_components(spark):
+    """Sums beyond doubles' whole numbers, longs and doubles are ranked exactly; scores beyond a long are the nearest long."""
+    big = 2.0**51
+    data = [(0, [big, 1.0]), (1, [big, 1.0]), (2, [big, 2.0]), (3, [-1e10, 1e10]), (4, [1e10, 1e10]), (5, [1e300, -1.7e308]), (6, [3.0, 1e-3])]
+    ints = {i: [topk.whole(x, 64) for x in v] for i, v in data}
+    rows = topk.top_k(topk.integer_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>")), F.lit(True), 20).orderBy("query_id", "rank").collect()
+    got = defaultdict(list)
+    for r in rows:
+        got[r.query_id].append((r.vec_id, r.score))
+    want = {q: [(i, max(-(2**63), min(2**63 - 1, s))) for i, s in v] for q, v in brute_top(ints, list(ints), 20).items()}
+    assert {q: [x for x in v if 2**63 - 1 > abs(x[1])] for q, v in got.items()} == {q: [x for x in v if 2**63 - 1 > abs(x[1])] for q, v in want.items()}
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
 
 
 def brute_verdict(url, rules, labels):
