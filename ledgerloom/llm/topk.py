@@ -10,7 +10,7 @@ The first block gives every query a kth score to begin with; all other blocks ru
 bounded size, and their results are merged by rank. Only pairs of blocks that the norms allow are sent to tasks.
 
 Where sums are beyond 2**53, rows are searched in floating point with a margin for its error, and those that may be
-among the k best are scored by Python's integers. Scores beyond a long are given as the nearest long; blocks are merged by their doubles then.
+among the k best are scored by Python's integers. Scores beyond a long are given as the nearest long, ranked as they are.
 
 Vectors that are null, empty or hold null or non-finite components take no part; vectors meet only those of their
 length. Rows of equal id are rows of their own; a query skips only its own row. Ties go to the smaller id, then to the
@@ -120,7 +120,7 @@ def _exact_order(rows: np.ndarray, exact: list[int], ids: np.ndarray, keys: np.n
 def search_block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k best candidates of the block for each query. queries: row_id, vec_id, x, scale, least; candidates: row_id, vec_id, x.
 
-    ``score`` is a long; ``high`` orders scores that no long holds (0 for all others)."""
+    ``score`` is a long; ``high`` orders scores that no long holds."""
     scale = int(queries.scale.iloc[0])
     qx, cx = (np.stack(p.x.to_numpy()) for p in (queries, candidates))
     ids, keys = candidates.vec_id.to_numpy(), candidates.row_id.to_numpy()
@@ -141,13 +141,13 @@ def search_block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.
         rows, scores = lists.search(q[i], k, place.get(queries.row_id.iloc[i], -1), least, margin)
         if exact:
             best = _best(rows, scores, ids, keys, k)
-            found, high = scores[best].astype(np.int64), np.zeros(len(best))
+            found, high = scores[best].astype(np.int64), np.full(len(best), "1", dtype=object)
         else:
             own = [whole(x, scale) for x in qx[i]]
             sums = [sum(a * whole(x, scale) for a, x in zip(own, cx[r])) for r in rows]
             best = _exact_order(rows, sums, ids, keys, k)
             found = np.array([max(-LONG, min(LONG - 1, sums[b])) for b in best], dtype=np.int64)
-            high = np.array([_beyond(sums[b]) for b in best], dtype=float)
+            high = np.array([_beyond(sums[b]) for b in best], dtype=object)
         out["query_row"].append(np.full(len(best), queries.row_id.iloc[i]))
         out["query_id"].append(np.full(len(best), queries.vec_id.iloc[i]))
         out["row_id"].append(keys[rows[best]])
@@ -157,14 +157,12 @@ def search_block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.
     return pd.DataFrame({n: np.concatenate(v) if v else np.zeros(0) for n, v in out.items()})
 
 
-def _beyond(score: int) -> float:
-    """0 for what a long holds, else the score as a double (of its sign, at most the largest)."""
+def _beyond(score: int) -> str:
+    """A text that sorts as the scores do: "1" for all that a long holds."""
     if -LONG <= score < LONG:
-        return 0.0
-    try:
-        return float(score)
-    except OverflowError:
-        return 1.7e308 if score > 0 else -1.7e308
+        return "1"
+    digits = str(abs(score))
+    return f"2{len(digits):04d}{digits}" if score > 0 else f"0{9999 - len(digits):04d}" + digits.translate(str.maketrans("0123456789", "9876543210"))
 
 
 def _search_blocks(k: int):
@@ -176,7 +174,7 @@ def _search_blocks(k: int):
     return run
 
 
-_FOUND = "query_row long, query_id long, row_id long, vec_id long, score long, high double"
+_FOUND = "query_row long, query_id long, row_id long, vec_id long, score long, high string"
 
 
 def _meet(queries: DataFrame, candidates: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
@@ -209,7 +207,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     first = blocks.groupBy("dims").agg(F.min("c").alias("c"))
     none = queries.withColumn("least", F.lit(None).cast("double"))
     begun = materialize(_meet(none, candidates, materialize(queries.select("dims", "q").distinct().join(first, "dims"), "pairs"), k), "begun")
-    least = _ranked(begun, k).where((F.col("rank") == k) & (F.col("high") == 0)).select(F.col("query_row").alias("row_id"), F.col("score").cast("double").alias("least"))
+    least = _ranked(begun, k).where((F.col("rank") == k) & (F.col("high") == "1")).select(F.col("query_row").alias("row_id"), F.col("score").cast("double").alias("least"))
     known = materialize(queries.join(least, "row_id", "left"), "queries")
     asks = known.groupBy("dims", "q").agg(F.max("norm").alias("norm"), F.min(F.coalesce("least", F.lit(float("-inf")))).alias("least"))
     rest = blocks.join(first, ["dims", "c"], "left_anti").join(asks, "dims").where(F.col("norm") * F.col("longest") >= F.col("least"))
