@@ -5,12 +5,13 @@ A document's set holds the hashes of its distinct runs of five words (fewer word
 the leading one are stored, in a 16-bit register. Four registers make a band, so a band is one 64-bit key.
 
 Documents with equal sets are one node. Nodes meet in the buckets of a band's key, first all with the bucket's least
-node (linear in the bucket), then, where a bucket still holds several components, with the other components' nodes.
-Buckets with more than ``SMALL`` nodes left are compared in blocks of bounded size, where only links that join two
-components leave the task; those with more than ``LARGE`` are first split by a second band's key. Pairs whose
-collision-corrected estimate is near the threshold or above are confirmed on the full sets; a pair at 0.75 is missed by
-all 32 bands with a chance of 5e-6; one whose only common band has a bucket over ``LARGE`` is missed as well (one common
-band: 7.7e-5).
+node (linear in the bucket). Where a bucket still holds several components, all pairs of different components are
+compared if it has ``SMALL`` nodes at most. Larger ones get up to ``LEADERS`` further rounds with another node of each
+bucket; what then is unsettled meets by rare shingles: two sets at or above the threshold share one of the
+n - ceil(t n) + 1 shingles of each that fewest of these sets have, whatever the number of nodes. Groups of such a
+shingle that are still larger than ``SMALL`` are compared in blocks of bounded size, where only links that join two
+components leave the task. Pairs whose collision-corrected estimate is near the threshold or above are confirmed on the
+full sets. No bucket is cut; a pair at 0.75 is missed only if none of the 32 bands is common, a chance of 5e-6.
 
 Null or empty texts have an empty set and link with nothing. A null doc_id takes part, but can't name a component
 (a component without any doc_id has a null one). Rows with the same doc_id stay rows of their own. Extra columns are
@@ -24,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ._arrays import hash_words, long_lists, mix, ngrams, whitespace_words
-from ._spark import anti_join, clean_text, fresh, materialize, semi_join
+from ._spark import anti_join, clean_text, discard, fresh, materialize, semi_join
 
 SHINGLE = 5
 REGISTERS = 128
@@ -37,10 +38,10 @@ MANTISSA = 10
 MARGIN = 0.2
 #: Nodes of a bucket that are paired with each other in rows; larger buckets are compared in blocks.
 SMALL = 24
-#: Nodes of a bucket beyond which it is split by a second band.
-LARGE = 1 << 14
-#: Shingles in one block of a bucket, about.
-BLOCK = 1 << 20
+#: Rounds with another leader for buckets beyond SMALL.
+LEADERS = 3
+#: Shingles in one block of a group, about.
+BLOCK = 1 << 18
 #: Expected share of equal registers of unrelated sets of one size, times 2**MANTISSA (HyperMinHash paper).
 COLLISION = 0.16991948715973909
 
@@ -179,14 +180,15 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = pairs.union(pairs.select("b", "a"))
-        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        middle = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+        large = both.where("b > a").join(middle, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = materialize(large, "large")
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = materialize(down.groupBy("a").agg(F.min("b").alias("m")), "least")
         joined = down.join(least, "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
-        pairs = materialize(small, "edges")
+        old, pairs = (pairs, least, large, middle), materialize(small, "edges")
+        discard(*old)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(pairs.select("b", "b").distinct())
@@ -231,22 +233,29 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     edges = materialize(_verified(lead, nodes, docs, percent), "links")
     comp = components(edges)
 
-    left = _unsettled(bands, comp)
-    left = materialize(left, "left")
-    small = left.where(F.col("size") <= SMALL)
-    pairs = _within(small, percent, F.col("first"))
-    medium = left.where((F.col("size") > SMALL) & (F.col("size") <= LARGE)).select("key", "node", "n", "comp")
-    large = left.where(F.col("size") > LARGE)
+    left = materialize(_unsettled(bands, comp), "left")
+    for turn in range(LEADERS):
+        large = left.where(F.col("size") > SMALL)
+        if large.isEmpty():
+            break
+        links = materialize(_verified(_leaders(large, turn, percent), nodes, docs, percent), "links")
+        if links.isEmpty():
+            continue
+        edges = materialize(edges.union(links), "links")
+        comp = components(edges)
+        left = materialize(_unsettled(bands.join(left.select("key").distinct(), "key", "left_semi"), comp), "left")
+    pairs = _within(left.where((F.col("size") <= SMALL) & (F.col("node") != F.col("first"))), percent)  # the first has met all
+    large = left.where(F.col("size") > SMALL)
+    more = None
     if not large.isEmpty():
-        two = large.groupBy("node", "n", "comp").agg(F.array_sort(F.collect_set("key")).alias("keys")).where(F.size("keys") > 1)
-        second = two.select("node", "n", "comp", F.explode(F.flatten(F.transform("keys", lambda x: F.transform(F.filter("keys", lambda y: y > x), lambda y: F.xxhash64(x, y))))).alias("key"))
-        medium = medium.unionByName(_settle(second).select("key", "node", "n", "comp"))
+        groups = materialize(_by_rare_shingles(large, nodes, docs, percent), "groups")
+        pairs = pairs.union(_within(groups.where(F.col("size") <= SMALL), percent)).distinct()
+        more = materialize(_in_blocks(groups.where(F.col("size") > SMALL).select("key", "node", "n", "comp"), nodes, docs, percent), "blocks")
     pairs = materialize(pairs, "pairs")
-    more = materialize(_in_blocks(medium, nodes, docs, percent), "blocks")
     if not pairs.isEmpty():
-        more = more.union(_verified(pairs, nodes, docs, percent))
-    more = materialize(more, "links")
-    if not more.isEmpty():
+        found = _verified(pairs, nodes, docs, percent)
+        more = materialize(found if more is None else more.union(found), "links")
+    if more is not None and not more.isEmpty():
         comp = components(edges.union(more))
     return _classes(sigs, named, comp)
 
@@ -270,9 +279,34 @@ def _unsettled(bands: DataFrame, comp: DataFrame) -> DataFrame:
     return _settle(with_comp)
 
 
-def _within(buckets: DataFrame, percent: int, done: Column | None = None) -> DataFrame:
-    """Pairs of nodes of different components in buckets of SMALL nodes at most, but for those with the node ``done``."""
-    buckets = buckets if done is None else buckets.where(F.col("node") != done)
+def _leaders(buckets: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of a node of each bucket, another one each turn, with all nodes there of other components."""
+    by = F.xxhash64(F.lit(turn), "node")
+    chosen = buckets.groupBy("key").agg(F.min_by(F.struct("node", "n", "comp"), F.struct(by, F.col("node"))).alias("lead"))
+    rows = buckets.join(chosen, "key").where((F.col("comp") != F.col("lead.comp")) & _near_size(F.col("n"), F.col("lead.n"), percent))
+    return rows.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
+
+
+def _by_rare_shingles(buckets: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Groups (key: a shingle) of those nodes that have it among their rarest, where the groups hold several components.
+
+    The rarest are so many that two sets of enough similarity can't do without a common one: exact, with no cap."""
+    own = nodes.join(buckets.select("node", "comp").distinct(), "node").select("node", "n", "comp", "row_key", "set_a", "set_b")
+    own = materialize(own, "members")
+    sets = _shingles(own.select("row_key").distinct(), docs).dropDuplicates(["set_a", "set_b"])
+    each = own.join(sets, ["set_a", "set_b"]).select("node", "n", "comp", F.explode("shingles").alias("key"))
+    each = materialize(each, "shingles")
+    counts = each.groupBy("key").agg(F.count("*").alias("owners")).where("owners > 1")
+    common = each.join(counts, "key")  # a shingle of one set alone can't be a common one
+    alone = F.col("n") - F.count("*").over(Window.partitionBy("node"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("owners", "key")) + alone
+    least = F.ceil(F.col("n") * percent / 100)
+    rare = common.withColumn("place", place).where(F.col("place") <= F.col("n") - least + 1)
+    return _settle(rare.select("key", "node", "n", "comp"))
+
+
+def _within(buckets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes of different components in buckets of SMALL nodes at most."""
     members = buckets.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "n", "comp"))).alias("all"))
     one = members.select("all", F.explode("all").alias("x"))
     fits = lambda y: (y.node > F.col("x.node")) & (y.comp != F.col("x.comp")) & _near_size(y.n, F.col("x.n"), percent)
@@ -280,7 +314,7 @@ def _within(buckets: DataFrame, percent: int, done: Column | None = None) -> Dat
 
 
 def _in_blocks(buckets: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Links inside buckets of any size: every two blocks of a bucket meet in a task of their own, with whole sets."""
+    """Links inside groups of any size: every two blocks of a group meet in a task of their own, with whole sets."""
     buckets = materialize(buckets, "medium")
     own = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "regs", "row_key", "set_a", "set_b")
     own = materialize(own, "members")

@@ -68,8 +68,9 @@ def test_near_duplicates_as_brute_force(spark, texts):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in rows} == {i: (len(sets[i]), c, c == i) for i, c in want.items()}
 
 
-def test_near_duplicates_in_large_buckets(spark, monkeypatch):
-    """Near copies whose buckets go through blocks and second bands give the same classes."""
+@pytest.mark.parametrize("leaders, block", [(3, 1 << 18), (0, 1 << 18), (0, 700)])
+def test_near_duplicates_in_large_buckets(spark, monkeypatch, leaders, block):
+    """Near copies whose buckets go through further leaders, rare shingles and blocks give the same classes."""
     rng = np.random.default_rng(3)
     base = [f"b{i}" for i in range(120)]
     rows = []
@@ -79,11 +80,33 @@ def test_near_duplicates_in_large_buckets(spark, monkeypatch):
             words[k] = f"x{rng.integers(1 << 30)}"
         rows.append((i, " ".join(words)))
     monkeypatch.setattr(near_dedup, "SMALL", 4)
+    monkeypatch.setattr(near_dedup, "LEADERS", leaders)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in found} == classes({i: shingles(t) for i, t in rows})
-    monkeypatch.setattr(near_dedup, "LARGE", 8)
-    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.doc_id: r.component_id for r in found} == classes({i: shingles(t) for i, t in rows})
+
+
+def test_sets_that_share_one_bucket_only_are_met_by_rare_shingles(spark):
+    """All pairs at or above the threshold are in a common group, also in a bucket that holds all sets; half of each text is the same."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(60):
+        own = [f"u{i // 3}_{k}" for k in range(60)]
+        for k in rng.choice(60, size=int(rng.integers(0, 4)), replace=False):
+            own[k] = f"x{rng.integers(1 << 30)}"
+        rows.append((i, " ".join([f"c{k}" for k in range(60)] + own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sigs = near_dedup.materialize(near_dedup.signatures(docs))
+    nodes = sigs.select(F.col("row_id").alias("node"), F.col("n_shingles").alias("n"), "set_a", "set_b", "row_key", "regs")
+    bucket = nodes.select(F.lit(1).alias("key"), "node", "n", F.col("node").alias("comp"))
+    groups = defaultdict(set)
+    for r in near_dedup._by_rare_shingles(bucket, nodes, docs, 75).collect():
+        groups[r.key].add(r.node)
+    named = {r.row_id: r.doc_id for r in sigs.collect()}
+    met = {(named[a], named[b]) for g in groups.values() for a in g for b in g if named[a] < named[b]}
+    sets = {i: shingles(t) for i, t in rows}
+    alike = {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert alike and alike <= met and len(met) < 3 * len(alike)
 
 
 def test_near_duplicates_awkward(awkward, nothing):
