@@ -10,9 +10,13 @@ are its host's suffixes, each with its path's prefixes of the lengths that rules
 rules, one the allowing ones (a rule in both allows); the longest rule that fits decides. URLs that no rule fits are
 blocked if a label of their host is a listed one, by a third cascade over all labels, and allowed otherwise.
 
-The levels' size is checked; beyond ``MOST_BYTES`` the listed keys are joined instead. A null URL or one without ://
-has an empty host and path, fits no rule and is allowed. Extra columns are kept; repeated rows stay. Empty tables give
-empty results.
+Keys are dealt to shards by a hash of 128 bits; each shard's cascade is built in one task, from the shard's part of the
+universe, and has a bounded size. All shards together are broadcast where they are small (``MOST_BYTES``); beyond that
+the URLs' keys are dealt to the shards' own tasks instead, which hold one shard's levels each. The answer is the levels'
+in both cases; the listed keys are never joined.
+
+Rules' hosts are lower-cased in A-Z, as URLs' hosts are. A null URL or one without :// has an empty host and path, fits
+no rule and is allowed. Extra columns are kept; repeated rows stay. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -23,127 +27,166 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ._arrays import mix
 from ._spark import fresh, materialize
 
-#: All levels of a cascade; beyond this, a join.
+#: All levels of all shards; beyond this they stay in tasks of their own.
 MOST_BYTES = 64 << 20
-#: Share of unlisted keys that each level after the first lets pass.
-PASS = 0.25
+#: Keys of the universe in a shard, about.
+SHARD_KEYS = 1 << 20
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
     """Host and path."""
     rest = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://(.*)$", 1)
-    host = F.translate(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    host = F.translate(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), UPPER, LOWER)
     return host, F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
 
 
-def _slots(key: Column | str, level: int, bits: int, hashes: int) -> Column:
-    """The bits of a key in a level."""
-    return F.array(*(F.pmod(F.xxhash64(F.lit(level * 16 + h), key), F.lit(bits)) for h in range(hashes)))
+def digests(key: Column | str) -> list[Column]:
+    """128 bits that name a key."""
+    return [F.xxhash64(F.lit(1), key), F.xxhash64(F.lit(2), key)]
 
 
 @dataclass
 class Level:
+    """A Bloom filter."""
+
     bits: int
     hashes: int
-    table: bytes
+    table: np.ndarray
+
+    @staticmethod
+    def of(number: int, a: np.ndarray, b: np.ndarray, hashes: int) -> Level:
+        bits = max(64, int(np.ceil(len(a) * hashes * 1.4427)))
+        level = Level(bits, hashes, np.zeros(bits // 8 + 1, dtype=np.uint8))
+        for h in range(hashes):
+            slot = level.slots(number, h, a, b)
+            np.bitwise_or.at(level.table, slot >> 3, np.uint8(1) << (slot & 7).astype(np.uint8))
+        return level
+
+    def slots(self, number: int, h: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (mix(a + b * np.uint64(2 * h + 1) + np.uint64(number * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) % np.uint64(self.bits)).astype(np.int64)
+
+    def passes(self, number: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.ones(len(a), dtype=bool)
+        for h in range(self.hashes):
+            slot = self.slots(number, h, a, b)
+            out &= (self.table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+        return out
+
+
+def build_levels(a: np.ndarray, b: np.ndarray, listed: np.ndarray) -> list[Level]:
+    """The levels that tell the listed ones of these keys (digests a, b) from the others."""
+    inner, outer, levels = (a[listed], b[listed]), (a[~listed], b[~listed]), []
+    # The first level passes about as many unlisted keys as there are listed ones.
+    hashes = max(1, min(16, round(np.log2(max(2.0, len(outer[0]) / max(1, len(inner[0])))))))
+    while len(inner[0]):
+        levels.append(Level.of(len(levels), *inner, hashes if not levels else 2))
+        passed = levels[-1].passes(len(levels) - 1, *outer)
+        inner, outer = (outer[0][passed], outer[1][passed]), inner
+    return levels
+
+
+def listed_by(levels: list[Level], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The levels' answer: failing the first, third, ... level means not listed, the second, fourth, ... listed."""
+    answer, open_ = np.full(len(a), len(levels) % 2 == 1), np.arange(len(a))
+    for k, level in enumerate(levels):
+        passed = level.passes(k, a[open_], b[open_])
+        answer[open_[~passed]] = k % 2 == 1
+        open_ = open_[passed]
+    return answer
+
+
+def _shard(a: np.ndarray, shards: int) -> np.ndarray:
+    return ((a >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+
+
+def _shard_of(a: Column, shards: int) -> Column:
+    return F.shiftrightunsigned(a, 32) % shards
+
+
+def _levels(bits, hashes, tables) -> list[Level]:
+    return [Level(int(n), int(h), np.frombuffer(t, dtype=np.uint8)) for n, h, t in zip(bits, hashes, tables)]
+
+
+def _unsigned(values) -> np.ndarray:
+    return np.asarray(values, dtype=np.int64).view(np.uint64)
 
 
 @dataclass
 class Cascade:
-    """levels, or the listed keys themselves where the levels would be too large."""
+    """levels: one row for each shard that lists a key (shard, size, and by level bits, hashes and tables); held: the same here, where they are small."""
 
-    levels: list[Level]
-    listed: DataFrame | None = None
+    shards: int
+    levels: DataFrame | None
+    held: dict[int, list[Level]] | None
 
     def holds(self, rows: DataFrame, keys: str, out: str) -> DataFrame:
         """rows with ``out``: those of the strings in the array column ``keys`` that are listed."""
-        if self.listed is not None:
-            row, key = fresh(rows, "row"), fresh(rows, "key")
-            numbered = materialize(rows.withColumn(row, F.monotonically_increasing_id()), "rows")
-            found = numbered.select(row, F.explode(keys).alias(key)).join(self.listed.select(F.col("key").alias(key)), key, "left_semi").groupBy(row).agg(F.collect_set(key).alias(out))
-            return numbered.join(found, row, "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>"))).drop(row)
-        if not self.levels:
+        if self.levels is None:
             return rows.withColumn(out, F.array().cast("array<string>"))
-        shared = rows.sparkSession.sparkContext.broadcast(self.levels)
+        if self.held is None:
+            return self._apart(rows, keys, out)
+        shared, shards = rows.sparkSession.sparkContext.broadcast(self.held), self.shards
 
         @F.pandas_udf("array<boolean>")
-        def test(slots: pd.Series) -> pd.Series:
-            levels = shared.value
-            sizes = [len(s) for s in slots]
-            width = sum(x.hashes for x in levels)
-            flat = np.concatenate([np.asarray(s, dtype=np.int64) for s in slots]) if len(slots) else np.zeros(0, dtype=np.int64)
-            flat = flat.reshape(-1, width)
-            answer = np.full(len(flat), len(levels) % 2 == 1)
-            open_, at = np.ones(len(flat), dtype=bool), 0
-            for k, level in enumerate(levels):
-                table = np.frombuffer(level.table, dtype=np.uint8)
-                own = flat[:, at : at + level.hashes]
-                passed = ((table[own >> 3] >> (own & 7).astype(np.uint8)) & 1).all(axis=1)
-                answer[open_ & ~passed] = k % 2 == 1  # failing an odd level: not listed; an even one: listed
-                open_ &= passed
-                at += level.hashes
-            ends = np.cumsum(np.array(sizes, dtype=np.int64) // width)[:-1] if len(sizes) else []
-            return pd.Series([list(map(bool, x)) for x in np.split(answer, ends)]) if len(sizes) else pd.Series([], dtype=object)
-
-        spots = lambda k: F.concat(*(_slots(k, i, x.bits, x.hashes) for i, x in enumerate(self.levels)))
-        flags = test(F.flatten(F.transform(keys, spots)))
+        def test(pairs: pd.Series) -> pd.Series:
+            sizes = np.array([len(p) // 2 for p in pairs], dtype=np.int64)
+            flat = _unsigned(np.concatenate([np.zeros(0, dtype=np.int64), *pairs])).reshape(-1, 2)
+            a, b = np.ascontiguousarray(flat[:, 0]), np.ascontiguousarray(flat[:, 1])
+            shard, answer = _shard(a, shards), np.zeros(len(a), dtype=bool)
+            for s in np.unique(shard):
+                if s in shared.value:
+                    own = np.flatnonzero(shard == s)
+                    answer[own] = listed_by(shared.value[s], a[own], b[own])
+            return pd.Series([x.tolist() for x in np.split(answer, np.cumsum(sizes)[:-1])] if len(sizes) else [], dtype=object)
+
+        flags = test(F.flatten(F.transform(keys, lambda k: F.array(*digests(k)))))
         kept = F.filter(F.arrays_zip(F.col(keys).alias("k"), flags.alias("f")), lambda z: z["f"])
         return rows.withColumn(out, F.transform(kept, lambda z: z["k"]))
 
+    def _apart(self, rows: DataFrame, keys: str, out: str) -> DataFrame:
+        """As holds(): each distinct key goes to its shard's task, and those found return to their rows."""
+        row, key = fresh(rows, "row"), fresh(rows, "key")
+        numbered = materialize(rows.withColumn(row, F.monotonically_increasing_id()), "rows")
+        each = numbered.select(row, F.explode(keys).alias(key))
+        asked = each.select(key).distinct()
+        asked = asked.select(F.col(key).alias("key"), *(d.alias(n) for d, n in zip(digests(key), "ab")))
+        asked = asked.withColumn("shard", _shard_of(F.col("a"), self.shards))
+
+        def answer(key: tuple, mine: pd.DataFrame, levels: pd.DataFrame) -> pd.DataFrame:
+            if not len(levels) or not len(mine):
+                return pd.DataFrame({"key": []}, dtype=str)
+            a, b = (_unsigned(mine[c]) for c in "ab")
+            return mine.loc[listed_by(_levels(*levels.loc[0, ["bits", "hashes", "tables"]]), a, b), ["key"]]
 
-def _table(keys: DataFrame, level: int, bits: int, hashes: int) -> bytes:
-    """The bitmap of a level; its bytes are or-ed by Spark and put together here, after the size check."""
-    bytes_ = keys.select(F.explode(_slots("key", level, bits, hashes)).alias("slot")).groupBy((F.shiftright("slot", 3)).alias("at")).agg(F.expr("bit_or(shiftleft(1, cast(slot % 8 as int)))").alias("byte"))
-    table = np.zeros(bits // 8 + 1, dtype=np.uint8)
-    for row in bytes_.toLocalIterator():
-        table[row["at"]] = row["byte"]
-    return table.tobytes()
+        found = asked.groupBy("shard").cogroup(self.levels.groupBy("shard")).applyInPandas(answer, "key string").select(F.col("key").alias(key))
+        hits = each.join(found, key, "left_semi").groupBy(row).agg(F.collect_set(key).alias(out))
+        return numbered.join(hits, row, "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>"))).drop(row)
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, most_bytes: int = MOST_BYTES) -> Cascade:
+def build_cascade(listed: DataFrame, universe: DataFrame, most_bytes: int = MOST_BYTES, shard_keys: int = SHARD_KEYS) -> Cascade:
     """A cascade of the column ``key`` of listed, exact for all keys of universe."""
-    wanted = listed.select("key").where("key is not null").distinct().withColumn("listed", F.lit(True))
-    every = universe.select("key").where("key is not null").distinct().join(wanted, "key", "left")
-    every = materialize(every.select("key", F.coalesce("listed", F.lit(False)).alias("listed")), "universe")
-    inside = {r["listed"]: r["n"] for r in every.groupBy("listed").agg(F.count("*").alias("n")).collect()}
-    if not inside.get(True):
-        return Cascade([])
-    n, others = inside[True], inside.get(False, 0)
-    # The first level passes about as many unlisted keys as there are listed ones.
-    hashes = max(1, min(16, round(np.log2(max(2.0, others / n)))))
-    alive_listed, alive_others, levels, used = every.where("listed"), every.where("not listed"), [], 0
-    while True:
-        level = len(levels)
-        k = hashes if level == 0 else 2
-        bits = max(64, int(np.ceil(n * k * 1.4427)))
-        used += bits // 8 + 1
-        if used > most_bytes:
-            return Cascade([], materialize(every.where("listed").select("key"), "listed"))
-        inner, outer = (alive_listed, alive_others) if level % 2 == 0 else (alive_others, alive_listed)
-        levels.append(Level(bits, k, _table(inner, level, bits, k)))
-        outer = materialize(_passing(outer, level, levels[-1]), "passed")
-        n = outer.count()
-        if level % 2 == 0:
-            alive_others = outer
-        else:
-            alive_listed = outer
-        if n == 0:
-            return Cascade(levels)
-
-
-def _passing(keys: DataFrame, number: int, level: Level) -> DataFrame:
-    """Keys whose bits are all set in the level."""
-    shared = keys.sparkSession.sparkContext.broadcast(level.table)
-
-    @F.pandas_udf("boolean")
-    def test(slots: pd.Series) -> pd.Series:
-        table = np.frombuffer(shared.value, dtype=np.uint8)
-        own = np.stack(slots.to_numpy()).astype(np.int64) if len(slots) else np.zeros((0, 1), dtype=np.int64)
-        return pd.Series(((table[own >> 3] >> (own & 7).astype(np.uint8)) & 1).all(axis=1))
-
-    return keys.where(test(_slots("key", number, level.bits, level.hashes)))
+    of = lambda df, own: df.select("key").where("key is not null").select(*(d.alias(n) for d, n in zip(digests("key"), "ab")), F.lit(own).alias("listed"), F.lit(not own).alias("there"))
+    every = of(listed, True).union(of(universe, False)).groupBy("a", "b").agg(F.max("listed").alias("listed"), F.max("there").alias("there"))
+    every = materialize(every.where("there").drop("there"), "universe")
+    counts = every.agg(F.count("*").alias("n"), F.count_if("listed").alias("inside")).first()
+    if not counts["inside"]:
+        return Cascade(1, None, None)
+    shards = -(-counts["n"] // shard_keys)
+
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        levels = build_levels(*(_unsigned(pdf[c]) for c in "ab"), pdf["listed"].to_numpy(dtype=bool))
+        tables = [x.table.tobytes() for x in levels]
+        return pd.DataFrame({"shard": [key[0]], "size": [sum(map(len, tables))], "bits": [[x.bits for x in levels]], "hashes": [[x.hashes for x in levels]], "tables": [tables]})
+
+    levels = every.groupBy(_shard_of(F.col("a"), shards).alias("shard")).applyInPandas(build, "shard long, size long, bits array<long>, hashes array<int>, tables array<binary>")
+    levels = materialize(levels.where("size > 0"), "levels")
+    small = levels.agg(F.sum("size")).first()[0] <= most_bytes
+    held = {r["shard"]: _levels(r["bits"], r["hashes"], r["tables"]) for r in levels.toLocalIterator()} if small else None
+    return Cascade(shards, levels, held)
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, labels: DataFrame, url: str = "url") -> DataFrame:
@@ -152,7 +195,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, labels: DataFrame, url: str =
     rules: host, path, verdict (allow or block); labels: key, the host labels that block."""
     host, path = split_url(F.col(url))
     hosts, keys, parts = (fresh(pages, c) for c in ("suffixes", "url_keys", "host_labels"))
-    rules = rules.select(F.concat(F.lower("host"), F.coalesce("path", F.lit(""))).alias("key"), F.length(F.coalesce("path", F.lit(""))).alias("n"), "verdict").where("key is not null")
+    rules = rules.select(F.concat(F.translate("host", UPPER, LOWER), F.coalesce("path", F.lit(""))).alias("key"), F.length(F.coalesce("path", F.lit(""))).alias("n"), "verdict").where("key is not null")
     rules = materialize(rules, "rules")
     lengths = [r["n"] for r in rules.select("n").distinct().orderBy("n").collect()]  # as many as a path has characters at most
     rows = pages.withColumn("host", host).withColumn("path", path)

@@ -483,15 +483,29 @@ def test_url_filter(spark):
     assert {r.verdict for r in url_filter.judge_urls(pages, rules.limit(0), labels.limit(0)).collect()} == {"allow"}
 
 
-def test_cascade_is_exact_and_falls_back_to_a_join(spark):
+@pytest.mark.parametrize("most, shard", [(1 << 20, 1 << 20), (1 << 20, 300), (10, 300)])
+def test_cascade_is_exact(spark, most, shard):
+    """In one shard, in several, and with the levels kept in the shards' own tasks; keys listed but not in the universe don't matter."""
     keys = [f"k{i}" for i in range(3000)]
-    universe = spark.createDataFrame([(k,) for k in keys], "key string")
-    listed = spark.createDataFrame([(k,) for k in keys[::17]], "key string")
-    rows = universe.select(F.array("key").alias("ks"))
-    for limit in (url_filter.MOST_BYTES, 10):
-        cascade = url_filter.build_cascade(listed, universe, limit)
-        assert (len(cascade.levels) > 1) == (limit > 10)
-        assert sorted(r.hit[0] for r in cascade.holds(rows, "ks", "hit").where("size(hit) > 0").collect()) == sorted(keys[::17])
+    universe = spark.createDataFrame([(k,) for k in keys + keys[:50] + [None]], "key string")
+    listed = spark.createDataFrame([(k,) for k in [*keys[::17], *keys[:20:17], "elsewhere", None]], "key string")
+    rows = spark.createDataFrame([(i, [k, keys[-i]], "x") for i, k in enumerate(keys)] + [(-1, [], "x"), (-2, ["k0"], "y"), (-2, ["k0"], "y")], "n long, ks array<string>, row string")
+    cascade = url_filter.build_cascade(listed, universe, most, shard)
+    assert (cascade.held is not None) == (most > 10) and cascade.levels.count() == cascade.shards
+    found = cascade.holds(rows, "ks", "hit").collect()
+    want = set(keys[::17])
+    assert len(found) == 3003 and all(set(r.hit) == set(r.ks) & want for r in found)
+    assert url_filter.build_cascade(listed.limit(0), universe).holds(rows, "ks", "hit").where("size(hit) > 0").count() == 0
+
+
+def test_cascade_levels():
+    """More levels than one are needed, and all keys get their answer."""
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 1 << 63, (2, 50_000)).astype(np.uint64)
+    listed = rng.random(50_000) < 0.1
+    levels = url_filter.build_levels(a, b, listed)
+    assert len(levels) > 3 and (url_filter.listed_by(levels, a, b) == listed).all()
+    assert sum(x.bits for x in levels) < 8 * listed.sum() + 0.2 * 50_000
 
 
 def test_licenses_as_brute_force(spark, texts, awkward, nothing):
