@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -225,14 +226,74 @@ def test_secrets_as_brute_force(spark, texts):
         assert got == base_secrets({**texts, **extra}[r.doc_id] or "")
 
 
+def entropy(word):
+    wins = [word[k : k + 20] for k in range(max(1, len(word) - 19))]
+    return max(-sum(n / len(x) * math.log2(n / len(x)) for n in Counter(x).values()) for x in wins)
+
+
 def test_window_entropy_as_brute_force(spark):
     rng = np.random.default_rng(5)
-    words = ["".join(rng.choice(list("abcdef0123456789XYZ"), n)) for n in (1, 5, 20, 21, 60)] + ["a" * 40]
+    words = ["".join(rng.choice(list("abcdef0123456789XYZ+/_=-"), n)) for n in (1, 2, 5, 19, 20, 21, 60, 300)] + ["a" * 40, "ab" * 30, "abcdefghijklmnopqrst" * 3]
     rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", secrets.window_entropy(F.col("w")).alias("e")).collect()
-    for r in rows:
-        wins = [r.w[k : k + 20] for k in range(max(1, len(r.w) - 19))]
-        want = max(-sum(n / len(x) * math.log2(n / len(x)) for n in Counter(x).values()) for x in wins)
-        assert abs(r.e - want) < 1e-9
+    assert all(abs(r.e - entropy(r.w)) < 1e-9 for r in rows) and len(rows) == len(words)
+
+
+def test_running_sums(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "CHUNK", 4)
+    rows = [[], [3], [1, 0, 5, 2], [7, 1, 9, 2, 4, 4, 0, 8, 11]]
+    got = spark.createDataFrame([(r,) for r in rows], "v array<bigint>").select(secrets.running(F.col("v"), lambda x, y: x + y).alias("s"), secrets.running(F.col("v"), lambda x, y: F.greatest(x, y)).alias("m")).collect()
+    assert [(r.s, r.m) for r in got] == [(np.cumsum(r).tolist() if r else [], np.maximum.accumulate(r).tolist() if r else []) for r in rows]
+
+
+def entropy_spans(t):
+    """Entropy spans from their definition."""
+    out = []
+    assigned = ASSIGN.pattern[:-2] + "{6,})"
+    for m in re.finditer(f"(?:{assigned})|[A-Za-z0-9+/_=-]{{20,}}", t):
+        v = m[0]
+        if re.search(f"{assigned}|AKIA[A-Z0-9]{{16,}}|[0-9a-f]{{24,}}", v) or any(re.search(p, v) for p in secrets.ALLOWED):
+            continue
+        mixed = re.search("[0-9]", v) and re.search("[A-Za-z]", v) or re.search("[a-z]", v) and re.search("[A-Z]", v) and re.search("[+/=]", v)
+        kind = "hex" if re.fullmatch("[0-9a-fA-F]+", v) else "alnum" if re.fullmatch("[A-Za-z0-9]+", v) else "base64"
+        if mixed and entropy(v) >= secrets.THRESHOLDS[kind]:
+            out.append((m.start(), 3, m.end(), "entropy"))
+    return out
+
+
+def test_all_secret_spans_as_brute_force(spark, texts):
+    """Base and entropy spans together, and the redacted texts, from their definitions."""
+    rng = np.random.default_rng(11)
+    chars = list("abcdefABCDEF0123456789ghijKLMN+/_=- .é")
+    made = {-i - 1: "".join(rng.choice(chars, 400)) + " token=" + "".join(rng.choice(chars[:30], 40)) for i in range(60)}
+    every = {**texts, **made}
+    docs = spark.createDataFrame([(i, t, 1) for i, t in every.items()], "doc_id long, text string, n_chars long")
+    clean = {r.doc_id: r.text for r in secrets.redact_secrets(docs).collect()}
+    seen = 0
+    for r in secrets.find_secrets(docs).collect():
+        t = every[r.doc_id] or ""
+        base = [(int(a), secrets.ORDER[k], int(b), k) for k, a, b in (x.split(":") for x in base_secrets(t).split(",") if x)]
+        want = sorted(base + entropy_spans(t))
+        assert [(s.start, s.order, s.end, s.kind) for s in r.secrets] == want and all(s.value == t[s.start : s.end] for s in r.secrets)
+        seen += sum(k == 3 for _, k, *_ in want)
+        out, at = "", 0
+        for a, _, b, _ in want:
+            if a >= at:
+                out += t[at:a] + "[SECRET]"
+            at = max(at, b)
+        assert clean[r.doc_id] == (out + t[at:] if every[r.doc_id] is not None else None)
+    assert seen > 20
+
+
+def test_secrets_in_very_long_texts(spark):
+    """A base64 run and a digit run of a million characters, and 100,000 hex runs, in a time that grows with the length."""
+    rng = np.random.default_rng(12)
+    run = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 1_000_000))
+    rows = [(1, f"é {run} end"), (2, "1234567890" * 100_000), (3, ("0123456789abcdef01234567 é " * 100_000).strip()), (4, "camelCase" * 50_000 + " " + "/ab" * 50_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    began = time.time()
+    got = {r.doc_id: (r.n, r.text) for r in secrets.find_secrets(secrets.redact_secrets(docs), out="none").join(secrets.find_secrets(docs).select("doc_id", F.size("secrets").alias("n")), "doc_id").collect()}
+    assert got[1] == (1, "é [SECRET] end") and got[2] == (1, "[SECRET]") and got[3] == (100_000, ("[SECRET] é " * 100_000).strip()) and got[4][0] == 0
+    assert time.time() - began < 120
 
 
 def test_entropy_spans_and_redaction(spark, awkward, nothing):
