@@ -332,18 +332,97 @@ def test_personal_data_as_brute_force(spark, texts, awkward, nothing):
     assert pii.find_personal_data(nothing).count() == 0
 
 
-def test_segment_programme_as_brute_force():
-    """The best segmentation is that of all segmentations."""
-    rng = np.random.default_rng(2)
-    segments = [(i, j, [int(f) for f in rng.integers(0, pii.FEATURES, 3)]) for i in range(6) for j in range(i + 1, 7)]
-    weights = rng.normal(size=(len(pii.KINDS), pii.FEATURES))
-    score = {(i, j): max(weights[k, f].sum() for k in range(len(pii.KINDS))) for i, j, f in segments}
-
-    def best(at):
-        return 0.0 if at >= 6 else max(best(at + 1), *(score[at, j] + best(j) for j in range(at + 1, 7)))
-
-    got = pii.decode(6, segments, weights)
-    assert abs(sum(score[i, j] for i, j, _ in got) - best(0)) < 1e-9
+def random_field(seed, n=6):
+    rng = np.random.default_rng(seed)
+    segments = [(i, j, [int(f) for f in rng.integers(0, pii.FEATURES, 3)]) for i in range(n) for j in range(i + 1, n + 1) if rng.random() < 0.6]
+    return segments, rng.normal(size=(len(pii.KINDS), pii.COLUMNS))
+
+
+def segmentations(n, segments, weights):
+    """All segmentations with their scores."""
+    def more(at, last):
+        if at >= n:
+            yield (), 0.0
+            return
+        for rest, value in more(at + 1, last):
+            yield rest, value
+        for i, j, f in segments:
+            if i == at:
+                for k in range(len(pii.KINDS)):
+                    own = weights[k, f].sum() + weights[k, pii.FEATURES + last]
+                    for rest, value in more(j, k):
+                        yield ((i, j, k), *rest), own + value
+
+    return list(more(0, pii.NONE))
+
+
+@pytest.mark.parametrize("seed", [2, 3, 4])
+def test_segment_programme_as_brute_force(seed):
+    """The best segmentation is that of all segmentations, types of neighbours included."""
+    segments, weights = random_field(seed, 5)
+    every = dict(segmentations(5, segments, weights))
+    got = pii.decode(5, lambda i: [(j, f) for a, j, f in segments if a == i], weights)
+    assert abs(every[tuple(got)] - max(every.values())) < 1e-9 and len(got) > 1
+
+
+def test_likelihood_and_gradient_as_brute_force():
+    segments, weights = random_field(5, 5)
+    every = segmentations(5, segments, weights)
+    truth = max((t for t, _ in every if len(t) == 2), key=dict(every).get)
+    out = np.zeros_like(weights)
+    value = pii.gradient(5, segments, list(truth), weights, out)
+    assert abs(value - (dict(every)[truth] - math.log(sum(math.exp(v) for _, v in every)))) < 1e-9
+    spots = [(k, f) for k in range(len(pii.KINDS)) for f in (*segments[0][2], *segments[5][2], *range(pii.FEATURES, pii.COLUMNS))]
+    for k, f in spots:
+        moved = [weights.copy(), weights.copy()]
+        moved[0][k, f] += 1e-5
+        moved[1][k, f] -= 1e-5
+        up, down = (pii.gradient(5, segments, list(truth), w, np.zeros_like(w)) for w in moved)
+        assert abs((up - down) / 2e-5 - out[k, f]) < 1e-5
+
+
+def test_linear_patterns_as_the_expressions():
+    rng = np.random.default_rng(7)
+    for _ in range(3000):
+        t = "".join(rng.choice(list("ab1@.. -_25")[: int(rng.integers(4, 11))], int(rng.integers(0, 40))))
+        assert list(pii.emails(t)) == [m.span() for m in pii.EMAIL.finditer(t)]
+        assert list(pii.addresses(t)) == [m.span() for m in pii.IP.finditer(t) if all(int(p) <= 255 for p in m[0].split("."))]
+
+
+def test_added_spans_as_brute_force(spark):
+    """The field adds data in forms that the patterns miss; each text's spans are its base spans and the best segmentations elsewhere."""
+    rng = np.random.default_rng(4)
+    phone = lambda: f"+1 ({rng.integers(200, 999)}) {rng.integers(200, 999)}-{rng.integers(1000, 9999)}"
+    rows = [(i, f"call {phone()} or mail me{i}@host{i}.example, order {rng.integers(10**7, 10**8)} today") for i in range(300)]
+    hidden = {1000 + i: f"call {phone()[1:]} today" for i in range(20)}
+    docs = spark.createDataFrame(rows + list(hidden.items()), "doc_id long, text string")
+    weights = pii.train(docs)
+    found = {r.doc_id: r.spans for r in pii.find_personal_data(docs).collect()}
+    assert sum(any(s.kind == "phone" and not s.base for s in found[i]) for i in hidden) >= 18
+    for i, t in [*rows, *hidden.items()]:
+        base = pii.base_spans(t)
+        want = [(*s, True) for s in base]
+        inside = {x for a, _, b in base for x in range(a, b)}
+        left = "".join("\0" if x in inside else c for x, c in enumerate(t))
+        parts = [m.span() for a, b in pii.stretches(t) for m in re.compile("[^\0]+").finditer(left, a, b)]
+        assert list(pii.gaps(pii.stretches(t), base)) == parts
+        for a, b in parts:
+            cuts = pii.token_cuts(t, a, b)
+            segments = [(x, j, f) for x in range(len(cuts) - 1) for j, f in pii.candidates(t, cuts, x)]
+            if len(segments) > 12:
+                continue
+            best = max(segmentations(len(cuts) - 1, segments, weights), key=lambda x: x[1])[0]
+            want += [(cuts[x], k, cuts[y], False) for x, y, k in best]
+        got = [(s.start, s.order, s.end, s.base) for s in found[i]]
+        assert set(want) <= set(got) and [g for g in got if g[3]] == [w for w in sorted(want) if w[3]]
+
+
+def test_personal_data_in_very_long_texts(spark):
+    """A million letters, digits and brackets, and long number tables, in a time that grows with the length."""
+    rows = [(1, "a" * 1_000_000 + " x@y.example"), (2, "1" * 1_000_000), (3, "1." * 50_000), (4, "+" + "(" * 1_000_000), (5, " @a.b" * 50_000), (6, " ".join(str(i) for i in range(5_000)))]
+    began = time.time()
+    got = {r.doc_id: [s for s in r.spans if s.base] for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    assert [len(got[i]) for i in (1, 2, 3, 4, 5)] == [1, 0, 12_500, 0, 0] and time.time() - began < 90
 
 
 def test_mixing(spark, awkward, nothing):
