@@ -10,20 +10,22 @@ the time at which the demand reaches the tokens before it: the root of a quadrat
 Targets share ``share`` times all words by weight and stop at ``most`` times their source's size, the excess being
 reshared by weight; that level is found in one pass over the sources ordered by the size they can give for a weight.
 
-Prefix sums inside a source run over hash buckets first and inside a bucket then, so that no task holds a source.
+Prefix sums inside a source run over hash buckets first and inside a bucket then, so that no task holds a source. Rows
+that are equal in doc_id and text and more than a bucket should hold have buckets of their own, by where they were read.
 Words are runs of other than ASCII whitespace. Null texts have size 0 and are taken 0 times; a null source is a source,
-the last one. Rows with the same doc_id and text are documents of their own, told apart by nothing: each pair of such
-rows stands at an arbitrary but equal share. Empty tables give empty results. Extra columns are ignored.
+the last one. Rows with the same doc_id and text are documents of their own, told apart by nothing: which of them gets
+which share of their words is arbitrary, but the shares agree on every run. Empty tables give empty results. plan()
+ignores extra columns; mix() keeps all columns, whatever their names are.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ._spark import materialize
+from ._spark import fresh, materialize
 
-#: Rows that a hash bucket of a source holds, about.
-BUCKET_ROWS = 20_000
+#: Rows that a hash bucket holds, about.
+BUCKET_ROWS = 4_000
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Factors at times 0 and 1 of the sources by rank, repeating.
 SCHEDULES = ((1.5, 0.5), (0.5, 1.5), (1.0, 1.0))
@@ -63,24 +65,40 @@ def demand_time(share: Column, start: Column, end: Column) -> Column:
 Schedules = dict[str, tuple[float, float]] | tuple[tuple[float, float], ...]
 
 
-def plan(docs: DataFrame, schedules: Schedules | None = None, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+def _bucketed(rows: DataFrame) -> DataFrame:
+    """rows with the bucket's columns: slot (by hash), and own and run for equal rows too many for a slot (else 0)."""
+    parts = 1 << max(0, (rows.count() // BUCKET_ROWS).bit_length())
+    rows = rows.withColumn("slot", F.shiftrightunsigned(F.col("order"), 40) % parts)
+    full = rows.groupBy("slot").agg(F.count("*").alias("n")).where(F.col("n") > 2 * BUCKET_ROWS).select("slot")  # a few slots, if any
+    equal = rows.join(full, "slot", "left_semi").groupBy("order").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET_ROWS)
+    equal = materialize(equal.select("order", F.lit(True).alias("many")), "many")
+    if equal.isEmpty():
+        return rows.withColumn("own", F.lit(0).cast("long")).withColumn("run", F.lit(0).cast("long"))
+    marked = rows.join(equal, "order", "left")
+    # Row numbers are consecutive inside a partition of what was read.
+    return marked.withColumn("own", F.when(F.col("many"), F.col("order")).otherwise(0)).withColumn("run", F.when(F.col("many"), F.floor(F.col("row_id") / BUCKET_ROWS)).otherwise(0)).drop("many")
+
+
+def plan(docs: DataFrame, schedules: Schedules | None = None, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, keep: bool = False) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken (words over all passes), and ``passes``:
-    array<struct<pass, words, position>> of those passes that take words of it. ``schedules`` gives the factors at times 0
-    and 1 by a source's name, others having 1 and 1, or lists them by rank, repeating; without it all are constant."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("order"))
+    array<struct<pass, words, position>> of those passes that take words of it, and with ``keep`` the whole row as ``kept``.
+    ``schedules`` gives the factors at times 0 and 1 by a source's name, others having 1 and 1, or lists them by rank,
+    repeating; without it all are constant."""
+    whole = [F.struct(*docs.columns).alias("kept")] if keep else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("order"), *whole)
     rows = materialize(rows.withColumn("row_id", F.monotonically_increasing_id()), "sizes")
-    parts = 1 << max(0, (rows.count() // BUCKET_ROWS).bit_length())
     rows = rows.withColumn("none", F.col("source").isNull()).withColumn("named", F.coalesce("source", F.lit("")))
-    rows = rows.withColumn("slot", F.shiftrightunsigned(F.col("order"), 40) % parts)
-    sums = materialize(rows.groupBy("none", "named", "slot").agg(F.sum("size").alias("words")), "slots")
+    bucket = ["none", "named", "slot", "own", "run"]
+    rows = _bucketed(rows)
+    sums = materialize(rows.groupBy(*bucket).agg(F.sum("size").alias("words")), "slots")
     goal = sums.groupBy("none", "named").agg(F.sum("words").alias("source_size"))
     goal = targets(goal.withColumn("source", F.when(~F.col("none"), F.col("named"))), share, most, weights)
     goal = goal.select(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("named"), "rank", "source_size", "target")
-    slots = Window.partitionBy("none", "named").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = Window.partitionBy("none", "named").orderBy("slot", "own", "run").rowsBetween(Window.unboundedPreceding, -1)  # one row for each bucket
     ahead = sums.withColumn("ahead", F.coalesce(F.sum("words").over(slots), F.lit(0))).drop("words")
     ahead = materialize(ahead.join(goal, ["none", "named"]), "ahead")
-    inside = Window.partitionBy("none", "named", "slot").orderBy("order", "doc_id", "row_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(ahead, ["none", "named", "slot"])
+    inside = Window.partitionBy(*bucket).orderBy("order", "doc_id", "row_id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(ahead, bucket)
     placed = placed.withColumn("offset", F.col("ahead") + F.col("inside"))
     start, end = F.lit(1.0), F.lit(1.0)
     by_name = isinstance(schedules, dict)
@@ -98,11 +116,12 @@ def plan(docs: DataFrame, schedules: Schedules | None = None, share: float = 1.5
     all_passes = F.transform(F.sequence(F.lit(0), F.lit(int(most) - 1 + (most > int(most)))), of_pass)
     placed = placed.withColumn("passes", F.filter(all_passes, lambda p: p.words > 0))
     taken = F.aggregate("passes", F.lit(0).cast("long"), lambda acc, p: acc + p.words)
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "passes")
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "passes", *(["kept"] if keep else []))
 
 
 def mix(docs: DataFrame, schedules: Schedules | None = None, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """The training order: doc_id, source, pass, words (taken in that pass) and position, range-sorted by position."""
-    rows = plan(docs, schedules, share, most, weights).select("doc_id", "source", "size", F.explode("passes").alias("p"))
-    out = rows.select("doc_id", "source", "size", F.col("p.pass").alias("pass"), F.col("p.words").alias("words"), F.col("p.position").alias("position"))
-    return out.orderBy("position", "source", "doc_id", "pass")
+    """The training order, range-sorted by position: the rows of docs, once for each pass that takes words of them, with
+    pass, words (taken in that pass) and position (names that docs has get a line behind)."""
+    rows = plan(docs, schedules, share, most, weights, keep=True).select("kept", "doc_id", "source", F.explode("passes").alias("p"))
+    ordered = rows.orderBy(F.col("p.position"), "source", "doc_id", F.col("p.pass"))
+    return ordered.select("kept.*", *(F.col(f"p.{c}").alias(fresh(docs, c)) for c in ("pass", "words", "position")))

@@ -450,7 +450,52 @@ def test_mixing(spark, awkward, nothing):
         taken[s] += r.taken
     assert all(abs(taken[s] - target[s]) <= 1 for s in size)
     assert {(r.doc_id, r.taken) for r in QUERIES["op4_mix_sources"](spark, SF).collect()} == {(r.doc_id, r.taken) for r in rows}
-    assert mixing.plan(awkward).count() == 13 and mixing.mix(nothing).count() == 0
+    assert mixing.mix(nothing).count() == 0
+
+
+def offsets_taken(docs, **how):
+    """(source, doc_id, size): words taken, by an order of the documents that the plan's first positions give."""
+    plan = mixing.plan(docs, **how).collect()
+    out = defaultdict(list)
+    for r in plan:
+        out[r.source].append((r.size, r.taken, round(r.target), r.source_size, tuple((p["pass"], p.words) for p in r.passes)))
+    return out
+
+
+@pytest.mark.parametrize("bucket", [4_000, 3])
+def test_mixing_awkward(spark, awkward, monkeypatch, bucket):
+    """Null texts and sources, and repeated rows, also where these fill buckets: all words up to the target are taken once a pass."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", bucket)
+    copies = spark.createDataFrame([(50, "a b c", None, "s", None, "x", 1, "y", "z", "t")] * 40, awkward.schema)
+    docs = awkward.union(copies)
+    rows = docs.collect()
+    got = offsets_taken(docs)
+    assert sum(map(len, got.values())) == 53 and set(got) == {None, "s"}
+    for source, found in got.items():
+        sizes = sorted(len((r.text or "").encode().split()) for r in rows if r.source == source)
+        assert sorted(f[0] for f in found) == sizes and {f[3] for f in found} == {sum(sizes)}
+        assert sum(f[1] for f in found) == found[0][2] and all(f[1] <= 2 * f[0] for f in found)
+        part = [sum(w for *_, p in found for k, w in p if k == n) for n in (0, 1)]
+        assert part == [min(sum(sizes), found[0][2]), max(0, found[0][2] - sum(sizes))]
+    assert offsets_taken(docs).keys() == got.keys() and {k: sorted(v) for k, v in offsets_taken(docs).items()} == {k: sorted(v) for k, v in got.items()}
+    mixed = mixing.mix(docs)
+    assert mixed.columns == [*docs.columns, "pass", "words", "position"] and {r.text for r in mixed.collect()} <= {r.text for r in rows}
+    if bucket == 3:
+        buckets = mixing._bucketed(docs.select(F.xxhash64("doc_id", "text").alias("order")).coalesce(1).withColumn("row_id", F.monotonically_increasing_id()))
+        assert max(r["count"] for r in buckets.groupBy("slot", "own", "run").count().collect()) <= 8
+
+
+def test_positions_as_numeric_integration(spark):
+    """A document's position is where the summed weights over small steps of time have given the words before it."""
+    docs = spark.createDataFrame([(i, "a b c " * (1 + i % 5), "x") for i in range(200)], "doc_id long, text string, source string")
+    for start, end in ((2.0, 0.0), (0.25, 1.75), (1.0, 1.0)):
+        rows = mixing.mix(docs, {"x": (start, end)}, share=0.8, weights=(1.0,)).collect()
+        time_, before = np.linspace(0, 1, 200_001), 0
+        weight = start + (end - start) * (time_[1:] + time_[:-1]) / 2
+        demand = np.concatenate(([0.0], np.cumsum(weight))) / weight.sum() * sum(r.words for r in rows)
+        for r in rows:
+            assert abs(time_[np.searchsorted(demand, before)] - r.position) < 2e-5 + 1e-3 * (before == 0)
+            before += r.words
 
 
 def test_mixing_schedules(spark):
@@ -472,7 +517,7 @@ def test_registered_mix_varies_in_time(spark):
         assert abs(a * t + (b - a) * t * t / 2 - constant[key][2]) < 1e-9
     assert sum(abs(v[2] - constant[k][2]) > 0.05 for k, v in got.items()) > len(got) / 5
     first = {r.doc_id: r.position for r in QUERIES["op4_mix_sources"](spark, SF).collect() if r.position is not None}
-    assert first == {i: min(t for (j, _), (_, _, t) in got.items() if j == i) for i, _ in got}
+    assert first == {i: min(t for (j, _), (_, _, t) in got.items() if j == i) for i in {i for i, _ in got}}
 
 
 def test_language_model_as_brute_force(spark, texts, awkward, nothing):
