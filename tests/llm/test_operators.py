@@ -520,39 +520,72 @@ def test_registered_mix_varies_in_time(spark):
     assert first == {i: min(t for (j, _), (_, _, t) in got.items() if j == i) for i in {i for i, _ in got}}
 
 
-def test_language_model_as_brute_force(spark, texts, awkward, nothing):
+def test_language_model_as_brute_force(spark, texts):
     tokens = {i: (t or "").encode().lower().split() + [None] for i, t in texts.items()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
-    c1, c2 = Counter(), Counter()
+    c1, c2, c3, texts_ = Counter(), Counter(), Counter(), 0
     for i, w in tokens.items():
         if not held[i]:
             c1.update(w)
             c2.update(zip([None, *w], w))
+            c3.update(zip([None, None, *w], [None, *w], w))
+            texts_ += 1
     n, v = sum(c1.values()), len(c1)
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    found = language_model.score_documents(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, piece_bytes=1 << 17)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(5)
+    found = language_model.score_documents(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, piece_bytes=1 << 16, shard_bytes=1 << 18)
     assert (found.tokens, found.distinct) == (n, v)
+    weight = lambda k, c: found.weights[k][min(c.bit_length(), language_model.BUCKETS - 1)]
     total = Counter()
     for r in found.rows.collect():
         w = tokens[r.doc_id]
+        assert r.held_out == held[r.doc_id] and r.n_tokens == len(w)
         assert abs(r.base_score - sum(math.log10((c1[x] + 1) / (n + v + 1)) for x in w)) < 1e-6 and r.n_known == sum(c1[x] > 0 for x in w)
         want = 0.0
-        for h, x in zip([None, *w], w):
-            l2, l1, l0 = found.weights[min(c1[h].bit_length(), language_model.BUCKETS - 1)]
-            want += math.log10((l2 * c2[h, x] / max(c1[h], 1) + l1 * c1[x] / n + l0 / (v + 1)) / (l2 + l1 + l0))
+        for k, (g, h, x) in enumerate(zip([None, None, *w], [None, *w], w)):
+            p = weight(1, n) * c1[x] / n + (1 - weight(1, n)) / (v + 1)
+            for order, many, own in ((2, c1[h], c2[h, x]), (3, c2[g, h] if k else texts_, c3[g, h, x])):
+                p = weight(order, many) * own / max(many, 1) + (1 - weight(order, many)) * p
+            want += math.log10(p)
         assert abs(r.score - want) < 1e-6
         if held[r.doc_id]:
             total.update(base=r.base_score, score=r.score)
-    assert total["score"] > total["base"]
-    assert language_model.score_documents(awkward, F.lit(True)).rows.count() == 13
+    assert total["score"] > total["base"] and all(0 <= x <= 1 for w in found.weights.values() for x in w)
+
+
+def test_language_model_awkward(spark, awkward, nothing):
+    """Nulls have the end token alone; without training texts all tokens have the chance 1 / (V + 1); without a fold the starting weights hold."""
+    rows = language_model.score_documents(awkward, F.lit(True), piece_bytes=1000).rows.collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in rows) == sorted([(1, 1), (2, 1), (3, 1), (4, 3), (5, 3), (6, 30001), (7, 30001), (7, 30001), (0, 9), (0, 1), (8, 9), (9, 5), (10, 13)])
+    assert {r.score for r in rows if r.n_tokens == 30001 and r.doc_id == 7} == {r.score for r in rows if r.doc_id == 6}
+    none = language_model.score_documents(awkward, F.lit(False))
+    assert (none.tokens, none.distinct) == (0, 0) and all(r.score == 0 and r.n_known == 0 and r.held_out for r in none.rows.collect())
+    assert all((none.weights[k][1:] == language_model.STARTING[k]).all() for k in (1, 2, 3))
     assert language_model.score_documents(nothing, F.lit(True)).rows.count() == 0
 
 
+def test_repeated_text_scores_apart(spark):
+    """Of training texts from the same words, those that occur twice are likelier, by their word triples."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 80) % 5000) for _ in range(600)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:60])], "doc_id long, text string")
+    rows = {r.doc_id: r.score / r.n_tokens for r in language_model.score_documents(docs, F.lit(True)).rows.collect()}
+    once, twice = [rows[i] for i in range(60, 600)], [rows[i] for i in range(60)]
+    assert np.mean([[x > y for y in once] for x in twice]) > 0.95
+
+
+def test_squeezed_numbers_round_trip():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 7, 5000):
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) & np.uint64((1 << 64) - 256))
+        assert (language_model._unstep(language_model.unsqueeze(language_model.squeeze(language_model._steps(x, 2)), len(x)), 2) == x).all()
+
+
 def test_expectation_maximisation_finds_the_mixture():
-    rng = np.random.default_rng(4)
-    cells = [(5 << 18 | k, int(n), n * 0.5 if k % 2 else 0.0, n * 1e-3) for k, n in enumerate(rng.integers(500, 1500, 40))]
-    w = language_model.learn_weights(cells, 10**6)
-    assert abs(w.sum(axis=1) - 1).max() < 1e-3 and 0.3 < w[5][0] < 0.7
+    """Half of the tokens follow the order's estimate."""
+    cells = [(5 * 128 * 128 + 1, 500, 500 * 0.5, 500 * 1e-3), (5 * 128 * 128, 500, 0.0, 500 * 1e-3)]
+    w = language_model.learn_weights(cells, 2)
+    likelihood = lambda a: 500 * math.log(a * 0.5 + (1 - a) * 1e-3) + 500 * math.log((1 - a) * 1e-3)
+    assert likelihood(w[5]) >= max(likelihood(a) for a in np.linspace(0.01, 0.99, 99)) - 1 and w[0] == 0 and w[7] == language_model.STARTING[2]
 
 
 def brute_top(vectors, queries, k):
