@@ -7,7 +7,7 @@ a token w after g h is
     p3 = a3(b(c(g h))) c(g h w) / c(g h) + (1 - a3) p2,   p2 = a2(b(c(h))) c(h w) / c(h) + (1 - a2) p1,
     p1 = a1 c(w) / N + (1 - a1) / (V + 1)
 
-where b(c) is the bucket floor(log2 c) + 1 of a context's frequency (0: unseen, with a = 0). The weights of each bucket
+where b(c) is the bucket of a context's frequency: itself up to 3, from there by doubling (0: unseen, with a = 0). The weights of each bucket
 maximise the likelihood of a fold of the training texts (one in ``FOLD``, dealt by a hash) under the counts of the
 others, order by order, by expectation-maximisation over held-out counts: tokens of nearly equal estimates are counted
 together. Scores use the counts of all training texts.
@@ -16,8 +16,9 @@ Each task packs the texts it reads to pieces of about ``PIECE`` bytes, which are
 n-grams and counts go, as sorted and compressed arrays, to the shard that the range of their hash names; the shard adds
 up and answers each piece with the totals in the same order; texts and answers meet by piece. So each n-gram moves once
 per piece, a frequent one is as cheap as any, and repeated rows are in the pieces of those who read them. Nothing of the
-corpus is broadcast or kept in one task; only the weights and four totals are. N-grams of two and three words are told
-apart by 56 bits, words by 64.
+corpus is broadcast or kept in one task; only the weights and four totals are. Words are told apart by 64 bits, n-grams of
+two and three words by 16 more than the number of the corpus's bytes has (40 at least): at any size two given ones are
+taken for each other with a chance below 1 in 2**16 over all of the corpus.
 
 Null texts have the end token alone; rows with a null doc_id are training texts. Rows with the same doc_id are
 documents of their own. Extra columns are ignored. Without training texts the counts are 0 and scores are those of
@@ -38,8 +39,8 @@ from ._arrays import hash_words, mix, whitespace_words
 from ._spark import clean_text, materialize
 
 #: Bytes of text in a piece, about, and bytes of the whole text for each shard.
-PIECE = 16 << 20
-SHARD = 32 << 20
+PIECE = 8 << 20
+SHARD = 16 << 20
 #: One of so many training texts is held out to learn the weights.
 FOLD = 28
 ROUNDS = 40
@@ -107,7 +108,12 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
 
 
-def grams(hashes: np.ndarray, bounds: np.ndarray, order: int) -> np.ndarray:
+def gram_bits(size: int) -> int:
+    """Bits that tell n-grams of a corpus of ``size`` bytes apart."""
+    return min(64, max(40, int(size).bit_length() + 16))
+
+
+def grams(hashes: np.ndarray, bounds: np.ndarray, order: int, bits: int) -> np.ndarray:
     """A hash of each token with the ``order`` - 1 before it; end tokens stand before a text."""
     if order == 1:
         return hashes
@@ -116,11 +122,11 @@ def grams(hashes: np.ndarray, bounds: np.ndarray, order: int) -> np.ndarray:
         two = np.concatenate((END, END, hashes[:-2]))[: len(hashes)]
         two[bounds[:-1]] = END[0]
         out = mix(two * np.uint64(0xD6E8FEB86659FD93) + np.uint64(3)) + out
-    return mix(out * np.uint64(0x9E3779B97F4A7C15) + hashes) & np.uint64((1 << 64) - 256)
+    return mix(out * np.uint64(0x9E3779B97F4A7C15) + hashes) >> np.uint64(64 - bits)
 
 
-def _distinct(hashes: np.ndarray, bounds: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(grams(hashes, bounds, order), return_inverse=True)
+def _distinct(hashes: np.ndarray, bounds: np.ndarray, order: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(grams(hashes, bounds, order, bits), return_inverse=True)
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -135,25 +141,16 @@ def unsqueeze(blob: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(8, n).T).view(np.uint64).ravel()
 
 
-def _steps(found: np.ndarray, order: int) -> np.ndarray:
-    """Differences of sorted hashes."""
-    return np.diff(found >> np.uint64(0 if order == 1 else 8), prepend=np.uint64(0))
-
-
-def _unstep(steps: np.ndarray, order: int) -> np.ndarray:
-    return np.cumsum(steps, dtype=np.uint64) << np.uint64(0 if order == 1 else 8)
-
-
-def _cuts(found: np.ndarray, shards: int) -> np.ndarray:
+def _cuts(found: np.ndarray, shards: int, order: int, bits: int) -> np.ndarray:
     """Bounds of the shards, which are ranges of the sorted hashes."""
-    shard = ((found >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
-    return np.searchsorted(shard, np.arange(shards + 1))
+    top = found >> np.uint64(32 if order == 1 else bits - 32)
+    return np.searchsorted((top * np.uint64(shards)) >> np.uint64(32), np.arange(shards + 1))
 
 
 _GRAMS = "piece long, fold boolean, gram_order int, shard int, n long, grams binary, counts binary"
 
 
-def _gram_rows(shards: int):
+def _gram_rows(shards: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
@@ -161,14 +158,14 @@ def _gram_rows(shards: int):
                 hashes, bounds = tokens(_texts(sizes.values.to_numpy(), blob.as_py()))
                 weight = np.repeat(trained.values.to_numpy(zero_copy_only=False).astype(bool), np.diff(bounds))
                 for order in ORDERS:
-                    found, place = _distinct(hashes, bounds, order)
-                    counts, cuts = np.bincount(place, weights=weight, minlength=len(found)).astype(np.int64), _cuts(found, shards)
+                    found, place = _distinct(hashes, bounds, order, bits)
+                    counts, cuts = np.bincount(place, weights=weight, minlength=len(found)).astype(np.int64), _cuts(found, shards, order, bits)
                     some = np.flatnonzero(np.diff(cuts))
                     parts = [slice(cuts[s], cuts[s + 1]) for s in some]
                     k = len(some)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([piece.as_py()] * k, pa.int64()), pa.array([fold.as_py()] * k, pa.bool_()), pa.array([order] * k, pa.int32()), pa.array(some.astype(np.int32)), pa.array([p.stop - p.start for p in parts], pa.int64())]
-                        + [pa.array([squeeze(_steps(found[p], order)) for p in parts], pa.binary()), pa.array([squeeze(counts[p]) for p in parts], pa.binary())],
+                        + [pa.array([squeeze(np.diff(found[p], prepend=np.uint64(0))) for p in parts], pa.binary()), pa.array([squeeze(counts[p]) for p in parts], pa.binary())],
                         names=["piece", "fold", "gram_order", "shard", "n", "grams", "counts"],
                     )
 
@@ -180,7 +177,7 @@ def _merge(table: pa.Table) -> pa.Table:
     order, sizes = table.column("gram_order")[0].as_py(), table.column("n").to_pylist()
     fold = table.column("fold").combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
     flat = np.concatenate([unsqueeze(b.as_py(), n).view(np.int64) for b, n in zip(table.column("counts"), sizes)])
-    found, place = np.unique(np.concatenate([_unstep(unsqueeze(b.as_py(), n), order) for b, n in zip(table.column("grams"), sizes)]), return_inverse=True)
+    found, place = np.unique(np.concatenate([np.cumsum(unsqueeze(b.as_py(), n), dtype=np.uint64) for b, n in zip(table.column("grams"), sizes)]), return_inverse=True)
     held = np.repeat(fold, sizes)
     every = np.bincount(place, weights=np.where(held, 0, flat), minlength=len(found)).astype(np.int64)
     main = every - np.bincount(place, weights=np.where(held, flat, 0), minlength=len(found)).astype(np.int64)
@@ -206,13 +203,13 @@ class Answered:
     contexts: dict[int, np.ndarray]
 
 
-def _answered(packs: pa.Table, answers: pa.Table, total: int) -> Answered:
+def _answered(packs: pa.Table, answers: pa.Table, total: int, bits: int) -> Answered:
     ids, sizes, blob = (packs.column(c)[0] for c in ("ids", "sizes", "blob"))
     hashes, bounds = tokens(_texts(sizes.values.to_numpy(), blob.as_py()))
     order, shard = answers.column("gram_order").to_numpy(), answers.column("shard").to_numpy()
     counts = {}
     for k in ORDERS:
-        found, place = _distinct(hashes, bounds, k)
+        found, place = _distinct(hashes, bounds, k, bits)
         rows = sorted(np.flatnonzero(order == k), key=lambda i: shard[i])
         totals = np.concatenate([unsqueeze(answers.column("counts")[int(i)].as_py(), answers.column("n")[int(i)].as_py()).view(np.int64) for i in rows])
         counts[k] = totals[place]
@@ -226,7 +223,7 @@ def _answered(packs: pa.Table, answers: pa.Table, total: int) -> Answered:
 
 def bucket(context: np.ndarray) -> np.ndarray:
     """Bucket of a context's frequency."""
-    return np.minimum(np.frexp(context.astype(np.float64))[1], BUCKETS - 1).clip(0)
+    return np.where(context <= 3, context, np.minimum(np.frexp(context.astype(np.float64))[1] + 1, BUCKETS - 1))
 
 
 def lower(found: Answered, v: int, weights: dict[int, np.ndarray], order: int) -> np.ndarray:
@@ -238,11 +235,11 @@ def lower(found: Answered, v: int, weights: dict[int, np.ndarray], order: int) -
     return p
 
 
-def _held_out(order: int, n: int, v: int, weights: dict[int, np.ndarray]):
+def _held_out(order: int, n: int, v: int, bits: int, weights: dict[int, np.ndarray]):
     def run(key: tuple, packs: pa.Table, answers: pa.Table) -> pa.Table:
         if not packs.num_rows:
             return pa.table({k: pa.array([], t) for k, t in (("cell", pa.int64()), ("n", pa.int64()), ("own", pa.float64()), ("lower", pa.float64()))})
-        found = _answered(packs, answers, n)
+        found = _answered(packs, answers, n, bits)
         own, low = found.counts[order] / np.maximum(found.contexts[order], 1), lower(found, v, weights, order)
         step = lambda p: np.where(p > 0, np.round(-STEP * np.log2(np.maximum(p, 1e-30))) + 1, 0).astype(np.int64).clip(0, STEPS - 1)
         cell, place = np.unique((bucket(found.contexts[order]) * STEPS + step(own)) * STEPS + step(low), return_inverse=True)
@@ -271,14 +268,14 @@ def learn_weights(cells: list[tuple[int, int, float, float]], order: int, rounds
     return weights
 
 
-def _score(n: int, v: int, weights: dict[int, np.ndarray]):
+def _score(n: int, v: int, bits: int, weights: dict[int, np.ndarray]):
     names = ["doc_id", "training", "n_tokens", "n_known", "base_score", "score"]
 
     def run(key: tuple, packs: pa.Table, answers: pa.Table) -> pa.Table:
         if not packs.num_rows:
             kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
             return pa.table([pa.array([], k) for k in kinds], names=names)
-        found = _answered(packs, answers, n)
+        found = _answered(packs, answers, n, bits)
         add = lambda x: np.add.reduceat(x, found.bounds[:-1])  # noqa: E731  every text has a token
         base = np.log10((found.counts[1] + 1.0) / (n + 1.0 * (v + 1)))
         p = lower(found, v, weights, max(ORDERS) + 1)
@@ -306,7 +303,8 @@ def score_documents(docs: DataFrame, training: Column, piece_bytes: int = PIECE,
     packs = materialize(pack(rows, False).union(pack(rows.where(fold), True)).withColumn("piece", F.monotonically_increasing_id()), "pieces")
     size = packs.where("not fold").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda acc, x: acc + x)).alias("n"), F.count("*").alias("pieces")).first()
     shards, pieces = max(1, -(-(size["n"] or 0) // shard_bytes)), max(1, size["pieces"])
-    found = packs.mapInArrow(_gram_rows(shards), _GRAMS).repartition(len(ORDERS) * shards, "gram_order", "shard")
+    bits = gram_bits(size["n"] or 0)
+    found = packs.mapInArrow(_gram_rows(shards, bits), _GRAMS).repartition(len(ORDERS) * shards, "gram_order", "shard")
     answers = found.groupBy("gram_order", "shard").applyInArrow(_merge, "piece long, fold boolean, gram_order int, shard int, n long, counts binary")
     answers = materialize(answers, "answers")
     totals = answers.where("piece = -1 and gram_order = 1").select("counts", "n").toLocalIterator()  # four numbers of each shard
@@ -315,9 +313,9 @@ def score_documents(docs: DataFrame, training: Column, piece_bytes: int = PIECE,
     weights: dict[int, np.ndarray] = {}
     for order in ORDERS:
         own, told = met(True)
-        cells = own.cogroup(told).applyInArrow(_held_out(order, n_main, v_main, weights), "cell long, n long, own double, lower double")
+        cells = own.cogroup(told).applyInArrow(_held_out(order, n_main, v_main, bits, weights), "cell long, n long, own double, lower double")
         cells = cells.groupBy("cell").agg(F.sum("n"), F.sum("own"), F.sum("lower")).orderBy("cell").collect()  # BUCKETS * STEPS * STEPS at most, a few thousand in fact
         weights = {**weights, order: learn_weights([tuple(c) for c in cells], order)}
     own, told = met(False)
-    scored = own.cogroup(told).applyInArrow(_score(n, v, weights), "doc_id long, training boolean, n_tokens long, n_known long, base_score double, score double")
+    scored = own.cogroup(told).applyInArrow(_score(n, v, bits, weights), "doc_id long, training boolean, n_tokens long, n_known long, base_score double, score double")
     return Scores(scored.withColumn("held_out", ~F.col("training")).drop("training"), n, v, weights)
