@@ -22,11 +22,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
-    """df written once to the shared folder and read again."""
+def materialize(df: DataFrame, name: str = "t", options: dict | None = None) -> DataFrame:
+    """df written once to the shared folder, with the writer's ``options``, and read again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
