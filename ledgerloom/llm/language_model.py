@@ -41,6 +41,8 @@ from ._spark import clean_text, materialize
 #: Bytes of text in a piece, about, and bytes of the whole text for each shard.
 PIECE = 8 << 20
 SHARD = 16 << 20
+#: Pieces are compressed already; a page of the written table holds one, so that no reader or writer buffers many.
+BLOBS = {"compression": "uncompressed", "parquet.page.row.count.limit": "1", "parquet.page.size.row.check.min": "1", "parquet.block.size": str(32 << 20)}
 #: One of so many training texts is held out to learn the weights.
 FOLD = 28
 ROUNDS = 40
@@ -300,7 +302,7 @@ def score_documents(docs: DataFrame, training: Column, piece_bytes: int = PIECE,
     fold = F.col("training") & (F.pmod(F.shiftrightunsigned("h", 20), F.lit(FOLD)) == 0)
     kind = "ids array<long>, training array<boolean>, sizes array<long>, blob binary"
     pack = lambda some, held: some.select("doc_id", "training", "text").mapInArrow(_pack(piece_bytes), kind).withColumn("fold", F.lit(held))
-    packs = materialize(pack(rows, False).union(pack(rows.where(fold), True)).withColumn("piece", F.monotonically_increasing_id()), "pieces")
+    packs = materialize(pack(rows, False).union(pack(rows.where(fold), True)).withColumn("piece", F.monotonically_increasing_id()), "pieces", BLOBS)
     size = packs.where("not fold").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda acc, x: acc + x)).alias("n"), F.count("*").alias("pieces")).first()
     shards, pieces = max(1, -(-(size["n"] or 0) // shard_bytes)), max(1, size["pieces"])
     bits = gram_bits(size["n"] or 0)
