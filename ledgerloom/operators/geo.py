@@ -142,9 +142,12 @@ def cluster_extents(geo: DataFrame) -> DataFrame:
 
 
 def grid_cell(lon: Column, lat: Column) -> Column:
-    """30-degree cells at high latitudes, 10-degree ones between -60 and 60."""
-    size = F.when(lat.between(-60, 60), 10).otherwise(30)
-    return F.concat_ws("_", size.cast("string"), F.floor((lon + 180) / size).cast("string"), F.floor((lat + 90) / size).cast("string"))
+    """One of six cells of 120 by 90 degrees (column_row, from the south-west); the one from 60 W to 60 E north of the equator
+    is cut into twelve of 30 by 30, named column_row_column_row. Outer edges belong to the last cell."""
+    place = lambda c, low, size, most: F.least(F.floor((c - low) / size), F.lit(most))
+    x, y = place(lon, -180, 120, 2), place(lat, -90, 90, 1)
+    coarse = F.concat_ws("_", x.cast("string"), y.cast("string"))
+    return F.when((x == 1) & (y == 1), F.concat_ws("_", coarse, place(lon, -60, 30, 3).cast("string"), place(lat, 0, 30, 2).cast("string"))).otherwise(coarse)
 
 
 def bounding_box(geo: DataFrame, by: str) -> DataFrame:

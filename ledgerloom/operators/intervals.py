@@ -19,20 +19,32 @@ def stitch_deployments(d: DataFrame, family: Column | None = None) -> DataFrame:
     return stops.withColumn("nr", F.row_number().over(Window.partitionBy("sensor").orderBy("start", "station", "variable")) - 1).drop("run", "family")
 
 
-def variable_family(name: Column) -> Column:
-    """The part before three trailing numbers, for the names of soil and radiation profiles; else null."""
-    return F.when(name.rlike("^(TS|SWC|G|WTD|SG|LWP|PPFD|SW|LW|TA|RH|PA|P|D_SNOW)(_[A-Z]+)*_[0-9]+_[0-9]+_[0-9]+$"), F.regexp_extract(name, "^(.*?)_[0-9]+_[0-9]+_[0-9]+$", 1))
-
-
-def deployments_for(objects: DataFrame, deployments: DataFrame, keys: list[str]) -> DataFrame:
-    """Deployments that overlap an object's acquisition (strictly; open ends pass), with equal keys."""
-    o, d = objects.alias("o"), deployments.alias("d")
-    same = [F.col(f"o.{k}") == F.col(f"d.{k}") for k in keys]
-    on = same[0]
-    for c in same[1:]:
-        on = on & c
+def variable_family(name: Column, families: list[str]) -> Column:
+    """The part before three trailing numbers of one or two digits, if it is one of ``families``; else null."""
+    stem = F.regexp_extract(name, "^(.+)_[0-9]{1,2}_[0-9]{1,2}_[0-9]{1,2}$", 1)
+    return F.when(stem.isin(families), stem)
+
+
+def deployments_for(objects: DataFrame, deployments: DataFrame, keys: list[str], days: int = 32) -> DataFrame:
+    """Deployments that overlap an object's acquisition (strictly; open ends pass), with equal keys.
+
+    Both sides are cut into stretches of ``days``; a pair meets in the stretch in which its overlap begins."""
+    span = objects.agg(F.min(F.least("data_start", "data_end")).alias("low"), F.max(F.greatest("data_start", "data_end")).alias("high")).first()
+    low, high = (F.lit(x).cast("timestamp") for x in span)
+    part = lambda t: F.floor(F.unix_seconds(t.cast("timestamp")) / (86_400 * days))
+    clip = lambda t, otherwise: F.greatest(low, F.least(high, F.coalesce(t.cast("timestamp"), otherwise)))
+
+    def cut(df: DataFrame, start: str, stop: str) -> DataFrame:
+        a, b = part(clip(F.col(start), low)), part(clip(F.col(stop), high))
+        return df.withColumn("_part", F.explode(F.sequence(F.least(a, b), F.greatest(a, b))))
+
+    o, d = cut(objects, "data_start", "data_end").alias("o"), cut(deployments, "start", "stop").alias("d")
+    on = F.col("o._part") == F.col("d._part")
+    for k in keys:
+        on = on & (F.col(f"o.{k}") == F.col(f"d.{k}"))
     overlap = (F.coalesce(F.col("d.start") < F.col("o.data_end"), F.lit(True))) & (F.coalesce(F.col("d.stop") > F.col("o.data_start"), F.lit(True)))
-    return o.join(d, on & overlap).select("o.id", *(f"d.{c}" for c in deployments.columns))
+    begins = F.greatest(part(clip(F.col("o.data_start"), low)), part(clip(F.col("d.start"), low)))
+    return o.join(d, on & overlap & (begins == F.col("o._part"))).select("o.id", *(f"d.{c}" for c in deployments.columns))
 
 
 def authors_of(objects: DataFrame, memberships: DataFrame) -> DataFrame:
@@ -61,13 +73,18 @@ def instrument_history(series: DataFrame, most: int = 5) -> DataFrame:
 
 
 def coverage_text(start: Column, stop: Column, zone: str = "UTC") -> Column:
-    """A day, a year, a range of years or of dates; a stop at midnight belongs to the day before."""
-    a, b = F.from_utc_timestamp(start, zone), F.from_utc_timestamp(stop, zone)
-    last = F.when((F.date_format(b, "HH:mm:ss") == "00:00:00") & (b > a), F.timestamp_add("SECOND", F.lit(-1), b)).otherwise(b)
+    """A day (the middle one, of what is shorter than 24 times 3601 seconds), years (if both ends fall on a first of January), or
+    a range of days; where both ends are midnights the last day is the one before."""
+    start, stop = start.cast("timestamp"), stop.cast("timestamp")
+    micros = F.unix_micros(stop) - F.unix_micros(start)
+    middle = F.timestamp_micros(F.floor((F.unix_micros(start) + F.unix_micros(stop)) / 2))
+    a, b, m = (F.from_utc_timestamp(t, zone) for t in (start, stop, middle))
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
-    whole = (F.date_format(a, "MM-dd HH:mm:ss") == "01-01 00:00:00") & (F.date_format(last, "MM-dd") == "12-31")
-    years = F.when(F.year(a) == F.year(last), F.year(a).cast("string")).otherwise(F.concat(F.year(a), F.lit("–"), F.year(last)))
-    return F.when(day(a) == day(last), day(a)).when(whole, years).otherwise(F.concat(day(a), F.lit("–"), day(last)))
+    midnight = lambda c: F.date_format(c, "HH:mm:ss") == "00:00:00"
+    last_year = F.year(b) - 1
+    years = F.when(F.year(a) == last_year, last_year.cast("string")).otherwise(F.concat(F.year(a), F.lit("–"), last_year))
+    days = F.concat(day(a), F.lit("–"), F.when(midnight(a) & midnight(b), day(F.date_sub(b, 1))).otherwise(day(b)))
+    return F.when(micros < 24 * 3601 * 1_000_000, day(m)).when((F.dayofyear(a) == 1) & (F.dayofyear(b) == 1), years).otherwise(days)
 
 
 def latest_platform(deployments: DataFrame) -> DataFrame:

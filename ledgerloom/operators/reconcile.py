@@ -23,11 +23,16 @@ def entity_diff(current: DataFrame, new: DataFrame, own: DataFrame | None = None
 
 
 def unique_ids(new: DataFrame, taken: DataFrame) -> DataFrame:
-    """new (row, base) with ``id``: the base, or with suffix _2, _3, … after those taken (base) and earlier rows."""
-    used = taken.groupBy("base").agg(F.count("*").alias("used"))
-    k = F.row_number().over(Window.partitionBy("base").orderBy("row")) + F.coalesce("used", F.lit(0))
-    rows = new.join(used, "base", "left").withColumn("k", k)
-    return rows.withColumn("id", F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat_ws("_", "base", F.col("k").cast("string")))).drop("used", "k")
+    """new (row, base) with ``id``: the base if it is free, for its first row, else with a number after the highest one that
+    ids taken (base), or other bases of new, have behind an underscore; from 2 on."""
+    parts = lambda c, k: F.regexp_extract(c, "^(.+)_([0-9]{1,9})$", k)
+    ids = taken.select("base", F.lit(True).alias("held")).union(new.select("base", F.lit(False))).groupBy("base").agg(F.max("held").alias("held"))
+    numbered = ids.where(parts("base", 1) != "").select(parts("base", 1).alias("base"), parts("base", 2).cast("int").alias("used"))
+    used = ids.where("held").select("base", F.lit(1).alias("used"), F.lit(True).alias("held")).union(numbered.withColumn("held", F.lit(False))).groupBy("base").agg(F.max("used").alias("used"), F.max("held").alias("held"))
+    nth = F.row_number().over(Window.partitionBy("base").orderBy("row")) - F.when(F.coalesce("held", F.lit(False)), 0).otherwise(1)
+    rows = new.join(used, "base", "left").withColumn("nth", nth)
+    number = F.greatest(F.coalesce("used", F.lit(1)), F.lit(1)) + F.col("nth")
+    return rows.withColumn("id", F.when(F.col("nth") == 0, F.col("base")).otherwise(F.concat_ws("_", "base", number.cast("string")))).drop("used", "held", "nth")
 
 
 def dedupe_entities(entities: DataFrame, order: list[str]) -> DataFrame:

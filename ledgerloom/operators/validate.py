@@ -33,9 +33,14 @@ def references_resolve(packages: DataFrame, known: DataFrame, column: str = "ref
 
 
 def name_is_free(packages: DataFrame, objects: DataFrame) -> DataFrame:
-    """C3: no other current complete object has the file name, but for the declared previous version."""
-    taken = objects.where("size is not null and not deprecated").select("file_name", "id")
-    hit = packages.join(taken, "file_name").where((F.col("id") != F.coalesce("previous", F.lit(""))) & (F.col("id") != F.col("hash")))
+    """C3: no other current complete object has the file name, but for the declared previous version.
+
+    The objects of a name are counted first; what the package itself and its previous version are of them is taken off."""
+    taken = objects.where("size is not null and not deprecated").select("file_name", "id").distinct()
+    counts = taken.groupBy("file_name").agg(F.count("*").alias("n"))
+    own = packages.select("pkg_id", "file_name", F.explode(F.array_distinct(F.array_compact(F.array("previous", "hash")))).alias("id"))
+    own = own.join(taken, ["file_name", "id"], "left_semi").distinct().groupBy("pkg_id", "file_name").agg(F.count("*").alias("own"))
+    hit = packages.select("pkg_id", "file_name").distinct().join(counts, "file_name").join(own, ["pkg_id", "file_name"], "left").where(F.col("n") > F.coalesce("own", F.lit(0)))
     return _rows(hit.select("pkg_id").distinct(), "C3", "file name is taken")
 
 

@@ -25,23 +25,26 @@ def is_complete(items: DataFrame, collections: DataFrame, members: DataFrame) ->
 
 
 def latest_versions(edges: DataFrame, items: DataFrame) -> DataFrame:
-    """(id, latest, in_cycle): all ends of the successor graph, the item itself if it has none. Path doubling: the rounds
-    are the logarithm of the longest chain; where no end can be reached the item itself is given, marked as in a cycle."""
+    """(id, latest, in_cycle): all ends of the successor graph, the item itself if it has none. Path doubling: an id points at
+    what is 1, 2, 4, ... steps ahead, or at ends nearer than that, so that a chain's pointers stay as many as its objects.
+    Where no end can be reached the item itself is given, marked as in a cycle; rounds stop where no chain can be longer."""
     step = edges.select(F.col("old").alias("id"), F.col("new").alias("at")).where("id <> at").distinct()
-    heads = step.select(F.col("id").alias("at")).distinct()
-    reach = materialize(step, "reach")
-    n = reach.count()
-    while True:
-        further = reach.alias("a").join(reach.alias("b"), F.col("a.at") == F.col("b.id")).select(F.col("a.id").alias("id"), F.col("b.at").alias("at"))
-        reach = materialize(reach.union(further).distinct(), "reach")
-        more = reach.count()
-        if more == n:
+    step = materialize(step, "steps")
+    starts = step.select("id").distinct()
+    open_ = materialize(step.join(starts.select(F.col("id").alias("at")), "at", "left_semi").select("id", "at"), "open")
+    ends = materialize(step.join(starts.select(F.col("id").alias("at")), "at", "left_anti").select("id", "at"), "ends")
+    for _ in range(step.count().bit_length() + 1):
+        if open_.isEmpty():
             break
-        n = more
-    ends = reach.join(heads, "at", "left_anti").select("id", F.col("at").alias("latest"), F.lit(False).alias("in_cycle"))
+        jump = open_.alias("a")
+        ahead = jump.join(open_.alias("b"), F.col("a.at") == F.col("b.id")).select(F.col("a.id").alias("id"), F.col("b.at").alias("at")).distinct()
+        found = jump.join(ends.alias("e"), F.col("a.at") == F.col("e.id")).select(F.col("a.id").alias("id"), F.col("e.at").alias("at"))
+        before = (open_, ends)
+        open_, ends = materialize(ahead, "open"), materialize(ends.union(found).distinct(), "ends")
+        discard(*before)
+    ends = ends.select("id", F.col("at").alias("latest"), F.lit(False).alias("in_cycle"))
     rest = items.select("id").distinct().join(ends.select("id").distinct(), "id", "left_anti")
-    moving = step.select("id").distinct().withColumn("cycle", F.lit(True))
-    return ends.union(rest.join(moving, "id", "left").select("id", F.col("id").alias("latest"), F.coalesce("cycle", F.lit(False)).alias("in_cycle")))
+    return ends.union(rest.join(starts.withColumn("cycle", F.lit(True)), "id", "left").select("id", F.col("id").alias("latest"), F.coalesce("cycle", F.lit(False)).alias("in_cycle")))
 
 
 def previous_versions(edges: DataFrame, members: DataFrame | None = None) -> DataFrame:
@@ -54,20 +57,23 @@ def previous_versions(edges: DataFrame, members: DataFrame | None = None) -> Dat
 
 
 def version_chains(edges: DataFrame) -> DataFrame:
-    """(id, chain, position, length) of objects in version chains without branches; the chain's name is its last object."""
-    step = edges.select(F.col("old").alias("id"), F.col("new").alias("at"), F.lit(1).alias("steps"))
-    firsts = edges.select(F.col("new").alias("id")).union(edges.select("old")).distinct()
-    state = materialize(firsts.join(step, "id", "left").select("id", F.coalesce("at", "id").alias("at"), F.coalesce("steps", F.lit(0)).alias("steps")), "chain")
-    total = -1
-    while True:
+    """(id, chain, position, length) of objects in version chains without branches; the chain's name is its last object.
+    Objects in a cycle have neither: their chain, position and length are null."""
+    step = edges.select(F.col("old").alias("id"), F.col("new").alias("at"), F.lit(1).cast("long").alias("steps"))
+    every = edges.select(F.col("new").alias("id")).union(edges.select("old")).distinct()
+    state = materialize(every.join(step, "id", "left").select("id", F.coalesce("at", "id").alias("at"), F.coalesce("steps", F.lit(0)).alias("steps")), "chain")
+    for _ in range(state.count().bit_length() + 1):
         two = state.select(F.col("id").alias("at"), F.col("at").alias("to"), F.col("steps").alias("more"))
-        state = materialize(state.join(two, "at").select("id", F.col("to").alias("at"), (F.col("steps") + F.col("more")).alias("steps")), "chain")
-        now = state.agg(F.sum("steps")).first()[0] or 0
-        if now == total or now > 1 << 60:
+        old, state = state, materialize(state.join(two, "at").select("id", F.col("to").alias("at"), (F.col("steps") + F.col("more")).alias("steps")), "chain")
+        same = state.join(old.select("id", F.col("at").alias("was")), "id").where("at <> was").isEmpty()
+        discard(old)
+        if same:
             break
-        total = now
-    w = Window.partitionBy("at")
-    return state.select("id", F.col("at").alias("chain"), (F.max("steps").over(w) - F.col("steps") + 1).alias("position"), (F.max("steps").over(w) + 1).alias("length"))
+    last = state.join(step.select(F.col("id").alias("at"), F.lit(True).alias("goes_on")).distinct(), "at", "left")
+    last = last.select("id", F.when(F.col("goes_on").isNull(), F.col("at")).alias("chain"), "steps")
+    w = Window.partitionBy("chain")
+    whole = F.col("chain").isNotNull()
+    return last.select("id", "chain", F.when(whole, F.max("steps").over(w) - F.col("steps") + 1).cast("int").alias("position"), F.when(whole, F.max("steps").over(w) + 1).cast("int").alias("length"))
 
 
 def bad_branches(edges: DataFrame, items: DataFrame, days: int = 60) -> DataFrame:
@@ -84,9 +90,10 @@ def multi_deprecated(edges: DataFrame) -> DataFrame:
 
 
 def chain_duplicates(objects: DataFrame, keys: list[str]) -> DataFrame:
-    """(new, old) links for groups of exactly two current objects of a key, by submission."""
+    """(new, old) links for groups of exactly two current objects (with a size, not deprecated) of a key, by submission."""
     w = Window.partitionBy(*keys)
-    rows = objects.withColumn("n", F.count("*").over(w)).withColumn("old", F.lag("id").over(w.orderBy("submitted", "id"))).where("n = 2 and old is not null")
+    current = objects.where("size is not null and not deprecated")
+    rows = current.withColumn("n", F.count("*").over(w)).withColumn("old", F.lag("id").over(w.orderBy("submitted", "id"))).where("n = 2 and old is not null")
     return rows.select(F.col("id").alias("new"), "old")
 
 
@@ -96,11 +103,14 @@ def deprecation_candidates(old: DataFrame, new: DataFrame, spec_map: DataFrame,
     return a.join(new.select(F.col("id").alias("new"), F.col("spec").alias("new_spec"), *keys), ["new_spec", *keys]).select("new", "old")
 
 
-def interval_deprecations(old: DataFrame, new: DataFrame, height: float = 2.0) -> DataFrame:
-    """(new, old): same station, heights within ``height``, the new interval covers the old one."""
-    a, b = old.alias("a"), new.alias("b")
+def interval_deprecations(old: DataFrame, new: DataFrame, height: float = 2.0, days: int = 32) -> DataFrame:
+    """(new, old): same station and spec, heights within ``height``, the new interval covers that of an old one that isn't
+    deprecated. A new interval is dealt to all stretches of ``days`` that it touches, an old one to that in which it starts."""
+    part = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / (86_400 * days))
+    a = old.where("not deprecated").withColumn("_part", part("data_start")).alias("a")
+    b = new.where("data_start <= data_end").withColumn("_part", F.explode(F.sequence(part("data_start"), part("data_end")))).alias("b")
     covers = (F.col("b.data_start") <= F.col("a.data_start")) & (F.col("b.data_end") >= F.col("a.data_end"))
-    same = (F.col("a.station") == F.col("b.station")) & (F.col("a.spec") == F.col("b.spec")) & (F.col("a.id") != F.col("b.id"))
+    same = (F.col("a._part") == F.col("b._part")) & (F.col("a.station") == F.col("b.station")) & (F.col("a.spec") == F.col("b.spec")) & (F.col("a.id") != F.col("b.id"))
     return a.join(b, same & covers & (F.abs(F.col("a.height") - F.col("b.height")) <= height)).select(F.col("b.id").alias("new"), F.col("a.id").alias("old"))
 
 
@@ -161,6 +171,16 @@ def superseded_references(links: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def release_collections(objects: DataFrame, spec: int, since) -> DataFrame:
-    """(station, members): per station the current objects of a release."""
-    rows = objects.where((F.col("spec") == spec) & (F.col("submitted") >= F.lit(since).cast("timestamp")) & F.col("station").isNotNull())
+    """(station, members): per station the current objects (with a size, not deprecated) of a release."""
+    rows = objects.where((F.col("spec") == spec) & (F.col("submitted") >= F.lit(since).cast("timestamp")) & F.col("station").isNotNull() & F.col("size").isNotNull() & ~F.col("deprecated"))
     return rows.groupBy("station").agg(F.array_join(F.array_sort(F.collect_set("id")), ",").alias("members"))
+
+
+def links_from_table(rows: DataFrame, objects: DataFrame, key: str, old_key: str) -> tuple[DataFrame, DataFrame]:
+    """((new, old), rows without their objects) of a table in which each row names an object and the one that it replaces, by file
+    name: current objects of the two names; rows with neither name, or that name an object twice or not at all, are the second."""
+    named = objects.where("size is not null").groupBy("file_name").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
+    one, two = (named.select(F.col("file_name").alias(k), F.col("id").alias(c)) for k, c in ((key, "new"), (old_key, "old")))
+    found = rows.join(one, key, "left").join(two, old_key, "left")
+    good = F.col("new").isNotNull() & F.col("old").isNotNull() & (F.col("new") != F.col("old"))
+    return found.where(good).select("new", "old").distinct(), found.where(~F.coalesce(good, F.lit(False))).select(*rows.columns)

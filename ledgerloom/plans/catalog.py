@@ -402,15 +402,14 @@ def v07_multi_deprecated(s, d):
     return versions.multi_deprecated(e.union(more))
 
 
-@query("SELECT id new, old FROM (SELECT id, count(*) OVER (PARTITION BY spec, station, height) n, lag(id) OVER (PARTITION BY spec, station, height ORDER BY submitted, id) old FROM objects) WHERE n = 2 AND old IS NOT NULL")
+@query("SELECT id new, old FROM (SELECT id, count(*) OVER (PARTITION BY file_name, spec) n, lag(id) OVER (PARTITION BY file_name, spec ORDER BY submitted, id) old FROM objects WHERE size IS NOT NULL AND id NOT IN (SELECT id FROM deprecated)) WHERE n = 2 AND old IS NOT NULL")
 def v08_chain_duplicates(s, d):
-    return versions.chain_duplicates(bridge.objects(s, d), ["spec", "station", "height"])
+    return versions.chain_duplicates(flagged(s, d), ["file_name", "spec"])
 
 
-@query("""SELECT b.id new, a.id old FROM objects a JOIN objects b ON a.station = b.station AND a.spec = b.spec AND a.id <> b.id AND b.data_start <= a.data_start AND b.data_end >= a.data_end AND abs(a.height - b.height) <= 2""")
+@query("""SELECT b.id new, a.id old FROM objects a JOIN objects b ON a.station = b.station AND a.spec = b.spec AND a.id <> b.id AND b.data_start <= a.data_start AND b.data_end >= a.data_end AND abs(a.height - b.height) <= 2 AND a.id NOT IN (SELECT id FROM deprecated)""")
 def v10_interval_deprecations(s, d):
-    o = bridge.objects(s, d)
-    return versions.interval_deprecations(o, o)
+    return versions.interval_deprecations(flagged(s, d), bridge.objects(s, d))
 
 
 @query(f"{_CHAINS} SELECT heads.id, latest, CAST(floor((a.size - b.size) * 100 / a.size) AS BIGINT) loss FROM heads JOIN objects a ON heads.id = a.id JOIN objects b ON latest = b.id WHERE b.size < a.size")
@@ -430,9 +429,9 @@ def v15_collection_rollup(s, d):
     return versions.collection_rollup(m, o).select(F.substring("coll", 2, 9).cast("int").alias("coll"), "n_objects", "specs")
 
 
-@query("SELECT station, string_agg(DISTINCT id, ',' ORDER BY id) members FROM objects WHERE spec = 3 AND submitted >= TIMESTAMP '1995-01-01' AND station IS NOT NULL GROUP BY station")
+@query("SELECT station, string_agg(DISTINCT id, ',' ORDER BY id) members FROM objects WHERE spec = 3 AND submitted >= TIMESTAMP '1995-01-01' AND station IS NOT NULL AND size IS NOT NULL AND id NOT IN (SELECT id FROM deprecated) GROUP BY station")
 def v19_release_collections(s, d):
-    return versions.release_collections(bridge.objects(s, d), 3, "1995-01-01")
+    return versions.release_collections(flagged(s, d), 3, "1995-01-01")
 
 
 # Validation
@@ -484,8 +483,14 @@ def i02_deployments_for(s, d):
     return intervals.deployments_for(o, bridge.deployments(s, d), ["station", "variable"]).groupBy("id").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT id, CASE WHEN data_start::DATE = e::DATE THEN strftime(data_start, '%Y-%m-%d') ELSE strftime(data_start, '%Y-%m-%d') || '–' || strftime(e, '%Y-%m-%d') END coverage
-  FROM (SELECT id, data_start, CASE WHEN data_end > data_start THEN data_end - INTERVAL 1 SECOND ELSE data_end END e FROM objects)""")
+#: The text of an interval from data_start to data_end.
+_COVERAGE = """CASE WHEN epoch_us(data_end) - epoch_us(data_start) < 86424000000 THEN strftime(make_timestamp((epoch_us(data_start) + epoch_us(data_end)) // 2), '%Y-%m-%d')
+  WHEN dayofyear(data_start) = 1 AND dayofyear(data_end) = 1 THEN CASE WHEN year(data_start) = year(data_end) - 1 THEN year(data_start)::VARCHAR ELSE year(data_start) || '–' || (year(data_end) - 1) END
+  WHEN data_start = date_trunc('day', data_start) AND data_end = date_trunc('day', data_end) THEN strftime(data_start, '%Y-%m-%d') || '–' || strftime(data_end - INTERVAL 1 DAY, '%Y-%m-%d')
+  ELSE strftime(data_start, '%Y-%m-%d') || '–' || strftime(data_end, '%Y-%m-%d') END"""
+
+
+@query(f"SELECT id, {_COVERAGE} coverage FROM objects")
 def i07_coverage_text(s, d):
     return bridge.objects(s, d).select("id", intervals.coverage_text(F.col("data_start"), F.col("data_end")).alias("coverage"))
 
@@ -499,7 +504,8 @@ def i08_latest_platform(s, d):
 # Space
 
 
-@query("SELECT CASE WHEN lat BETWEEN -60 AND 60 THEN concat_ws('_', '10', CAST(floor((lon + 180) / 10) AS BIGINT), CAST(floor((lat + 90) / 10) AS BIGINT)) ELSE concat_ws('_', '30', CAST(floor((lon + 180) / 30) AS BIGINT), CAST(floor((lat + 90) / 30) AS BIGINT)) END cell, count(*) n FROM stations GROUP BY ALL")
+@query("""SELECT CASE WHEN lon >= 60 THEN 2 WHEN lon >= -60 THEN 1 ELSE 0 END || '_' || CASE WHEN lat >= 0 THEN 1 ELSE 0 END || CASE WHEN lon >= -60 AND lon < 60 AND lat >= 0
+  THEN '_' || CASE WHEN lon >= 30 THEN 3 WHEN lon >= 0 THEN 2 WHEN lon >= -30 THEN 1 ELSE 0 END || '_' || CASE WHEN lat >= 60 THEN 2 WHEN lat >= 30 THEN 1 ELSE 0 END ELSE '' END cell, count(*) n FROM stations GROUP BY ALL""")
 def g07_grid_cell(s, d):
     return bridge.stations(s, d).groupBy(geo.grid_cell(F.col("lon"), F.col("lat")).alias("cell")).agg(F.count("*").alias("n"))
 
@@ -522,11 +528,12 @@ def x03_b2find_export(s, d):
     return export.b2find_export(flagged(s, d), bridge.specs(s, d), bridge.stations(s, d))
 
 
-@query("""SELECT id, '(' || year(submitted) || '). ' || concat_ws(', ', spec_label, name, CASE WHEN data_start::DATE = e::DATE THEN strftime(data_start, '%Y-%m-%d') ELSE strftime(data_start, '%Y-%m-%d') || '–' || strftime(e, '%Y-%m-%d') END) || ', ' || id citation
-  FROM (SELECT *, CASE WHEN data_end > data_start THEN data_end - INTERVAL 1 SECOND ELSE data_end END e FROM objects) JOIN specs USING (spec) LEFT JOIN stations USING (station)""")
+@query(f"""SELECT id, coalesce(authors || ' ', '') || '(' || year(submitted) || '). ' || concat_ws(', ', spec_label, name, {_COVERAGE}) || ', ' || id citation
+  FROM objects JOIN specs USING (spec) LEFT JOIN stations USING (station) LEFT JOIN (SELECT id, string_agg(person, ', ' ORDER BY coalesce(weight, 0) DESC, person) authors FROM
+  (SELECT o.id, person, max(weight) weight FROM objects o JOIN memberships m ON o.station = m.station AND coalesce(m.start < data_end, true) AND coalesce(m.stop > data_start, true) GROUP BY ALL) GROUP BY id) USING (id)""")
 def x04_citations(s, d):
-    none = bridge.objects(s, d).select("id", F.array().cast("array<string>").alias("authors")).where("false")
-    return export.citations(bridge.objects(s, d), bridge.specs(s, d), bridge.stations(s, d), none)
+    authors = intervals.authors_of(bridge.objects(s, d), bridge.memberships(s, d))
+    return export.citations(bridge.objects(s, d), bridge.specs(s, d), bridge.stations(s, d), authors)
 
 
 @query("SELECT spec, id FROM objects WHERE submitted BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-01-01' QUALIFY row_number() OVER (PARTITION BY spec ORDER BY submitted DESC, id) = 1")
@@ -619,10 +626,13 @@ def v17_superseded_references(s, d):
     return versions.superseded_references(links, bridge.edges(s, d)).select("subj", "obj")
 
 
-@query("SELECT row, base, CASE WHEN k = 1 THEN base ELSE base || '_' || k END id FROM (SELECT CAST(id AS BIGINT) AS row, file_name base, row_number() OVER (PARTITION BY file_name ORDER BY CAST(id AS BIGINT)) + coalesce(used, 0) k FROM (SELECT * FROM objects WHERE CAST(id AS BIGINT) % 4 <> 0) LEFT JOIN (SELECT file_name, count(*) used FROM objects WHERE CAST(id AS BIGINT) % 4 = 0 GROUP BY ALL) USING (file_name))")
+@query("""SELECT row, base, CASE WHEN k = 0 THEN base ELSE base || '_' || (greatest(coalesce(most, 1), 1) + k) END id FROM (SELECT row, base, most, row_number() OVER (PARTITION BY base ORDER BY row) - CASE WHEN plain THEN 0 ELSE 1 END k FROM
+  (SELECT CAST(id AS BIGINT) AS row, file_name base FROM objects WHERE CAST(id AS BIGINT) % 4 <> 0) LEFT JOIN (SELECT base, max(k) most, bool_or(k = 1) plain FROM
+  (SELECT file_name base, 1 k FROM objects WHERE CAST(id AS BIGINT) % 16 = 0 UNION SELECT file_name, CAST(CAST(id AS BIGINT) % 5 + 2 AS INT) FROM objects WHERE CAST(id AS BIGINT) % 16 = 4) GROUP BY base) USING (base))""")
 def r02_unique_ids(s, d):
     o = bridge.objects(s, d).select(F.col("id").cast("bigint").alias("row"), F.col("file_name").alias("base"))
-    return reconcile.unique_ids(o.where("row % 4 <> 0"), o.where("row % 4 = 0"))
+    numbered = o.where("row % 16 = 4").select(F.concat("base", F.lit("_"), F.col("row") % 5 + 2).alias("base"))
+    return reconcile.unique_ids(o.where("row % 4 <> 0"), o.where("row % 16 = 0").select("base").union(numbered))
 
 
 @query("SELECT cust, row_number() OVER (ORDER BY min(CAST(id AS BIGINT)), cust) AS number FROM objects GROUP BY cust")

@@ -19,12 +19,16 @@ def stream_current_statements(log: DataFrame, checkpoint: str, publish: Callable
     return state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(publish).trigger(availableNow=True).start()
 
 
+#: Properties that link an object to another resource; a retraction of any value clears these.
+LINKS = frozenset(["wasSubmittedBy", "wasAcquiredBy", "wasPerformedAt"])
+
+
 def _apply(state: dict, rows: pd.DataFrame) -> dict:
-    """Assertions set a property; a retraction clears it only if it names the value that stands."""
+    """Assertions set a property; a retraction clears a link always, another property only if it names the value that stands."""
     for r in rows.sort_values("id").itertuples():
         if r.assertion:
             state[r.pred] = r.obj
-        elif state.get(r.pred) == r.obj:
+        elif r.pred in state and (r.pred in LINKS or state[r.pred] == r.obj):
             state.pop(r.pred)
     return state
 
