@@ -6,7 +6,8 @@ log((p / |p|) / (q / |q|)), p and q being its smoothed counts in toxic and other
 ``MIN_TEXTS`` training texts, or with a ratio near zero, are left out. A logistic regression with L2 penalty is fitted
 to the features times their ratios; its product with the ratios is one weight for each bucket.
 
-Training reads at most about ``sample`` labelled rows, dealt by a hash of doc_id, in tasks; the table of ratios and the
+Training reads at most about ``sample`` labelled rows, dealt by a hash of doc_id, in tasks (of a doc_id with several texts
+all different ones count, and are dealt by a hash where they would be more than that); the table of ratios and the
 weights hold 2**20 entries at most. Scoring reads every whole text, null as empty (its score is the intercept's).
 A doc_id labelled several times is toxic if any label says so; null labels and null doc_ids are no training rows. With
 no toxic or no other training row all scores are the share of toxic rows (0 without rows). Extra columns are ignored.
@@ -162,8 +163,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
     marked = materialize(marked, "labels")
     share = min(1.0, sample / max(1, marked.count()))
     chosen = marked.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000)) < round(share * 1_000_000))
-    few = F.broadcast(chosen) if share == 1.0 or share * 1_000_000 >= 1 else chosen  # the sample is bounded
-    rows = materialize(docs.select("doc_id", clean_text(docs).alias("text")).join(few, "doc_id").select("label", "text"), "sample")
+    # The chosen ids are about ``sample``; a repeated text of an id counts once.
+    rows = docs.select("doc_id", clean_text(docs).alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"])
+    rows = materialize(rows.select("label", "text"), "sample")
+    n = rows.count()
+    if n > 1.25 * sample:  # ids with several texts: some of these
+        part = F.pmod(F.xxhash64(F.lit(12), "text", F.monotonically_increasing_id()), F.lit(1_000_000)) < round(sample / n * 1_000_000)
+        rows = materialize(rows.where(part), "sample")
     seen = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not seen.get(0) or not seen.get(1):
         share_toxic = 1.0 if seen.get(1) else 0.0

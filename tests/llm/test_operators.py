@@ -319,6 +319,31 @@ def test_toxicity_on_held_out_rows(spark, nothing, awkward):
     assert toxicity.drop_toxic(awkward, spark.createDataFrame([], "doc_id long, toxic int")).columns == awkward.columns
 
 
+def test_toxicity_as_brute_force(spark):
+    """Ratios, the fit's gradient at its end, and scores, from their definitions; repeated ids don't enlarge the sample."""
+    rng = np.random.default_rng(5)
+    kind = lambda bad: " ".join(rng.choice(["vile", "scum", "rot"] if bad else ["tea", "leaf", "sun"], 3)) + " " + " ".join(rng.choice(["and", "the", "of", "so"], 4))
+    texts = [(i, kind(i % 3 == 0), int(i % 3 == 0)) for i in range(120)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in texts] + [(0, texts[0][1])] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in texts], "doc_id long, label int")
+    model = toxicity.train(docs, labels)
+    grams = lambda t: set(toxicity.buckets(np.frombuffer(t.encode(), dtype=np.uint8)).tolist())
+    rows, y = [grams(t) for _, t, _ in texts], np.array([l for *_, l in texts], dtype=float)
+    p, q = (Counter(b for r, l in zip(rows, y) if l == k for b in r) for k in (1, 0))
+    ratio = {b: math.log((p[b] + 1) / (y.sum() + 2) / ((q[b] + 1) / ((1 - y).sum() + 2))) for b in {*p, *q} if p[b] + q[b] >= toxicity.MIN_TEXTS}
+    ratio = {b: r for b, r in ratio.items() if abs(r) >= toxicity.MIN_RATIO}
+    assert set(np.flatnonzero(model.weights).tolist()) <= set(ratio)
+    w = {b: model.weights[b] / r for b, r in ratio.items()}
+    score = [1 / (1 + math.exp(-model.intercept - sum(model.weights[b] for b in r))) for r in rows]
+    off = [(s - l) * (toxicity.TOXIC_WEIGHT if l else 1) for s, l in zip(score, y)]
+    slope = {b: r * sum(o for o, g in zip(off, rows) if b in g) + toxicity.PENALTY * w[b] for b, r in ratio.items()}
+    assert max(map(abs, slope.values())) < 0.05 * max(abs(toxicity.PENALTY * x) for x in w.values()) + 0.05
+    got = {r.doc_id: r.score for r in model.scores(docs).collect()}
+    assert all(abs(got[i] - s) < 1e-5 for (i, *_), s in zip(texts, score)) and all((s > 0.5) == (l > 0) for s, l in zip(score, y))
+    many = spark.createDataFrame([(i % 4, f"text {i} {'vile' if i % 2 else 'leaf'}") for i in range(600)], "doc_id long, text string")
+    toxicity.train(many, spark.createDataFrame([(0, 0), (1, 1), (2, 0), (3, 1)], "doc_id long, label int"), sample=50)
+
+
 def test_personal_data_as_brute_force(spark, texts, awkward, nothing):
     digits = lambda z: re.sub("[^0-9]", "", z)
     for r in QUERIES["op3_personal_data"](spark, SF).collect():
