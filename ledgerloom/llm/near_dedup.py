@@ -39,7 +39,7 @@ MARGIN = 0.2
 #: Nodes of a bucket that are paired with each other in rows; larger buckets are compared in blocks.
 SMALL = 24
 #: Rounds with another leader for buckets beyond SMALL.
-LEADERS = 3
+LEADERS = 1
 #: Shingles in one block of a group, about.
 BLOCK = 1 << 18
 #: Expected share of equal registers of unrelated sets of one size, times 2**MANTISSA (HyperMinHash paper).
@@ -195,6 +195,15 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links, found on the components alone."""
+    of = lambda p: comp.select(F.col("node").alias(p), F.col("comp").alias(f"c_{p}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    moved = components(between)
+    known = comp.join(moved.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    return materialize(known.union(moved.join(comp.select("node"), "node", "left_anti").select("node", "comp")), "components")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Those of the distinct pairs (a, b) of nodes that pass the estimate and then the comparison of their whole sets."""
     side = lambda p: nodes.select(F.col("node").alias(p), F.col("regs").alias(f"regs_{p}"), F.col("n").alias(f"n_{p}"), F.col("set_a").alias(f"x_{p}"), F.col("set_b").alias(f"y_{p}"), F.col("row_key").alias(f"k_{p}"))
@@ -241,8 +250,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
         links = materialize(_verified(_leaders(large, turn, percent), nodes, docs, percent), "links")
         if links.isEmpty():
             continue
-        edges = materialize(edges.union(links), "links")
-        comp = components(edges)
+        comp = _joined(comp, links)
         left = materialize(_unsettled(bands.join(left.select("key").distinct(), "key", "left_semi"), comp), "left")
     pairs = _within(left.where((F.col("size") <= SMALL) & (F.col("node") != F.col("first"))), percent)  # the first has met all
     large = left.where(F.col("size") > SMALL)
@@ -256,7 +264,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
         found = _verified(pairs, nodes, docs, percent)
         more = materialize(found if more is None else more.union(found), "links")
     if more is not None and not more.isEmpty():
-        comp = components(edges.union(more))
+        comp = _joined(comp, more)
     return _classes(sigs, named, comp)
 
 
