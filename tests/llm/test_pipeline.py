@@ -31,5 +31,22 @@ def test_stages(spark):
         elif name == "secrets":
             assert set(ids) == old
         else:
-            words = {r.doc_id: r["size"] for r in docs.collect()}
-            assert set(words) <= old and docs.select("position").collect() == sorted(docs.select("position").collect())
+            assert docs.columns == [*columns, "pass", "words", "position"] and set(ids) <= old
+            assert docs.select("position").collect() == sorted(docs.select("position").collect())
+            texts = {r.doc_id: r.text for r in before.collect()}
+            assert all(r.text == texts[r.doc_id] and 0 < r.words <= len(r.text.encode().split()) for r in docs.collect())
+
+
+def test_awkward_and_empty_documents(spark, tmp_path):
+    """Nulls in any column, empty texts, repeated rows and clashing names pass all stages; an empty table gives an empty one."""
+    rows = [(1, None, "x", 1), (None, "some words here", None, 2), (2, "", None, 3), (3, "a b c d e f", "p", 4), (3, "a b c d e f", "p", 4), (4, "A B c d e f", "q", 5), (5, "key token=abcdefgh end", None, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, position long")
+    docs.write.parquet(str(tmp_path / "a/documents.parquet"))
+    docs.limit(0).write.parquet(str(tmp_path / "b/documents.parquet"))
+    for d in "ab":
+        for t in ("labels", "benchmark"):
+            spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(str(tmp_path / d / f"{t}.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path / "a"))
+    assert out.columns == [*docs.columns, "pass", "words", "position_"]
+    assert {(r.doc_id, r.text) for r in out.collect()} <= {(None, "some words here"), (3, "a b c d e f"), (5, "key [SECRET] end")}
+    assert corpus_pipeline.run(spark, str(tmp_path / "b")).count() == 0
