@@ -1,4 +1,9 @@
-"""From raw documents to a training order, in stages that each read what the one before wrote."""
+"""From raw documents to a training order, in stages that each read what the one before wrote.
+
+Null texts are empty: they pass the filters, link with nothing and give the mix no words, so that it leaves them out, as it
+does other texts without words. Null doc_ids and sources are kept as they are. Of rows equal in doc_id and text one stays.
+Columns of any name are kept; the last stage adds pass, words and position, with a line behind where a name is taken. An
+empty table gives an empty one."""
 
 from __future__ import annotations
 
@@ -29,7 +34,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training order of the documents, by source targets and schedules."""
+    """The documents in training order, by source targets and schedules: once for each pass that takes words of them."""
     return mixing.mix(docs, mixing.SCHEDULES)
 
 
