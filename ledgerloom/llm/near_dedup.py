@@ -180,14 +180,14 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = pairs.union(pairs.select("b", "a"))
-        middle = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+        middle = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(middle, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = materialize(large, "large")
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = materialize(down.groupBy("a").agg(F.min("b").alias("m")), "least")
+        least = down.groupBy("a").agg(F.min("b").alias("m"))
         joined = down.join(least, "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
-        old, pairs = (pairs, least, large, middle), materialize(small, "edges")
+        old, pairs = (pairs, large), materialize(small, "edges")
         discard(*old)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
