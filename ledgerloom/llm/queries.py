@@ -176,3 +176,24 @@ def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     training = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, F.lit(True))
     found = score_documents(table(spark, sf_dir, "documents"), training)
     return found.rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(found.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+@query()
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic_runs import collapse_runs
+
+    found = collapse_runs(table(spark, sf_dir, "documents"), planted=True)
+    text = lambda r: F.concat(r.start.cast("string"), F.lit(","), r.length.cast("string"), F.lit(","), r.period.cast("string"), F.lit("\n"))
+    order = F.transform("runs", lambda r: F.struct((-r.length).alias("long"), r.start.alias("start"), r.period.alias("period"), r.length.alias("length")))
+    found = found.withColumn("best", F.array_min(order)).withColumn("spelled", F.array_join(F.transform(F.array_sort(F.transform("runs", lambda r: F.struct(r.start.alias("start"), r.period.alias("period"), r.length.alias("length")))), text), ""))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *(F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2("spelled", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query()
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"), damaged=True).select("word", "form", "root", "n", "n_near", "form_n")
