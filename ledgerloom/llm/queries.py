@@ -197,3 +197,10 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .spelling import spelling_variants
 
     return spelling_variants(table(spark, sf_dir, "documents"), damaged=True).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query()
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import periodic_runs, spelling
+from ledgerloom.llm import _arrays, periodic_runs, spelling, substring_dedup
 from ledgerloom.llm._arrays import mix
 from ledgerloom.llm.queries import QUERIES
 
@@ -204,3 +204,66 @@ def test_spelling_awkward(spark, awkward, nothing):
     rows = {r.word[:8]: r for r in spelling.spelling_variants(awkward).collect()}
     assert set(rows) == {"x" * 8} and (rows["x" * 8].n, rows["x" * 8].n_near, rows["x" * 8].form) == (2, 0, None)
     assert spelling.spelling_variants(nothing).count() == 0
+
+
+# Substring dedup
+
+
+def without_repeats(rows, length):
+    """(doc_id, n_words, n_removed, kept) of rows in order."""
+    first = {}
+    for i, t in rows:
+        w = words_of(t)
+        for k in range(len(w) - length + 1):
+            g = tuple(w[k : k + length])
+            first[g] = min(first.get(g, 1 << 70), 1 << 65 if i is None else i)
+    out = []
+    for i, t in rows:
+        w = words_of(t)
+        gone = set()
+        for k in range(len(w) - length + 1):
+            if first[tuple(w[k : k + length])] < (1 << 65 if i is None else i):
+                gone.update(range(k, k + length))
+        out.append((i, len(w), len(gone), b" ".join(x for k, x in enumerate(w) if k not in gone).decode()))
+    return out
+
+
+def in_order(rows):
+    return sorted(rows, key=repr)
+
+
+def test_substring_dedup_query_as_brute_force(spark, texts):
+    rows = QUERIES["op11_substring_dedup"](spark, SF).collect()
+    expected = without_repeats(sorted(texts.items()), 13)
+    assert in_order(tuple(r) for r in rows) == in_order((i, n, gone, sha(kept)) for i, n, gone, kept in expected)
+    assert sum(r.n_removed > 0 for r in rows) >= 20 and sum(r.n_removed == 0 for r in rows) >= 20
+
+
+@pytest.mark.parametrize("length, slice_bytes, shard_words", [(1, 4 << 20, 1 << 23), (5, 300, 400), (13, 700, 100), (16, 4 << 20, 1 << 23), (50, 500, 300)])
+def test_passages_of_any_length_in_many_pieces_and_shards(spark, monkeypatch, length, slice_bytes, shard_words):
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", shard_words)
+    monkeypatch.setattr(_arrays, "SLICE", slice_bytes)
+    rng = random.Random(length)
+    passages = [[f"w{rng.randint(0, 30)}" for _ in range(rng.randint(length, 3 * length + 5))] for _ in range(6)]
+    rows = []
+    for i in range(120):
+        w = []
+        for _ in range(rng.randint(0, 5)):
+            w += [f"w{rng.randint(0, 900)}" for _ in range(rng.randint(0, 20))] + (rng.choice(passages)[rng.randint(0, 4) :] if rng.random() < 0.5 else [])
+        rows.append((None if i % 40 == 7 else rng.randint(1, 100), " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = substring_dedup.remove_repeats(docs, length).collect()
+    assert in_order(tuple(r) for r in found) == in_order(without_repeats(rows, length))
+    assert any(r.n_removed for r in found)
+
+
+def test_lengths_of_the_levels():
+    assert [substring_dedup.lengths_to(n) for n in (13, 50, 8, 1, 100)] == [[7, 13], [7, 13, 25, 50], [8, 8], [1, 1], [7, 13, 25, 50, 100]]
+
+
+def test_substring_dedup_awkward(spark, awkward, nothing):
+    rows = [(r.doc_id, r.text) for r in awkward.select("doc_id", "text").collect()]
+    found = substring_dedup.remove_repeats(awkward).collect()
+    assert in_order(tuple(r) for r in found) == in_order(without_repeats(rows, 13))
+    assert sorted(r.n_removed for r in found if r.doc_id == 6) == [40_000, 40_000]
+    assert substring_dedup.remove_repeats(nothing).count() == 0
