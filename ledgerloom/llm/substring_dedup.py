@@ -39,7 +39,7 @@ LENGTH = 13
 #: Length below which windows aren't halved any more.
 SHORTEST = 8
 #: Words of the corpus for each shard.
-SHARD_WORDS = 1 << 23
+SHARD_WORDS = 1 << 21
 #: How pieces are written: a page for each, so that a reader holds one.
 BLOBS = {"compression": "uncompressed", "parquet.page.row.count.limit": "1", "parquet.page.size.row.check.min": "1", "parquet.block.size": str(32 << 20)}
 NO_ID = np.int64(np.iinfo(np.int64).max)
