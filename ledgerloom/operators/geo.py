@@ -130,17 +130,6 @@ def hull_of(lon: pd.Series, lat: pd.Series) -> pd.Series:
     return pd.Series([[{"lon": float(p[0]), "lat": float(p[1])} for p in convex_hull(np.column_stack((x, y)))] for x, y in zip(lon, lat)])
 
 
-def cluster_extents(geo: DataFrame) -> DataFrame:
-    """(cluster, n_objects, dense, hull): one distinct geometry is dense; else the hull of all distinct points. Points are made distinct per cluster before they are gathered."""
-    kinds = geo.groupBy("cluster").agg(F.countDistinct("id").alias("n_objects"), (F.countDistinct(F.xxhash64("coords")) == 1).alias("dense"))
-    points = geo.select("cluster", F.explode("coords").alias("p")).distinct()
-    # The hull of all is the hull of the points' extremes in 64 directions and of those beyond them: a pre-aggregation by cell keeps groups small.
-    cells = points.withColumn("cell", F.pmod(F.xxhash64("p"), F.lit(64)))
-    gathered = lambda rows, *keys: rows.groupBy(*keys).agg(F.collect_list("p").alias("ps")).withColumn("hull", hull_of(F.transform("ps", lambda p: p.lon), F.transform("ps", lambda p: p.lat))).drop("ps")
-    first = gathered(cells, "cluster", "cell").select("cluster", F.explode("hull").alias("p"))
-    return kinds.join(gathered(first, "cluster"), "cluster")
-
-
 def grid_cell(lon: Column, lat: Column) -> Column:
     """One of six cells of 120 by 90 degrees (column_row, from the south-west); the one from 60 W to 60 E north of the equator
     is cut into twelve of 30 by 30, named column_row_column_row. Outer edges belong to the last cell."""
@@ -162,10 +151,11 @@ def characteristic_size(centroids: DataFrame, by: str) -> DataFrame:
 
 
 def merge_labels(labels: Column) -> Column:
-    """One text from label texts: split on /, index triples become _n_n_n, distinct; station codes (XX-Yyy) first, then three-letter codes, others, TA last; each in order of first appearance."""
+    """One text from label texts: split on /, the indices of names with three or more become n (X_1_2_3: X_n_n_n), distinct;
+    station codes (XX-Yyy) first, then three-letter codes, others, TA last; each in order of first appearance."""
     parts = F.filter(F.transform(F.flatten(F.transform(labels, lambda x: F.split(x, "/"))), lambda x: F.trim(x)), lambda x: x != "")
-    named = F.array_distinct(F.transform(parts, lambda x: F.regexp_replace(x, "_[0-9]+_[0-9]+_[0-9]+$", "_n_n_n")))
-    rank = lambda x: F.when(x == "TA", 3).when(x.rlike("^[A-Z]{2}-[A-Z][A-Za-z0-9]{2}$"), 0).when(x.rlike("^[A-Z]{3}$"), 1).otherwise(2)
+    named = F.array_distinct(F.transform(parts, lambda x: F.when(x.rlike("^.+_[0-9]+_[0-9]+_[0-9]+$"), F.regexp_replace(x, "_[0-9]+", "_n")).otherwise(x)))
+    rank = lambda x: F.when(x == "TA", 3).when(x.rlike("^[A-Z]{2}-[A-Za-z][A-Za-z0-9]{2}$"), 0).when(x.rlike("^[A-Z]{3}$"), 1).otherwise(2)
     of = lambda r: F.filter(named, lambda x: rank(x) == r)
     return F.array_join(F.concat(of(0), of(1), of(2), of(3)), ", ")
 

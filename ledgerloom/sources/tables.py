@@ -10,7 +10,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-LOG = "id bigint, tstamp timestamp, assertion boolean, type smallint, subject string, predicate string, object string, litattr string"
+from ledgerloom.sources.log_source import LOG, read_jdbc_log
+
 XSD_STRING = "xsd:string"
 
 PACKAGE = (
@@ -28,9 +29,9 @@ def decode_terms(log: DataFrame) -> DataFrame:
 
 
 def read_update_log(spark: SparkSession, path: str | None = None, from_id: int | None = None, jdbc: dict | None = None) -> DataFrame:
-    """The change log from Parquet or a database, optionally from an id on (the filter reaches the source)."""
+    """The change log from Parquet or a database (in ranges of ids), optionally from an id on (the filter reaches the source)."""
     if jdbc:
-        rows = spark.read.format("jdbc").options(**jdbc).load()
+        rows = read_jdbc_log(spark, jdbc, from_id)
     else:
         rows = spark.read.schema(LOG).parquet(path)
     return decode_terms(rows if from_id is None else rows.where(F.col("id") >= from_id))

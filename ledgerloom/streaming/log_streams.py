@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgerloom.operators.log import STATEMENT
 
+#: Arbitrary state with an initial one needs this store.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def stream_current_statements(log: DataFrame, checkpoint: str, publish: Callable[[DataFrame, int], None]) -> StreamingQuery:
     """Keeps, for each statement, the last record by id; every batch gives ``publish`` the statements whose state it may change (with ``holds``)."""
@@ -55,11 +58,57 @@ def object_rows(log: DataFrame) -> DataFrame:
     return last.where("l.assertion").select("subj", "pred", F.col("l.obj").alias("obj"))
 
 
-def bulk_then_incremental(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame, int]:
-    """(all records so far, a stream of the records after them, the last id of the bulk load)."""
-    bulk = spark.read.schema(schema).parquet(path)
-    last = bulk.agg(F.max("id")).first()[0] or 0
-    return bulk.where(F.col("id") <= last), spark.readStream.schema(schema).parquet(path).where(F.col("id") > last), last
+class LastRecord(StatefulProcessor):
+    """Per statement the last record by id; the state starts from a bulk load's. Records that come late, with an id at or
+    below the bulk's last, count by their own id."""
+
+    def __init__(self, keys: list[str]):
+        self.keys = keys
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "id bigint, assertion boolean")
+
+    def handleInitialState(self, key: tuple, state: pd.DataFrame, timers: object) -> None:
+        self.last.update((int(state.id.iloc[0]), bool(state.assertion.iloc[0])))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
+        last = tuple(self.last.get()) if self.last.exists() else None
+        was = last
+        for pdf in rows:
+            r = pdf.loc[pdf.id.idxmax()]
+            if last is None or r.id > last[0]:
+                last = int(r.id), bool(r.assertion)
+        self.last.update(last)
+        if was is None or was != last:
+            yield pd.DataFrame({**{k: [v] for k, v in zip(self.keys, key)}, "id": [last[0]], "holds": [last[1]]})
+
+    def close(self) -> None:
+        pass
+
+
+def bulk_then_incremental(spark: SparkSession, path: str, schema: str, checkpoint: str, publish: Callable[[DataFrame, int], None]) -> tuple[DataFrame, StreamingQuery]:
+    """(the bulk load's statements, the stream after it) of a log kept as files in a folder.
+
+    The bulk load takes the files that are there when it's first called: its last record of each statement (with ``id`` and
+    ``assertion``) and the names of its files are written beside the checkpoint, and reused when the stream is started again.
+    The stream's state starts from them, and takes the records of all other files, whatever their ids; ``publish`` gets the
+    statements of a batch whose last record changed, with ``holds``."""
+    folder = checkpoint.rstrip("/") + "-bulk"
+    fs = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    there = lambda name: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/_SUCCESS"))
+    if not there("state"):
+        rows = spark.read.schema(schema).parquet(path).select("*", F.col("_metadata.file_path").alias("_file"))
+        keys = [c for c in STATEMENT if c in rows.columns]
+        rows.select("_file").distinct().write.mode("overwrite").parquet(f"{folder}/files")
+        last = rows.groupBy(*keys).agg(F.max("id").alias("id"), F.max_by("assertion", "id").alias("assertion"))
+        last.write.mode("overwrite").parquet(f"{folder}/state")
+    bulk, files = spark.read.parquet(f"{folder}/state"), spark.read.schema("_file string").parquet(f"{folder}/files")
+    keys = [c for c in STATEMENT if c in bulk.columns]
+    rows = spark.readStream.schema(schema).parquet(path).select("*", F.col("_metadata.file_path").alias("_file")).join(files, "_file", "left_anti").drop("_file")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    kinds = {f.name: f.dataType.simpleString() for f in bulk.schema.fields}
+    changed = rows.groupBy(*keys).transformWithStateInPandas(LastRecord(keys), ", ".join(f"{k} {kinds[k]}" for k in keys) + ", id long, holds boolean", "update", "none", initialState=bulk.groupBy(*keys))
+    return bulk, changed.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(publish).trigger(availableNow=True).start()
 
 
 def stream_latest_snapshot(snapshots: DataFrame, checkpoint: str, publish: Callable[[DataFrame, int], None], every: str = "30 seconds", once: bool = False) -> StreamingQuery:
@@ -69,6 +118,15 @@ def stream_latest_snapshot(snapshots: DataFrame, checkpoint: str, publish: Calla
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
-def stream_cost(runs: DataFrame) -> DataFrame:
-    """Costs by client in sliding minutes, late runs up to a minute counted."""
-    return runs.withWatermark("ts", "1 minute").groupBy("client", F.window("ts", "60 seconds", "10 seconds")).agg(F.sum("cost").alias("cost"))
+def stream_cost(runs: DataFrame, minute_quota: float, hour_quota: float, late: str = "1 minute") -> DataFrame:
+    """(client, until, minute_cost, hour_cost, over_quota) for each client and minute with runs (client, ts, cost): the cost of
+    that minute and of the hour that ends with it. Runs up to ``late`` behind the newest one count.
+
+    Costs are added up by minute first, so that a run isn't copied to sixty hours; a minute then counts for each hour that it
+    is in, and apart for the one that it ends. Works on a stream (append mode) and, without lateness, on a table."""
+    minutes = runs.withWatermark("ts", late).groupBy("client", F.window("ts", "60 seconds").alias("minute")).agg(F.sum("cost").alias("cost"))
+    sums = minutes.select("client", F.window_time("minute").alias("at"), "cost")
+    hours = sums.select("client", "at", "cost", F.window("at", "3600 seconds", "60 seconds").alias("hour"))
+    own = F.when(F.col("at") >= F.col("hour.end") - F.expr("INTERVAL 60 SECONDS"), F.col("cost"))
+    costs = hours.groupBy("client", "hour").agg(F.sum(own).alias("minute_cost"), F.sum("cost").alias("hour_cost")).where("minute_cost is not null")
+    return costs.select("client", F.col("hour.end").alias("until"), "minute_cost", "hour_cost", ((F.col("minute_cost") > minute_quota) | (F.col("hour_cost") > hour_quota)).alias("over_quota"))
