@@ -7,19 +7,68 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .statements import KEY
-
-
-def entity_diff(current: DataFrame, new: DataFrame, own: DataFrame | None = None) -> DataFrame:
-    """Updates from the statements of current and new entities: new ones are asserted; a changed value's predecessors of the
-    same (subj, pred) are retracted only if something replaces them; what vanished stays; predicates that the portal
-    (``own``: subj, pred) has taken over are left alone."""
-    if own is not None:
-        taken = own.select("subj", "pred").distinct()
-        new = new.join(taken, ["subj", "pred"], "left_anti")
-    both = current.select(*KEY, F.lit(1).alias("o"), F.lit(0).alias("n")).union(new.select(*KEY, F.lit(0), F.lit(1)))
-    sides = both.groupBy(*KEY).agg(F.max("o").alias("o"), F.max("n").alias("n")).withColumn("replaced", F.max("n").over(Window.partitionBy("subj", "pred")))
-    return sides.where("o <> n and (n = 1 or replaced = 1)").select(*KEY, (F.col("n") == 1).alias("assertion"))
+from ledgerloom.scratch import materialize
+
+from .statements import KEY, materialize_updates, same_key
+
+
+def resolved_ids(current: DataFrame, new: DataFrame, own: DataFrame) -> DataFrame:
+    """(source_id, id) of the new snapshot's entities: the portal's id if it has the entity, else the current one, else the
+    proposed one, numbered where it is taken. current, new, own: source_id, id; of several current ids the least counts."""
+    known = own.groupBy("source_id").agg(F.min("id").alias("own_id")).join(current.groupBy("source_id").agg(F.min("id").alias("cur_id")), "source_id", "full")
+    rows = new.groupBy("source_id").agg(F.min("id").alias("base")).join(known, "source_id", "left").withColumn("id", F.coalesce("own_id", "cur_id"))
+    fresh = rows.where("id is null").select(F.col("source_id").alias("row"), "base")
+    taken = current.select(F.col("id").alias("base")).union(own.select("id")).distinct()
+    return rows.where("id is not null").select("source_id", "id").union(unique_ids(fresh, taken).select("row", "id"))
+
+
+def entity_diff(
+    current: DataFrame, new: DataFrame, own: DataFrame, statements: DataFrame, new_statements: DataFrame, own_statements: DataFrame, retractable: tuple[str, ...] = (), multivalued: tuple[str, ...] = ()
+) -> DataFrame:
+    """Updates (subj, pred, obj, obj_kind, lit_attr, assertion) that bring a source's statements to its new snapshot.
+
+    current, new, own: source_id, id of the entities that the source's graph, the snapshot and the portal's own graph have.
+    statements and own_statements: those graphs. new_statements name entities by source_id, as subject and as object.
+
+    * An entity that neither graph has is asserted, under an id that is free.
+    * A current one keeps its id. Old values fall only where the snapshot has others for the predicate; those of
+      ``retractable`` predicates fall outright.
+    * One that the portal took over moves to the portal's id, with all usages. Predicates that the portal states itself (but
+      ``multivalued`` ones) leave the source's graph; the others follow the snapshot.
+    * What the snapshot lacks stays, with the rule before for entities taken over.
+    Updates without effect are left out, so that a second run has none."""
+    names = materialize(resolved_ids(current, new, own), "names")
+    told = current.select("source_id", "id", F.lit(1).alias("rank")).union(own.select("source_id", "id", F.lit(0)))
+    known = names.union(told.join(names, "source_id", "left_anti").groupBy("source_id").agg(F.min_by("id", F.struct("rank", "id")).alias("id")))
+    as_subject, as_object = names.select(F.col("source_id").alias("subj"), F.col("id").alias("_s")), known.select(F.col("source_id").alias("obj"), F.lit(0).alias("obj_kind"), F.col("id").alias("_o"))
+    came = new_statements.select(*KEY).join(as_subject, "subj").join(as_object, ["obj", "obj_kind"], "left")
+    came = materialize(came.select(F.col("subj").alias("source_id"), F.col("_s").alias("subj"), "pred", F.coalesce("_o", "obj").alias("obj"), "obj_kind", "lit_attr").distinct(), "came")
+
+    ours = own.groupBy("source_id").agg(F.min("id").alias("own_id"))
+    both = current.join(ours, "source_id").groupBy("source_id", "own_id")
+    moved = materialize(both.agg(F.coalesce(F.min(F.when(F.col("id") != F.col("own_id"), F.col("id"))), F.first("own_id")).alias("gone")), "moved")
+    exclusive = own_statements.where(~F.col("pred").isin(list(multivalued))).select(F.col("subj").alias("own_id"), "pred").distinct()
+
+    graph = statements.select(*KEY).distinct()
+    op = lambda df, seq, kind: df.select(F.lit(seq).alias("seq"), *KEY, F.lit(kind).alias("op"))
+    kept = current.join(ours, "source_id", "left_anti").join(new.select("source_id"), "source_id", "left_semi").groupBy("source_id").agg(F.min("id").alias("subj"))
+    held = graph.join(kept.select("subj"), "subj", "left_semi")
+    old = graph.join(moved.select(F.col("gone").alias("subj"), "own_id"), "subj")
+    under = old.withColumn("subj", F.col("own_id"))  # as they are under the portal's id
+    away = F.col("subj") != F.col("own_id")
+    yielded = under.join(exclusive, ["own_id", "pred"], "left_semi")
+    over = came.join(moved.select("source_id", "own_id"), "source_id").join(exclusive, ["own_id", "pred"], "left_anti")
+    plain = came.join(ours, "source_id", "left_anti")
+    ops = [
+        op(old.where(away), 1, "R"), op(old.where(away).withColumn("subj", F.col("own_id")), 2, "A"), op(under, 3, "W"), op(yielded, 4, "R"), op(over, 5, "A"),
+        op(held.where(~F.col("pred").isin(list(retractable))), 3, "W"), op(held.where(F.col("pred").isin(list(retractable))), 4, "R"), op(plain, 5, "A"),
+    ]
+    settled = materialize_updates(reduce(DataFrame.union, ops))
+    usages = graph.where("obj_kind = 0").join(moved.where("gone <> own_id").select(F.col("gone").alias("obj"), "own_id"), "obj")
+    renamed = usages.select(*KEY, F.lit(False).alias("assertion")).union(usages.withColumn("obj", F.col("own_id")).select(*KEY, F.lit(True)))
+    updates = materialize(settled.select(*KEY, "assertion").union(renamed).distinct(), "updates")
+    gone, made, everything = updates.where("not assertion"), updates.where("assertion"), graph.union(own_statements.select(*KEY))
+    return gone.join(graph, same_key(gone, graph), "left_semi").union(made.join(everything, same_key(made, everything), "left_anti"))
 
 
 def unique_ids(new: DataFrame, taken: DataFrame) -> DataFrame:

@@ -121,14 +121,19 @@ def diff_with_stability(old: DataFrame, new: DataFrame, policy: dict[str, str])
 
 
 def materialize_updates(ops: DataFrame) -> DataFrame:
-    """Settle ordered ops (seq, subj, pred, obj, op: A assert, R retract, W retract only if an assertion follows in the same subj and pred).
-
-    Per value, A then R cancel each other, and R then A is an assertion."""
-    last = F.max(F.when(F.col("op") == "A", F.col("seq"))).over(Window.partitionBy("subj", "pred"))
-    live = ops.withColumn("last", last).where((F.col("op") != "W") | (F.col("last") > F.col("seq")))
-    live = live.withColumn("op", F.when(F.col("op") == "W", "R").otherwise(F.col("op")))
-    folded = F.aggregate(F.array_sort(F.collect_list(F.struct("seq", "op"))), F.lit(""), lambda acc, x: F.when((acc == "A") & (x.op == "R"), "").otherwise(x.op))
-    return live.groupBy("subj", "pred", "obj").agg(folded.alias("op")).where("op <> ''").select("subj", "pred", "obj", (F.col("op") == "A").alias("assertion"))
+    """Settle ordered ops (seq, subj, pred, obj, ..., op: A assert, R retract, W retract only if an assertion follows in the
+    same subj and pred).
+
+    Per value, A then R cancel each other, and R then A is an assertion. So what stands is decided by the retractions after a
+    value's last assertion: none leaves the assertion, one cancels it, more retract; without an assertion any retracts. No
+    history is gathered; all is one shuffle by subj and pred."""
+    keys = [c for c in KEY if c in ops.columns]
+    last = lambda *by: F.max(F.when(F.col("op") == "A", F.col("seq"))).over(Window.partitionBy(*by))
+    live = ops.withColumn("_last", last("subj", "pred")).where((F.col("op") != "W") | (F.col("_last") > F.col("seq")))
+    live = live.withColumn("_own", last(*keys))
+    after = F.count(F.when((F.col("op") != "A") & (F.col("_own").isNull() | (F.col("seq") > F.col("_own"))), 1))
+    settled = live.groupBy(*keys).agg(F.max("_own").alias("_own"), after.alias("_after")).where("_own is null or _after <> 1")
+    return settled.select(*keys, (F.col("_after") == 0).alias("assertion"))
 
 
 def effective_only(updates: DataFrame, st: DataFrame) -> DataFrame:

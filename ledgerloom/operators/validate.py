@@ -84,13 +84,30 @@ def growing_grows(packages: DataFrame, objects: DataFrame) -> DataFrame:
     return _rows(packages.where("is_growing").join(own, "previous").where("data_end <= old_end"), "C8", "it doesn't end later than its previous version")
 
 
+def literal_prefix(pattern: Column) -> Column:
+    """The text that every match of a regular expression begins with, as far as its first characters show it: up to the first
+    special character, without a character that a quantifier makes optional; empty if the pattern has alternatives."""
+    bare = F.regexp_replace(pattern, r"^\^", "")
+    text = F.regexp_extract(bare, r"^([^\\\[\](){}.*+?^$|]*)", 1)
+    after = F.substring(bare, F.length(text) + 1, F.lit(1))
+    kept = F.when(after.isin("*", "?", "{"), F.substring(text, F.lit(1), F.greatest(F.length(text) - 1, F.lit(0)))).otherwise(text)
+    return F.when(pattern.contains("|"), "").otherwise(kept)
+
+
 def resolve_variables(names: DataFrame, defs: DataFrame) -> DataFrame:
-    """C9: (name, var): the definition of the same title, else the first matching pattern, mandatory ones first. names: name; defs: var, title, is_pattern, optional. The definitions are a small table of the catalog's own."""
-    exact = names.join(defs.where("not is_pattern"), names["name"] == defs["title"]).select("name", "var", F.lit(0).alias("r"), "optional", "title")
-    open_ = names.join(exact.select("name"), "name", "left_anti")
-    pattern = open_.join(F.broadcast(defs.where("is_pattern")), F.expr("name rlike concat('^(?:', title, ')$')")).select("name", "var", F.lit(1).alias("r"), "optional", "title")
-    w = Window.partitionBy("name").orderBy("r", "optional", "title", "var")
-    return exact.union(pattern).withColumn("k", F.row_number().over(w)).where("k = 1").select("name", "var")
+    """C9: (name, var): the definition of the same title, the last one of equal ones; else the first pattern that matches the
+    whole name, mandatory ones first, in order of the definitions. names: name; defs: nr (their order), var, title, is_pattern,
+    optional.
+
+    Patterns are indexed by their literal prefix: a name meets those whose prefix it begins with, by an equality of texts."""
+    wanted = names.select("name").distinct()
+    titles = defs.where("not is_pattern").groupBy(F.col("title").alias("name")).agg(F.max_by("var", "nr").alias("exact"))
+    known = wanted.join(titles, "name", "left")
+    patterns = defs.where("is_pattern").select("nr", "var", "title", "optional", literal_prefix(F.col("title")).alias("prefix"))
+    prefixes = F.transform(F.sequence(F.lit(0), F.length("name")), lambda k: F.substring("name", F.lit(1), k))
+    begun = known.where("exact is null").select("name", F.explode(prefixes).alias("prefix")).join(patterns, "prefix")
+    found = begun.where(F.expr("name rlike concat('^(?:', title, ')$')")).groupBy("name").agg(F.min_by("var", F.struct("optional", "nr")).alias("matched"))
+    return known.join(found, "name", "left").select("name", F.coalesce("exact", "matched").alias("var")).where("var is not null")
 
 
 def sane_embargo(packages: DataFrame, now) -> DataFrame:

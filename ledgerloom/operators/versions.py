@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ledgerloom.operators.graph import descendants
 from ledgerloom.scratch import discard, materialize
 
 
@@ -143,19 +144,23 @@ def parent_collections(members: DataFrame, coll_edges: DataFrame) -> DataFrame:
     return held.join(replaced, ["member", "coll"], "left_anti")
 
 
-def collection_rollup(members: DataFrame, objects: DataFrame) -> DataFrame:
-    """(coll, n_objects, specs, submitters) over all objects below a collection, through inner collections. members: coll, member."""
-    reach = materialize(members.select("coll", "member").distinct(), "below")
-    n = reach.count()
-    while True:
-        inner = reach.alias("a").join(reach.alias("b"), F.col("a.member") == F.col("b.coll")).select(F.col("a.coll").alias("coll"), F.col("b.member").alias("member"))
-        reach = materialize(reach.union(inner).distinct(), "below")
-        more = reach.count()
-        if more == n:
-            break
-        n = more
-    rows = reach.join(objects.select(F.col("id").alias("member"), "spec", "submitter"), "member")
-    return rows.groupBy("coll").agg(F.countDistinct("member").alias("n_objects"), F.array_join(F.array_sort(F.collect_set("spec")), ",").alias("specs"), F.array_join(F.array_sort(F.collect_set("submitter")), ",").alias("submitters"))
+def collection_rollup(members: DataFrame, objects: DataFrame, **listed: DataFrame) -> DataFrame:
+    """(coll, n_objects, and a sorted list for each of ``listed``) over all objects below a collection, through inner ones.
+
+    members: coll, member; objects: id; listed: for each name a table (id, value), as creators, funders, subjects or formats.
+    Only links between collections are followed, level by level; objects are joined once, at the end. A collection in a cycle
+    has all objects of the cycle."""
+    direct = members.select("coll", "member").distinct()
+    inner = direct.join(direct.select(F.col("coll").alias("member")).distinct(), "member", "left_semi").select(F.col("coll").alias("top"), F.col("member").alias("below"))
+    reach = descendants(inner).select(F.col("top").alias("coll"), F.col("below").alias("under"))
+    reach = reach.union(direct.select("coll", F.col("coll").alias("under")).distinct())
+    held = direct.join(objects.select(F.col("id").alias("member")), "member", "left_semi").withColumnRenamed("coll", "under")
+    below = materialize(reach.join(held, "under").select("coll", F.col("member").alias("id")).distinct(), "below")
+    out = below.groupBy("coll").agg(F.count("*").alias("n_objects"))
+    for name, table in listed.items():
+        values = below.join(table.select("id", F.col("value").cast("string").alias("value")), "id").select("coll", "value").where("value is not null").distinct()
+        out = out.join(values.groupBy("coll").agg(F.array_sort(F.collect_list("value")).alias(name)), "coll", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return out
 
 
 def collection_hash(members: DataFrame) -> DataFrame:
