@@ -5,9 +5,13 @@ min_lon, min_lat, max_lon, max_lat."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from ledgerloom.scratch import materialize
 
 METRES_PER_DEGREE = 111111.0
 EARTH_RADIUS = 6371000.0
@@ -38,25 +42,78 @@ def cluster_id(station: Column, site: Column, is_time_series: Column, wkt: Colum
     return F.when(is_time_series & station.isNotNull(), station).when(site.isNotNull(), site).otherwise(F.md5(wkt))
 
 
-def to_geojson(coords: str = "coords", geom_type: str = "geom_type") -> Column:
-    """GeoJSON text; rings are closed."""
+def _geometry_json(coords: Column, kind: Column) -> Column:
+    """GeoJSON text of a part; rings are closed."""
     pair = F.transform(coords, lambda p: F.array(p["lon"], p["lat"]))
-    ring = F.when(F.element_at(pair, 1) == F.element_at(pair, -1), pair).otherwise(F.array_append(pair, F.element_at(pair, 1)))
+    ring = F.when((F.size(pair) < 3) | (F.element_at(pair, 1) == F.element_at(pair, -1)), pair).otherwise(F.array_append(pair, F.element_at(pair, 1)))
     of = lambda name, c: F.to_json(F.struct(F.lit(name).alias("type"), c.alias("coordinates")))
-    return F.when(F.col(geom_type) == "point", of("Point", F.element_at(pair, 1))).when(F.col(geom_type) == "line", of("LineString", pair)).otherwise(of("Polygon", F.array(ring)))
+    return F.when(kind.isin("point", "circle", "pin"), of("Point", F.element_at(pair, 1))).when(kind == "line", of("LineString", pair)).otherwise(of("Polygon", F.array(ring)))
 
 
-def parse_geojson(text: str = "geojson") -> Column:
-    """struct<coords, geom_type> of a Point, LineString or Polygon text (the outer ring), or of a Feature's geometry; else null."""
-    raw = F.coalesce(F.get_json_object(text, "$.geometry"), F.col(text))
-    kind = F.get_json_object(raw, "$.type")
-    body = F.get_json_object(raw, "$.coordinates")
-    points = lambda c: F.transform(c, lambda p: F.struct(F.get(p, F.lit(0)).alias("lon"), F.get(p, F.lit(1)).alias("lat")))
-    point = points(F.array(F.from_json(body, "array<double>")))
-    line = points(F.from_json(body, "array<array<double>>"))
-    polygon = points(F.get(F.from_json(body, "array<array<array<double>>>"), F.lit(0)))
-    make = lambda c, n: F.struct(c.alias("coords"), F.lit(n).alias("geom_type"))
-    return F.when(kind == "Point", make(point, "point")).when(kind == "LineString", make(line, "line")).when(kind == "Polygon", make(polygon, "polygon"))
+def to_geojson(coords: str = "coords", geom_type: str = "geom_type") -> Column:
+    """GeoJSON text of a geometry; rings are closed."""
+    return _geometry_json(F.col(coords), F.col(geom_type))
+
+
+def parts_to_geojson(parts: Column) -> Column:
+    """GeoJSON text of parts (coords, geom_type, radius, pin, label): one part as itself, more as a GeometryCollection, or, where
+    one has a label, a radius (metres, two decimals) or a pin, as a FeatureCollection."""
+    featured = lambda p: p["label"].isNotNull() | p["radius"].isNotNull() | p["pin"].isNotNull()
+    props = lambda p: F.to_json(F.struct(F.round(p["radius"], 2).alias("radius"), p["pin"].alias("pinkind"), p["label"].alias("label")))
+    geometry = lambda p: _geometry_json(p["coords"], p["geom_type"])
+    feature = lambda p: F.concat(F.lit('{"type":"Feature","geometry":'), geometry(p), F.lit(',"properties":'), props(p), F.lit("}"))
+    joined = lambda c, head: F.concat(F.lit(head), F.array_join(c, ","), F.lit("]}"))
+    many = F.when(F.exists(parts, featured), joined(F.transform(parts, feature), '{"type":"FeatureCollection","features":[')).otherwise(joined(F.transform(parts, geometry), '{"type":"GeometryCollection","geometries":['))
+    one = F.when(F.exists(parts, featured), F.element_at(F.transform(parts, feature), 1)).otherwise(F.element_at(F.transform(parts, geometry), 1))
+    return F.when(F.size(parts) == 1, one).otherwise(many)
+
+
+def parse_geojson(rows: DataFrame, key: str, text: str = "geojson") -> DataFrame:
+    """The simple parts of GeoJSON texts: (key, path, geom_type, coords, alt, radius, pin, labels, error).
+
+    ``path`` has the part's places in the collections around it, from 0; ``labels`` those of the features around it, outermost
+    first. geom_type is point, line, polygon, circle (a point whose feature has a radius) or pin (one with a pinkind); Multi
+    geometries give their parts. Rings lose their last point, which repeats the first. A text or part that isn't one of these,
+    or a polygon with holes, gives one row with an ``error`` and no coords. Texts are read as variants; collections are opened
+    level by level, as deep as they go."""
+    V = lambda path, kind: F.try_variant_get("v", path, kind)
+    empty = F.array().cast("array<string>")
+    level = rows.select(F.col(key).alias("key"), F.array().cast("array<int>").alias("path"), empty.alias("labels"), F.lit(None).cast("double").alias("radius"), F.lit(None).cast("string").alias("pin"), F.lit(False).alias("bad"), F.col(text).alias("json"))
+    done = []
+    while True:
+        read = level.withColumn("v", F.try_parse_json("json")).withColumn("type", V("$.type", "string"))
+        kind = F.col("type")
+        many = F.when(kind == "GeometryCollection", V("$.geometries", "array<variant>")).when(kind == "FeatureCollection", V("$.features", "array<variant>")).otherwise(V("$.coordinates", "array<variant>"))
+        opened = kind.isin("GeometryCollection", "FeatureCollection", "MultiPoint", "MultiLineString", "MultiPolygon") & many.isNotNull()
+        is_feature = (kind == "Feature") & V("$.geometry", "variant").isNotNull()
+        part = F.when(kind.startswith("Multi"), F.concat(F.lit('{"type":"'), F.substring(kind, F.lit(6), F.length(kind)), F.lit('","coordinates":'), F.to_json("item"), F.lit("}"))).otherwise(F.to_json("item"))
+        inner = read.where(opened).select("*", F.posexplode(many).alias("at", "item")).select("key", F.array_append("path", F.col("at")).alias("path"), "labels", F.lit(None).cast("double").alias("radius"), F.lit(None).cast("string").alias("pin"), F.lit(False).alias("bad"), part.alias("json"))
+        label = V("$.properties.label", "string")
+        point = V("$.geometry.type", "string") == "Point"
+        has = lambda name: point & V(f"$.properties.{name}", "variant").isNotNull()
+        wrong = has("radius") & V("$.properties.radius", "double").isNull()
+        features = read.where(is_feature).select(
+            "key", "path", F.when(label.isNull(), F.col("labels")).otherwise(F.array_append("labels", label)).alias("labels"), F.when(has("radius"), V("$.properties.radius", "double")).alias("radius"),
+            F.when(has("pinkind") & ~has("radius"), V("$.properties.pinkind", "string")).alias("pin"), F.coalesce(wrong, F.lit(False)).alias("bad"), F.to_json(V("$.geometry", "variant")).alias("json"),
+        )
+        done.append(read.where(~F.coalesce(opened | is_feature, F.lit(False))))
+        level = materialize(inner.unionByName(features), "geojson")
+        if level.isEmpty():
+            break
+    simple = reduce(DataFrame.unionByName, done)
+    kind = F.col("type")
+    whole = lambda p: F.size(p) >= 2
+    raw = F.when(kind == "Point", F.array(V("$.coordinates", "array<double>"))).when(kind == "LineString", V("$.coordinates", "array<array<double>>"))
+    rings = V("$.coordinates", "array<array<array<double>>>")
+    ring = F.when((kind == "Polygon") & (F.size(rings) == 1) & (F.size(F.get(rings, F.lit(0))) >= 2), F.slice(F.get(rings, F.lit(0)), F.lit(1), F.size(F.get(rings, F.lit(0))) - 1))
+    simple = simple.withColumn("raw", F.coalesce(raw, ring)).withColumn("fits", (F.size("raw") > 0) & F.forall("raw", lambda p: p.isNotNull() & whole(p)) & ~F.col("bad"))
+    ok = F.coalesce("fits", F.lit(False))
+    coords = F.transform("raw", lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat"))).cast(POINT_LIST)
+    named = F.when((kind == "Point") & F.col("radius").isNotNull(), "circle").when((kind == "Point") & F.col("pin").isNotNull(), "pin").when(kind == "Point", "point").when(kind == "LineString", "line").when(kind == "Polygon", "polygon")
+    return simple.select(
+        F.col("key").alias(key), "path", F.when(ok, named).alias("geom_type"), F.when(ok, coords).alias("coords"), F.when(ok & (kind == "Point"), F.try_element_at(F.get("raw", F.lit(0)), F.lit(3))).alias("alt"),
+        F.when(ok & (kind == "Point"), F.col("radius")).alias("radius"), F.when(ok & (kind == "Point"), F.col("pin")).alias("pin"), "labels", F.when(~ok, F.coalesce(F.concat(F.lit("not a geometry: "), kind), F.lit("not GeoJSON"))).alias("error"),
+    )
 
 
 def segments_cross(a: np.ndarray, b: np.ndarray) -> bool:
@@ -105,6 +162,47 @@ def intersecting(geo: DataFrame, area: list[tuple[float, float]]) -> DataFrame:
     return near.where(inside).union(near.where(~inside).where(test))
 
 
+#: Levels of the layout's cells: 360 degrees over 2**level on each side; the finest has 16 by 8 cells.
+LAYOUT_LEVELS = 4
+
+
+def _layout_cell(level: Column, x: Column, y: Column) -> Column:
+    return F.concat_ws("_", level.cast("string"), x.cast("string"), y.cast("string"))
+
+
+def write_layout(geo: DataFrame, path: str) -> None:
+    """Geometries with envelopes, written for box queries: a folder for each cell, rows in order of their envelopes.
+
+    A geometry lies in the cell of its envelope's centre at the finest level whose cells are as large as it, once; it reaches
+    into neighbouring cells by half a cell at most. Rows are dealt to tasks by ranges of cell and place, so that a cell with
+    many rows is written by several tasks."""
+    extent = F.greatest(F.col("max_lon") - F.col("min_lon"), F.col("max_lat") - F.col("min_lat"))
+    level = F.when(extent > 0, F.least(F.greatest(F.floor(F.log2(F.lit(360.0) / extent)), F.lit(0)), F.lit(LAYOUT_LEVELS))).otherwise(LAYOUT_LEVELS)
+    at = lambda low, high, first: F.floor(((F.col(low) + F.col(high)) / 2 - first) / (F.lit(360.0) / F.pow(F.lit(2.0), level)))
+    rows = geo.withColumn("cell", _layout_cell(level, at("min_lon", "max_lon", -180), at("min_lat", "max_lat", -90)))
+    rows.repartitionByRange("cell", "min_lon", "min_lat").sortWithinPartitions("cell", "min_lon", "min_lat").write.partitionBy("cell").parquet(path)
+
+
+def cells_of(box: tuple[float, float, float, float]) -> list[str]:
+    """The layout's cells that can hold a geometry meeting a box (min_lon, min_lat, max_lon, max_lat)."""
+    out = []
+    for level in range(LAYOUT_LEVELS + 1):
+        size = 360 / 2**level
+        (x0, x1), (y0, y1) = ((int(np.floor((box[k] - size / 2 - first) / size)), int(np.floor((box[k + 2] + size / 2 - first) / size))) for k, first in ((0, -180), (1, -90)))
+        out += [f"{level}_{x}_{y}" for x in range(max(x0, -1), min(x1, 2**level) + 1) for y in range(max(y0, -1), min(y1, 2**level) + 1)]
+    return out
+
+
+def read_layout(spark: SparkSession, path: str, area: list[tuple[float, float]] | None = None) -> DataFrame:
+    """The geometries of a layout that meet a polygon (none: all): cells prune folders, envelopes prune row groups, and what these
+    don't decide gets the exact test."""
+    rows = spark.read.parquet(path)
+    if area is None:
+        return rows
+    xs, ys = [float(p[0]) for p in area], [float(p[1]) for p in area]
+    return intersecting(rows.where(F.col("cell").isin(cells_of((min(xs), min(ys), max(xs), max(ys))))), area)
+
+
 def convex_hull(points: np.ndarray) -> np.ndarray:
     """Monotone chain; counter-clockwise, not closed."""
     pts = np.unique(points, axis=0)

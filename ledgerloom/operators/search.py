@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerloom.operators.geo import intersecting
+
 
 class Filter:
     """A condition on object rows; & | ~ combine. A null property satisfies no condition, and so every negated one."""
@@ -14,6 +17,14 @@ class Filter:
     def column(self) -> Column:
         raise NotImplementedError
 
+    def prepare(self, objects: DataFrame) -> DataFrame:
+        """objects with the columns that column() needs besides their own."""
+        return objects
+
+    def found(self, objects: DataFrame) -> DataFrame:
+        """The rows of objects that satisfy the condition."""
+        return self.prepare(objects).where(self.column()).select(*objects.columns)
+
     def __and__(self, other: Filter) -> Filter:
         return And(self, other)
 
@@ -44,22 +55,31 @@ class Nothing(Filter):
         return F.lit(False)
 
 
-class And(Filter):
-    """Without parts: everything."""
-
+class Parts(Filter):
     def __init__(self, *parts: Filter):
         self.parts = parts
 
+    def prepare(self, objects: DataFrame) -> DataFrame:
+        return reduce(lambda o, p: p.prepare(o), self.parts, objects)
+
+
+class And(Parts):
+    """Without parts: everything."""
+
+    def found(self, objects: DataFrame) -> DataFrame:
+        """Conditions on columns first; a part that needs another table then is a semi join, not a flag."""
+        plain = And(*(p for p in self.parts if not isinstance(p, Related))) if any(isinstance(p, Related) for p in self.parts) else None
+        if plain is None:
+            return super().found(objects)
+        return reduce(lambda o, p: p.found(o), (p for p in self.parts if isinstance(p, Related)), plain.found(objects))
+
     def column(self) -> Column:
         return reduce(lambda a, b: a & b, (p.column() for p in self.parts), F.lit(True))
 
 
-class Or(Filter):
+class Or(Parts):
     """Without parts: nothing."""
 
-    def __init__(self, *parts: Filter):
-        self.parts = parts
-
     def column(self) -> Column:
         return reduce(lambda a, b: a | b, (p.column() for p in self.parts), F.lit(False))
 
@@ -68,10 +88,52 @@ class Not(Filter):
     def __init__(self, part: Filter):
         self.part = part
 
+    def prepare(self, objects: DataFrame) -> DataFrame:
+        return self.part.prepare(objects)
+
     def column(self) -> Column:
         return ~self.part.column()
 
 
+class Related(Filter):
+    """Rows whose value of ``name`` is among those of a table's first column: a semi join, or, below Or and Not, a flag."""
+
+    def __init__(self, name: str, table: DataFrame):
+        self.name, self.table, self.flag = name, table.toDF("_value").where("_value is not null").distinct(), f"_related_{uuid.uuid4().hex}"
+
+    def prepare(self, objects: DataFrame) -> DataFrame:
+        if self.flag in objects.columns:
+            return objects
+        flags = self.table.select(F.col("_value").alias(f"{self.flag}_key"), F.lit(True).alias(self.flag))
+        return objects.join(flags, objects[self.name] == flags[f"{self.flag}_key"], "left").drop(f"{self.flag}_key")
+
+    def found(self, objects: DataFrame) -> DataFrame:
+        return objects.join(self.table, objects[self.name] == self.table["_value"], "left_semi")
+
+    def column(self) -> Column:
+        return F.coalesce(F.col(self.flag), F.lit(False))
+
+
+def intersects(geometries: DataFrame, area: list[tuple[float, float]], name: str = "id") -> Filter:
+    """Objects with any geometry that meets a polygon. geometries: ``name``, coords, geom_type and the envelope, best from a layout."""
+    return Related(name, intersecting(geometries, area).select(name))
+
+
+def any_of(name: str, values: DataFrame) -> Filter:
+    """The property's value is in a table, of any length."""
+    return Related(name, values)
+
+
+def has_keyword(bridge: DataFrame, wanted: Iterable[str]) -> Filter:
+    """Objects with any of the keywords; bridge: id, keyword."""
+    return Related("id", bridge.where(F.col("keyword").isin(list(wanted))).select("id"))
+
+
+def has_variable(variables: DataFrame, wanted: Iterable[str]) -> Filter:
+    """Objects with any of the variables; variables: id, variable."""
+    return Related("id", variables.where(F.col("variable").isin(list(wanted))).select("id"))
+
+
 def exists(name: str, listed: bool = False) -> Filter:
     """The property is present; a listed one isn't empty."""
     return Where(F.size(name) > 0 if listed else F.col(name).isNotNull())
@@ -113,7 +175,7 @@ def is_complete() -> Filter:
 
 def fetch_objects(objects: DataFrame, condition: Filter = All(), sort: str | None = None, descending: bool = False, offset: int = 0, limit: int | None = None) -> DataFrame:
     """Filtered objects; sorting leaves out those without the property, ties by id ascending."""
-    found = objects.where((is_complete() & condition).column())
+    found = And(is_complete(), *(condition.parts if isinstance(condition, And) else [condition])).found(objects)
     if sort:
         found = found.where(F.col(sort).isNotNull()).orderBy(F.col(sort).desc() if descending else F.col(sort).asc(), F.col("id").asc())
     found = found.offset(offset) if offset else found
@@ -162,12 +224,12 @@ def deprecation_flag(objects: DataFrame, edges: DataFrame, members: DataFrame |
 def object_stats(objects: DataFrame, condition: Filter = All(), by_site: bool = True) -> DataFrame:
     """Counts by spec, submitter, station and site; null stations and sites are groups."""
     keys = ["spec", "submitter", "station", *(["site"] if by_site else [])]
-    return objects.where((is_complete() & condition).column()).groupBy(*keys).agg(F.count("*").alias("n"))
+    return fetch_objects(objects, condition).groupBy(*keys).agg(F.count("*").alias("n"))
 
 
 def object_stats_rollup(objects: DataFrame, condition: Filter = All()) -> DataFrame:
     """Counts with and without site in one pass; ``with_site`` tells them apart."""
-    found = objects.where((is_complete() & condition).column())
+    found = fetch_objects(objects, condition)
     sets = found.groupingSets([["spec", "submitter", "station", "site"], ["spec", "submitter", "station"]], "spec", "submitter", "station", "site")
     return sets.agg(F.count("*").alias("n"), (F.grouping("site") == 0).alias("with_site"))
 
