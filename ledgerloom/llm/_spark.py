@@ -32,3 +32,14 @@ def fresh(df: DataFrame, name: str) -> str:
 def clean_text(df: DataFrame, text: str = "text") -> Column:
     """The text as UTF-8 bytes for Arrow, null as empty."""
     return F.coalesce(F.col(text).cast("binary"), F.lit(b"").cast("binary"))
+
+
+def bound_for(sample: int, n: int) -> int | None:
+    """Below which a 63-bit hash is chosen, so that about ``sample`` of n rows are; None for all."""
+    return None if n <= sample else max(1, (sample << 63) // n)
+
+
+def chosen(hash: Column, sample: int, n: int) -> Column:
+    """Whether a row with this 64-bit hash is among about ``sample`` of n rows, for any n."""
+    bound = bound_for(sample, n)
+    return F.lit(True) if bound is None else hash.bitwiseAND(F.lit((1 << 63) - 1)) < F.lit(bound)

@@ -30,7 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._spark import clean_text, materialize
+from ._spark import chosen, clean_text, materialize
 
 #: Kinds, in the order in which spans of equal start are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -350,19 +350,18 @@ def _fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def train(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Weights (kind, feature), from snippets around the base spans of at most about ``sample`` documents that have digits or an @."""
     rows = docs.select(F.xxhash64("text").alias("h"), clean_text(docs).alias("text")).where(F.col("text").cast("string").rlike(r"[0-9]{4}|@"))
-    share = min(1.0, sample / max(1, rows.count()))
-    chosen = rows.where(F.pmod("h", F.lit(1_000_000)) < round(share * 1_000_000)).select("text")
-    snippets = materialize(chosen.mapInArrow(_examples, "snippet string, start int, end int, kind int"), "snippets")
+    some = rows.where(chosen(F.col("h"), sample, rows.count())).select("text")
+    snippets = materialize(some.mapInArrow(_examples, "snippet string, start int, end int, kind int"), "snippets")
     weights = np.zeros((NONE, COLUMNS))
     if snippets.where("kind >= 0").isEmpty():
         weights[:, _hash("bias")] = -50.0
         return weights
     kinds = len(KINDS) + 1
     by_kind = [snippets.where(F.col("kind") == k).distinct().orderBy(F.xxhash64("snippet", "start"), "snippet").limit(SNIPPETS // kinds) for k in range(-1, len(KINDS))]
-    chosen = by_kind[0]
+    some = by_kind[0]
     for part in by_kind[1:]:
-        chosen = chosen.union(part)
-    found = chosen.repartition(1).mapInPandas(_fit, "kind int, feature int, weight double, n long").toPandas()
+        some = some.union(part)
+    found = some.repartition(1).mapInPandas(_fit, "kind int, feature int, weight double, n long").toPandas()
     weights[found.kind, found.feature] = found.weight
     return weights
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ._arrays import long_lists, mix, slices
-from ._spark import clean_text, fresh, materialize
+from ._spark import chosen, clean_text, fresh, materialize
 
 #: Labelled rows that a classifier is fitted to, about.
 SAMPLE = 12_000
@@ -161,15 +161,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
     spark = docs.sparkSession
     marked = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max(F.col("label").cast("int")).alias("label"))
     marked = materialize(marked, "labels")
-    share = min(1.0, sample / max(1, marked.count()))
-    chosen = marked.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000)) < round(share * 1_000_000))
+    ids = marked.where(chosen(F.xxhash64(F.lit(11), "doc_id"), sample, marked.count()))
     # The chosen ids are about ``sample``; a repeated text of an id counts once.
-    rows = docs.select("doc_id", clean_text(docs).alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"])
+    rows = docs.select("doc_id", clean_text(docs).alias("text")).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id", "text"])
     rows = materialize(rows.select("label", "text"), "sample")
     n = rows.count()
     if n > 1.25 * sample:  # ids with several texts: some of these
-        part = F.pmod(F.xxhash64(F.lit(12), "text", F.monotonically_increasing_id()), F.lit(1_000_000)) < round(sample / n * 1_000_000)
-        rows = materialize(rows.where(part), "sample")
+        rows = materialize(rows.where(chosen(F.xxhash64(F.lit(12), "text", F.monotonically_increasing_id()), sample, n)), "sample")
     seen = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not seen.get(0) or not seen.get(1):
         share_toxic = 1.0 if seen.get(1) else 0.0

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import _arrays, periodic_runs, spelling, substring_dedup
+from ledgerloom.llm import _arrays, _spark, periodic_runs, spelling, substring_dedup
 from ledgerloom.llm._arrays import mix
 from ledgerloom.llm.queries import QUERIES
 
@@ -267,3 +267,16 @@ def test_substring_dedup_awkward(spark, awkward, nothing):
     assert in_order(tuple(r) for r in found) == in_order(without_repeats(rows, 13))
     assert sorted(r.n_removed for r in found if r.doc_id == 6) == [40_000, 40_000]
     assert substring_dedup.remove_repeats(nothing).count() == 0
+
+
+def test_samples_of_any_number_of_rows(spark):
+    """About as many rows as asked for, never none, also of far more rows than a bound in millionths could tell apart."""
+    assert _spark.bound_for(4000, 4000) is None and _spark.bound_for(4000, 10**30) == 1
+    for n in (10**6, 10**11, 10**14):
+        assert abs(_spark.bound_for(4000, n) / (1 << 63) * n / 4000 - 1) < 0.001
+    rows = spark.range(200_000).select(F.xxhash64("id").alias("h"))
+    assert 3600 < rows.where(_spark.chosen(F.col("h"), 4000, 200_000)).count() < 4400
+    assert rows.where(_spark.chosen(F.col("h"), 200_000, 200_000)).count() == 200_000
+    # Of 1e11 rows about one in 25 million: as many of the least hashes are chosen.
+    some = spark.range(0, 40_000_000, numPartitions=8).select(F.xxhash64("id").alias("h")).where(_spark.chosen(F.col("h"), 400_000, 10**11)).count()
+    assert 100 < some < 230
