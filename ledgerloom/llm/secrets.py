@@ -5,8 +5,8 @@ strings, runs of 20 and more characters out of letters, digits and ``+/_=-``: a
 candidate, with a count for each character; a step changes the counts of the character that leaves and of the one that
 enters, and by these the window's Shannon entropy. A candidate is a secret if a window's entropy is at least the
 threshold of its character class (hex digits, letters and digits, base64). Allow-listed strings (placeholders, digests
-with a prefix, identifiers, paths, runs of one case without digits) are suppressed. A candidate that holds a base match
-or is part of an assigned value is left to the base kinds.
+with a prefix, identifiers, paths, runs of one case without digits) are suppressed. Candidates end before a base match and go
+on behind it, so that what base spans leave of a run is looked at, and they are not.
 
 The work grows in proportion to the text, also for a long candidate or very many matches: places are running sums, kept
 in chunks. Positions count code points; ends are exclusive; byte_start and byte_end count UTF-8 bytes. Null and empty
@@ -26,7 +26,8 @@ from ._spark import fresh
 ASSIGN = r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+LETTER = r"[A-Za-z0-9+/_=-]"
+CANDIDATE = LETTER + "{20,}"
 ORDER = {"assign": 0, "access": 1, "hex": 2, "entropy": 3}
 WINDOW = 20
 #: Bits a character that a window must reach, by the candidate's character class.
@@ -40,6 +41,8 @@ ALLOWED = (
 )
 #: An assigned value that counts.
 ASSIGNED = ASSIGN[: -len("+)")] + "{6,})"
+#: Base matches, or else what candidates are cut to by them.
+CUT = f"{ASSIGNED}|{ACCESS}|{HEX}|(?:(?!{ASSIGNED}|{ACCESS}|{HEX}){LETTER}){{20,}}+"
 #: Elements of a running sum that are in one list while it is made.
 CHUNK = 256
 #: Codes of the characters that a window counts, from the first one on.
@@ -133,8 +136,8 @@ def find_secrets(docs: DataFrame, text: str = "text", out: str = "secrets") -> D
     """docs with ``out``: array<struct<start, order, end, kind, value, checked, byte_start, byte_end>> by start, then kind as listed."""
     whole = F.coalesce(F.col(text), F.lit(""))
     base = F.concat(spans_of(whole, ASSIGN, "assign", 2, 6), spans_of(whole, ACCESS, "access"), spans_of(whole, HEX, "hex"))
-    # Assigned values are matched here too, so that no candidate is found inside them.
-    others = spans_of(whole, f"{ASSIGNED}|{CANDIDATE}", "entropy", where=CANDIDATE)
+    # Base matches are matched here too, so that candidates are what is between them.
+    others = spans_of(whole, CUT, "entropy", where=CANDIDATE)
     own = lambda s: ~s.value.rlike(f"{ASSIGNED}|{ACCESS}|{HEX}") & _is_secret(s.value)
     return docs.withColumn(out, F.array_sort(F.concat(base, F.filter(others, own))))
 
