@@ -48,8 +48,22 @@ def deployments_for(objects: DataFrame, deployments: DataFrame, keys: list[str],
 
 
 def authors_of(objects: DataFrame, memberships: DataFrame) -> DataFrame:
-    """(id, authors): distinct persons whose membership at the station overlaps the acquisition, by weight (descending) and name. memberships: station, person, weight, start, stop."""
-    rows = deployments_for(objects, memberships, ["station"]).groupBy("id", "person").agg(F.max("weight").alias("weight"))
+    """(id, authors): distinct persons whose membership at the station overlaps the acquisition, by weight (descending; without
+    one last) and name. memberships: station, person, weight, start, stop, and extra, if there.
+
+    Where objects have ``weighted`` (their theme wants weights), memberships without a weight don't count for these, and, if
+    the membership names species (``extra``: a comma list) and the object has ``columns`` (an array of labels), one of the
+    species must occur in a column's label or in ``spec_label``, in any case."""
+    if "weighted" in objects.columns:
+        told = [c for c in ("weighted", "columns", "spec_label") if c in objects.columns]
+        pairs = deployments_for(objects, memberships, ["station"]).join(objects.select("id", *told), "id")
+        species = F.filter(F.transform(F.split(F.lower("extra"), ","), lambda x: F.trim(x)), lambda x: x.isNotNull())
+        within = lambda x: F.exists("columns", lambda c: F.contains(F.lower(c), x)) | F.contains(F.lower(F.coalesce("spec_label", F.lit(""))), x)
+        named = F.col("extra").isNull() | F.col("columns").isNull() | F.exists(species, within)
+        pairs = pairs.where(~F.coalesce("weighted", F.lit(False)) | F.col("weight").isNotNull() & named)
+    else:
+        pairs = deployments_for(objects, memberships, ["station"])
+    rows = pairs.groupBy("id", "person").agg(F.max("weight").alias("weight"))
     order = F.array_sort(F.collect_list(F.struct((-F.coalesce("weight", F.lit(0))).alias("w"), "person")))
     return rows.groupBy("id").agg(F.transform(order, lambda x: x.person).alias("authors"))
 

@@ -73,9 +73,29 @@ def same_on_reupload(packages: DataFrame, objects: DataFrame) -> DataFrame:
     return _rows(both.where("submitter <> s"), "C6", "submitter changed").union(_rows(both.where("spec <> f"), "C6", "format changed"))
 
 
-def spec_fits(packages: DataFrame, specs: DataFrame) -> DataFrame:
-    """C7: the spec is known."""
-    return _rows(packages.join(specs, "spec", "left_anti"), "C7", "unknown spec")
+def spec_fits(packages: DataFrame, specs: DataFrame, defs: DataFrame | None = None, row_info: tuple[int, ...] = ()) -> DataFrame:
+    """C7: the spec is known and fits the package.
+
+    packages: spec and, if there, is_spatial, data_start, n_rows, variables (array). specs: spec and, if there, spatial (its
+    datasets are spatio-temporal, else station time series), dataset (null: the spec has none), format. defs: dataset and the
+    columns of resolve_variables. A spatial package's variables need a dataset, and one of its definitions each. A time series
+    needs an interval if there is no dataset, else its number of rows, unless the format (``row_info``) tells it itself."""
+    rows = [_rows(packages.join(specs, "spec", "left_anti"), "C7", "unknown spec")]
+    if "spatial" not in specs.columns:
+        return rows[0]
+    both = packages.join(specs.select("spec", "spatial", "dataset", "format"), "spec")
+    fits = both.where(F.col("is_spatial") == F.col("spatial"))
+    rows += [
+        _rows(both.where("is_spatial and not spatial"), "C7", "dataset must be spatiotemporal"), _rows(both.where("not is_spatial and spatial"), "C7", "dataset must be a station's time series"),
+        _rows(fits.where("not is_spatial and dataset is null and data_start is null"), "C7", "interval is missing"),
+        _rows(fits.where("not is_spatial and dataset is not null and n_rows is null").where(~F.col("format").isin(list(row_info))), "C7", "number of rows is missing"),
+        _rows(fits.where("is_spatial and dataset is null and size(variables) > 0"), "C7", "spec has no dataset for variables"),
+    ]
+    if defs is not None:
+        named = fits.where("is_spatial and dataset is not null").select("pkg_id", "dataset", F.explode(F.array_distinct("variables")).alias("name"))
+        known = resolve_variables(named, defs, ["dataset"])
+        rows.append(_rows(named.join(known, ["dataset", "name"], "left_anti"), "C7", F.concat(F.lit("unknown variable "), F.col("name"))))
+    return reduce(DataFrame.union, rows)
 
 
 def growing_grows(packages: DataFrame, objects: DataFrame) -> DataFrame:
@@ -94,20 +114,21 @@ def literal_prefix(pattern: Column) -> Column:
     return F.when(pattern.contains("|"), "").otherwise(kept)
 
 
-def resolve_variables(names: DataFrame, defs: DataFrame) -> DataFrame:
-    """C9: (name, var): the definition of the same title, the last one of equal ones; else the first pattern that matches the
-    whole name, mandatory ones first, in order of the definitions. names: name; defs: nr (their order), var, title, is_pattern,
-    optional.
+def resolve_variables(names: DataFrame, defs: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """C9: (*keys, name, var): the definition of the same title, the last one of equal ones; else the first pattern that matches
+    the whole name, mandatory ones first, in order of the definitions. names: *keys, name; defs: *keys, nr (their order), var,
+    title, is_pattern, optional; ``keys`` say which definitions a name has.
 
     Patterns are indexed by their literal prefix: a name meets those whose prefix it begins with, by an equality of texts."""
-    wanted = names.select("name").distinct()
-    titles = defs.where("not is_pattern").groupBy(F.col("title").alias("name")).agg(F.max_by("var", "nr").alias("exact"))
-    known = wanted.join(titles, "name", "left")
-    patterns = defs.where("is_pattern").select("nr", "var", "title", "optional", literal_prefix(F.col("title")).alias("prefix"))
+    keys = keys or []
+    wanted = names.select(*keys, "name").distinct()
+    titles = defs.where("not is_pattern").groupBy(*keys, F.col("title").alias("name")).agg(F.max_by("var", "nr").alias("exact"))
+    known = wanted.join(titles, [*keys, "name"], "left")
+    patterns = defs.where("is_pattern").select(*keys, "nr", "var", "title", "optional", literal_prefix(F.col("title")).alias("prefix"))
     prefixes = F.transform(F.sequence(F.lit(0), F.length("name")), lambda k: F.substring("name", F.lit(1), k))
-    begun = known.where("exact is null").select("name", F.explode(prefixes).alias("prefix")).join(patterns, "prefix")
-    found = begun.where(F.expr("name rlike concat('^(?:', title, ')$')")).groupBy("name").agg(F.min_by("var", F.struct("optional", "nr")).alias("matched"))
-    return known.join(found, "name", "left").select("name", F.coalesce("exact", "matched").alias("var")).where("var is not null")
+    begun = known.where("exact is null").select(*keys, "name", F.explode(prefixes).alias("prefix")).join(patterns, [*keys, "prefix"])
+    found = begun.where(F.expr("name rlike concat('^(?:', title, ')$')")).groupBy(*keys, "name").agg(F.min_by("var", F.struct("optional", "nr")).alias("matched"))
+    return known.join(found, [*keys, "name"], "left").select(*keys, "name", F.coalesce("exact", "matched").alias("var")).where("var is not null")
 
 
 def sane_embargo(packages: DataFrame, now) -> DataFrame:

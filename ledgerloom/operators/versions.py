@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ledgerloom.functions.terms import hash_id
 from ledgerloom.operators.graph import descendants
 from ledgerloom.scratch import discard, materialize
 
 
-def next_versions(edges: DataFrame, items: DataFrame, members: DataFrame | None = None) -> DataFrame:
-    """(id, next): direct successors that are complete; a plain collection stands for its members. members: coll, member (plain ones)."""
+def next_versions(edges: DataFrame, items: DataFrame, members: DataFrame | None = None, now=None) -> DataFrame:
+    """(id, next): direct successors that are complete and, at ``now``, not under embargo; a plain collection stands for its
+    members. items: id, size, and embargo_until where ``now`` is given; members: coll, member (plain ones)."""
     steps = edges.select(F.col("old").alias("id"), F.col("new").alias("next"))
     if members is not None:
         inner = steps.join(members.select(F.col("coll").alias("next"), "member"), "next").select("id", F.col("member").alias("next"))
         steps = steps.join(members.select(F.col("coll").alias("next")).distinct(), "next", "left_anti").select("id", "next").union(inner)
-    return steps.join(items.where("size is not null").select(F.col("id").alias("next")), "next", "left_semi").select("id", "next").distinct()
+    ready = items.where("size is not null")
+    if now is not None:
+        ready = ready.where(~F.coalesce(F.col("embargo_until") > F.lit(now).cast("timestamp"), F.lit(False)))
+    return steps.join(ready.select(F.col("id").alias("next")), "next", "left_semi").select("id", "next").distinct()
 
 
 def is_complete(items: DataFrame, collections: DataFrame, members: DataFrame) -> DataFrame:
@@ -105,14 +110,15 @@ def deprecation_candidates(old: DataFrame, new: DataFrame, spec_map: DataFrame,
 
 
 def interval_deprecations(old: DataFrame, new: DataFrame, height: float = 2.0, days: int = 32) -> DataFrame:
-    """(new, old): same station and spec, heights within ``height``, the new interval covers that of an old one that isn't
-    deprecated. A new interval is dealt to all stretches of ``days`` that it touches, an old one to that in which it starts."""
+    """(new, old): complete objects of the same station and spec, heights less than ``height`` apart, the new interval covers that
+    of an old one that isn't deprecated. A new interval is dealt to all stretches of ``days`` that it touches, an old one to that
+    in which it starts."""
     part = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / (86_400 * days))
-    a = old.where("not deprecated").withColumn("_part", part("data_start")).alias("a")
-    b = new.where("data_start <= data_end").withColumn("_part", F.explode(F.sequence(part("data_start"), part("data_end")))).alias("b")
+    a = old.where("not deprecated and size is not null").withColumn("_part", part("data_start")).alias("a")
+    b = new.where("data_start <= data_end and size is not null").withColumn("_part", F.explode(F.sequence(part("data_start"), part("data_end")))).alias("b")
     covers = (F.col("b.data_start") <= F.col("a.data_start")) & (F.col("b.data_end") >= F.col("a.data_end"))
     same = (F.col("a._part") == F.col("b._part")) & (F.col("a.station") == F.col("b.station")) & (F.col("a.spec") == F.col("b.spec")) & (F.col("a.id") != F.col("b.id"))
-    return a.join(b, same & covers & (F.abs(F.col("a.height") - F.col("b.height")) <= height)).select(F.col("b.id").alias("new"), F.col("a.id").alias("old"))
+    return a.join(b, same & covers & (F.abs(F.col("a.height") - F.col("b.height")) < height)).select(F.col("b.id").alias("new"), F.col("a.id").alias("old"))
 
 
 def shrunk_versions(edges: DataFrame, items: DataFrame, threshold: float = 1.0) -> DataFrame:
@@ -181,11 +187,11 @@ def release_collections(objects: DataFrame, spec: int, since) -> DataFrame:
     return rows.groupBy("station").agg(F.array_join(F.array_sort(F.collect_set("id")), ",").alias("members"))
 
 
-def links_from_table(rows: DataFrame, objects: DataFrame, key: str, old_key: str) -> tuple[DataFrame, DataFrame]:
-    """((new, old), rows without their objects) of a table in which each row names an object and the one that it replaces, by file
-    name: current objects of the two names; rows with neither name, or that name an object twice or not at all, are the second."""
-    named = objects.where("size is not null").groupBy("file_name").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
-    one, two = (named.select(F.col("file_name").alias(k), F.col("id").alias(c)) for k, c in ((key, "new"), (old_key, "old")))
-    found = rows.join(one, key, "left").join(two, old_key, "left")
-    good = F.col("new").isNotNull() & F.col("old").isNotNull() & (F.col("new") != F.col("old"))
-    return found.where(good).select("new", "old").distinct(), found.where(~F.coalesce(good, F.lit(False))).select(*rows.columns)
+def links_from_table(rows: DataFrame, new_hash: str, old_hash: str) -> tuple[DataFrame, DataFrame]:
+    """((new, old), (old, n)) of a delimited list with hashes in any notation: the links, and the old objects named more than
+    once. If there are any of those, the list is refused: it has no links. Rows without an old hash, or with a text that isn't
+    a hash, name no link."""
+    ids = rows.select(hash_id(F.col(new_hash)).alias("new"), hash_id(F.col(old_hash)).alias("old")).where("new is not null and old is not null")
+    twice = ids.groupBy("old").agg(F.count("*").alias("n")).where("n > 1")
+    refused = twice.select(F.lit(1).alias("_one")).limit(1)
+    return ids.withColumn("_one", F.lit(1)).join(F.broadcast(refused), "_one", "left_anti").select("new", "old"), twice

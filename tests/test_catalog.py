@@ -1,5 +1,6 @@
 """Registered queries against DuckDB on the smallest tables, and operators on literal rows."""
 
+import base64
 import os
 
 import duckdb
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import terms
-from ledgerloom.operators import geo, intervals, reconcile, statements as st, versions
+from ledgerloom.operators import geo, intervals, reconcile, statements as st, validate, versions
 from ledgerloom.plans import catalog
 from ledgerloom.sources import tables
 from ledgerloom.streaming import log_streams
@@ -168,7 +169,45 @@ def test_overlaps_as_all_pairs(spark):
 
 
 def test_links_from_a_table(spark):
-    rows = spark.createDataFrame([("a.zip", "b.zip"), ("c.zip", "nothing"), ("d.zip", "b.zip")], "new_name string, old_name string")
-    objects = spark.createDataFrame([("1", "a.zip", 1), ("2", "b.zip", 1), ("3", "c.zip", 1), ("4", "d.zip", None)], "id string, file_name string, size int")
-    links, rest = versions.links_from_table(rows, objects, "new_name", "old_name")
-    assert [tuple(r) for r in links.collect()] == [("1", "2")] and sorted(r.new_name for r in rest.collect()) == ["c.zip", "d.zip"]
+    """Hashes in hexadecimal, base64 and base64url name the same objects; a list that names an old one twice is refused."""
+    hex_ = lambda b: bytes([b] * 32).hex()
+    url = lambda b: base64.urlsafe_b64encode(bytes([b] * 32)).decode().rstrip("=")
+    plain = lambda b: base64.b64encode(bytes([b] * 32)).decode()
+    rows = [(hex_(1), url(251)), (plain(252), hex_(3)), (hex_(4), ""), (hex_(5), None), ("?", hex_(6))]
+    links, twice = versions.links_from_table(spark.createDataFrame(rows, "new_hash string, old_hash string"), "new_hash", "old_hash")
+    assert sorted(tuple(r) for r in links.collect()) == sorted([(url(1)[:24], url(251)[:24]), (url(252)[:24], url(3)[:24])]) and twice.count() == 0
+    again = [*rows, (hex_(7), plain(251))]
+    links, twice = versions.links_from_table(spark.createDataFrame(again, "new_hash string, old_hash string"), "new_hash", "old_hash")
+    assert links.count() == 0 and [tuple(r) for r in twice.collect()] == [(url(251)[:24], 2)]
+
+
+def test_next_versions_under_embargo_and_in_plain_collections(spark):
+    edges = spark.createDataFrame([("b", "a"), ("c", "a"), ("p", "a"), ("d", "b"), ("e", "b")], "new string, old string")
+    items = spark.createDataFrame([("b", 1, "2030-01-01"), ("c", 1, "2020-01-01"), ("d", None, None), ("e", 1, None), ("m", 1, None), ("n", None, None)], "id string, size int, u string").withColumn("embargo_until", F.col("u").cast("timestamp"))
+    members = spark.createDataFrame([("p", "m"), ("p", "n")], "coll string, member string")
+    assert sorted(tuple(r) for r in versions.next_versions(edges, items, members, "2025-01-01").collect()) == [("a", "c"), ("a", "m"), ("b", "e")]
+    assert sorted(tuple(r) for r in versions.next_versions(edges, items).collect()) == [("a", "b"), ("a", "c"), ("b", "e")]
+
+
+def test_interval_deprecations_by_less_than_two_metres(spark):
+    schema = "id string, station int, spec int, height double, size int, data_start string, data_end string, deprecated boolean"
+    old = [("o1", 1, 1, 10.0, 1, "2020-02-01", "2020-03-01", False), ("o2", 1, 1, 12.0, None, "2020-02-01", "2020-03-01", False), ("o3", 1, 1, 12.0, 1, "2020-02-01", "2020-03-01", True)]
+    new = [("n1", 1, 1, 11.9, 1, "2020-01-01", "2020-03-01", False), ("n2", 1, 1, 12.0, 1, "2020-01-01", "2021-01-01", False), ("n3", 1, 1, 10.0, None, "2020-01-01", "2021-01-01", False), ("n4", 1, 1, 10.0, 1, "2020-02-02", "2021-01-01", False)]
+    assert [tuple(r) for r in versions.interval_deprecations(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema)).collect()] == [("n1", "o1")]
+
+
+def test_authors_by_weight_and_species(spark):
+    objects = spark.createDataFrame([("a", 1, True, ["co2", "Stdev CO2"], "x"), ("b", 1, True, ["ws"], "CH4 growing"), ("c", 1, False, ["ws"], None), ("d", 1, True, None, None)], "id string, station int, weighted boolean, columns array<string>, spec_label string")
+    objects = objects.withColumn("data_start", F.lit("2020-01-01").cast("timestamp")).withColumn("data_end", F.lit("2020-02-01").cast("timestamp"))
+    m = [(1, "Ann", 5, "CO2, N2O"), (1, "Bo", 9, "ch4"), (1, "Cy", None, None), (1, "Di", 7, None)]
+    memberships = spark.createDataFrame(m, "station int, person string, weight int, extra string").withColumn("start", F.lit(None).cast("timestamp")).withColumn("stop", F.lit(None).cast("timestamp"))
+    assert {r.id: r.authors for r in intervals.authors_of(objects, memberships).collect()} == {"a": ["Di", "Ann"], "b": ["Bo", "Di"], "c": ["Bo", "Di", "Ann", "Cy"], "d": ["Bo", "Di", "Ann"]}
+
+
+def test_spec_rules(spark):
+    specs = spark.createDataFrame([(1, True, "D", 0), (2, True, None, 0), (3, False, "D", 0), (4, False, None, 0), (5, False, "D", 9)], "spec int, spatial boolean, dataset string, format int")
+    defs = spark.createDataFrame([("D", 1, "v", "TA", False, False), ("D", 2, "w", "P_[0-9]", True, False), ("E", 1, "x", "RH", False, False)], "dataset string, nr int, var string, title string, is_pattern boolean, optional boolean")
+    rows = [("ok1", 1, True, None, None, ["TA", "P_1"]), ("var", 1, True, None, None, ["TA", "RH", "P_x"]), ("none", 2, True, None, None, ["TA"]), ("ok2", 2, True, None, None, None), ("kind1", 3, True, None, None, None), ("kind2", 1, False, None, 5, None), ("rows", 3, False, None, None, None), ("ok3", 3, False, None, 5, None), ("time", 4, False, None, None, None), ("ok4", 4, False, "2020-01-01", None, None), ("ok5", 5, False, None, None, None), ("gone", 77, False, None, None, None)]
+    packages = spark.createDataFrame(rows, "pkg_id string, spec int, is_spatial boolean, s string, n_rows int, variables array<string>").withColumn("data_start", F.col("s").cast("timestamp"))
+    found = sorted((r.pkg_id, r.message) for r in validate.spec_fits(packages, specs, defs, (9,)).collect())
+    assert found == [("gone", "unknown spec"), ("kind1", "dataset must be spatiotemporal"), ("kind2", "dataset must be a station's time series"), ("none", "spec has no dataset for variables"), ("rows", "number of rows is missing"), ("time", "interval is missing"), ("var", "unknown variable P_x"), ("var", "unknown variable RH")]
