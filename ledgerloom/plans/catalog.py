@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -122,11 +124,12 @@ def b14_materialize_updates(s, d):
     return st.materialize_updates(rows.select(F.col("id").alias("seq"), "subj", "pred", "obj", F.when(F.col("assertion"), "A").otherwise("W").alias("op")))
 
 
-@query("SELECT new, old FROM edges WHERE CAST(new AS BIGINT) % 3 = 0")
+@query(""", r AS (SELECT id subj, 'hasName' pred, file_name obj FROM objects UNION ALL SELECT new, 'isNextVersionOf', old FROM edges),
+s AS (SELECT DISTINCT new FROM edges WHERE CAST(new AS BIGINT) % 3 = 0) SELECT DISTINCT * FROM r WHERE subj IN (SELECT new FROM s) OR subj IN (SELECT old FROM edges WHERE new IN (SELECT new FROM s))""")
 def b24_extract_subset(s, d):
-    e = bridge.edges(s, d)
-    links = e.select(F.lit("g").alias("graph"), F.col("new").alias("subj"), F.lit("isNextVersionOf").alias("pred"), F.col("old").alias("obj"), F.lit(0).alias("obj_kind"), F.lit(None).cast("string").alias("lit_attr"))
-    return st.extract_subset(links, e.select(F.col("new").alias("subj")).where("cast(subj as bigint) % 3 = 0"), []).select(F.col("subj").alias("new"), F.col("obj").alias("old"))
+    e, names = bridge.edges(s, d), st.match(st.objects_to_statements(bridge.objects(s, d)), p="hasName")
+    links = e.select(F.lit("objects").alias("graph"), F.col("new").alias("subj"), F.lit("isNextVersionOf").alias("pred"), F.col("old").alias("obj"), F.lit(0).alias("obj_kind"), F.lit(None).cast("string").alias("lit_attr"))
+    return st.extract_subset(names.unionByName(links), e.select(F.col("new").alias("subj")).where("cast(subj as bigint) % 3 = 0"), ["isNextVersionOf"]).select("subj", "pred", "obj")
 
 
 # The log
@@ -215,9 +218,17 @@ def o06_ranges(s, d):
     return search.fetch_objects(bridge.objects(s, d), f).select("id")
 
 
-@query("SELECT id, size FROM objects WHERE id IN ('1', '2', '3', '100')")
+#: Orders whose objects are looked up, by the 24-character ids of their hashes, by whole hashes and by IRIs.
+_KNOWN = {"24": range(1, 60, 3), "whole": range(2, 60, 3), "iri": range(3, 60, 3)}
+
+
+@query(f"""SELECT translate(substr(base64(unhex(sha256(id))), 1, 24), '+/', '-_') id, size FROM objects WHERE CAST(id AS BIGINT) BETWEEN 1 AND 59""")
 def o07_by_id(s, d):
-    return search.fetch_objects(bridge.objects(s, d), search.by_id(["1", "2", "3", "100"])).select("id", "size")
+    whole = lambda k: base64.urlsafe_b64encode(hashlib.sha256(str(k).encode()).digest()).decode().rstrip("=")
+    spelled = {"24": lambda k: whole(k)[:24], "whole": whole, "iri": lambda k: f"https://meta.example/objects/{whole(k)[:24]}"}
+    wanted = [spelled[form](k) for form, keys in _KNOWN.items() for k in keys]
+    o = bridge.objects(s, d).withColumn("id", terms.hash_id(F.sha2("id", 256)))
+    return search.fetch_objects(o, search.by_id(wanted)).select("id", "size")
 
 
 def _bridge(s, d):
@@ -407,9 +418,13 @@ def v08_chain_duplicates(s, d):
     return versions.chain_duplicates(flagged(s, d), ["file_name", "spec"])
 
 
-@query("""SELECT b.id new, a.id old FROM objects a JOIN objects b ON a.station = b.station AND a.spec = b.spec AND a.id <> b.id AND b.data_start <= a.data_start AND b.data_end >= a.data_end AND abs(a.height - b.height) <= 2 AND a.id NOT IN (SELECT id FROM deprecated)""")
+@query("""SELECT b.id new, a.id old FROM objects a JOIN objects b ON a.station = b.station AND a.spec = b.spec AND a.id <> b.id AND b.data_start <= a.data_start AND b.data_end >= a.data_end
+  AND abs(CAST(a.id AS BIGINT) % 4 - CAST(b.id AS BIGINT) % 4) < 2 AND a.size IS NOT NULL AND b.size IS NOT NULL AND a.id NOT IN (SELECT old FROM edges)""")
 def v10_interval_deprecations(s, d):
-    return versions.interval_deprecations(flagged(s, d), bridge.objects(s, d))
+    """Heights are whole metres here, so that some are exactly two apart."""
+    o = bridge.objects(s, d).withColumn("height", (F.col("id").cast("bigint") % 4).cast("double"))
+    old = bridge.edges(s, d).select(F.col("old").alias("id")).distinct().withColumn("deprecated", F.lit(True))
+    return versions.interval_deprecations(o.join(old, "id", "left").withColumn("deprecated", F.coalesce("deprecated", F.lit(False))), o)
 
 
 @query(f"{_CHAINS} SELECT heads.id, latest, CAST(floor((a.size - b.size) * 100 / a.size) AS BIGINT) loss FROM heads JOIN objects a ON heads.id = a.id JOIN objects b ON latest = b.id WHERE b.size < a.size")
@@ -422,11 +437,24 @@ def v12_same_name_latest(s, d):
     return versions.same_name_latest(bridge.objects(s, d)).select("file_name", "id", "rank")
 
 
-@query("SELECT coll, count(DISTINCT member) n_objects, string_agg(DISTINCT CAST(spec AS VARCHAR), ',' ORDER BY CAST(spec AS VARCHAR)) specs FROM members JOIN objects ON member = id GROUP BY coll")
+_NESTED = """, inner_links AS (SELECT DISTINCT 's' || (coll % 7) AS upper_, 'c' || coll AS lower_ FROM members UNION SELECT DISTINCT 't' || (coll % 7 % 3), 's' || (coll % 7) FROM members UNION SELECT 's6', 't0'),
+reach AS (SELECT upper_, lower_ FROM inner_links UNION SELECT reach.upper_, inner_links.lower_ FROM reach JOIN inner_links ON reach.lower_ = inner_links.upper_),
+below AS (SELECT coll, id, submitter, spec, station FROM (SELECT upper_ coll, lower_ AS under FROM reach UNION SELECT 'c' || coll, 'c' || coll FROM members) JOIN (SELECT 'c' || coll AS under, member FROM members) USING (under) JOIN objects ON member = id)"""
+
+
+@query(f"""{_NESTED} SELECT coll, count(DISTINCT id) n_objects, string_agg(DISTINCT 'P' || submitter, ',' ORDER BY 'P' || submitter) creators, coalesce(string_agg(DISTINCT country, ',' ORDER BY country), '') funders,
+  string_agg(DISTINCT CAST(format AS VARCHAR), ',' ORDER BY CAST(format AS VARCHAR)) formats FROM below LEFT JOIN specs USING (spec) LEFT JOIN stations USING (station) GROUP BY coll""")
 def v15_collection_rollup(s, d):
-    m = bridge.members(s, d).select(F.concat(F.lit("c"), "coll").alias("coll"), "member")
-    o = bridge.objects(s, d).withColumn("spec", F.col("spec").cast("string"))
-    return versions.collection_rollup(m, o).select(F.substring("coll", 2, 9).cast("int").alias("coll"), "n_objects", "specs")
+    """Collections of customers in collections s0 to s6, these in t0 to t2, and t0 in s6, which it holds: a cycle."""
+    m, o = bridge.members(s, d), bridge.objects(s, d)
+    name = lambda p, c: F.concat(F.lit(p), c)
+    sub = F.col("coll") % 7
+    nested = m.select(name("s", sub).alias("coll"), name("c", F.col("coll")).alias("member")).union(m.select(name("t", sub % 3), name("s", sub))).distinct().union(s.range(1).select(F.lit("s6"), F.lit("t0")))
+    creators = o.select("id", F.concat(F.lit("P"), "submitter").alias("value"))
+    funders = o.join(bridge.stations(s, d), "station").select("id", F.col("country").alias("value"))
+    formats = o.join(bridge.specs(s, d), "spec").select("id", F.col("format").alias("value"))
+    found = versions.collection_rollup(m.select(name("c", F.col("coll")).alias("coll"), "member").union(nested), o, creators=creators, funders=funders, formats=formats)
+    return found.select("coll", "n_objects", *(F.array_join(c, ",").alias(c) for c in ("creators", "funders", "formats")))
 
 
 @query("SELECT station, string_agg(DISTINCT id, ',' ORDER BY id) members FROM objects WHERE spec = 3 AND submitted >= TIMESTAMP '1995-01-01' AND station IS NOT NULL AND size IS NOT NULL AND id NOT IN (SELECT id FROM deprecated) GROUP BY station")
@@ -461,20 +489,38 @@ def c04_sane_interval(s, d):
     return validate.sane_interval(packages(s, d), "1997-01-01").select("pkg_id", "rule")
 
 
-@query("SELECT 'p' || id pkg_id, 'unknown spec' message FROM objects WHERE CAST(id AS BIGINT) % 50 = 0")
+_RULES = """, k AS (SELECT 'p' || id pkg_id, CAST(id AS BIGINT) AS key, spec + CASE WHEN CAST(id AS BIGINT) % 50 = 0 THEN 100 ELSE 0 END spec FROM objects),
+r AS (SELECT pkg_id, key, spec, key % 5 = 0 spatial_package, spec % 2 = 0 spatial, spec % 3 <> 0 has_dataset, spec % 4 format FROM k WHERE key % 50 <> 0)"""
+
+
+@query(f"""{_RULES} SELECT pkg_id, 'unknown spec' message FROM k WHERE key % 50 = 0
+  UNION ALL SELECT pkg_id, 'dataset must be spatiotemporal' FROM r WHERE spatial_package AND NOT spatial UNION ALL SELECT pkg_id, 'dataset must be a station''s time series' FROM r WHERE NOT spatial_package AND spatial
+  UNION ALL SELECT pkg_id, 'interval is missing' FROM r WHERE NOT spatial_package AND NOT spatial AND NOT has_dataset AND key % 7 = 0 UNION ALL SELECT pkg_id, 'number of rows is missing' FROM r WHERE NOT spatial_package AND NOT spatial AND has_dataset AND key % 11 = 0 AND format <> 1
+  UNION ALL SELECT pkg_id, 'spec has no dataset for variables' FROM r WHERE spatial_package AND spatial AND NOT has_dataset UNION ALL SELECT pkg_id, 'unknown variable v' || (key % 4) || '_1' FROM r WHERE spatial_package AND spatial AND has_dataset AND key % 4 > 2""")
 def c07_spec_fits(s, d):
-    return validate.spec_fits(packages(s, d), bridge.specs(s, d)).select("pkg_id", "message")
+    key = F.substring("pkg_id", 2, 20).cast("bigint")
+    p = packages(s, d).withColumn("is_spatial", key % 5 == 0).withColumn("data_start", F.when(key % 7 != 0, F.col("data_start"))).withColumn("n_rows", F.when(key % 11 != 0, key)).withColumn("variables", F.array(F.concat(F.lit("v"), key % 4, F.lit("_1"))))
+    specs = bridge.specs(s, d).select("spec", (F.col("spec") % 2 == 0).alias("spatial"), F.when(F.col("spec") % 3 != 0, "D").alias("dataset"), (F.col("spec") % 4).alias("format"))
+    defs = s.createDataFrame([("D", 1, "a", "v0_1", False, False), ("D", 2, "b", "v[12]_[0-9]", True, True)], "dataset string, nr int, var string, title string, is_pattern boolean, optional boolean")
+    return validate.spec_fits(p, specs, defs, (1,)).select("pkg_id", "message")
 
 
 # Intervals
 
 
-@query("""SELECT station, variable, sensor, start, least(s1, lead(start) OVER (PARTITION BY sensor, variable ORDER BY start, station)) stop, CAST(row_number() OVER (PARTITION BY sensor ORDER BY start, station, variable) - 1 AS INT) nr FROM (
+_NAMED = "CASE WHEN variable < 6 THEN 'SWC_' || (variable % 3) || '_1_' || variable ELSE 'OUT_' || variable END"
+
+
+@query(f"""SELECT station, variable, sensor, start, least(s1, lead(start) OVER (PARTITION BY sensor, CASE WHEN starts_with(variable, 'SWC') THEN 'SWC' ELSE variable END ORDER BY start, station, variable)) stop, CAST(row_number() OVER (PARTITION BY sensor ORDER BY start, station, variable) - 1 AS INT) nr FROM (
   SELECT *, lead(start) OVER (PARTITION BY station, variable ORDER BY run) s1 FROM (SELECT station, variable, run, sensor, min(start) start FROM (
-  SELECT *, sum(new) OVER (PARTITION BY station, variable ORDER BY start, sensor) run FROM (SELECT *, CASE WHEN sensor = lag(sensor) OVER (PARTITION BY station, variable ORDER BY start, sensor) THEN 0 ELSE 1 END new FROM (SELECT DISTINCT station, variable, sensor, start FROM deployments))) GROUP BY ALL))""")
+  SELECT *, sum(new) OVER (PARTITION BY station, variable ORDER BY start, sensor) run FROM (SELECT *, CASE WHEN sensor = lag(sensor) OVER (PARTITION BY station, variable ORDER BY start, sensor) THEN 0 ELSE 1 END new FROM (SELECT DISTINCT station, {_NAMED} variable, sensor % 50 sensor, start FROM deployments))) GROUP BY ALL))""")
 def i01_stitch_deployments(s, d):
-    rows = bridge.deployments(s, d).select("station", "variable", "sensor", "start").distinct().withColumn("lat", F.lit(0.0)).withColumn("lon", F.lit(0.0))
-    return intervals.stitch_deployments(rows).select("station", "variable", "sensor", "start", "stop", "nr")
+    """Sensors with variables of one family at several places, so that the family's rule ends some runs."""
+    v = F.col("variable")
+    name = F.when(v < 6, F.concat(F.lit("SWC_"), v % 3, F.lit("_1_"), v)).otherwise(F.concat(F.lit("OUT_"), v))
+    rows = bridge.deployments(s, d).select("station", name.alias("variable"), (F.col("sensor") % 50).alias("sensor"), "start").distinct().withColumn("lat", F.lit(0.0)).withColumn("lon", F.lit(0.0))
+    family = F.coalesce(intervals.variable_family(F.col("variable"), ["SWC"]), F.col("variable"))
+    return intervals.stitch_deployments(rows, family).select("station", "variable", "sensor", "start", "stop", "nr")
 
 
 @query("SELECT id, count(*) n FROM objects o JOIN deployments d ON o.station = d.station AND o.spec % 10 = d.variable AND d.start < data_end AND d.stop > data_start GROUP BY id")
@@ -639,3 +685,6 @@ def r02_unique_ids(s, d):
 def x10_number_by_appearance(s, d):
     rows = bridge.objects(s, d).select("cust", F.col("id").cast("bigint").alias("seq"))
     return export.number_by_appearance(rows, "cust", "seq", "c").select("cust", "number")
+
+
+from ledgerloom.plans import further  # noqa: E402,F401  registers its queries here
