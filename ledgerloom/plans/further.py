@@ -162,12 +162,12 @@ def p18_stations_of_pi(s, d):
     return reports.stations_of_pi(_people(s, d), "p7@EXAMPLE.ORG")
 
 
-@query("""SELECT station, a.n n_a, b.n n_b, a.h h_a, b.h h_b FROM (SELECT station, count(*) n, max(height) h FROM objects WHERE spec % 2 = 0 GROUP BY 1) a JOIN (SELECT station, count(*) n, CASE WHEN count(*) % 2 = 0 THEN max(height) END h FROM objects WHERE spec % 2 = 1 GROUP BY 1) b USING (station)
+@query("""SELECT station, a.n n_a, b.n n_b, a.h h_a, b.h h_b FROM (SELECT station, count(*) n, max(height) h FROM objects WHERE cust % 2 = 0 GROUP BY 1) a JOIN (SELECT station, count(*) n, CASE WHEN count(*) % 2 = 0 THEN max(height) END h FROM objects WHERE cust % 2 = 1 GROUP BY 1) b USING (station)
   WHERE coalesce(a.n <> b.n, false) OR coalesce(a.h <> b.h, false)""")
 def p24_station_discrepancies(s, d):
     o = bridge.objects(s, d).where("station is not null")
-    one = o.where("spec % 2 = 0").groupBy("station").agg(F.count("*").alias("n"), F.max("height").alias("h"))
-    two = o.where("spec % 2 = 1").groupBy("station").agg(F.count("*").alias("n"), F.when(F.count("*") % 2 == 0, F.max("height")).alias("h"))
+    one = o.where("cust % 2 = 0").groupBy("station").agg(F.count("*").alias("n"), F.max("height").alias("h"))
+    two = o.where("cust % 2 = 1").groupBy("station").agg(F.count("*").alias("n"), F.when(F.count("*") % 2 == 0, F.max("height")).alias("h"))
     return reports.station_discrepancies(one, two, ["n", "h"])
 
 
@@ -179,10 +179,9 @@ def p25_labelling_status(s, d):
     return reports.labelling_status(stations, statuses, bridge.objects(s, d).where("spec = 1").groupBy("station").agg(F.min("data_start").alias("labelled")))
 
 
-@query("SELECT DISTINCT person FROM memberships WHERE person NOT IN (SELECT person FROM memberships WHERE role = 'PI' AND stop IS NULL)")
+@query("SELECT station FROM stations WHERE station NOT IN (SELECT station FROM memberships WHERE role = 'PI' AND stop IS NULL AND weight = 2)")
 def p26_no_activity(s, d):
-    m = bridge.memberships(s, d)
-    return reports.no_activity(m.select("person"), m.where("role = 'PI' and stop is null"), "person")
+    return reports.no_activity(bridge.stations(s, d).select("station"), bridge.memberships(s, d).where("role = 'PI' and stop is null and weight = 2"))
 
 
 @query("SELECT station, name, m.person, role, weight, m.start, m.stop FROM memberships m JOIN stations USING (station)")
@@ -232,10 +231,10 @@ def c06_same_on_reupload(s, d):
     return validate.same_on_reupload(p, bridge.objects(s, d)).select("pkg_id", "message")
 
 
-@query("SELECT 'p' || new pkg_id FROM edges JOIN objects a ON new = a.id JOIN objects b ON old = b.id WHERE a.data_end <= b.data_end AND a.spec % 2 = 0")
+@query("SELECT 'p' || new pkg_id FROM edges JOIN objects a ON new = a.id JOIN objects b ON old = b.id WHERE a.data_end - to_days(CAST(CAST(a.id AS BIGINT) % 600 AS INT)) <= b.data_end AND a.spec % 2 = 0")
 def c08_growing_grows(s, d):
     e, o = bridge.edges(s, d), bridge.objects(s, d)
-    p = o.join(e.select(F.col("new").alias("id"), F.col("old").alias("previous")), "id").select(F.concat(F.lit("p"), "id").alias("pkg_id"), "previous", "data_end", (F.col("spec") % 2 == 0).alias("is_growing"))
+    p = o.join(e.select(F.col("new").alias("id"), F.col("old").alias("previous")), "id").select(F.concat(F.lit("p"), "id").alias("pkg_id"), "previous", F.timestamp_add("DAY", -(_key() % 600).cast("int"), "data_end").alias("data_end"), (F.col("spec") % 2 == 0).alias("is_growing"))
     return validate.growing_grows(p, o).select("pkg_id")
 
 
@@ -261,7 +260,7 @@ def c11_submitter_may(s, d):
 # Space
 
 
-@query(""", b AS (SELECT station % 4 AS owner, station, name, lon x0, lat y0, lon + 2 + station % 7 x1, lat + 1 + station % 5 y1 FROM stations),
+@query(""", b AS (SELECT station % 4 AS owner, station, name, lon x0, lat y0, lon + 12 + station % 17 x1, lat + 9 + station % 11 y1 FROM stations),
   near AS (SELECT a.owner, a.station i, b.station j FROM b a JOIN b ON a.owner = b.owner AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1),
   reach AS (SELECT owner, i, j FROM near UNION SELECT reach.owner, reach.i, near.j FROM reach JOIN near ON reach.owner = near.owner AND reach.j = near.i)
   SELECT owner, string_agg(name, ', ' ORDER BY name) AS label FROM (SELECT owner, i, min(j) k FROM reach GROUP BY ALL) JOIN stations ON station = i GROUP BY owner, k""")
@@ -269,7 +268,7 @@ def g09_merge_coverage(s, d):
     """Boxes around stations, fused where they touch, directly or through others."""
     k = F.col("station")
     p = lambda dx, dy: F.struct((F.col("lon") + dx).cast("double").alias("lon"), (F.col("lat") + dy).cast("double").alias("lat"))
-    w, h = 2 + k % 7, 1 + k % 5
+    w, h = 12 + k % 17, 9 + k % 11
     boxes = bridge.stations(s, d).select((k % 4).alias("owner"), F.lit("box").alias("geom_type"), F.array(p(0, 0), p(w, 0), p(w, h), p(0, h)).alias("coords"), F.col("name").alias("label"))
     return coverage.merge_coverage(boxes, 1_000_000).select("owner", "label")
 
