@@ -173,18 +173,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
         share_toxic = 1.0 if seen.get(1) else 0.0
         return Classifier(np.zeros(BUCKETS, dtype=np.float32), 500.0 if share_toxic else -500.0)
     counts = rows.mapInArrow(_count, "bucket long, toxic long, other long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    table = counts.where(F.col("toxic") + F.col("other") >= MIN_TEXTS).toPandas()  # BUCKETS rows at most
-    p, q = table.toxic.to_numpy() + SMOOTHING, table.other.to_numpy() + SMOOTHING
+    table = counts.where(F.col("toxic") + F.col("other") >= MIN_TEXTS).toArrow()  # BUCKETS rows at most
+    p, q = table.column("toxic").to_numpy() + SMOOTHING, table.column("other").to_numpy() + SMOOTHING
     ratio = np.log((p / (seen[1] + 2 * SMOOTHING)) / (q / (seen[0] + 2 * SMOOTHING)))
     ratios = np.zeros(BUCKETS, dtype=np.float32)
-    ratios[table.bucket.to_numpy()] = np.where(np.abs(ratio) >= MIN_RATIO, ratio, 0)
+    ratios[table.column("bucket").to_numpy()] = np.where(np.abs(ratio) >= MIN_RATIO, ratio, 0)
     shared = spark.sparkContext.broadcast(ratios)
     chosen_rows = materialize(rows.mapInArrow(_select(shared), "label int, buckets array<int>"), "features")
-    found = chosen_rows.repartition(1).mapInArrow(_fit(shared), "bucket long, weight double").toPandas()
+    found = chosen_rows.repartition(1).mapInArrow(_fit(shared), "bucket long, weight double").toArrow()
+    bucket, weight = found.column("bucket").to_numpy(), found.column("weight").to_numpy()
     weights = np.zeros(BUCKETS, dtype=np.float32)
-    body = found[found.bucket >= 0]
-    weights[body.bucket.to_numpy()] = body.weight.to_numpy()
-    return Classifier(weights, float(found.weight[found.bucket < 0].iloc[0]))
+    weights[bucket[bucket >= 0]] = weight[bucket >= 0]
+    return Classifier(weights, float(weight[bucket < 0][0]))
 
 
 def learned(doc_id: Column) -> Column:
