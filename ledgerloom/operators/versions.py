@@ -82,12 +82,27 @@ def version_chains(edges: DataFrame) -> DataFrame:
     return last.select("id", "chain", F.when(whole, F.max("steps").over(w) - F.col("steps") + 1).cast("int").alias("position"), F.when(whole, F.max("steps").over(w) + 1).cast("int").alias("length"))
 
 
-def bad_branches(edges: DataFrame, items: DataFrame, days: int = 60) -> DataFrame:
-    """(old, new): of objects with exactly two successors, those that came more than ``days`` after it. items: id, submitted."""
-    two = edges.groupBy("old").agg(F.count("*").alias("n")).where("n = 2").select("old")
+def bad_branches(edges: DataFrame, items: DataFrame, days: int = 60, span: int = 366) -> DataFrame:
+    """(old, bad, id): of an object ``old`` with exactly two successors, those that are ``bad``, and all of the chain that begins
+    with them. A successor is bad if it was itself replaced, by one other, more than ``days`` after its submission, or if what its
+    chain ends with covers more than ``span`` days. items: id, submitted, data_start, data_end."""
+    links = edges.select("old", "new").distinct()
+    counts = links.groupBy("old").agg(F.count("*").alias("n"))
+    nexts = materialize(links.join(counts.where("n = 2"), "old").select("old", F.col("new").alias("bad")), "branches")
+    walk = materialize(nexts.select("bad", F.col("bad").alias("id")).distinct(), "walk")
+    frontier = walk
+    while True:  # a step of the chains each
+        ahead = frontier.join(links.select(F.col("old").alias("id"), "new"), "id").select("bad", F.col("new").alias("id")).distinct()
+        frontier = materialize(ahead.join(walk, ["bad", "id"], "left_anti"), "walk")
+        if frontier.isEmpty():
+            break
+        walk = materialize(walk.union(frontier), "walk")
     t = items.select("id", "submitted")
-    rows = edges.join(two, "old", "left_semi").join(t.select(F.col("id").alias("old"), F.col("submitted").alias("t_old")), "old").join(t.select(F.col("id").alias("new"), F.col("submitted").alias("t_new")), "new")
-    return rows.where(F.datediff("t_new", "t_old") > days).select("old", "new")
+    once = links.join(counts.where("n = 1").select("old"), "old").join(t.select(F.col("id").alias("old"), F.col("submitted").alias("t_old")), "old").join(t.select(F.col("id").alias("new"), F.col("submitted").alias("t_new")), "new")
+    late = once.where(F.unix_seconds(F.col("t_new").cast("timestamp")) - F.unix_seconds(F.col("t_old").cast("timestamp")) > 86_400 * days).select(F.col("old").alias("bad"))
+    ends = walk.join(links.select(F.col("old").alias("id")), "id", "left_anti").join(items, "id")
+    wide = ends.where(F.unix_seconds(F.col("data_end").cast("timestamp")) - F.unix_seconds(F.col("data_start").cast("timestamp")) > 86_400 * span).select("bad")
+    return nexts.join(late.union(wide).distinct(), "bad", "left_semi").join(walk, "bad").select("old", "bad", "id").distinct()
 
 
 def multi_deprecated(edges: DataFrame) -> DataFrame:
@@ -143,6 +158,23 @@ def archive_completeness(zip_members: DataFrame, versions: DataFrame) -> tuple[D
     return newest, bad.select("package", "version", "member", F.when(F.col("own").isNull(), "missing").otherwise("older").alias("problem"))
 
 
+def archive_repairs(zip_members: DataFrame, versions: DataFrame) -> DataFrame:
+    """(package, version, action): ``purge`` for versions after the first one (by ``ts`` of versions) that has all newest contents;
+    where none has, but for the last one, ``take`` for versions that have all that the last one lacks."""
+    newest, bad = archive_completeness(zip_members, versions)
+    lacks = bad.groupBy("package", "version").agg(F.count("*").alias("lacks"))
+    w = Window.partitionBy("package").orderBy("ts", "version")
+    rows = versions.select("package", "version", "ts").distinct().join(lacks, ["package", "version"], "left").withColumn("nr", F.row_number().over(w)).withColumn("last", F.count("*").over(Window.partitionBy("package")))
+    rows = rows.withColumn("first_whole", F.min(F.when(F.col("lacks").isNull(), F.col("nr"))).over(Window.partitionBy("package")))
+    purge = rows.where("first_whole < last and nr > first_whole").select("package", "version", F.lit("purge").alias("action"))
+    open_ = rows.where("first_whole is null")
+    wanted = bad.join(open_.where("nr = last").select("package", "version"), ["package", "version"]).select("package", "member")
+    number = wanted.groupBy("package").agg(F.count("*").alias("wanted"))
+    still = bad.select("package", "version", "member").join(wanted, ["package", "member"]).select("package", "version").distinct()
+    take = open_.join(number, "package").join(still, ["package", "version"], "left_anti").select("package", "version", F.lit("take").alias("action"))
+    return purge.union(take)
+
+
 def parent_collections(members: DataFrame, coll_edges: DataFrame) -> DataFrame:
     """(member, coll): collections that hold the item and aren't replaced by another that holds it."""
     held = members.select("member", "coll").distinct()
@@ -181,10 +213,16 @@ def superseded_references(links: DataFrame, edges: DataFrame) -> DataFrame:
     return links.join(edges.select(F.col("old").alias("obj")).distinct(), "obj", "left_semi")
 
 
-def release_collections(objects: DataFrame, spec: int, since) -> DataFrame:
-    """(station, members): per station the current objects (with a size, not deprecated) of a release."""
+def release_collections(objects: DataFrame, spec: int, since, collections: DataFrame | None = None) -> DataFrame:
+    """(station, members, previous): per station the current objects (with a size, not deprecated) of a release, and, where
+    ``collections`` (coll, member; current ones) are given, the last one whose members all are of this station."""
     rows = objects.where((F.col("spec") == spec) & (F.col("submitted") >= F.lit(since).cast("timestamp")) & F.col("station").isNotNull() & F.col("size").isNotNull() & ~F.col("deprecated"))
-    return rows.groupBy("station").agg(F.array_join(F.array_sort(F.collect_set("id")), ",").alias("members"))
+    out = rows.groupBy("station").agg(F.array_join(F.array_sort(F.collect_set("id")), ",").alias("members"))
+    if collections is None:
+        return out
+    placed = collections.join(objects.where("station is not null").select(F.col("id").alias("member"), "station"), "member")
+    single = placed.groupBy("coll").agg(F.min("station").alias("station"), F.max("station").alias("most")).where("station = most")
+    return out.join(single.groupBy("station").agg(F.max("coll").alias("previous")), "station", "left")
 
 
 def links_from_table(rows: DataFrame, new_hash: str, old_hash: str) -> tuple[DataFrame, DataFrame]:

@@ -457,9 +457,11 @@ def v15_collection_rollup(s, d):
     return found.select("coll", "n_objects", *(F.array_join(c, ",").alias(c) for c in ("creators", "funders", "formats")))
 
 
-@query("SELECT station, string_agg(DISTINCT id, ',' ORDER BY id) members FROM objects WHERE spec = 3 AND submitted >= TIMESTAMP '1995-01-01' AND station IS NOT NULL AND size IS NOT NULL AND id NOT IN (SELECT id FROM deprecated) GROUP BY station")
+@query("""SELECT station, members, previous FROM (SELECT station, string_agg(DISTINCT id, ',' ORDER BY id) members FROM objects WHERE spec = 3 AND submitted >= TIMESTAMP '1995-01-01' AND station IS NOT NULL AND size IS NOT NULL AND id NOT IN (SELECT id FROM deprecated) GROUP BY station)
+  LEFT JOIN (SELECT station, max(coll) previous FROM (SELECT cust coll, min(station) station FROM objects WHERE station IS NOT NULL AND spec < 5 GROUP BY cust HAVING count(DISTINCT station) = 1) GROUP BY station) USING (station)""")
 def v19_release_collections(s, d):
-    return versions.release_collections(flagged(s, d), 3, "1995-01-01")
+    o = flagged(s, d)
+    return versions.release_collections(o, 3, "1995-01-01", o.where("spec < 5").select(F.col("cust").alias("coll"), F.col("id").alias("member")))
 
 
 # Validation
@@ -643,14 +645,19 @@ def v02_is_complete(s, d):
     return versions.is_complete(bridge.objects(s, d), m.select(F.col("coll").alias("id"), "plain").distinct(), m.where("plain"))
 
 
-@query("""SELECT old, new FROM (SELECT old, new, submitted FROM edges JOIN objects ON new = id UNION ALL SELECT old, new || 'x', submitted + INTERVAL 1 DAY FROM edges JOIN objects ON new = id WHERE spec % 2 = 0) e
-  JOIN (SELECT id, submitted s FROM objects) o ON old = o.id WHERE date_diff('day', s, submitted) > 60 AND old IN (SELECT old FROM edges JOIN objects ON new = id WHERE spec % 2 = 0)""")
+@query("""
+, e AS (SELECT new, old FROM edges UNION ALL SELECT id || '00000000', old FROM edges JOIN objects ON new = id WHERE spec % 2 = 0), cnt AS (SELECT old, count(*) n FROM e GROUP BY old),
+it AS (SELECT id, submitted, data_start, data_end FROM objects UNION ALL SELECT id || '00000000', submitted + INTERVAL 1 DAY, data_start, data_end FROM objects WHERE spec % 2 = 0),
+nexts AS (SELECT e.old, e.new bad FROM e JOIN cnt USING (old) WHERE n = 2), walk AS (SELECT DISTINCT bad, bad id FROM nexts UNION SELECT walk.bad, e.new FROM walk JOIN e ON e.old = walk.id),
+late AS (SELECT bad FROM nexts JOIN cnt ON cnt.old = bad AND n = 1 JOIN e d ON d.old = bad JOIN it a ON a.id = bad JOIN it b ON b.id = d.new WHERE epoch(b.submitted) - epoch(a.submitted) > 60 * 86400),
+wide AS (SELECT bad FROM walk JOIN it USING (id) WHERE id NOT IN (SELECT old FROM e) AND epoch(data_end) - epoch(data_start) > 30 * 86400)
+SELECT DISTINCT nexts.old, nexts.bad, walk.id FROM nexts JOIN walk USING (bad) WHERE bad IN (SELECT bad FROM late UNION SELECT bad FROM wide)""")
 def v06_bad_branches(s, d):
     o, e = bridge.objects(s, d), bridge.edges(s, d)
-    even = o.where("spec % 2 = 0")
-    more = e.join(even.select(F.col("id").alias("new")), "new", "left_semi").select(F.concat("new", F.lit("x")).alias("new"), "old")
-    items = o.select("id", "submitted").union(even.select(F.concat("id", F.lit("x")), F.timestamp_add("DAY", F.lit(1), "submitted")))
-    return versions.bad_branches(e.union(more), items)
+    even, twin = o.where("spec % 2 = 0"), lambda c: F.concat(c, F.lit("00000000"))
+    more = e.join(even.select(F.col("id").alias("new")), "new", "left_semi").select(twin("new").alias("new"), "old")
+    items = o.select("id", "submitted", "data_start", "data_end").union(even.select(twin("id"), F.timestamp_add("DAY", F.lit(1), "submitted"), "data_start", "data_end"))
+    return versions.bad_branches(e.union(more), items, span=30)
 
 
 @query("SELECT b.id new, a.id old FROM objects a JOIN objects b ON a.cust = b.cust WHERE a.spec = 0 AND b.spec = 1 OR a.spec = 2 AND b.spec = 3")

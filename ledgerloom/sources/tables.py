@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ledgerloom.functions.terms import orcid_valid
 from ledgerloom.sources.log_source import LOG, read_jdbc_log
 
 XSD_STRING = "xsd:string"
@@ -77,14 +78,26 @@ def read_packages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PACKAGE).json(path)
 
 
+#: The forms of a person's line, in the order in which they are tried, and which group holds what.
+PERSON_FORMS = [
+    (r"^(.+),(.+),(.*),.+,(.*)$", {"given": 1, "family": 2, "email": 3, "orcid": 4}),
+    (r"^(.+),\ (.+):\ (.+)\ \((.+)\)$", {"family": 1, "given": 2, "organisation": 3, "organisation_id": 4}),
+    (r"^(.+),\ (.+)$", {"family": 1, "given": 2}),
+    (r"^(.+),(.+),(.+)$", {"family": 1, "given": 2, "email": 3}),
+]
+
+
 def parse_person_lines(lines: DataFrame, text: str = "value") -> DataFrame:
-    """(given, family, email, organisation) of free text lines: "Family, Given (Organisation) <mail>", "Given Family <mail>", "Given Family"; the first form that fits."""
-    forms = [
-        (r"^\s*([^,<(]+),\s*([^<(]+?)\s*(?:\(([^)]*)\))?\s*(?:<([^>]*)>)?\s*$", 2, 1, 3, 4),
-        (r"^\s*(\S.*?)\s+(\S+)\s*(?:\(([^)]*)\))?\s*(?:<([^>]*)>)?\s*$", 1, 2, 3, 4),
-    ]
-    found = [F.when(F.col(text).rlike(p), F.struct(*(F.nullif(F.trim(F.regexp_extract(text, p, g)), F.lit("")).alias(n) for n, g in zip(("given", "family", "organisation", "email"), groups)))) for p, *groups in forms]
-    return lines.select(F.coalesce(*found).alias("p")).where("p is not null").select("p.*")
+    """(given, family, email, organisation, organisation_id, orcid) of text lines by the first form that fits: "given, family,
+    mail, affiliation, ORCID"; "family, given: organisation (id)"; "family, given"; "family,given,mail". Lines of no form are
+    left out; an ORCID with a wrong check digit is null."""
+    fields = ["given", "family", "email", "organisation", "organisation_id", "orcid"]
+    line = F.trim(text)
+    value = lambda p, g: F.nullif(F.trim(F.regexp_extract(line, p, g)), F.lit(""))
+    found = [F.when(line.rlike(p), F.struct(*((value(p, groups[n]) if n in groups else F.lit(None).cast("string")).alias(n) for n in fields))) for p, groups in PERSON_FORMS]
+    rows = lines.select(F.coalesce(*found).alias("p")).where("p is not null").select("p.*")
+    code = F.regexp_extract("orcid", r"([0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{3}[0-9X])$", 1)
+    return rows.withColumn("orcid", F.when(orcid_valid(code), code))
 
 
 def read_zip_members(spark: SparkSession, path: str) -> DataFrame:

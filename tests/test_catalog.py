@@ -211,3 +211,20 @@ def test_spec_rules(spark):
     packages = spark.createDataFrame(rows, "pkg_id string, spec int, is_spatial boolean, s string, n_rows int, variables array<string>").withColumn("data_start", F.col("s").cast("timestamp"))
     found = sorted((r.pkg_id, r.message) for r in validate.spec_fits(packages, specs, defs, (9,)).collect())
     assert found == [("gone", "unknown spec"), ("kind1", "dataset must be spatiotemporal"), ("kind2", "dataset must be a station's time series"), ("none", "spec has no dataset for variables"), ("rows", "number of rows is missing"), ("time", "interval is missing"), ("var", "unknown variable P_x"), ("var", "unknown variable RH")]
+
+
+def test_person_lines_in_the_order_of_their_forms(spark):
+    lines = ["Ann, Lee , a@x.org, Some Institute, 0000-0002-1825-0097", "Bo,Ek,,Inst,0000-0002-1825-0098", "Berg, Cy: Big Org (BO)", "Dahl, Di", "Ek,Eva,e@x.org", "  ", "nobody", " Falk, Fia "]
+    rows = tables.parse_person_lines(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
+    assert {tuple(r) for r in rows} == {
+        ("Ann", "Lee", "a@x.org", None, None, "0000-0002-1825-0097"), ("Bo", "Ek", None, None, None, None), ("Cy", "Berg", None, "Big Org", "BO", None), ("Di", "Dahl", None, None, None, None),
+        ("Eva", "Ek", "e@x.org", None, None, None), ("Fia", "Falk", None, None, None, None),
+    }
+
+
+def test_archives_to_purge_and_to_take_from(spark):
+    m = lambda p, v, n, md5, ts: (p, v, n, md5, ts)
+    members = [m("a", "1", "f", "x", 1), m("a", "1", "g", "y", 1), m("a", "2", "f", "x", 1), m("a", "3", "g", "y", 1), m("b", "1", "f", "old", 1), m("b", "1", "g", "y", 1), m("b", "2", "f", "new", 2), m("c", "1", "f", "x", 1), m("c", "2", "f", "x", 1), m("c", "2", "g", "y", 1)]
+    versions_ = [("a", "1", 1), ("a", "2", 2), ("a", "3", 3), ("b", "1", 1), ("b", "2", 2), ("c", "1", 1), ("c", "2", 2)]
+    found = versions.archive_repairs(spark.createDataFrame(members, "package string, version string, member string, md5 string, ts int"), spark.createDataFrame(versions_, "package string, version string, ts int"))
+    assert sorted(tuple(r) for r in found.collect()) == [("a", "2", "purge"), ("a", "3", "purge"), ("b", "1", "take")]
