@@ -9,13 +9,35 @@ from .ranks import number_rows
 from .statements import unpivot
 
 
-def dcat_export(objects: DataFrame, specs: DataFrame, stations: DataFrame) -> DataFrame:
-    """Dataset statements of current objects: title, description, period, modified, licence-free text only."""
-    rows = objects.where("size is not null and not deprecated").join(specs.select("spec", "spec_label"), "spec").join(stations.select("station", "name"), "station", "left")
+LICENCE = "https://creativecommons.org/licenses/by/4.0/"
+
+
+def dcat_export(objects: DataFrame, specs: DataFrame, stations: DataFrame, keywords: DataFrame | None = None) -> DataFrame:
+    """Statements of the datasets, distributions and periods of current objects with a station, and of their keywords.
+
+    objects: also prod_end and subm_start, where known: modified is the end of production if that is before the submission
+    began, else that. specs: spec, spec_label and, if there, comment and theme_iri. keywords: id, keyword. Nodes are named after
+    the object: <id>/distribution, <id>/period."""
+    rows = objects.where("size is not null and not deprecated").join(specs, "spec").join(stations.select("station", "name"), "station")
+    have = lambda c, kind: F.col(c) if c in rows.columns else F.lit(None).cast(kind)
     text = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    rows = rows.select("id", F.concat_ws(", ", "spec_label", "name").alias("title"), F.concat(F.lit("File "), "file_name", F.lit(" of "), "spec_label").alias("description"), text("data_start").alias("begin"), text("data_end").alias("end"), text(F.least("data_end", "submitted")).alias("modified"))
-    preds = {"title": ("dcterms:title", 1, "xsd:string"), "description": ("dcterms:description", 1, "xsd:string"), "begin": ("dcat:startDate", 1, "xsd:dateTime"), "end": ("dcat:endDate", 1, "xsd:dateTime"), "modified": ("dcterms:modified", 1, "xsd:dateTime")}
-    return unpivot(rows, "id", preds, "dcat")
+    began = F.coalesce(have("subm_start", "timestamp"), F.col("submitted"))
+    made = have("prod_end", "timestamp")
+    node = lambda part: F.concat("id", F.lit(f"/{part}"))
+    rows = rows.select(
+        "id", F.col("file_name").alias("title"), F.concat("spec_label", F.lit(", station "), "name", F.lit(". "), F.coalesce(have("comment", "string"), F.lit(""))).alias("description"), text("submitted").alias("issued"),
+        text(F.when(made < began, made).otherwise(began)).alias("modified"), F.col("station").cast("string").alias("station"), node("period").alias("period"), node("distribution").alias("distribution"), have("theme_iri", "string").alias("theme"),
+        text("data_start").alias("begin"), text("data_end").alias("end"), F.col("size").cast("string").alias("bytes"), F.lit(LICENCE).alias("licence"), F.concat(F.lit("data:"), "id").alias("download"), F.lit("dcat:Dataset").alias("kind"), F.lit("dct:PeriodOfTime").alias("period_kind"), F.lit("dcat:Distribution").alias("distribution_kind"),
+    )
+    string, time = (1, "xsd:string"), (1, "xsd:dateTime")
+    of_dataset = {"kind": ("rdf:type", 0, None), "title": ("dct:title", *string), "description": ("dct:description", *string), "issued": ("dct:issued", *time), "modified": ("dct:modified", *time), "station": ("prov:wasAttributedTo", 0, None), "period": ("dct:temporal", 0, None), "distribution": ("dcat:distribution", 0, None), "theme": ("dcat:theme", 0, None)}
+    of_period = {"period_kind": ("rdf:type", 0, None), "begin": ("dcat:startDate", *time), "end": ("dcat:endDate", *time)}
+    of_distribution = {"distribution_kind": ("rdf:type", 0, None), "id": ("dcat:accessURL", 0, None), "licence": ("dct:license", 0, None), "bytes": ("dcat:byteSize", 1, "xsd:long"), "download": ("dcat:downloadURL", 0, None)}
+    out = unpivot(rows, "id", of_dataset, "dcat").union(unpivot(rows, "period", of_period, "dcat")).union(unpivot(rows, "distribution", of_distribution, "dcat"))
+    if keywords is not None:
+        told = keywords.select("id", "keyword").distinct().join(rows.select("id"), "id", "left_semi")
+        out = out.union(unpivot(told, "id", {"keyword": ("dcat:keyword", *string)}, "dcat"))
+    return out
 
 
 def site_export(stations: DataFrame, pis: DataFrame) -> DataFrame:
@@ -54,13 +76,17 @@ def ris(rows: DataFrame) -> DataFrame:
 
 
 def doi_metadata(rows: DataFrame) -> DataFrame:
-    """(id, json): creators, title, subjects, dates, rights and a geographic box. rows: id, authors, title, keywords (arrays), data_start, data_end, licence, box."""
+    """(id, json): creators, title, subjects, dates, rights, a geographic box and, where rows have ``fundings`` (an array of
+    struct funder, award), the funding references; without any of these there is no such field. rows: id, authors, title,
+    keywords (arrays), data_start, data_end, licence, box."""
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
-    doc = F.struct(
+    fields = [
         F.transform("authors", lambda a: F.struct(a.alias("name"))).alias("creators"), F.array(F.struct(F.col("title").alias("title"))).alias("titles"), F.transform("keywords", lambda k: F.struct(k.alias("subject"))).alias("subjects"),
         F.array(F.struct(F.concat_ws("/", day("data_start"), day("data_end")).alias("date"), F.lit("Collected").alias("dateType"))).alias("dates"), F.array(F.struct(F.col("licence").alias("rightsUri"))).alias("rightsList"), F.array(F.struct(F.col("box").alias("geoLocationBox"))).alias("geoLocations"),
-    )
-    return rows.select("id", F.to_json(doc).alias("json"))
+    ]
+    if "fundings" in rows.columns:
+        fields.append(F.when(F.size("fundings") > 0, F.transform(F.array_distinct("fundings"), lambda f: F.struct(f.funder.alias("funderName"), f.award.alias("awardNumber")))).alias("fundingReferences"))
+    return rows.select("id", F.to_json(F.struct(*fields)).alias("json"))
 
 
 def schema_org(rows: DataFrame) -> DataFrame:

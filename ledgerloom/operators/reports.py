@@ -23,10 +23,21 @@ def spec_variables(columns: DataFrame, variables: DataFrame, flags: DataFrame) -
     return rows.withColumn("unit", F.coalesce("unit", F.lit("(not applicable)"))).distinct()
 
 
-def origin_stats(objects: DataFrame, stations: DataFrame, specs: DataFrame, condition: Filter = All()) -> DataFrame:
-    """Counts by origin with spec label, station name and country; the joins come after the aggregation."""
-    counts = object_stats(objects, condition)
-    return counts.join(specs.select("spec", "spec_label"), "spec", "left").join(stations.select("station", "name", "country"), "station", "left")
+def origin_stats(objects: DataFrame, stations: DataFrame, specs: DataFrame, condition: Filter = All(), hidden: DataFrame | None = None) -> DataFrame:
+    """Counts by origin of complete objects that aren't deprecated (where the objects tell), without specs of ``hidden`` projects,
+    with spec label, station name and country and, where stations have them, ecosystem and ``stationclass``: Associated for
+    classes that begin with Ass, ICOS for others, Other for stations without one. The joins come after the aggregation."""
+    if "deprecated" in objects.columns:
+        objects = objects.where("size is not null and not deprecated")
+    counts, labels = object_stats(objects, condition), specs.select("spec", "spec_label")
+    if hidden is not None:
+        counts = counts.join(specs.join(hidden, "project", "left_semi").select("spec"), "spec", "left_anti")
+    more = [c for c in ("ecosystem", "station_class") if c in stations.columns]
+    out = counts.join(labels, "spec", "left").join(stations.select("station", "name", "country", *more), "station", "left")
+    if "station_class" not in more:
+        return out
+    told = F.when(F.col("station_class").startswith("Ass"), "Associated").otherwise("ICOS")
+    return out.withColumn("stationclass", F.when(F.col("station_class").isNotNull(), told).when(F.col("station").isNotNull(), "Other")).drop("station_class")
 
 
 def object_details(objects: DataFrame, stations: DataFrame, dois: DataFrame) -> DataFrame:
@@ -96,11 +107,21 @@ def latest_for(objects: DataFrame, keys: list[str]) -> DataFrame:
     return objects.where("size is not null and not deprecated").withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
 
 
-def products_per_domain(specs: DataFrame, keywords: DataFrame, objects: DataFrame, theme: int, text: str) -> DataFrame:
-    """Specs of levels 1 and 2 of a theme whose project or own keyword contains a text and that have objects."""
+def products_per_domain(specs: DataFrame, keywords: DataFrame, objects: DataFrame, theme: int, text: str, project: int | None = None) -> DataFrame:
+    """Specs of levels 1 and 2 of a theme that belong to ``project`` or whose project's or own keywords contain a text, and that
+    have a dataset (where specs tell) and objects."""
     rows = specs.where((F.col("theme") == theme) & F.col("level").isin(1, 2))
     hits = keywords.where(F.col("keyword").contains(text)).select("spec").distinct()
-    return rows.join(hits, "spec", "left_semi").join(objects.select("spec"), "spec", "left_semi")
+    rows = rows if "dataset" not in specs.columns else rows.where("dataset is not null")
+    chosen = rows.join(hits, "spec", "left_semi")
+    if project is not None:
+        chosen = chosen.union(rows.where(F.col("project") == project)).distinct()
+    return chosen.join(objects.select("spec"), "spec", "left_semi")
+
+
+def findable_specs(specs: DataFrame, hidden: DataFrame) -> DataFrame:
+    """Specs of levels 2 and 3 whose project isn't hidden."""
+    return specs.where("level in (2, 3)").join(hidden, "project", "left_anti").select("spec")
 
 
 def incomplete_uploads(objects: DataFrame) -> DataFrame:
@@ -138,8 +159,14 @@ def per_format_stats(objects: DataFrame, specs: DataFrame, left_out: int) -> Dat
 
 
 def species_and_heights(objects: DataFrame, variables: DataFrame) -> DataFrame:
-    """Per station the distinct variables, heights and pairs, sorted and joined. variables: spec, variable."""
-    rows = objects.where("station is not null").select("station", "spec", "height").distinct().join(variables, "spec")
+    """Per station the distinct variables, heights and pairs, sorted and joined. variables: spec, variable. An object with a list
+    of its own (``variables``, an array) has only those of its spec's that are in it; deprecated and incomplete objects don't
+    count, where the objects tell."""
+    rows = objects.where("station is not null")
+    rows = rows.where("size is not null and not deprecated") if "deprecated" in objects.columns else rows
+    own = ["variables"] if "variables" in objects.columns else []
+    rows = rows.select("station", "spec", "height", *own).distinct().join(variables, "spec")
+    rows = rows.where(F.col("variables").isNull() | F.array_contains("variables", F.col("variable"))) if own else rows
     text = F.col("height").cast("decimal(9,1)").cast("string")
     listed = lambda c, name: F.array_join(F.array_sort(F.collect_set(c)), ",").alias(name)
     return rows.groupBy("station").agg(listed(F.col("variable"), "variables"), listed(text, "heights"), listed(F.concat_ws("@", "variable", text), "pairs"))
@@ -207,6 +234,13 @@ def sitemap(objects: DataFrame, stations: DataFrame, specs: DataFrame, country:
     return rows if country is None else rows.where(F.col("country") == country)
 
 
+def sitemap_of_lists(collections: DataFrame, documents: DataFrame, edges: DataFrame) -> DataFrame:
+    """(kind, id) of collections (id, doi) that have a DOI, and of documents (id), that nothing replaces (edges: new, old)."""
+    old = edges.select(F.col("old").alias("id")).distinct()
+    rows = collections.where("doi is not null").select(F.lit("collection").alias("kind"), "id").union(documents.select(F.lit("document"), "id"))
+    return rows.join(old, "id", "left_anti").select("kind", "id")
+
+
 def unlisted_hosts(objects: DataFrame, prefixes: list[str], iri: str = "id") -> DataFrame:
     """Current objects whose IRI starts with none of the prefixes."""
     known = F.lit(False)

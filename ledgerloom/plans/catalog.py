@@ -279,9 +279,13 @@ def p01_spec_basics(s, d):
     return reports.spec_basics(bridge.specs(s, d), s.range(5, 6).select(F.col("id").cast("int").alias("project")))
 
 
-@query("""SELECT o.spec, o.submitter, o.station, o.site, o.n, spec_label, name, country FROM (SELECT spec, submitter, station, site, count(*) n FROM objects GROUP BY ALL) o LEFT JOIN specs USING (spec) LEFT JOIN stations USING (station)""")
+@query("""SELECT o.spec, o.submitter, o.station, o.site, o.n, spec_label, name, country, CASE WHEN station % 4 <> 0 THEN 'eco' || (station % 3) END ecosystem,
+  CASE WHEN name IS NULL THEN CASE WHEN station IS NOT NULL THEN 'Other' END WHEN station % 5 = 0 THEN 'Associated' WHEN station % 5 < 3 THEN 'ICOS' ELSE 'Other' END stationclass
+  FROM (SELECT spec, submitter, station, site, count(*) n FROM objects WHERE size IS NOT NULL AND id NOT IN (SELECT id FROM deprecated) GROUP BY ALL) o LEFT JOIN specs USING (spec) LEFT JOIN stations USING (station) WHERE coalesce(project, 0) <> 5""")
 def p03_origin_stats(s, d):
-    return reports.origin_stats(bridge.objects(s, d), bridge.stations(s, d), bridge.specs(s, d))
+    k = F.col("station")
+    stations = bridge.stations(s, d).withColumn("ecosystem", F.when(k % 4 != 0, F.concat(F.lit("eco"), k % 3))).withColumn("station_class", F.when(k % 5 == 0, "Associated").when(k % 5 < 3, (k % 5).cast("string")))
+    return reports.origin_stats(flagged(s, d), stations, bridge.specs(s, d), hidden=s.range(5, 6).select(F.col("id").cast("int").alias("project")))
 
 
 @query("SELECT id, name station_name, dois FROM objects LEFT JOIN stations USING (station) LEFT JOIN (SELECT member id, string_agg(DISTINCT 'doi' || coll, ',' ORDER BY 'doi' || coll) dois FROM members WHERE coll % 3 = 0 GROUP BY 1) USING (id)")
@@ -347,9 +351,12 @@ def p20_per_format_stats(s, d):
 
 
 @query("""SELECT station, string_agg(DISTINCT v, ',' ORDER BY v) variables, string_agg(DISTINCT h, ',' ORDER BY h) heights, string_agg(DISTINCT v || '@' || h, ',' ORDER BY v || '@' || h) pairs
-  FROM (SELECT station, 'v' || (spec % 3) v, CAST(CAST(height AS DECIMAL(9, 1)) AS VARCHAR) h FROM objects WHERE station IS NOT NULL) GROUP BY station""")
+  FROM (SELECT station, 'v' || i v, CAST(CAST(height AS DECIMAL(9, 1)) AS VARCHAR) h FROM objects, range(3) r(i) WHERE station IS NOT NULL AND size IS NOT NULL AND id NOT IN (SELECT id FROM deprecated) AND i >= spec % 3 AND (CAST(id AS BIGINT) % 2 = 0 OR i = 2)) GROUP BY station""")
 def p21_species_and_heights(s, d):
-    return reports.species_and_heights(bridge.objects(s, d), bridge.specs(s, d).select("spec", F.concat(F.lit("v"), F.col("spec") % 3).alias("variable")))
+    """Specs have the variables from their number modulo 3 up to v2; objects of odd ids list v2 only."""
+    o = flagged(s, d).withColumn("variables", F.when(F.col("id").cast("bigint") % 2 == 1, F.array(F.lit("v2"))))
+    variables = bridge.specs(s, d).select("spec", F.explode(F.sequence(F.col("spec") % 3, F.lit(2))).alias("i")).select("spec", F.concat(F.lit("v"), "i").alias("variable"))
+    return reports.species_and_heights(o, variables)
 
 
 @query("SELECT spec, station, height, count(*) n FROM objects WHERE size IS NOT NULL AND id NOT IN (SELECT id FROM deprecated) GROUP BY ALL HAVING count(*) > 1")

@@ -204,6 +204,26 @@ def p29_polygon_tracks(s, d):
     return reports.polygon_tracks(o.select("id", shape.alias("geojson")), o, 1, bridge.specs(s, d), "https://x/")
 
 
+@query("""SELECT spec, level FROM specs WHERE theme = 1 AND level IN (1, 2) AND spec % 2 = 0 AND (project = 2 OR 'brand' || (spec % 5) LIKE '%brand1%' OR 'type' || project LIKE '%brand1%') AND spec IN (SELECT spec FROM objects)""")
+def p14_products_per_domain(s, d):
+    sp, (_, of_spec, of_project) = bridge.specs(s, d).withColumn("dataset", F.when(F.col("spec") % 2 == 0, "D")), bridge.keywords(s, d)
+    words = of_spec.union(sp.join(of_project, "project").select("spec", "keyword"))
+    return reports.products_per_domain(sp, words, bridge.objects(s, d), 1, "brand1", 2).select("spec", "level")
+
+
+@query("SELECT 'collection' kind, 'c' || cust id FROM (SELECT DISTINCT cust FROM objects) WHERE cust % 3 = 0 AND cust NOT IN (SELECT cust FROM objects WHERE spec = 1) UNION ALL SELECT 'document', 'd' || id FROM objects WHERE spec = 2 AND id NOT IN (SELECT old FROM edges)")
+def p31_sitemap_of_lists(s, d):
+    o, e = bridge.objects(s, d), bridge.edges(s, d)
+    colls = o.select(F.concat(F.lit("c"), "cust").alias("id"), F.when(F.col("cust") % 3 == 0, "doi").alias("doi")).distinct()
+    old = o.where("spec = 1").select(F.lit("n").alias("new"), F.concat(F.lit("c"), "cust").alias("old")).union(e.select("new", F.concat(F.lit("d"), "old")))
+    return reports.sitemap_of_lists(colls, o.where("spec = 2").select(F.concat(F.lit("d"), "id").alias("id")), old)
+
+
+@query("SELECT spec FROM specs WHERE level IN (2, 3) AND project <> 5")
+def p14_findable_specs(s, d):
+    return reports.findable_specs(bridge.specs(s, d), s.range(5, 6).select(F.col("id").cast("int").alias("project")))
+
+
 # Validation
 
 
@@ -377,13 +397,16 @@ def r10_dedupe_orgs(s, d):
 # Exports
 
 
-_CURRENT = "FROM objects JOIN specs USING (spec) LEFT JOIN stations USING (station) WHERE size IS NOT NULL AND id NOT IN (SELECT id FROM deprecated)"
-
-
-@query(f"""SELECT id subj, p AS pred, v AS obj FROM (SELECT id, unnest(['dcterms:title', 'dcterms:description', 'dcat:startDate', 'dcat:endDate', 'dcterms:modified']) p,
-  unnest([concat_ws(', ', spec_label, name), 'File ' || file_name || ' of ' || spec_label, strftime(data_start, '%Y-%m-%dT%H:%M:%SZ'), strftime(data_end, '%Y-%m-%dT%H:%M:%SZ'), strftime(least(data_end, submitted), '%Y-%m-%dT%H:%M:%SZ')]) v {_CURRENT})""")
+@query("""WITH c AS (SELECT objects.*, spec_label, name, theme, CASE WHEN spec % 2 = 0 THEN 'about ' || spec ELSE '' END AS note FROM objects JOIN specs USING (spec) JOIN stations USING (station) WHERE size IS NOT NULL AND id NOT IN (SELECT id FROM deprecated))
+  SELECT subj, pred, obj FROM (SELECT id subj, unnest(['rdf:type', 'dct:title', 'dct:description', 'dct:issued', 'dct:modified', 'prov:wasAttributedTo', 'dct:temporal', 'dcat:distribution', 'dcat:theme']) pred, unnest(['dcat:Dataset', file_name, spec_label || ', station ' || name || '. ' || note, strftime(submitted, '%Y-%m-%dT%H:%M:%SZ'),
+    strftime(CASE WHEN CAST(id AS BIGINT) % 3 = 0 AND data_end < submitted THEN data_end ELSE submitted END, '%Y-%m-%dT%H:%M:%SZ'), CAST(station AS VARCHAR), id || '/period', id || '/distribution', 'theme' || theme]) obj FROM c
+  UNION ALL SELECT id || '/period', unnest(['rdf:type', 'dcat:startDate', 'dcat:endDate']), unnest(['dct:PeriodOfTime', strftime(data_start, '%Y-%m-%dT%H:%M:%SZ'), strftime(data_end, '%Y-%m-%dT%H:%M:%SZ')]) FROM c
+  UNION ALL SELECT id || '/distribution', unnest(['rdf:type', 'dcat:accessURL', 'dct:license', 'dcat:byteSize', 'dcat:downloadURL']), unnest(['dcat:Distribution', id, 'https://creativecommons.org/licenses/by/4.0/', CAST(size AS VARCHAR), 'data:' || id]) FROM c
+  UNION ALL SELECT DISTINCT id, 'dcat:keyword', keyword FROM own_keywords WHERE id IN (SELECT id FROM c))""".replace("WITH c", ", c", 1))
 def x01_dcat_export(s, d):
-    return export.dcat_export(flagged(s, d), bridge.specs(s, d), bridge.stations(s, d)).select("subj", "pred", "obj")
+    o = flagged(s, d).withColumn("prod_end", F.when(_key() % 3 == 0, F.col("data_end")))
+    specs = bridge.specs(s, d).select("spec", "spec_label", F.when(F.col("spec") % 2 == 0, F.concat(F.lit("about "), "spec")).alias("comment"), F.concat(F.lit("theme"), "theme").alias("theme_iri"))
+    return export.dcat_export(o, specs, bridge.stations(s, d), bridge.keywords(s, d)[0]).select("subj", "pred", "obj")
 
 
 @query("""SELECT station, name, pi, '{"type":"Point","coordinates":[' || printf('%.1f', lon) || ',' || printf('%.1f', lat) || ']}' geojson FROM stations LEFT JOIN (SELECT station, min(person) pi FROM memberships WHERE role = 'PI' GROUP BY 1) USING (station)""")
