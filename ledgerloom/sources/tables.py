@@ -16,7 +16,7 @@ from ledgerloom.sources.log_source import LOG, read_jdbc_log
 XSD_STRING = "xsd:string"
 
 PACKAGE = (
-    "submitterId string, hashSum string, fileName string, objectSpecification string, isNextVersionOf array<string>, preExistingDoi string,"
+    "submitterId string, hashSum string, fileName string, objectSpecification string, isNextVersionOf array<string>, preExistingDoi string, partialUpload boolean,"
     "specificInfo struct<station:string,site:string,acquisitionInterval:struct<start:timestamp,stop:timestamp>,instrument:array<string>,samplingHeight:float,"
     "production:struct<creator:string,contributors:array<string>,hostOrganization:string,comment:string,sources:array<string>,creationDate:timestamp>>,"
     "references struct<keywords:array<string>,licence:string,moratorium:timestamp,duplicateFilenameAllowed:boolean>"
