@@ -194,11 +194,24 @@ def move_by_predicate(st: DataFrame, pred: str, from_graph: str) -> DataFrame:
     return own.join(own.where(F.col("pred") == pred).select("subj").distinct(), "subj", "left_semi")
 
 
-def current_object_statements(st: DataFrame, subj: str, hops: list[str], contributors: str = "wasContributedBy") -> DataFrame:
-    """An object's statements, those of its nodes along ``hops``, and its contributor list's."""
-    own = match(st, s=subj)
-    nodes = own.where(F.col("pred").isin([*hops, contributors])).select(F.col("obj").alias("subj")).distinct()
-    return own.union(st.join(nodes, "subj", "left_semi").select(*own.columns))
+def current_object_statements(st: DataFrame, subjects: DataFrame, derived: tuple[str, ...] = ("hasBiblioInfo", "hasCitationString")) -> DataFrame:
+    """(of, *KEY) of objects ``subjects`` (subj): an object's own statements; those of what it refers to, but over the version link;
+    those of its production's list of contributors; and, of a plain collection that replaces something and holds the object, its
+    membership, or all statements where it is the only member. ``derived`` predicates are left out."""
+    rows = st.select(*KEY).distinct()
+    own = subjects.select(F.col("subj").alias("of")).distinct().join(rows, F.col("of") == F.col("subj"))
+    of = lambda nodes: nodes.join(rows, F.col("node") == F.col("subj")).select("of", *KEY)
+    below = own.where((F.col("pred") != "isNextVersionOf") & (F.col("obj_kind") == 0)).select("of", F.col("obj").alias("node")).distinct()
+    made = own.where("pred = 'wasProducedBy'").select("of", F.col("obj").alias("prod"))
+    lists = made.join(rows.where("pred = 'wasParticipatedInBy'"), F.col("prod") == F.col("subj")).select("of", F.col("obj").alias("node"))
+    lists = lists.join(rows.where((F.col("pred") == TYPE) & (F.col("obj") == "rdf:Seq")).select(F.col("subj").alias("node")), "node", "left_semi")
+    kinds = rows.where((F.col("pred") == TYPE) & (F.col("obj") == "PlainCollection")).select("subj")
+    parts = rows.where("pred = 'dcterms:hasPart'").join(kinds, "subj", "left_semi").join(rows.where("pred = 'isNextVersionOf'").select("subj"), "subj", "left_semi")
+    sizes = parts.groupBy("subj").agg(F.countDistinct("obj").alias("members"))
+    held = parts.join(own.select("of").distinct(), F.col("obj") == F.col("of")).select("of", F.col("subj").alias("node")).join(sizes.withColumnRenamed("subj", "node"), "node")
+    through = held.join(rows, F.col("node") == F.col("subj")).where((F.col("members") == 1) | (F.col("pred") == "dcterms:hasPart") & (F.col("obj") == F.col("of"))).select("of", *KEY)
+    found = own.select("of", *KEY).union(of(below)).union(of(lists.select("of", "node"))).union(through)
+    return found.where(~F.col("pred").isin(list(derived))).distinct()
 
 
 def ordered_members(st: DataFrame, node: str | None = None) -> DataFrame:

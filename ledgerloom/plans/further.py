@@ -51,6 +51,21 @@ def b19_purge_closure(s, d):
     return st.purge_closure(rows, o.where("spec = 7").select(F.col("id").alias("subj"))).select("subj", "pred", "obj")
 
 
+@query("""WITH r AS (SELECT id subj, 'hasName' pred, file_name obj FROM objects UNION ALL SELECT id, 'wasAcquiredBy', id || '00000000' FROM objects UNION ALL SELECT id || '00000000', 'hasStartTime', CAST(spec AS VARCHAR) FROM objects UNION ALL SELECT id, 'isNextVersionOf', CAST(CAST(id AS BIGINT) + 1 AS VARCHAR) FROM objects WHERE spec = 1
+  UNION ALL SELECT '77770000' || old, 'isNextVersionOf', old FROM edges UNION ALL SELECT '77770000' || old, 'rdf:type', 'PlainCollection' FROM edges UNION ALL SELECT '77770000' || old, 'dcterms:hasPart', new FROM edges UNION ALL SELECT '77770000' || old, 'dcterms:hasPart', old || '9' FROM edges JOIN objects ON old = id WHERE spec % 2 = 0),
+  sole AS (SELECT subj FROM r WHERE pred = 'dcterms:hasPart' GROUP BY subj HAVING count(DISTINCT obj) = 1), o AS (SELECT id FROM objects WHERE spec < 6)
+  SELECT DISTINCT id AS of_, subj, pred, obj FROM o JOIN r ON r.subj = id UNION SELECT id, r.subj, r.pred, r.obj FROM o JOIN r ON r.subj = id || '00000000' UNION SELECT o.id, c.subj, c.pred, c.obj FROM o JOIN r h ON h.pred = 'dcterms:hasPart' AND h.obj = o.id JOIN r c ON c.subj = h.subj WHERE h.subj IN (SELECT subj FROM sole) OR c.pred = 'dcterms:hasPart' AND c.obj = o.id""".replace("WITH r", ", r", 1))
+def b22_current_object_statements(s, d):
+    """Objects in plain collections, alone or with another, with acquisition nodes."""
+    o, e = bridge.objects(s, d), bridge.edges(s, d)
+    acq, coll = F.concat("id", F.lit("00000000")), F.concat(F.lit("77770000"), "old")
+    rows = _statements(o, F.col("id"), "hasName", F.col("file_name")).union(_statements(o, F.col("id"), "wasAcquiredBy", acq, 0)).union(_statements(o, acq, "hasStartTime", F.col("spec")))
+    rows = rows.union(_statements(o.where("spec = 1"), F.col("id"), "isNextVersionOf", _key() + 1, 0)).union(_statements(e, coll, "isNextVersionOf", F.col("old"), 0)).union(_statements(e, coll, st.TYPE, F.lit("PlainCollection"), 0))
+    even = e.join(o.where("spec % 2 = 0").select(F.col("id").alias("old")), "old", "left_semi")
+    rows = rows.union(_statements(e, coll, "dcterms:hasPart", F.col("new"), 0)).union(_statements(even, coll, "dcterms:hasPart", F.concat("old", F.lit("9")), 0))
+    return st.current_object_statements(rows, o.where("spec < 6").select(F.col("id").alias("subj"))).select(F.col("of").alias("of_"), "subj", "pred", "obj")
+
+
 @query("SELECT CAST(coll AS VARCHAR) subj, string_agg(member, ',' ORDER BY CASE WHEN CAST(member AS BIGINT) % 2 = 0 THEN CAST(member AS BIGINT) ELSE 2147483647 END, member) members FROM members GROUP BY coll")
 def b23_ordered_members(s, d):
     """Even members by an index, the others by name."""

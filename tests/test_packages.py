@@ -2,7 +2,7 @@
 
 import json
 
-from ledgerloom.operators import packages
+from ledgerloom.operators import packages, statements as st
 from ledgerloom.sources import tables
 
 A, B, C = (format(k, "02x") * 32 for k in (0, 255, 16))
@@ -45,3 +45,18 @@ def test_collections_as_statements(spark):
         ("c1", "rdf:type", "Collection", 0), ("c1", "dcterms:title", "T", 1), ("c1", "dcterms:description", "D", 1), ("c1", "dcterms:creator", "org", 0), ("c1", "hasDoi", "10.1/y", 1), ("c1", "isNextVersionOf", "c0", 0), ("c1", "dcterms:hasPart", "a", 0), ("c1", "dcterms:hasPart", "b", 0), ("c1", "rdfs:seeAlso", "doc", 0),
         ("c2", "rdf:type", "Collection", 0), ("c2", "dcterms:title", "U", 1), ("c2", "dcterms:creator", "org", 0),
     }
+
+
+def test_current_statements_with_shared_and_own_collections(spark):
+    def number(*more, without=()):
+        rows = [("new1", "hasName", "a", 1), ("new2", "hasName", "b", 1), ("old", "hasName", "c", 1), ("coll", "rdf:type", "PlainCollection", 0), ("coll", "isNextVersionOf", "old", 0), ("coll", "dcterms:hasPart", "new1", 0), ("coll", "dcterms:hasPart", "new2", 0), *more]
+        frame = spark.createDataFrame([(*r, None) for r in rows if r[:3] not in without], "subj string, pred string, obj string, obj_kind int, lit_attr string")
+        return st.current_object_statements(frame, spark.createDataFrame([("new2",)], "subj string")).count()
+
+    assert number() == 2
+    alone = [("coll", "dcterms:hasPart", "new1")]
+    assert number(without=alone) == 4
+    provenance = [("new2", "wasSubmittedBy", "subm", 0), ("subm", "startedAtTime", "t", 1), ("new2", "isNextVersionOf", "old", 0), ("new2", "hasCitationString", "x", 1)]
+    assert number(*provenance, without=alone) == 7
+    contributors = [("new2", "wasProducedBy", "prod", 0), ("prod", "wasParticipatedInBy", "list", 0), ("list", "rdf:type", "rdf:Seq", 0), ("list", "rdf:_1", "p", 0), ("prod", "wasPerformedBy", "q", 0), ("q", "hasName", "Q", 1)]
+    assert number(*contributors) == 7
