@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ._arrays import alnum_words, hash_text, hash_words
 from ._spark import clean_text
+from .license_texts import BODIES
 
 #: Phrases and the labels of the base places.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -41,17 +43,23 @@ TEMPLATES = {
     "mpl-2.0": (["this source code form is subject to the terms of the mozilla public license v 2 0"], ["mozilla public license"]),
 }
 LEAST = 0.6
+#: Words of a segment of a whole text, and by how many words segments may stand off their places.
+SEGMENT, DRIFT = 16, 8
+#: Alignments of a whole text that are compared at a time.
+BLOCK = 2048
 
 
 class TemplateIndex:
     """Words, places and key phrases of the templates, as hashes."""
 
-    def __init__(self, templates: dict = TEMPLATES, phrases: dict = PHRASES):
+    def __init__(self, templates: dict = TEMPLATES, phrases: dict = PHRASES, bodies: dict = BODIES):
         table = alnum_words()
         self.templates = [(label, hash_text(t, table), [hash_text(k, table) for k in keys]) for label, (texts, keys) in templates.items() for t in texts]
+        self.bodies = [(label, hash_text(t, table), [hash_text(k, table) for k in keys]) for label, (t, keys) in bodies.items()]
         self.phrases = [(hash_text(p, table), label) for p, label in phrases.items()]
-        self.words = np.unique(np.concatenate([t for _, t, _ in self.templates] + [k for *_, keys in self.templates for k in keys]))
-        self.key_sets = [set(map(int, k)) for k in {tuple(k): k for *_, keys in self.templates for k in keys}.values()]
+        every = self.templates + self.bodies
+        self.words = np.unique(np.concatenate([t for _, t, _ in every] + [k for *_, keys in every for k in keys]))
+        self.key_sets = [set(map(int, k)) for k in {tuple(k): k for *_, keys in every for k in keys}.values()]
 
     def known(self, hashes: np.ndarray) -> np.ndarray:
         """Which words the templates have."""
@@ -92,45 +100,127 @@ def inverse_frequencies(docs: DataFrame, index: TemplateIndex) -> dict[int, floa
     return {int(w): float(np.log((total + 1) / (found.get(int(w), 0) + 1)) + 1) for w in index.words}
 
 
-def rare_places(index: TemplateIndex, idf: dict[int, float]) -> list[tuple[np.ndarray, dict[int, list[int]]]]:
-    """For each template its words' weights and the postings (word: places) of its rare places."""
-    out = []
-    for _, text, _ in index.templates:
+@dataclass
+class Rare:
+    """A template's words' weights and the postings (word: places) of its rare places."""
+
+    weight: np.ndarray
+    postings: dict[int, list[int]]
+    words: np.ndarray
+
+    @staticmethod
+    def of(text: np.ndarray, idf: dict[int, float]) -> Rare:
         weight = np.array([idf[int(w)] for w in text])
         order = np.lexsort((np.arange(len(text)), text, -weight))
         enough = np.cumsum(weight[order]) > (1 - LEAST) * weight.sum() + 1e-9
         postings = defaultdict(list)
         for at in order[: int(np.argmax(enough)) + 1]:
             postings[int(text[at])].append(int(at))
-        out.append((weight, postings))
-    return out
+        return Rare(weight, dict(postings), np.array(sorted(postings), dtype=np.uint64))
+
+
+def rare_places(index: TemplateIndex, idf: dict[int, float]) -> list[Rare]:
+    """Of the notices, then of the whole texts."""
+    return [Rare.of(text, idf) for _, text, _ in index.templates + index.bodies]
+
+
+def _starts(hashes: np.ndarray, at: np.ndarray, text: np.ndarray, keys: list[np.ndarray], rare: Rare, drift: int = 0) -> np.ndarray:
+    """Starts at which a rare place is right and a key phrase stands in the stretch, which reaches two words (and the drift) beyond the aligned ones."""
+    stands = [(k, len(key)) for key in keys for k in places(hashes, key)]
+    if not stands:
+        return np.zeros(0, dtype=np.int64)
+    found = at[np.isin(hashes[at], rare.words)]
+    which, none = hashes[found], np.zeros(0, dtype=np.int64)
+    starts = np.unique(np.concatenate([none, *((found[which == w][:, None] - np.array(rare.postings[int(w)])).ravel() for w in np.unique(which))]))
+    near, reach = np.zeros(len(starts) + 1, dtype=np.int64), 2 + drift
+    for k, size in stands:
+        from_, to = np.searchsorted(starts, k + size - len(text) - reach), np.searchsorted(starts, k + reach, side="right")
+        near[from_] += to > from_
+        near[to] -= to > from_
+    return starts[np.cumsum(near[:-1]) > 0]
+
+
+def _shares(hashes: np.ndarray, starts: np.ndarray, text: np.ndarray, weight: np.ndarray, size: int) -> np.ndarray:
+    """For each start the weights of the words that stand at their places, added up by segments of ``size`` words."""
+    out = []
+    for block in range(0, len(starts), BLOCK):
+        spots = starts[block : block + BLOCK, None] + np.arange(len(text))
+        inside = (spots >= 0) & (spots < len(hashes))
+        same = inside & (hashes[np.where(inside, spots, 0)] == text)
+        out.append(np.add.reduceat(np.where(same, weight, 0.0), np.arange(0, len(text), size), axis=1))
+    return np.concatenate(out) if out else np.zeros((0, -(-len(text) // size)))
+
 
+def whole_texts(hashes: np.ndarray, at: np.ndarray, index: TemplateIndex, rare: list[Rare]) -> list[tuple[str, int, int, float, float]]:
+    """(label, start, end, weight, score) of whole texts that hold, without those that heavier ones cover by half."""
+    found = []
+    for (label, text, keys), own in zip(index.bodies, rare):
+        starts = _starts(hashes, at, text, keys, own, DRIFT)
+        if not len(starts):
+            continue
+        offsets = np.unique((starts[:, None] + np.arange(-DRIFT, DRIFT + 1)).ravel())
+        parts, weight = _shares(hashes, offsets, text, own.weight, SEGMENT), np.zeros(len(starts))
+        where = np.searchsorted(offsets, starts)
+        best = parts[where]
+        for step in range(-DRIFT, DRIFT + 1):  # all offsets around a start are there, next to each other
+            best = np.maximum(best, parts[where + step])
+        weight = best.sum(axis=1)
+        score = weight / own.weight.sum()
+        found += [(label, int(s), int(s) + len(text), float(w), float(c)) for s, w, c in zip(starts, weight, score) if c >= LEAST - 1e-12]
+    kept = Covers()
+    for label, start, end, weight, score in sorted(found, key=lambda m: (-m[3], m[1], m[0])):
+        if not kept.cover(label, start, end, weight, same=True):
+            kept.add((label, start, end, weight, score))
+    return sorted(m for ms in kept.at.values() for m in ms)
+
+
+class Covers:
+    """Stretches of whole texts, found again by blocks of words."""
+
+    WORDS = 256
+
+    def __init__(self, stretches: list | None = None):
+        self.at: dict[int, list] = defaultdict(list)
+        self.longest = 0
+        for m in stretches or []:
+            self.add(m)
+
+    def add(self, m: tuple[str, int, int, float, float]) -> None:
+        self.at[m[1] // self.WORDS].append(m)
+        self.longest = max(self.longest, m[2] - m[1])
 
-def matches(hashes: np.ndarray, index: TemplateIndex, idf: dict[int, float], rare: list | None = None) -> list[tuple[str, int, float]]:
+    def cover(self, label: str, start: int, end: int, weight: float, same: bool = False) -> bool:
+        """Whether half of a stretch lies in one of greater or the same weight, of another label (or of the same one, too)."""
+        blocks = range((start - self.longest) // self.WORDS, end // self.WORDS + 1)
+        return any((same or m[0] != label) and m[3] >= weight and 2 * (min(m[2], end) - max(m[1], start)) >= end - start for b in blocks for m in self.at.get(b, ()))
+
+
+def matches(hashes: np.ndarray, index: TemplateIndex, idf: dict[int, float], rare: list[Rare] | None = None) -> list[tuple[str, int, float]]:
     """(label, start word, score) of the alignments that hold, the best for each label. ``rare`` is rare_places(index, idf)."""
     at = np.flatnonzero(index.known(hashes))
     present = {int(w) for w in np.unique(hashes[at])}
     if not any(keys <= present for keys in index.key_sets):
         return []
-    best: dict[str, tuple[int, float]] = {}
-    for (label, text, keys), (weight, postings) in zip(index.templates, rare or rare_places(index, idf)):
-        stands = [(k, len(key)) for key in keys for k in places(hashes, key)]
-        if not stands:
-            continue
-        found = at[np.isin(hashes[at], np.array(list(postings), dtype=np.uint64))]
-        starts = np.array(sorted({int(p) - o for p in found for o in postings[int(hashes[p])]}), dtype=np.int64)
-        near = np.zeros(len(starts), dtype=bool)
-        for k, size in stands:  # the stretch reaches two words beyond the aligned ones
-            near[np.searchsorted(starts, k + size - len(text) - 2) : np.searchsorted(starts, k + 2, side="right")] = True
+    rare = rare or rare_places(index, idf)
+    whole = whole_texts(hashes, at, index, rare[len(index.templates) :])
+    covers, best = Covers(whole), {}
+
+    def offer(label: str, start: int, score: float) -> None:
+        old = best.get(label, (0, 0.0))
+        if score > old[1] or score == old[1] and start < old[0]:
+            best[label] = (max(0, start), score)
+
+    for label, start, _, _, score in whole:
+        offer(label, start, score)
+    for (label, text, keys), own in zip(index.templates, rare):
+        starts = _starts(hashes, at, text, keys, own)
+        near = _shares(hashes, starts, text, own.weight, len(text))[:, 0] >= LEAST * own.weight.sum() - 1e-9
         for start in starts[near]:
-            spots = np.arange(len(text)) + start
-            inside = (spots >= 0) & (spots < len(hashes))
-            same = np.zeros(len(text), dtype=bool)
-            same[inside] = hashes[spots[inside]] == text[inside]
-            score = float(weight[same].sum() / weight.sum())
-            old = best.get(label, (0, 0.0))
-            if score >= LEAST and (score > old[1] or score == old[1] and start < old[0]):
-                best[label] = (max(0, int(start)), score)
+            spots = np.arange(max(0, -start), min(len(text), len(hashes) - start))
+            weight = own.weight[spots[hashes[spots + start] == text[spots]]].sum()
+            score = float(weight / own.weight.sum())
+            if score >= LEAST and not covers.cover(label, int(start), int(start) + len(text), float(weight)):
+                offer(label, int(start), score)
     return sorted((label, start, score) for label, (start, score) in best.items())
 
 
@@ -159,9 +249,9 @@ def _scan(index: TemplateIndex, idf: dict[int, float]):
     return run
 
 
-def scan_licenses(docs: DataFrame, templates: dict = TEMPLATES, phrases: dict = PHRASES) -> DataFrame:
-    """doc_id, n_words, base (label and start word of each base place) and found (label, start word and score of each aligned notice)."""
-    index = TemplateIndex(templates, phrases)
+def scan_licenses(docs: DataFrame, templates: dict = TEMPLATES, phrases: dict = PHRASES, bodies: dict = BODIES) -> DataFrame:
+    """doc_id, n_words, base (label and start word of each base place) and found (label, start word and score of each aligned notice or text)."""
+    index = TemplateIndex(templates, phrases, bodies)
     idf = inverse_frequencies(docs, index)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), clean_text(docs).alias("text"))
     return rows.mapInArrow(_scan(index, idf), "doc_id long, n_words long, base array<struct<label:string,start:long>>, found array<struct<label:string,start:long,score:double>>")

@@ -819,3 +819,93 @@ def test_license_alignments_as_brute_force():
         assert got == want
         found += len(got)
     assert found > 60
+
+
+def whole_licenses(text, idf, index):
+    """Labels by plain loops over every alignment of every whole text and notice."""
+    at, holds = lambda i, w: 0 <= i < len(text) and text[i] == w, []
+    for kind, (label, t, keys) in [("body", b) for b in index.bodies] + [("notice", n) for n in index.templates]:
+        drift, size = (licenses.DRIFT, licenses.SEGMENT) if kind == "body" else (0, len(t))
+        weight = [idf[int(w)] for w in t]
+        stands = [(k, len(key)) for key in keys for k in range(len(text) - len(key) + 1) if all(text[k + j] == key[j] for j in range(len(key)))]
+        right = {s for s in range(-len(t) + 1, len(text)) if any(at(s + j, t[j]) for j in range(len(t)))}
+        part = {d: [sum(weight[j] for j in range(a, min(a + size, len(t))) if at(d + j, t[j])) for a in range(0, len(t), size)] for s in right for d in range(s - drift, s + drift + 1)}
+        for s in right:
+            if any(k >= s - drift - 2 and k + n <= s + len(t) + drift + 2 for k, n in stands):
+                total = sum(max(part[d][g] for d in range(s - drift, s + drift + 1)) for g in range(len(part[s])))
+                if total / sum(weight) >= licenses.LEAST:
+                    holds.append((kind, label, s, s + len(t), total))
+    half = lambda m, o: 2 * (min(m[3], o[3]) - max(m[2], o[2])) >= m[3] - m[2]
+    kept = []
+    for m in sorted((m for m in holds if m[0] == "body"), key=lambda m: (-m[4], m[2], m[1])):
+        if not any(half(m, o) for o in kept):
+            kept.append(m)
+    return {m[1] for m in kept} | {m[1] for m in holds if m[0] == "notice" and not any(o[1] != m[1] and o[4] >= m[4] and half(m, o) for o in kept)}
+
+
+def changed(text, key, rng, share=0.2):
+    """The words of a text with a share of those outside a key phrase replaced, and with one added and one left out."""
+    words, key = ALNUM.findall(text.translate(LOWER)), key.split()
+    first = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
+    free = [i for i in range(len(words)) if not first <= i < first + len(key)]
+    for i in rng.choice(free, round(share * len(words)), replace=False):
+        words[i] = f"other{rng.integers(1 << 30)}"
+    words.insert(int(rng.choice([i for i in free if i > first])), "added")
+    del words[int(rng.choice([i for i in free if i < first] or [len(words) - 1]))]
+    return " ".join(words)
+
+
+def test_whole_licenses_with_changed_words_are_told_apart(spark):
+    """Bodies as they are, with a fifth of their words changed, and pairs in one file; texts that share paragraphs keep to one label."""
+    rng, bodies = np.random.default_rng(11), licenses.BODIES
+    files = [({label}, f"Copyright (c) 2020 Someone\n\n{t}") for label, (t, _) in bodies.items()]
+    files += [({label}, "before it " + changed(t, keys[0], rng) + " after it") for label, (t, keys) in bodies.items() for _ in range(6)]
+    files += [({a, b}, f"{bodies[a][0]}\n\nand parts under\n\n{bodies[b][0]}") for a in bodies for b in bodies if a < b]
+    files.append((set(bodies), ("x y " * 5000).join(t for t, _ in bodies.values())))
+    files.append((set(), " ".join(sorted(ALNUM.findall(" ".join(t for t, _ in bodies.values()))))))
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(files)], "doc_id long, text string")
+    got = {r.doc_id: {m.label for m in r.found} for r in licenses.scan_licenses(docs).collect()}
+    assert {i: g for i, g in got.items() if g != files[i][0]} == {}
+
+
+def test_whole_license_alignments_as_brute_force():
+    rng, index = np.random.default_rng(12), licenses.TemplateIndex(bodies={k: licenses.BODIES[k] for k in ("0bsd", "isc", "mit", "mit-0", "bsd-3-clause")})
+    idf = {int(w): float(rng.uniform(1, 6)) for w in index.words}
+    found = 0
+    for _ in range(12):
+        parts = []
+        for k in rng.integers(0, len(index.bodies), 2):
+            body = index.bodies[k][1].copy()
+            body[rng.random(len(body)) < 0.25] = rng.integers(1, 1 << 60)
+            cut = int(rng.integers(0, len(body)))
+            parts += [body[:cut], rng.choice(index.words, int(rng.integers(0, 12))), body[cut + int(rng.integers(0, 4)) :], index.templates[int(rng.integers(0, len(index.templates)))][1]]
+        text = np.concatenate(parts)
+        got = {label for label, *_ in licenses.matches(text, index, idf)}
+        assert got == whole_licenses(text.tolist(), idf, index)
+        found += len(got)
+    assert found > 24
+
+
+def test_license_query_labels_and_score_as_brute_force(spark, texts):
+    """The query's labels and score from plain alignments of the notices, with the frequencies counted here."""
+    index = licenses.TemplateIndex()
+    words = {i: licenses.hash_text(t or "", licenses.alnum_words()) for i, t in texts.items()}
+    docs_with = Counter(int(w) for h in words.values() for w in np.unique(h))
+    idf = {int(w): math.log((len(words) + 1) / (docs_with[int(w)] + 1)) + 1 for w in index.words}
+    lone = {i for i, h in words.items() if any(len(licenses.places(h, k)) for *_, keys in index.bodies for k in keys)}
+    some = 0
+    for r in QUERIES["op9_license_scan"](spark, SF).collect():
+        best, h = {}, words[r.doc_id]
+        for label, t, keys in index.templates:
+            weight = np.array([idf[int(w)] for w in t])
+            for k, n in [(int(k), len(key)) for key in keys for k in licenses.places(h, key)]:
+                for start in range(k + n - len(t) - 2, k + 3):
+                    same = [j for j in range(len(t)) if 0 <= start + j < len(h) and h[start + j] == t[j]]
+                    score = weight[same].sum() / weight.sum()
+                    if score >= licenses.LEAST:
+                        best[label] = max(best.get(label, 0.0), score)
+        if r.doc_id not in lone:
+            base = {x for x in r.base_labels.split(",") if x}
+            assert set(r.labels.split(",")) - {""} == base | set(best) and r.score == pytest.approx(max(best.values(), default=0.0))
+            some += bool(best)
+    assert some and len(lone) < len(words) / 10
