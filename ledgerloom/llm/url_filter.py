@@ -11,12 +11,13 @@ rules, one the allowing ones (a rule in both allows); the longest rule that fits
 blocked if a label of their host is a listed one, by a third cascade over all labels, and allowed otherwise.
 
 Keys are dealt to shards by a hash of 128 bits; each shard's cascade is built in one task, from the shard's part of the
-universe, and has a bounded size. All shards together are broadcast where they are small (``MOST_BYTES``); beyond that
-the URLs' keys are dealt to the shards' own tasks instead, which hold one shard's levels each. The answer is the levels'
-in both cases; the listed keys are never joined.
+universe, and has a bounded size. Shards are broadcast in groups of at most ``MOST_BYTES`` (or one shard), one pass over
+the rows for each group, which asks the levels for the keys of its shards and keeps what was found so far. Keys are joined
+to nothing, neither the listed ones nor the rows'.
 
 Rules' hosts are lower-cased in A-Z, as URLs' hosts are. A null URL or one without :// has an empty host and path, fits
-no rule and is allowed. Extra columns are kept; repeated rows stay. Empty tables give empty results.
+no rule and is allowed. Extra columns are kept, those named host, path, rule or verdict under that name with a line
+behind; repeated rows stay. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ._arrays import mix
-from ._spark import fresh, materialize
+from ._spark import discard, fresh, materialize
 
-#: All levels of all shards; beyond this they stay in tasks of their own.
+#: Levels broadcast for one pass over the rows.
 MOST_BYTES = 64 << 20
 #: Keys of the universe in a shard, about.
 SHARD_KEYS = 1 << 20
@@ -117,19 +118,29 @@ def _unsigned(values) -> np.ndarray:
 
 @dataclass
 class Cascade:
-    """levels: one row for each shard that lists a key (shard, size, and by level bits, hashes and tables); held: the same here, where they are small."""
+    """levels: one row for each shard that lists a key (shard, size, and by level bits, hashes and tables); groups: the shards of each pass; held: all levels here, where one pass does."""
 
     shards: int
     levels: DataFrame | None
     held: dict[int, list[Level]] | None
+    groups: list[tuple[int, int]]
 
     def holds(self, rows: DataFrame, keys: str, out: str) -> DataFrame:
-        """rows with ``out``: those of the strings in the array column ``keys`` that are listed."""
-        if self.levels is None:
-            return rows.withColumn(out, F.array().cast("array<string>"))
-        if self.held is None:
-            return self._apart(rows, keys, out)
-        shared, shards = rows.sparkSession.sparkContext.broadcast(self.held), self.shards
+        """rows with ``out``: those of the strings in the array column ``keys`` that are listed, each as often as it stands there."""
+        result, before = rows.withColumn(out, F.array().cast("array<string>")), None
+        for k, (first, last) in enumerate(self.groups):
+            result = result.withColumn(out, F.concat(out, self._of(rows.sparkSession, first, last, keys)))
+            if k + 1 < len(self.groups):  # the next pass's executors needn't hold this one's levels
+                result = materialize(result, "pass")
+                if before is not None:
+                    discard(before)
+                before = result
+        return result
+
+    def _of(self, spark, first: int, last: int, keys: str) -> Column:
+        """The keys that the levels of the shards from first to last list."""
+        own = self.held or _read(self.levels.where(F.col("shard").between(first, last)))
+        shared, shards = spark.sparkContext.broadcast(own), self.shards
 
         @F.pandas_udf("array<boolean>")
         def test(pairs: pd.Series) -> pd.Series:
@@ -139,32 +150,29 @@ class Cascade:
             shard, answer = _shard(a, shards), np.zeros(len(a), dtype=bool)
             for s in np.unique(shard):
                 if s in shared.value:
-                    own = np.flatnonzero(shard == s)
-                    answer[own] = listed_by(shared.value[s], a[own], b[own])
+                    mine = np.flatnonzero(shard == s)
+                    answer[mine] = listed_by(shared.value[s], a[mine], b[mine])
             return pd.Series([x.tolist() for x in np.split(answer, np.cumsum(sizes)[:-1])] if len(sizes) else [], dtype=object)
 
         flags = test(F.flatten(F.transform(keys, lambda k: F.array(*digests(k)))))
         kept = F.filter(F.arrays_zip(F.col(keys).alias("k"), flags.alias("f")), lambda z: z["f"])
-        return rows.withColumn(out, F.transform(kept, lambda z: z["k"]))
+        return F.transform(kept, lambda z: z["k"])
 
-    def _apart(self, rows: DataFrame, keys: str, out: str) -> DataFrame:
-        """As holds(): each distinct key goes to its shard's task, and those found return to their rows."""
-        row, key = fresh(rows, "row"), fresh(rows, "key")
-        numbered = materialize(rows.withColumn(row, F.monotonically_increasing_id()), "rows")
-        each = numbered.select(row, F.explode(keys).alias(key))
-        asked = each.select(key).distinct()
-        asked = asked.select(F.col(key).alias("key"), *(d.alias(n) for d, n in zip(digests(key), "ab")))
-        asked = asked.withColumn("shard", _shard_of(F.col("a"), self.shards))
 
-        def answer(key: tuple, mine: pd.DataFrame, levels: pd.DataFrame) -> pd.DataFrame:
-            if not len(levels) or not len(mine):
-                return pd.DataFrame({"key": []}, dtype=str)
-            a, b = (_unsigned(mine[c]) for c in "ab")
-            return mine.loc[listed_by(_levels(*levels.loc[0, ["bits", "hashes", "tables"]]), a, b), ["key"]]
+def _read(levels: DataFrame) -> dict[int, list[Level]]:
+    return {r["shard"]: _levels(r["bits"], r["hashes"], r["tables"]) for r in levels.toLocalIterator()}
 
-        found = asked.groupBy("shard").cogroup(self.levels.groupBy("shard")).applyInPandas(answer, "key string").select(F.col("key").alias(key))
-        hits = each.join(found, key, "left_semi").groupBy(row).agg(F.collect_set(key).alias(out))
-        return numbered.join(hits, row, "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>"))).drop(row)
+
+def _groups(sizes: list[tuple[int, int]], most_bytes: int) -> list[tuple[int, int]]:
+    """First and last shard of each group of neighbours that together have at most ``most_bytes``, or of one shard."""
+    groups, total = [], 0
+    for shard, size in sizes:
+        if groups and total + size <= most_bytes:
+            groups[-1], total = (groups[-1][0], shard), total + size
+        else:
+            groups.append((shard, shard))
+            total = size
+    return groups
 
 
 def build_cascade(listed: DataFrame, universe: DataFrame, most_bytes: int = MOST_BYTES, shard_keys: int = SHARD_KEYS) -> Cascade:
@@ -174,7 +182,7 @@ def build_cascade(listed: DataFrame, universe: DataFrame, most_bytes: int = MOST
     every = materialize(every.where("there").drop("there"), "universe")
     counts = every.agg(F.count("*").alias("n"), F.count_if("listed").alias("inside")).first()
     if not counts["inside"]:
-        return Cascade(1, None, None)
+        return Cascade(1, None, None, [])
     shards = -(-counts["n"] // shard_keys)
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -184,15 +192,19 @@ def build_cascade(listed: DataFrame, universe: DataFrame, most_bytes: int = MOST
 
     levels = every.groupBy(_shard_of(F.col("a"), shards).alias("shard")).applyInPandas(build, "shard long, size long, bits array<long>, hashes array<int>, tables array<binary>")
     levels = materialize(levels.where("size > 0"), "levels")
-    small = levels.agg(F.sum("size")).first()[0] <= most_bytes
-    held = {r["shard"]: _levels(r["bits"], r["hashes"], r["tables"]) for r in levels.toLocalIterator()} if small else None
-    return Cascade(shards, levels, held)
+    sizes = levels.select("shard", "size").orderBy("shard").toLocalIterator()  # one small row for each SHARD_KEYS keys
+    groups = _groups([(r["shard"], r["size"]) for r in sizes], most_bytes)
+    return Cascade(shards, levels, _read(levels) if len(groups) == 1 else None, groups)
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, labels: DataFrame, url: str = "url") -> DataFrame:
     """pages with host, path, rule (the longest that fits) and verdict.
 
     rules: host, path, verdict (allow or block); labels: key, the host labels that block."""
+    taken = [c for c in pages.columns if c.lower() in ("host", "path", "rule", "verdict")]
+    for c in taken:
+        free = fresh(pages, c)
+        pages, url = pages.withColumnRenamed(c, free), free if url == c else url
     host, path = split_url(F.col(url))
     hosts, keys, parts = (fresh(pages, c) for c in ("suffixes", "url_keys", "host_labels"))
     rules = rules.select(F.concat(F.translate("host", UPPER, LOWER), F.coalesce("path", F.lit(""))).alias("key"), F.length(F.coalesce("path", F.lit(""))).alias("n"), "verdict").where("key is not null")

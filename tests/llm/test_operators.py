@@ -757,6 +757,28 @@ def test_cascade_is_exact(spark, most, shard):
     assert url_filter.build_cascade(listed.limit(0), universe).holds(rows, "ks", "hit").where("size(hit) > 0").count() == 0
 
 
+def test_levels_beyond_one_pass_take_several_without_joins(spark, monkeypatch):
+    """URLs judged with one shard to a pass come out as in one pass; no plan of rows joins, and no level is missed at a group's edge."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url")
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    labels = spark.createDataFrame([(x,) for x in LISTED_LABELS], "key string")
+    want = {tuple(r) for r in url_filter.judge_urls(pages, rules, labels).collect()}
+    plain = url_filter.build_cascade
+    monkeypatch.setattr(url_filter, "build_cascade", lambda listed, universe: plain(listed, universe, 10, 50))
+    got = url_filter.judge_urls(pages, rules, labels)
+    assert {tuple(r) for r in got.collect()} == want and "Join" not in got._jdf.queryExecution().toString()
+    assert url_filter._groups([(0, 5), (1, 5), (2, 9), (4, 30), (5, 1), (6, 1)], 10) == [(0, 1), (2, 2), (4, 4), (5, 6)] and url_filter._groups([], 10) == []
+
+
+def test_columns_of_pages_that_clash_are_kept(spark):
+    pages = spark.createDataFrame([(1, "http://net/de/", "own", "p", "r", "v", "h")], "page_id long, HOST string, verdict string, rule string, path string, url string, host_ string").selectExpr("page_id", "HOST AS url", "verdict AS host", "rule AS path", "path AS rule", "url AS verdict", "host_")
+    rules, labels = spark.createDataFrame(RULES, "host string, path string, verdict string"), spark.createDataFrame([], "key string")
+    row = url_filter.judge_urls(pages, rules, labels).first().asDict()
+    assert row == {"page_id": 1, "url": "http://net/de/", "host__": "own", "path_": "p", "rule_": "r", "verdict_": "v", "host_": "h", "host": "net", "path": "/de/", "rule": None, "verdict": "allow"} | {k: row[k] for k in ("rule", "verdict")}
+    named = spark.createDataFrame([("http://org/es/1",)], "path string")
+    assert url_filter.judge_urls(named, rules, labels, "path").first().asDict()["host"] == "org"
+
+
 def test_cascade_levels():
     """More levels than one are needed, and all keys get their answer."""
     rng = np.random.default_rng(2)
