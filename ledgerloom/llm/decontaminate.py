@@ -208,27 +208,40 @@ def _spans(far: int, slack: int):
     return run
 
 
-def _per_document(index: PositionalIndex, found: DataFrame) -> DataFrame:
-    """One row per document: doc_id, row_key, n_words, n_hit (words inside any of the matches found) and their items."""
+def _hits(index: PositionalIndex, found: DataFrame, n_hit: str = "n_hit", items: str = "items") -> DataFrame:
+    """row_id, number of words inside any of the matches found, and their items; documents with a match only."""
     found = materialize(found, "found")
-    hit = found.select("row_id", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("spot")).distinct().groupBy("row_id").agg(F.count("*").alias("n_hit"))
+    hit = found.select("row_id", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("spot")).distinct().groupBy("row_id").agg(F.count("*").alias(n_hit))
     named = found.select("row_id", "window").distinct().join(index.windows.select("window", F.explode("items").alias("item")), "window").select("row_id", "item").distinct()
-    named = named.groupBy("row_id").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    hits = materialize(hit.join(named, "row_id", "left"), "hits")
-    rows = index.index.select("row_id", "doc_id", "row_key", "n_words").join(hits, "row_id", "left")
-    return rows.select("doc_id", "row_key", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    named = named.groupBy("row_id").agg(F.array_sort(F.collect_set("item")).alias(items))
+    return materialize(hit.join(named, "row_id", "left"), "hits")
+
+
+def _per_document(index: PositionalIndex, *hits: DataFrame) -> DataFrame:
+    """One row per document: doc_id, row_key, n_words and the columns of each of hits, 0 and empty where it has no row."""
+    rows = index.index.select("row_id", "doc_id", "row_key", "n_words")
+    for h in hits:
+        n, items = h.columns[1:]
+        rows = rows.join(h, "row_id", "left").withColumns({n: F.coalesce(n, F.lit(0)), items: F.coalesce(items, F.array().cast("array<string>"))})
+    return rows.drop("row_id")
 
 
 def contaminated_documents(docs: DataFrame, items: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row per document: doc_id, row_key, n_words, n_hit (words inside any occurrence of a window) and its items."""
     index = PositionalIndex(docs, items, length, slack=0)
-    return _per_document(index, index.phrases())
+    return _per_document(index, _hits(index, index.phrases()))
 
 
 def near_documents(docs: DataFrame, items: DataFrame, length: int = LENGTH, slack: int = SLACK) -> DataFrame:
     """As contaminated_documents, for proximity matches; exact ones are among them."""
     index = PositionalIndex(docs, items, length, slack)
-    return _per_document(index, index.proximity(slack))
+    return _per_document(index, _hits(index, index.proximity(slack)))
+
+
+def matched_documents(docs: DataFrame, items: DataFrame, length: int = LENGTH, slack: int = SLACK) -> DataFrame:
+    """contaminated_documents with n_near and near_items, which are those of near_documents, from one index."""
+    index = PositionalIndex(docs, items, length, slack)
+    return _per_document(index, _hits(index, index.phrases()), _hits(index, index.proximity(slack), "n_near", "near_items"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -33,37 +33,62 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OP10_WORDS = r"list_filter(string_split_regex(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
-_OP10_SQL = f"""
+# The windows' distinct words and, for each place of one in a document, the words of the window that stand up to it in as
+# many words as a match may have. Where these are all, the least span starts at the first of their last places.
+_NEAR_WITH = """
+wt AS MATERIALIZED (SELECT g, n, unnest(list_distinct(string_split(g, ' '))) t, len(list_distinct(string_split(g, ' '))) k FROM sizes),
+dw AS MATERIALIZED (SELECT r, generate_subscripts(w, 1) s, unnest(w) t FROM d),
+dt AS (SELECT DISTINCT r, t FROM dw),
+rg AS MATERIALIZED (SELECT r, g FROM dt JOIN wt USING (t) GROUP BY r, g, k HAVING count(*) = k),
+tw AS MATERIALIZED (SELECT rg.r, g, n, k, wt.t, s FROM rg JOIN wt USING (g) JOIN dw ON dw.r = rg.r AND dw.t = wt.t),
+e AS (SELECT a.r, a.g, a.s, a.k, b.t, max(b.s) l FROM tw a JOIN tw b ON a.r = b.r AND a.g = b.g AND b.s BETWEEN a.s - a.n - 4 AND a.s GROUP BY a.r, a.g, a.s, a.k, b.t),
+q AS MATERIALIZED (SELECT r, g, s, min(l) b FROM e GROUP BY r, g, s, k HAVING count(*) = k),
+nh AS (SELECT r, count(DISTINCT x) n_near FROM (SELECT r, unnest(range(b, s + 1)) x FROM q) GROUP BY r),
+nm AS (SELECT r, count(*) n_near_items, sha256(string_agg(v, ',' ORDER BY v)) nh FROM (SELECT DISTINCT q.r, CAST(iw.item_id AS VARCHAR) v FROM q JOIN iw USING (g)) GROUP BY r)"""
+_OP10_WITH = f"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () r, doc_id, {_OP10_WORDS.format('text')} w FROM documents),
 i AS (SELECT item_id, {_OP10_WORDS.format('text')} w FROM benchmark),
 iw AS (SELECT DISTINCT item_id, array_to_string(w[s : s + 9], ' ') g FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) s FROM i WHERE len(w) > 0)),
-sizes AS (SELECT DISTINCT g, len(string_split(g, ' ')) n FROM iw),
+sizes AS (SELECT DISTINCT g, len(string_split(g, ' ')) n FROM iw),"""
+_OP10_EXACT = """
 ns AS (SELECT DISTINCT n FROM sizes),
 p AS (SELECT r, n, s, array_to_string(w[s : s + n - 1], ' ') g FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) s FROM d, ns WHERE len(w) >= n)),
 f AS MATERIALIZED (SELECT p.r, p.s, p.g, p.n FROM p JOIN sizes USING (g, n)),
 h AS (SELECT r, count(DISTINCT x) n_hit FROM (SELECT r, unnest(range(s, s + n)) x FROM f) GROUP BY r),
-m AS (SELECT r, count(*) n_items, sha256(string_agg(v, ',' ORDER BY v)) h FROM (SELECT DISTINCT f.r, CAST(iw.item_id AS VARCHAR) v FROM f JOIN iw USING (g)) GROUP BY r)
+m AS (SELECT r, count(*) n_items, sha256(string_agg(v, ',' ORDER BY v)) h FROM (SELECT DISTINCT f.r, CAST(iw.item_id AS VARCHAR) v FROM f JOIN iw USING (g)) GROUP BY r)"""
+_NEAR_COLUMNS = """CAST(coalesce(n_near, 0) AS BIGINT) n_near, CAST(coalesce(n_near_items, 0) AS BIGINT) n_near_items,
+  coalesce(nm.nh, sha256('')) near_items_sha256, coalesce(n_near, 0) > 0 near"""
+_OP10_SQL = f"""{_OP10_WITH}{_OP10_EXACT},{_NEAR_WITH}
 SELECT doc_id, CAST(len(w) AS BIGINT) n_words, CAST(coalesce(n_hit, 0) AS BIGINT) n_hit, CAST(coalesce(n_items, 0) AS BIGINT) n_items,
-  coalesce(m.h, sha256('')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
-FROM d LEFT JOIN h USING (r) LEFT JOIN m USING (r)
+  coalesce(m.h, sha256('')) items_sha256, coalesce(n_hit, 0) > 0 contaminated, {_NEAR_COLUMNS}
+FROM d LEFT JOIN h USING (r) LEFT JOIN m USING (r) LEFT JOIN nh USING (r) LEFT JOIN nm USING (r)
 """
+_NEAR_SQL = f"""{_OP10_WITH}{_NEAR_WITH}
+SELECT doc_id, CAST(len(w) AS BIGINT) n_words, {_NEAR_COLUMNS} FROM d LEFT JOIN nh USING (r) LEFT JOIN nm USING (r)
+"""
+
+
+def _items(column: str, n: str, name: str):
+    return F.size(column).cast("long").alias(n), F.sha2(F.array_join(column, ","), 256).alias(name)
 
 
 @query(_OP10_SQL)
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .decontaminate import contaminated_documents
+    """Exact matches in the columns first named, then proximity matches."""
+    from .decontaminate import matched_documents
 
-    found = contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    found = matched_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    exact = ("n_words", "n_hit", *_items("items", "n_items", "items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return found.select("doc_id", *exact, "n_near", *_items("near_items", "n_near_items", "near_items_sha256"), (F.col("n_near") > 0).alias("near"))
 
 
-@query()
-def op10_benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The proximity half of the method; it has no SQL, and the columns of the exact half stay as their SQL has them."""
+@query(_NEAR_SQL)
+def benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proximity matches alone."""
     from .decontaminate import near_documents
 
     found = near_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", F.col("n_hit").alias("n_near"), F.size("items").cast("long").alias("n_near_items"), F.sha2(F.array_join("items", ","), 256).alias("near_items_sha256"), (F.col("n_hit") > 0).alias("near"))
+    return found.select("doc_id", "n_words", F.col("n_hit").alias("n_near"), *_items("items", "n_near_items", "near_items_sha256"), (F.col("n_hit") > 0).alias("near"))
 
 
 @query()

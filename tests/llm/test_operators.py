@@ -203,9 +203,10 @@ def test_proximity_as_brute_force(spark, texts):
             for i, t in docs.items():
                 want[k, i] |= near_spans(t.split(), set(run), len(run), 5)
     assert got == {k: v for k, v in want.items() if v} and any(k == 4 for k, _ in got)
-    rows = {r.doc_id: r for r in QUERIES["op10_benchmark_proximity"](spark, SF).collect()}
+    rows = {r.doc_id: r for r in QUERIES["benchmark_proximity"](spark, SF).collect()}
     exact = {r.doc_id: r for r in QUERIES["op10_benchmark_decontamination"](spark, SF).collect()}
     assert rows.keys() == exact.keys() == texts.keys() and all(rows[i].n_near >= exact[i].n_hit and rows[i].n_near_items >= exact[i].n_items for i in rows)
+    assert all((r.n_near, r.n_near_items, r.near_items_sha256, r.near) == (exact[i].n_near, exact[i].n_near_items, exact[i].near_items_sha256, exact[i].near) for i, r in rows.items())
 
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
