@@ -46,7 +46,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: SQL can't express the classifier; the stages are tested against brute force instead.
+#: SQL can't express the classifier; it and the stages after it are tested against plain Python instead.
 ORACLE_SQL = None
 
 
