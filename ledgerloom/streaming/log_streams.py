@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -122,11 +122,19 @@ def stream_cost(runs: DataFrame, minute_quota: float, hour_quota: float, late: s
     """(client, until, minute_cost, hour_cost, over_quota) for each client and minute with runs (client, ts, cost): the cost of
     that minute and of the hour that ends with it. Runs up to ``late`` behind the newest one count.
 
-    Costs are added up by minute first, so that a run isn't copied to sixty hours; a minute then counts for each hour that it
-    is in, and apart for the one that it ends. Works on a stream (append mode) and, without lateness, on a table."""
+    Costs are added up by minute first. On a stream (append mode) a minute is then copied to each of the sixty hours that it is
+    in, and counts apart for the one that it ends. On a table (all runs count) it isn't: minutes are dealt to days, with a
+    copy of a day's last ones for the next day, and a window looks an hour back."""
     minutes = runs.withWatermark("ts", late).groupBy("client", F.window("ts", "60 seconds").alias("minute")).agg(F.sum("cost").alias("cost"))
+    over = ((F.col("minute_cost") > minute_quota) | (F.col("hour_cost") > hour_quota)).alias("over_quota")
+    if not runs.isStreaming:
+        k = F.floor(F.unix_seconds(F.col("minute.end").cast("timestamp")) / 60)
+        own, next_ = F.floor(F.col("_k") / 1440), F.floor((F.col("_k") + 59) / 1440)
+        dealt = minutes.where("cost is not null").select("client", F.col("minute.end").alias("until"), F.col("cost").alias("minute_cost"), k.alias("_k")).withColumn("_day", F.explode(F.array_distinct(F.array(own, next_))))
+        hour = Window.partitionBy("client", "_day").orderBy("_k").rangeBetween(-59, 0)
+        return dealt.withColumn("hour_cost", F.sum("minute_cost").over(hour)).where(F.col("_day") == own).select("client", "until", "minute_cost", "hour_cost", over)
     sums = minutes.select("client", F.window_time("minute").alias("at"), "cost")
     hours = sums.select("client", "at", "cost", F.window("at", "3600 seconds", "60 seconds").alias("hour"))
     own = F.when(F.col("at") >= F.col("hour.end") - F.expr("INTERVAL 60 SECONDS"), F.col("cost"))
     costs = hours.groupBy("client", "hour").agg(F.sum(own).alias("minute_cost"), F.sum("cost").alias("hour_cost")).where("minute_cost is not null")
-    return costs.select("client", F.col("hour.end").alias("until"), "minute_cost", "hour_cost", ((F.col("minute_cost") > minute_quota) | (F.col("hour_cost") > hour_quota)).alias("over_quota"))
+    return costs.select("client", F.col("hour.end").alias("until"), "minute_cost", "hour_cost", over)

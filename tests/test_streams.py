@@ -118,6 +118,16 @@ def test_costs_of_a_stream_and_of_a_table(spark, tmp_path):
     assert got == expected_costs([*runs, counted], 15, 160)
 
 
+def test_costs_of_a_table_over_midnight_are_not_copied_to_sixty_hours(spark):
+    """Hours that begin on the day before, also before 1970; null costs don't count, nor make a row. A minute is dealt to two days at most."""
+    rng = random.Random(7)
+    runs = [(rng.choice("ab"), 86_400 * rng.choice((-1, 0, 1, 2)) + rng.randint(-5000, 5000), float(rng.randint(1, 9))) for _ in range(600)]
+    rows = spark.createDataFrame([(c, at(s), x) for c, s, x in runs] + [("a", at(10 * 86_400), None), ("a", None, 1.0)], "client string, ts timestamp, cost double")
+    found = log_streams.stream_cost(rows, 15, 160)
+    assert {tuple(r) for r in found.collect()} == expected_costs(runs, 15, 160)
+    assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.fixture
 def database(tmp_path):
     path = str(tmp_path / "log.db")
