@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import terms
-from ledgerloom.operators import geo, intervals, reconcile, statements as st, validate, versions
+from ledgerloom.operators import geo, intervals, reconcile, reports, statements as st, validate, versions
 from ledgerloom.plans import catalog
 from ledgerloom.sources import tables
 from ledgerloom.streaming import log_streams
@@ -91,6 +91,17 @@ def test_stitching(spark):
     assert got == [(1, 1, 4, 0), (1, 5, None, 1), (2, 4, 5, 0)]
 
 
+def test_resubmitted_pairs_are_not_shuffled(spark):
+    """Links to objects of another name don't matter, nor do those of nobody; pairs meet no further join."""
+    rows = [("a", "f", 1, 1), ("b", "f", 1, 2), ("c", "f", 1, 2), ("d", "f", 1, 3), ("e", "f", 2, 9), ("g", None, 1, 9), ("h", None, 1, 10), ("i", "f", None, 1), ("j", "f", None, 2)]
+    objects = spark.createDataFrame(rows, "id string, file_name string, spec int, submitted int")
+    edges = spark.createDataFrame([("b", "a"), ("d", "a"), ("e", "a"), ("a", "b"), ("d", "c"), ("d", "c"), ("x", "b"), ("b", None), (None, "b")], "new string, old string")
+    found = reports.resubmitted_files(objects, edges)
+    assert sorted((r.id, r.later) for r in found.collect()) == [("a", "c"), ("b", "c"), ("b", "d")]
+    top = found._jdf.queryExecution().optimizedPlan().toString().split("Join")
+    assert "LeftAnti" not in top[1] and "file_name" in top[1]
+
+
 def test_matching_memberships(spark):
     c = spark.createDataFrame([("a1", "r", None, 2015), ("a2", "r", 2016, None)], "id string, role string, start int, stop int")
     n = spark.createDataFrame([("n1", "r", None, 2015), ("n2", "r", 2016, 2017)], "id string, role string, start int, stop int")
