@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ledgerloom.scratch import dealt
+
 
 def stitch_deployments(d: DataFrame, family: Column | None = None) -> DataFrame:
     """Deployments (station, variable, sensor, start, lat, lon) in order of start: runs of one sensor fuse (average place),
@@ -76,10 +78,12 @@ def fundings_of(objects: DataFrame, fundings: DataFrame) -> DataFrame:
     return rows.withColumn("nr", F.row_number().over(order))
 
 
-def instrument_history(series: DataFrame, most: int = 5) -> DataFrame:
-    """Runs of one instrument along a series' times: (series, instrument, start, end), the first start and last end open; none for series with more than ``most`` runs."""
+def instrument_history(series: DataFrame, most: int = 5, rows: int | None = None) -> DataFrame:
+    """Runs of one instrument along a series' times: (series, instrument, start, end), the first start and last end open; none for series with more than ``most`` runs.
+
+    Series are dealt to as many tasks as ``rows`` (an upper bound of theirs; else they are counted) ask for."""
     w = Window.partitionBy("series").orderBy("time")
-    runs = series.withColumn("new", F.coalesce((F.col("instrument") != F.lag("instrument").over(w)).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(w))
+    runs = dealt(series, series.count() if rows is None else rows, "series").withColumn("new", F.coalesce((F.col("instrument") != F.lag("instrument").over(w)).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(w))
     spans = runs.groupBy("series", "run", "instrument").agg(F.min("time").alias("start"), F.max("time").alias("end"))
     every = Window.partitionBy("series")
     spans = spans.withColumn("last", F.max("run").over(every)).where(F.col("last") <= most)

@@ -10,7 +10,7 @@ from ledgerloom.functions import terms
 from ledgerloom.operators import coverage, export, geo, intervals, reconcile, reports, search, statements as st, validate
 from ledgerloom.plans import bridge
 from ledgerloom.plans.catalog import flagged, packages, query
-from ledgerloom.scratch import shared_dir
+from ledgerloom.scratch import dealt, shared_dir
 from ledgerloom.streaming import log_streams
 
 
@@ -473,8 +473,10 @@ def x09_catalogue_id(s, d):
 @query(""", r AS (SELECT *, sum(new) OVER (PARTITION BY series ORDER BY time) run FROM (SELECT *, CASE WHEN instrument = lag(instrument) OVER (PARTITION BY series ORDER BY time) THEN 0 ELSE 1 END new FROM (SELECT l_suppkey series, l_shipdate AS time, min(CAST(floor(l_partkey / 12) AS BIGINT)) instrument FROM lineitem GROUP BY ALL))),
   sp AS (SELECT series, run, instrument, min(time) a, max(time) b, max(run) OVER (PARTITION BY series) last FROM r GROUP BY series, run, instrument) SELECT series, instrument, CASE WHEN run > 1 THEN a END AS start, CASE WHEN run < last THEN b END AS stop FROM sp WHERE last <= 1000000""")
 def i06_instrument_history(s, d):
-    series = bridge.table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("series"), F.col("l_shipdate").alias("time")).agg(F.min(F.floor(F.col("l_partkey") / 12)).alias("instrument"))
-    return intervals.instrument_history(series, 1_000_000).select("series", "instrument", "start", F.col("end").alias("stop"))
+    items = bridge.table(s, d, "lineitem").select(F.col("l_suppkey").alias("series"), F.col("l_shipdate").alias("time"), "l_partkey")
+    rows = items.count()
+    series = dealt(items, rows, "series", "time").groupBy("series", "time").agg(F.min(F.floor(F.col("l_partkey") / 12)).alias("instrument"))
+    return intervals.instrument_history(series, 1_000_000, rows).select("series", "instrument", "start", F.col("end").alias("stop"))
 
 
 @query("SELECT event_id id, ts - to_minutes(CAST(60 * (event_id % 5 - 2) AS INT)) AS instant FROM (SELECT event_id, date_trunc('minute', ts) ts FROM events)")

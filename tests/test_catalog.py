@@ -102,6 +102,17 @@ def test_resubmitted_pairs_are_not_shuffled(spark):
     assert "LeftAnti" not in top[1] and "file_name" in top[1]
 
 
+def test_tasks_of_series_keep_their_size(spark, monkeypatch):
+    """With 40 rows to a task: the same history, from more tasks."""
+    rows = [(f"s{i % 7}", i * 37 % 1009, [i % 5, None][i % 11 == 0]) for i in range(900)]
+    series = spark.createDataFrame(rows, "series string, time int, instrument int")
+    want = sorted(map(str, intervals.instrument_history(series, 1000).collect()))
+    monkeypatch.setattr("ledgerloom.scratch.TASK_ROWS", 40)
+    found = intervals.instrument_history(series, 1000)
+    assert sorted(map(str, found.collect())) == want and len(want) > 40
+    assert "RepartitionByExpression [series" in found._jdf.queryExecution().logical().toString() and "], 23" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_matching_memberships(spark):
     c = spark.createDataFrame([("a1", "r", None, 2015), ("a2", "r", 2016, None)], "id string, role string, start int, stop int")
     n = spark.createDataFrame([("n1", "r", None, 2015), ("n2", "r", 2016, 2017)], "id string, role string, start int, stop int")
