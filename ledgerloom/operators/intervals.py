@@ -4,21 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ledgerloom.operators.ranks import number_and_next
 from ledgerloom.scratch import dealt
 
 
-def stitch_deployments(d: DataFrame, family: Column | None = None) -> DataFrame:
+def stitch_deployments(d: DataFrame, family: Column | None = None, rows: int | None = None) -> DataFrame:
     """Deployments (station, variable, sensor, start, lat, lon) in order of start: runs of one sensor fuse (average place),
     a run stops where the next one of the place starts; then, of a sensor's variable family, where its next run starts.
-    ``nr`` numbers a sensor's runs from 0."""
+    ``nr`` numbers a sensor's runs from 0.
+
+    Tasks keep their size: places are dealt to as many as ``rows`` (an upper bound of d's; else they are counted) ask for, and a
+    sensor's runs, which may be very many, are numbered by ranges."""
+    rows = d.count() if rows is None else rows
     w = Window.partitionBy("station", "variable").orderBy("start", "sensor")
-    runs = d.withColumn("new", F.coalesce((F.col("sensor") != F.lag("sensor").over(w)).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(w))
+    runs = dealt(d, rows, "station", "variable").withColumn("new", F.coalesce((F.col("sensor") != F.lag("sensor").over(w)).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(w))
     fused = runs.groupBy("station", "variable", "run", "sensor").agg(F.min("start").alias("start"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
     stops = fused.withColumn("stop", F.lead("start").over(Window.partitionBy("station", "variable").orderBy("run")))
     stops = stops.withColumn("family", F.col("variable") if family is None else family)
-    own = Window.partitionBy("sensor", "family").orderBy("start", "station", "variable")
-    stops = stops.withColumn("stop", F.least("stop", F.lead("start").over(own)))
-    return stops.withColumn("nr", F.row_number().over(Window.partitionBy("sensor").orderBy("start", "station", "variable")) - 1).drop("run", "family")
+    found = number_and_next(stops, "sensor", "family", ["start", "station", "variable"], "start", rows)
+    return found.withColumn("stop", F.least("stop", "_next")).withColumn("nr", F.col("_number").cast("int")).drop("run", "family", "_number", "_next")
 
 
 def variable_family(name: Column, families: list[str]) -> Column:

@@ -68,10 +68,15 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def deployments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sensors at a station measuring a variable, from line items; distinct rows."""
+def deployment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sensors at a station measuring a variable, from line items; equal rows may repeat."""
     l = table(spark, sf_dir, "lineitem")
-    return l.select(F.col("l_suppkey").cast("int").alias("station"), (F.col("l_partkey") % 10).cast("int").alias("variable"), F.col("l_partkey").alias("sensor"), F.col("l_shipdate").alias("start"), F.timestamp_add("DAY", F.col("l_quantity").cast("int"), "l_shipdate").alias("stop")).distinct()
+    return l.select(F.col("l_suppkey").cast("int").alias("station"), (F.col("l_partkey") % 10).cast("int").alias("variable"), F.col("l_partkey").alias("sensor"), F.col("l_shipdate").alias("start"), F.timestamp_add("DAY", F.col("l_quantity").cast("int"), "l_shipdate").alias("stop"))
+
+
+def deployments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct ones of deployment_rows()."""
+    return deployment_rows(spark, sf_dir).distinct()
 
 
 def memberships(spark: SparkSession, sf_dir: str) -> DataFrame:

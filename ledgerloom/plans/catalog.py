@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ledgerloom.functions import terms
 from ledgerloom.operators import export, geo, intervals, log as logs, reconcile, reports, search, statements as st, validate, versions
 from ledgerloom.plans import bridge
+from ledgerloom.scratch import dealt
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -527,9 +528,12 @@ def i01_stitch_deployments(s, d):
     """Sensors with variables of one family at several places, so that the family's rule ends some runs."""
     v = F.col("variable")
     name = F.when(v < 6, F.concat(F.lit("SWC_"), v % 3, F.lit("_1_"), v)).otherwise(F.concat(F.lit("OUT_"), v))
-    rows = bridge.deployments(s, d).select("station", name.alias("variable"), (F.col("sensor") % 50).alias("sensor"), "start").distinct().withColumn("lat", F.lit(0.0)).withColumn("lon", F.lit(0.0))
+    items = bridge.deployment_rows(s, d)
+    n = items.count()
+    rows = items.select("station", name.alias("variable"), (F.col("sensor") % 50).alias("sensor"), "start")
+    rows = dealt(rows, n, *rows.columns).distinct().withColumn("lat", F.lit(0.0)).withColumn("lon", F.lit(0.0))
     family = F.coalesce(intervals.variable_family(F.col("variable"), ["SWC"]), F.col("variable"))
-    return intervals.stitch_deployments(rows, family).select("station", "variable", "sensor", "start", "stop", "nr")
+    return intervals.stitch_deployments(rows, family, n).select("station", "variable", "sensor", "start", "stop", "nr")
 
 
 @query("SELECT id, count(*) n FROM objects o JOIN deployments d ON o.station = d.station AND o.spec % 10 = d.variable AND d.start < data_end AND d.stop > data_start GROUP BY id")

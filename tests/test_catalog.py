@@ -113,6 +113,21 @@ def test_tasks_of_series_keep_their_size(spark, monkeypatch):
     assert "RepartitionByExpression [series" in found._jdf.queryExecution().logical().toString() and "], 23" in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_runs_of_a_sensor_are_numbered_over_ranges(spark, monkeypatch):
+    """With 40 rows to a task: the same runs, and one sensor's numbered over several ranges."""
+    rows = [(f"s{i % 7}", f"v{i % 3}", [i % 5, None][i % 11 == 0], i * 37 % 1009, 1.0, 2.0) for i in range(900)]
+    d = spark.createDataFrame(rows, "station string, variable string, sensor int, start int, lat double, lon double")
+    want = sorted(map(str, intervals.stitch_deployments(d).collect()))
+    monkeypatch.setattr("ledgerloom.scratch.TASK_ROWS", 40)
+    found = intervals.stitch_deployments(d).collect()
+    assert sorted(map(str, found)) == want
+    numbers = {}
+    for r in sorted(found, key=lambda r: (r.start, r.station, r.variable)):
+        assert r.nr == numbers.get(r.sensor, 0)
+        numbers[r.sensor] = r.nr + 1
+    assert set(numbers) == {0, 1, 2, 3, 4, None} and min(numbers.values()) > 40
+
+
 def test_matching_memberships(spark):
     c = spark.createDataFrame([("a1", "r", None, 2015), ("a2", "r", 2016, None)], "id string, role string, start int, stop int")
     n = spark.createDataFrame([("n1", "r", None, 2015), ("n2", "r", 2016, 2017)], "id string, role string, start int, stop int")
