@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ledgerloom.scratch import dealt, materialize
+
 from .ranks import number_rows
 
 KEY = ["subj", "pred", "obj", "obj_kind", "lit_attr"]
@@ -169,12 +171,18 @@ def rewrite_iris(st: DataFrame, pattern: str, replacement: str) -> DataFrame:
 
 
 def purge_closure(st: DataFrame, subjects: DataFrame, version_pred: str = "isNextVersionOf") -> DataFrame:
-    """Statements to remove with subjects: their own, those one hop below but not over the version link, and usages."""
-    subj = subjects.select("subj").distinct()
-    own = st.join(subj, "subj", "left_semi")
+    """Statements to remove with subjects: their own, those one hop below but not over the version link, and usages.
+
+    Statements are written once and dealt to tasks by their number, so that a task's share doesn't grow with it."""
+    st = materialize(st, "statements")
+    rows = st.count()
+    by_subj = dealt(st, rows, "subj")
+    subj = materialize(subjects.select("subj").distinct(), "subjects")
+    own = by_subj.join(subj, "subj", "left_semi").select(*st.columns)
     below = own.where((F.col("obj_kind") == 0) & (F.col("pred") != version_pred) & (F.col("pred") != TYPE)).select(F.col("obj").alias("subj")).distinct()
-    usages = st.join(subj.select(F.col("subj").alias("obj")), "obj", "left_semi").select(*own.columns)
-    return own.union(st.join(below, "subj", "left_semi").select(*own.columns)).union(usages).distinct()
+    usages = dealt(st, rows, "obj").join(subj.select(F.col("subj").alias("obj")), "obj", "left_semi").select(*st.columns)
+    found = own.union(by_subj.join(below, "subj", "left_semi").select(*st.columns)).union(usages)
+    return dealt(found, rows, *st.columns).distinct()
 
 
 def orphans(st: DataFrame, cls: str, required: str | None = None, incoming: str | None = None) -> DataFrame:

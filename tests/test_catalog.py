@@ -128,6 +128,15 @@ def test_runs_of_a_sensor_are_numbered_over_ranges(spark, monkeypatch):
     assert set(numbers) == {0, 1, 2, 3, 4, None} and min(numbers.values()) > 40
 
 
+def test_tasks_of_purged_statements_keep_their_size(spark, monkeypatch):
+    """With 3 rows to a task: own statements, those below, and usages, from more tasks than the session's."""
+    monkeypatch.setattr("ledgerloom.scratch.TASK_ROWS", 3)
+    rows = [(f"s{i}", "p", f"n{i}", 0, None) for i in range(20)] + [(f"n{i}", "q", "x", 1, "t") for i in range(20)] + [("s3", "isNextVersionOf", "s4", 0, None)]
+    found = st.purge_closure(spark.createDataFrame(rows, "subj string, pred string, obj string, obj_kind int, lit_attr string"), spark.createDataFrame([("s4",), ("s5",), ("s5",)], "subj string"))
+    assert sorted((r.subj, r.obj) for r in found.collect()) == [("n4", "x"), ("n5", "x"), ("s3", "s4"), ("s4", "n4"), ("s5", "n5")]
+    assert "RepartitionByExpression" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_matching_memberships(spark):
     c = spark.createDataFrame([("a1", "r", None, 2015), ("a2", "r", 2016, None)], "id string, role string, start int, stop int")
     n = spark.createDataFrame([("n1", "r", None, 2015), ("n2", "r", 2016, 2017)], "id string, role string, start int, stop int")
