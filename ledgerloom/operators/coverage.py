@@ -5,6 +5,8 @@ A geometry is a row (owner, geom_type, coords, label); geom_type is point, line,
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -19,6 +21,10 @@ GROUP = 4096
 DIGEST = 15
 #: Grid levels: cells of 360 / 2**level degrees.
 LEVELS = 24
+#: A cell, quartered ``split`` times.
+CELL = ["owner", "level", "split", "x", "y"]
+#: Times that a cell is quartered at most, and pairs for each place of a cell up to which it isn't.
+SPLITS, MATES = 8, 16
 
 
 def hulls(points: DataFrame, keys: list[str], group: int | None = None) -> DataFrame:
@@ -114,36 +120,60 @@ def _area(coords: Column) -> Column:
     return F.abs(F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, i: s + term(i))) / 2
 
 
-def _cells(rows: DataFrame, padding: Column) -> tuple[DataFrame, DataFrame]:
-    """Homes and probes (owner, level, x, y, g): a geometry's home is the four cells at most that its padded envelope meets at
-    the finest level whose cells are as large as it; it probes these and the cells above them."""
-    wide = rows.withColumn("_pad", F.coalesce(padding, F.lit(0.0)))
-    extent = F.greatest(F.col("max_lon") - F.col("min_lon"), F.col("max_lat") - F.col("min_lat")) + 2 * F.col("_pad")
-    level = F.when(extent > 0, F.least(F.greatest(F.floor(F.log2(F.lit(360.0) / extent)), F.lit(0)), F.lit(LEVELS))).otherwise(LEVELS).cast("int")
-    wide = wide.withColumn("level", level)
+def _at(c: Column, low: int, level: Column) -> Column:
+    """The number of the cell with coordinate c, from low, in the grid of a level."""
+    return F.floor((c - low) / (F.lit(360.0) / F.pow(F.lit(2.0), level))).cast("long")
+
+
+def _cells(rows: DataFrame, padding: Column) -> DataFrame:
+    """Places (*CELL, home, g, x0, y0, x1, y1, solid): a geometry's home is the four cells at most that its padded envelope
+    (x0 to y1) meets at the finest level whose cells are as large as it; it has places there and in the cells above them,
+    where these are anyone's home level."""
+    pad = F.coalesce(padding, F.lit(0.0))
+    wide = rows.withColumns({"x0": F.col("min_lon") - pad, "y0": F.col("min_lat") - pad, "x1": F.col("max_lon") + pad, "y1": F.col("max_lat") + pad})
+    extent = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    own = F.when(extent > 0, F.least(F.greatest(F.floor(F.log2(F.lit(360.0) / extent)), F.lit(0)), F.lit(LEVELS))).otherwise(LEVELS).cast("int")
+    solid = F.when(F.col("geom_type") == "box", 2).when(F.col("geom_type") == "polygon", 1).otherwise(0)
+    wide = materialize(wide.withColumns({"own": own, "solid": solid}).select("owner", "g", "x0", "y0", "x1", "y1", "own", "solid"), "envelopes")
+    levels = sorted(r.own for r in wide.select("own").distinct().collect())  # LEVELS + 1 at most
+    some = wide.withColumn("level", F.explode(F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda at: at <= F.col("own"))))
+    some = some.withColumn("x", F.explode(F.sequence(_at(F.col("x0"), -180, F.col("level")), _at(F.col("x1"), -180, F.col("level")))))
+    some = some.withColumn("y", F.explode(F.sequence(_at(F.col("y0"), -90, F.col("level")), _at(F.col("y1"), -90, F.col("level")))))
+    return some.select("owner", "level", F.lit(0).alias("split"), "x", "y", (F.col("level") == F.col("own")).alias("home"), "g", "x0", "y0", "x1", "y1", "solid")
+
 
-    def cover(levels: Column) -> DataFrame:
-        at = lambda c, low: F.floor((c - low) / (F.lit(360.0) / F.pow(F.lit(2.0), F.col("_l")))).cast("long")
-        some = wide.withColumn("_l", F.explode(levels))
-        some = some.withColumn("x", F.explode(F.sequence(at(F.col("min_lon") - F.col("_pad"), -180), at(F.col("max_lon") + F.col("_pad"), -180))))
-        some = some.withColumn("y", F.explode(F.sequence(at(F.col("min_lat") - F.col("_pad"), -90), at(F.col("max_lat") + F.col("_pad"), -90))))
-        return some.select("owner", F.col("_l").alias("level"), "x", "y", "g")
+def _quarters(places: DataFrame) -> DataFrame:
+    """The places in the four quarters of each cell. Two geometries that are near in a cell are near in one of its quarters:
+    both padded envelopes hold the place where they are."""
+    level = F.col("level") + F.col("split") + 1
+    part = lambda c, low, high, first: F.explode(F.sequence(F.greatest(2 * F.col(c), _at(F.col(low), first, level)), F.least(2 * F.col(c) + 1, _at(F.col(high), first, level))))
+    return places.withColumn("x", part("x", "x0", "x1", -180)).withColumn("y", part("y", "y0", "y1", -90)).withColumn("split", F.col("split") + 1)
 
-    return cover(F.array("level")), cover(F.sequence(F.lit(0), F.col("level")))
 
+def _leaders(places: DataFrame) -> DataFrame:
+    """(*CELL, a): the geometry at home in a cell that fills most of it; boxes before polygons before others."""
+    side = F.lit(360.0) / F.pow(F.lit(2.0), F.col("level") + F.col("split"))
+    length = lambda c, low, high, first: F.least(F.col(high), (F.col(c) + 1) * side + first) - F.greatest(F.col(low), F.col(c) * side + first)
+    order = F.struct("solid", length("x", "x0", "x1", -180) * length("y", "y0", "y1", -90), -F.col("g"))
+    return places.where("home").groupBy(*CELL).agg(F.max_by("g", order).alias("a"))
 
-def _links(rows: DataFrame, distance: Column) -> DataFrame:
-    """(a, b): links that join all geometries of an owner that are within ``distance`` (a column of rows) of each other,
-    directly or through others; not all such pairs.
 
-    In each cell all are first tested against the cell's first geometry. Only geometries that this leaves in different
-    components meet as pairs."""
-    homes, probes = _cells(rows, distance)
-    homes = materialize(homes, "homes")
-    levels = [r.level for r in homes.select("level").distinct().collect()]  # LEVELS + 1 at most
-    probes = materialize(probes.where(F.col("level").isin(levels)), "probes")
-    cell = ["owner", "level", "x", "y"]
+def _left(places: DataFrame) -> DataFrame:
+    """(*CELL, n, pairs): cells with pairs of different classes ``c``, one of them at home there; their number, and the places."""
+    by = places.groupBy(*CELL, "c").agg(F.count("*").alias("n"), F.count_if("home").alias("h"))
+    return by.groupBy(*CELL).agg(F.sum("n").alias("n"), (F.sum("h") * F.sum("n") - F.sum(F.col("h") * F.col("n"))).alias("pairs")).where("pairs > 0")
+
+
+def _classes(rows: DataFrame, distance: Column) -> DataFrame:
+    """(g, component): geometries of an owner that are within ``distance`` (a column of rows) of others, under the least number
+    of those they reach, directly or through others. Geometries without such others are left out.
+
+    In each cell all are tested against one first. A cell that this leaves with no two components is done; others are
+    quartered and tested again. What meets as pairs, of different components only, are cells with few pairs for their size and
+    those whose quarters would have more than twice the pairs of the cell that was quartered first."""
     data = rows.select("g", "coords", "geom_type", "min_lon", "min_lat", "max_lon", "max_lat", distance.alias("d"))
+    classes = materialize(rows.select("g", F.col("g").alias("c")), "classes")
+    named = lambda df, g="g", c="c": df.join(classes.select(F.col("g").alias(g), F.col("c").alias(c)), g)
 
     def near(pairs: DataFrame) -> DataFrame:
         both = pairs.join(data.alias("p"), F.col("a") == F.col("p.g")).join(data.alias("q"), F.col("b") == F.col("q.g"))
@@ -152,13 +182,44 @@ def _links(rows: DataFrame, distance: Column) -> DataFrame:
             envelopes = envelopes & (F.col(f"p.{low}") <= F.col(f"q.{high}") + F.col("q.d")) & (F.col(f"q.{low}") <= F.col(f"p.{high}") + F.col("p.d"))
         return both.where(envelopes).where(_gap("p", "q") <= F.col("p.d")).select("a", "b")
 
-    first = homes.groupBy(*cell).agg(F.min("g").alias("a"))
-    led = materialize(near(probes.join(first, cell).select(F.least("a", "g").alias("a"), F.greatest("a", "g").alias("b")).where("a <> b").distinct()), "links")
-    classes = materialize(components(led), "classes")
-    named = lambda df: df.join(classes.withColumnRenamed("node", "g"), "g", "left").withColumn("c", F.coalesce("component", "g"))
-    one, two = named(homes).select(*cell, F.col("g").alias("a"), F.col("c").alias("ca")), named(probes).select(*cell, F.col("g").alias("b"), F.col("c").alias("cb"))
-    rest = one.join(two, cell).where("a <> b and ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return led.union(near(rest))
+    def joined(pairs: DataFrame) -> DataFrame:
+        """classes with those of near pairs (a, b) as one."""
+        tested = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        links = materialize(named(named(near(tested), "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "links")
+        discard(tested)
+        if links.isEmpty():
+            discard(links)
+            return classes
+        moved = materialize(components(links), "moved")
+        now = materialize(classes.join(moved, classes.c == moved.node, "left").select("g", F.coalesce("component", "c").alias("c")), "classes")
+        discard(classes, links, moved)
+        return now
+
+    places, before, apart = materialize(_cells(rows, distance), "places"), None, []
+    above = [*CELL[:2], (F.col("split") - 1).alias("split"), F.shiftright("x", 1).alias("x"), F.shiftright("y", 1).alias("y")]
+    while True:
+        classes = joined(named(named(places.join(_leaders(places), CELL)), "a", "ca").where("c <> ca").select("a", F.col("g").alias("b")))
+        left = materialize(_left(named(places)).withColumn("most", F.col("pairs").cast("double")), "left")
+        if before:
+            parents = materialize(left.groupBy(*above).agg(F.sum("pairs").alias("now")).join(before[1].select(*CELL, "most"), CELL), "parents")
+            apart.append(materialize(before[0].join(parents.where("now > 2 * most"), CELL, "left_semi"), "apart"))
+            share = parents.where("now <= 2 * most").select("owner", "level", F.col("x").alias("_x"), F.col("y").alias("_y"), (F.col("most") / F.col("now")).alias("share"))
+            left = left.withColumns({"_x": F.shiftright("x", 1), "_y": F.shiftright("y", 1)}).join(share, ["owner", "level", "_x", "_y"]).select(*CELL, "n", "pairs", (F.col("pairs") * F.col("share")).alias("most"))
+            discard(*before)
+        few = (F.col("pairs") <= MATES * F.col("n")) | (F.col("split") >= SPLITS)
+        apart.append(materialize(places.join(left.where(few), CELL, "left_semi"), "apart"))
+        many = materialize(left.where(~few), "many")
+        if many.isEmpty():
+            break
+        before = materialize(places.join(many, CELL, "left_semi"), "places"), many
+        discard(places)
+        places = materialize(_quarters(before[0]), "places")
+    rest = named(reduce(DataFrame.union, apart))
+    one, two = (rest.select(*CELL, "home", F.col("g").alias(g), F.col("c").alias(f"c{g}"), *(F.col(c).alias(f"{c}{g}") for c in ("x0", "y0", "x1", "y1"))) for g in "ab")
+    meet = "a <> b and ca <> cb and x0a <= x1b and x0b <= x1a and y0a <= y1b and y0b <= y1a"
+    classes = joined(one.where("home").drop("home").join(two.drop("home"), CELL).where(meet).select("a", "b"))
+    moved = classes.where("c <> g").select("g", F.col("c").alias("component"))
+    return moved.union(moved.select(F.col("component").alias("g"), "component").distinct())
 
 
 def _digest(rows: DataFrame) -> DataFrame:
@@ -171,9 +232,7 @@ def _digest(rows: DataFrame) -> DataFrame:
 def _fuse(rows: DataFrame, distance: Column, thin: bool) -> DataFrame:
     """rows with each component of near geometries as one: the hull of its points, simplified to DIGEST points. With ``thin``,
     the members of components of three at most whose hull is very thin stay as they are."""
-    links = materialize(_links(rows, distance), "links")
-    classes = materialize(components(links), "classes").select(F.col("node").alias("g"), "component")
-    member = materialize(rows.join(classes, "g", "left"), "members")
+    member = materialize(rows.join(_classes(rows, distance), "g", "left"), "members")
     joined = member.where("component is not null")
     shape = hulls(_points(joined, "component"), ["component"])
     labels = joined.select("component", F.explode_outer("labels").alias("label")).distinct().groupBy("component").agg(F.array_sort(F.collect_list("label")).alias("labels"))

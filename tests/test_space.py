@@ -108,6 +108,48 @@ def test_merged_coverage_as_all_pairs(spark, most):
         assert sorted(r[2] for r in own) == sorted(r[2] for r in expected)
 
 
+def counted(monkeypatch):
+    """The sizes of the tables that coverage writes from now on."""
+    sizes, write = [], coverage.materialize
+
+    def materialize(df, *args):
+        out = write(df, *args)
+        sizes.append((out.count(), *args))
+        return out
+
+    monkeypatch.setattr(coverage, "materialize", materialize)
+    return sizes
+
+
+def test_stacks_side_by_side_dont_meet_as_pairs(spark, monkeypatch):
+    sizes = counted(monkeypatch)
+    rows = [("o", *box(1.9 * k + i / 1000, i / 1000, 2.0, 12 + i / 1000), f"s{k}") for i in range(120) for k in range(10)]
+    assert [r.label for r in coverage.merge_coverage(spark.createDataFrame(rows, SCHEMA), 10_000).collect()] == [", ".join(f"s{k}" for k in range(10))]
+    assert max(sizes)[0] <= 30 * len(rows), max(sizes)
+
+
+@pytest.mark.parametrize("splits", [1, 4])
+def test_quartered_cells_as_all_pairs(spark, monkeypatch, splits):
+    monkeypatch.setattr(coverage, "MATES", 0)
+    monkeypatch.setattr(coverage, "SPLITS", splits)
+    rng = np.random.default_rng(splits)
+    rows = []
+    for i in range(160):
+        x, y, w = (float(v) for v in rng.uniform((-40, -40, 0.2), (20, 20, 3)))
+        rows.append([("o", *box(x, y, w, w / 2), f"L{i}"), ("o", "line", [(x, y), (x + w, y + 2 * w)], f"L{i}"), ("o", "polygon", [(x, y), (x + w, y), (x, y + w)], f"L{i}"), ("o", "point", [(x, y)], f"L{i}")][i % 4])
+    for most in (1, 10_000):
+        found = coverage.merge_coverage(spark.createDataFrame(rows, SCHEMA), most).collect()
+        assert sorted(", ".join(sorted(r.label.split(", "))) for r in found) == sorted(r[2] for r in fused([r[1:] for r in rows], most))
+
+
+def test_lines_that_quarters_dont_part_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(coverage, "MATES", 0)
+    sizes = counted(monkeypatch)
+    rows = [("o", "line", [(i / 1000, 0.0), (10 + i / 1000, 10.0)], f"L{i}") for i in range(60)]
+    assert len(coverage.merge_coverage(spark.createDataFrame(rows, SCHEMA), 10_000).collect()) == 60
+    assert max(sizes)[0] <= 60 * 59 / 2, max(sizes)
+
+
 def test_merged_coverage_of_nothing(spark):
     assert coverage.merge_coverage(spark.createDataFrame([], SCHEMA), 3).count() == 0
 
