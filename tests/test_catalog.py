@@ -137,6 +137,28 @@ def test_tasks_of_purged_statements_keep_their_size(spark, monkeypatch):
     assert "RepartitionByExpression" in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("earlier, later", [(64, 256), (2, 4), (3, 2), (1, 1)])
+def test_resubmitted_pairs_of_runs(spark, monkeypatch, earlier, later):
+    """As by pairing every two: ties, equal rows, objects without a time, groups below and above a run's length."""
+    monkeypatch.setattr(reports, "EARLIER_RUN", earlier, raising=False)
+    monkeypatch.setattr(reports, "LATER_RUN", later, raising=False)
+    rows = [(str(i), f"f{i % 7 % 3}", i % 2, None if i % 11 == 0 else i * 5 % 9) for i in range(90)] + [("1", "f1", 1, 5), ("1", "f1", 1, 8), ("1", "f1", 1, 5)]
+    edges = [(str(i + 14), str(i)) for i in range(0, 70, 3)] + [("8", "1"), ("8", "1"), ("3", "1"), (None, "2"), ("2", None)]
+    found = reports.resubmitted_files(spark.createDataFrame(rows, "id string, file_name string, spec int, submitted int"), spark.createDataFrame(edges, "new string, old string"))
+    pairs = [(a[0], b[0]) for a in rows for b in rows if a[1:3] == b[1:3] and None not in (a[3], b[3]) and (a[3], a[0]) < (b[3], b[0]) and (b[0], a[0]) not in edges]
+    assert sorted((r.id, r.later) for r in found.collect()) == sorted(pairs)
+
+
+def test_resubmitted_objects_are_shuffled_by_name_once(spark):
+    """One shuffle by name and spec serves both sides of the pairs."""
+    rows = spark.range(400).selectExpr("string(id) id", "concat('f', id % 5) file_name", "int(id % 3) spec", "id submitted")
+    found = reports.resubmitted_files(rows, rows.selectExpr("string(id + 15) new", "id old").where("old % 4 = 0"))
+    assert found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    own = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line and "ReusedExchange" not in line]
+    assert sum("file_name" in line for line in own) == 1 and len(own) == 3
+
+
 def test_matching_memberships(spark):
     c = spark.createDataFrame([("a1", "r", None, 2015), ("a2", "r", 2016, None)], "id string, role string, start int, stop int")
     n = spark.createDataFrame([("n1", "r", None, 2015), ("n2", "r", 2016, 2017)], "id string, role string, start int, stop int")
